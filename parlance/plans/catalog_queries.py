@@ -1 +1,142 @@
-"""Queries registered later."""
+"""Catalog queries: listing (#10), candidates (#11), lookup and matching (#21-#24), price intent (#51)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.operators import catalog as C
+from parlance.plans.registry import register
+from parlance.sources import bindings as B
+
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _norm_sql(x: str) -> str:
+    return "lower(" + _STRIP.format(x=f"coalesce({x}, '')") + ")"
+
+
+def _contains_any_sql(x: str, kws) -> str:
+    return "(" + " OR ".join(f"instr({x}, '{k}') > 0" for k in kws) + ")"
+
+
+_LISTING_SQL = B.with_ctes("products", "shops") + f""",
+listing AS (
+  SELECT shop_id, CAST(row_number() OVER (PARTITION BY shop_id ORDER BY name, id) AS INTEGER) AS position,
+         id, name, sku, CAST(price AS DOUBLE) AS price, stock_quantity
+  FROM products QUALIFY position <= {C.LISTING_LIMIT}),
+cands AS (
+  SELECT shop_id, position, coalesce(nullif(sku, ''), CAST(id AS VARCHAR)) AS combo_id, name,
+         CAST(stock_quantity AS INTEGER) AS stock, price,
+         replace({_norm_sql('name')}, '_', ' ') AS token,
+         {_norm_sql("coalesce(nullif(sku, ''), CAST(id AS VARCHAR))")} || ' ' || {_norm_sql('name')} AS combo_name
+  FROM listing),
+q AS (
+  SELECT q_id, shop_id, part_id, text, {_norm_sql('text')} AS hay FROM product_questions)
+"""
+_LISTING_SQL = _LISTING_SQL.replace("WITH ", "WITH " + B.SQL["product_questions"] + ",\n", 1)
+
+
+def _listing(spark, d):
+    return C.catalog_listing(B.products(spark, d))
+
+
+def _candidates(spark, d):
+    return C.combo_candidates(_listing(spark, d), B.shops(spark, d))
+
+
+@register("catalog_listing", _LISTING_SQL + "SELECT * FROM listing")
+def catalog_listing(spark, d):
+    return _listing(spark, d)
+
+
+@register("combo_candidates", _LISTING_SQL + """
+SELECT shop_id, position, combo_id, to_json([name]) AS products, stock, price, false AS is_demo FROM cands""")
+def combo_candidates(spark, d):
+    return _candidates(spark, d).withColumn("products", F.to_json("products"))
+
+
+def _matched(spark, d):
+    cands = _candidates(spark, d)
+    return C.match_combos(B.product_questions(spark, d), C.shop_candidate_arrays(cands))
+
+
+_NAME_SQL = """
+name_hits AS (
+  SELECT q.q_id, arg_min(c.combo_id, c.position) AS name_combo
+  FROM q JOIN cands c ON q.shop_id = c.shop_id AND length(c.token) > 0 AND instr(q.hay, c.token) > 0
+  WHERE length(""" + _STRIP.format(x="q.hay") + """) > 0
+  GROUP BY q.q_id)"""
+
+_GROUP_CASES = {g: kws for g, kws in C.KEYWORD_GROUPS.items()}
+
+
+def _kw_sql():
+    conds = " OR ".join(
+        f"({_contains_any_sql('q.hay', kws)} AND {_contains_any_sql('c.combo_name', kws)})"
+        for kws in C.KEYWORD_GROUPS.values())
+    return f"""
+kw_hits AS (
+  SELECT q.q_id, arg_min(c.combo_id, c.position) AS keyword_combo
+  FROM q JOIN cands c ON q.shop_id = c.shop_id AND ({conds})
+  WHERE length({_STRIP.format(x='q.hay')}) > 0
+  GROUP BY q.q_id)"""
+
+
+@register("combo_name_match", _LISTING_SQL + "," + _NAME_SQL + """
+SELECT q.q_id, n.name_combo FROM q LEFT JOIN name_hits n ON q.q_id = n.q_id""")
+def combo_name_match(spark, d):
+    return _matched(spark, d).select("q_id", F.col("name_match.combo_id").alias("name_combo"))
+
+
+@register("combo_keyword_match", _LISTING_SQL + "," + _NAME_SQL + "," + _kw_sql() + """
+SELECT q.q_id, CASE WHEN n.name_combo IS NULL THEN k.keyword_combo END AS keyword_combo
+FROM q LEFT JOIN name_hits n ON q.q_id = n.q_id LEFT JOIN kw_hits k ON q.q_id = k.q_id""")
+def combo_keyword_match(spark, d):
+    return _matched(spark, d).select("q_id", F.col("keyword_match.combo_id").alias("keyword_combo"))
+
+
+@register("price_intent", _LISTING_SQL + f"""
+SELECT q_id, {_contains_any_sql('hay', C.PRICE_KEYWORDS)} AS price_intent FROM q""")
+def price_intent(spark, d):
+    return _matched(spark, d).select("q_id", "price_intent")
+
+
+def _selections(spark, d):
+    """Each question 'selects' the combo id of its own part (which may be outside the listing)."""
+    q = B.product_questions(spark, d)
+    sel = F.when(F.col("part_id") % 7 == 0, F.col("part_id").cast("string")) \
+           .when(F.col("part_id") % 11 == 0, F.col("part_id").cast("string")) \
+           .otherwise(F.concat(F.col("shop_id"), F.lit("-"), F.col("part_id").cast("string")))
+    return q.withColumn("selected_combo", sel)
+
+
+_SEL_SQL = """
+sel AS (
+  SELECT q.*, CASE WHEN part_id % 7 = 0 THEN CAST(part_id AS VARCHAR) WHEN part_id % 11 = 0 THEN CAST(part_id AS VARCHAR)
+                   ELSE shop_id || '-' || CAST(part_id AS VARCHAR) END AS selected_combo FROM q),
+firsts AS (
+  SELECT shop_id, combo_id, min(position) AS sel_position, arg_min(price, position) AS sel_price
+  FROM cands GROUP BY shop_id, combo_id),
+looked AS (
+  SELECT s.q_id, s.selected_combo, f.sel_position, f.sel_price
+  FROM sel s LEFT JOIN firsts f ON s.shop_id = f.shop_id AND s.selected_combo = f.combo_id)"""
+
+
+@register("selected_combo_lookup", _LISTING_SQL + "," + _SEL_SQL + "\nSELECT * FROM looked")
+def selected_combo_lookup(spark, d):
+    return (C.selected_combo_lookup(_selections(spark, d), _candidates(spark, d))
+            .select("q_id", "selected_combo", "sel_position", "sel_price"))
+
+
+@register("fallback_combo", _LISTING_SQL + "," + _NAME_SQL + "," + _kw_sql() + "," + _SEL_SQL + f"""
+SELECT l.q_id, {_contains_any_sql('q.hay', C.PRICE_KEYWORDS)} AS price_intent,
+       CASE WHEN l.sel_position IS NOT NULL THEN l.selected_combo
+            WHEN {_contains_any_sql('q.hay', C.PRICE_KEYWORDS)} THEN coalesce(n.name_combo, k.keyword_combo) END
+         AS final_combo
+FROM looked l JOIN q ON l.q_id = q.q_id LEFT JOIN name_hits n ON l.q_id = n.q_id
+     LEFT JOIN kw_hits k ON l.q_id = k.q_id""")
+def fallback_combo(spark, d):
+    cands = _candidates(spark, d)
+    looked = C.selected_combo_lookup(_selections(spark, d), cands)
+    matched = C.match_combos(looked, C.shop_candidate_arrays(cands))
+    return C.fallback_combo(matched).select("q_id", "price_intent", "final_combo")

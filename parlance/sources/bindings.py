@@ -85,12 +85,14 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
 
 def product_questions(spark: SparkSession, d: str) -> DataFrame:
     """lineitem x part -> one question per line item, asked in the part's shop."""
-    li = read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     p = read_table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
     return j.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("q_id"),
+        # (order, line, part, supplier) is the unique key of a line item in the driver data.
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("q_id"),
         F.col("p_brand").alias("shop_id"),
+        F.col("p_partkey").alias("part_id"),
         F.when(F.col("l_linenumber") % 2 == 0,
                F.concat(F.lit("giá "), F.col("p_name"), F.lit(" bao nhiêu")))
          .otherwise(F.concat(F.lit("tư vấn "), F.col("p_type"))).alias("text"),
@@ -163,7 +165,7 @@ SQL: dict[str, str] = {
   FROM shops s CROSS JOIN (VALUES (1, 'greeting'), (2, 'need_discovery'), (3, 'solution_matching'),
        (4, 'price_discussion'), (5, 'objection_handling'), (6, 'closing')) n(step_order, stage_name))""",
     "product_questions": """product_questions AS (
-  SELECT l.l_orderkey * 8 + l.l_linenumber AS q_id, p.p_brand AS shop_id,
+  SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS q_id, p.p_brand AS shop_id, p.p_partkey AS part_id,
          CASE WHEN l.l_linenumber % 2 = 0 THEN 'giá ' || p.p_name || ' bao nhiêu'
               ELSE 'tư vấn ' || p.p_type END AS text
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)""",
