@@ -53,6 +53,19 @@ def messages_long(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def context_updates(spark: SparkSession, d: str) -> DataFrame:
+    """events -> context writes: field by event type, value = props, increment = floor(value) - 10."""
+    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    field = (F.when(F.col("event_type") == "click", "current_goal")
+              .when(F.col("event_type") == "purchase", "extracted_entities")
+              .when(F.col("event_type") == "view", "last_tool_used")
+              .otherwise("user_mood"))
+    return ev.select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("msg_id"),
+        epoch_seconds(F.col("ts")).alias("ts"), field.alias("field"), F.col("props").alias("value"),
+        (F.floor("value") - 10).cast("bigint").alias("increment"))
+
+
 # ---------------------------------------------------------------- catalog
 def products(spark: SparkSession, d: str) -> DataFrame:
     """part -> products of shop = brand; sku null / '' / 'brand-key' by key."""
@@ -151,6 +164,12 @@ SQL: dict[str, str] = {
   SELECT user_id AS session_id, event_id AS msg_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
          CASE WHEN event_type = 'view' THEN 'assistant' ELSE 'user' END AS role,
          event_type AS content, CAST(floor(value) AS BIGINT) AS tokens
+  FROM events)""",
+    "context_updates": """context_updates AS (
+  SELECT user_id AS session_id, event_id AS msg_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
+         CASE event_type WHEN 'click' THEN 'current_goal' WHEN 'purchase' THEN 'extracted_entities'
+              WHEN 'view' THEN 'last_tool_used' ELSE 'user_mood' END AS field,
+         props AS value, CAST(floor(value) - 10 AS BIGINT) AS increment
   FROM events)""",
     "products": """products AS (
   SELECT p_partkey AS id, p_brand AS shop_id, p_name AS name,
