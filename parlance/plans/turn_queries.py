@@ -1 +1,204 @@
-"""Queries registered later."""
+"""Decision and per-turn queries (#15-#20, #25, #39, #52, #53, #56, #57)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.functions.text import preview
+from parlance.operators import decisions as D
+from parlance.operators import parsing as PZ
+from parlance.plans import parsing_queries as PQ
+from parlance.plans.registry import register
+from parlance.sources import bindings as B
+from parlance.sources.tables import read_table
+
+_REASON_SQL = """CASE WHEN frustration > 0.7 THEN 'high frustration' WHEN anger > 0.5 THEN 'high anger'
+       WHEN legal THEN 'legal concern' WHEN medical THEN 'medical concern' WHEN financial_risk THEN 'financial risk'
+       WHEN high_technical THEN 'high technical complexity'
+       WHEN risk_level IN ('medium', 'high') THEN 'risk level ' || risk_level
+       WHEN human_request THEN 'explicit human request' END"""
+
+_ROUTED_SQL = B.with_ctes("analyses") + f""",
+h AS (SELECT *, {_REASON_SQL} AS handoff_reason FROM analyses),
+h2 AS (SELECT *, handoff_reason IS NOT NULL AS handoff_required FROM h),
+r AS (SELECT *,
+        (handoff_required OR risk_level IN ('medium', 'high') OR legal OR medical OR financial_risk OR high_technical
+         OR (intent_code = 'complaint' AND (frustration > 0.7 OR anger > 0.5))) AS _human FROM h2),
+routed AS (SELECT * EXCLUDE (_human),
+        CASE WHEN _human THEN 'human_handle' WHEN intent_code IN ('purchase_consultation', 'product_inquiry', 'booking')
+             THEN 'sales_task' WHEN handoff_required THEN 'human_handle' ELSE 'sales_task' END AS task,
+        CASE WHEN _human THEN 'escalation rule' WHEN intent_code IN ('purchase_consultation', 'product_inquiry', 'booking')
+             THEN 'sales intent' ELSE 'fallback by handoff flag' END AS task_reason FROM r)
+"""
+
+
+def _routed(spark, d):
+    return D.task_routing(D.handoff_decision(B.analyses(spark, d)))
+
+
+@register("handoff_decision", B.with_ctes("analyses") + f"""
+SELECT event_id, {_REASON_SQL} IS NOT NULL AS handoff_required, {_REASON_SQL} AS handoff_reason FROM analyses""")
+def handoff_decision(spark, d):
+    return D.handoff_decision(B.analyses(spark, d)).select("event_id", "handoff_required", "handoff_reason")
+
+
+@register("task_routing", _ROUTED_SQL + "SELECT event_id, task, task_reason FROM routed")
+def task_routing(spark, d):
+    return _routed(spark, d).select("event_id", "task", "task_reason")
+
+
+@register("tone_policy", B.with_ctes("analyses") + """
+SELECT event_id, CASE WHEN risk_level IN ('medium', 'high') THEN 'consultative' ELSE 'professional_warm' END AS tone
+FROM analyses""")
+def tone_policy(spark, d):
+    return B.analyses(spark, d).select("event_id", D.tone_policy(F.col("risk_level")).alias("tone"))
+
+
+@register("significant_emotions", B.with_ctes("analyses") + """
+SELECT event_id, emotion, score FROM (UNPIVOT (SELECT event_id, frustration, anger, sadness, joy, fear, neutral
+  FROM analyses) ON frustration, anger, sadness, joy, fear, neutral INTO NAME emotion VALUE score)
+WHERE score > 0.1""")
+def significant_emotions(spark, d):
+    a = B.analyses(spark, d).select("event_id", *D.EMOTIONS)
+    return D.significant_emotions(a, ["event_id"])
+
+
+@register("human_handoff_queue", _ROUTED_SQL + """
+SELECT event_id, session_id, handoff_reason,
+       json_extract_string(payload, '$.task') AS payload_task,
+       CAST(json_extract(payload, '$.emotion_score.anger') AS DOUBLE) AS payload_anger,
+       CAST(json_extract(payload, '$.policy_flags.legal') AS BOOLEAN) AS payload_legal
+FROM (SELECT *, json_object('task', task, 'intent_code', intent_code, 'risk_level', risk_level,
+        'emotion_score', json_object('anger', anger), 'policy_flags', json_object('legal', legal)) AS payload
+      FROM routed WHERE task = 'human_handle')""")
+def human_handoff_queue(spark, d):
+    q = D.human_handoff_queue(_routed(spark, d))
+    return q.select("event_id", "session_id", "handoff_reason",
+                    F.get_json_object("session_update", "$.task").alias("payload_task"),
+                    F.get_json_object("session_update", "$.emotion_score.anger").cast("double").alias("payload_anger"),
+                    F.get_json_object("session_update", "$.policy_flags.legal").cast("boolean")
+                    .alias("payload_legal"))
+
+
+@register("message_preview", """
+SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview
+FROM conversations""")
+def message_preview(spark, d):
+    cv = read_table(spark, d, "conversations", "conv_id", "turn", "text")
+    return cv.select("conv_id", "turn", preview(F.col("text"), 100).alias("preview"))
+
+
+# ---------------------------------------------------------------- navigation joins (#18-#20)
+@register("shop_products_documents", B.with_ctes("shops", "products") + """
+SELECT s.id AS shop_id, p.id AS product_id, d.doc_id
+FROM shops s LEFT JOIN products p ON p.shop_id = s.id LEFT JOIN documents d ON d.doc_id = p.id""")
+def shop_products_documents(spark, d):
+    shops, products = B.shops(spark, d), B.products(spark, d)
+    docs = read_table(spark, d, "documents", "doc_id")
+    j = shops.join(products.select(F.col("shop_id").alias("id"), F.col("id").alias("product_id")), "id", "left")
+    j = j.join(docs, j.product_id == docs.doc_id, "left")
+    return j.select(F.col("id").alias("shop_id"), "product_id", "doc_id")
+
+
+@register("shop_stages", B.with_ctes("stages") + """
+SELECT shop_id, step_order, stage_name,
+       lead(stage_name) OVER (PARTITION BY shop_id ORDER BY step_order) AS next_stage FROM stages""")
+def shop_stages(spark, d):
+    return D.stage_progression(B.stages(spark, d)).select("shop_id", "step_order", "stage_name", "next_stage")
+
+
+@register("shop_customers", """
+SELECT n.n_nationkey AS shop_id, c.c_custkey AS customer_id FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey""")
+def shop_customers(spark, d):
+    n = read_table(spark, d, "nation", "n_nationkey")
+    c = read_table(spark, d, "customer", "c_custkey", "c_nationkey")
+    return n.join(c, n.n_nationkey == c.c_nationkey).select(F.col("n_nationkey").alias("shop_id"),
+                                                             F.col("c_custkey").alias("customer_id"))
+
+
+@register("session_stage_messages", B.with_ctes("sessions", "messages_long") + """
+SELECT m.session_id, m.msg_id, st.stage_name
+FROM sessions s JOIN messages_long m ON m.session_id = s.id
+LEFT JOIN (VALUES (1, 'greeting'), (2, 'need_discovery'), (3, 'solution_matching'), (4, 'price_discussion'),
+                  (5, 'objection_handling'), (6, 'closing')) st(step_order, stage_name) ON st.step_order = s.current_step""")
+def session_stage_messages(spark, d):
+    s = B.sessions(spark, d)
+    stage_names = spark.createDataFrame(list(enumerate(B.STAGE_NAMES, start=1)), "step_order int, stage_name string")
+    m = B.messages_long(spark, d)
+    j = s.join(F.broadcast(stage_names), s.current_step == stage_names.step_order, "left")
+    return j.join(m, m.session_id == s.id).select(m.session_id, "msg_id", "stage_name")
+
+
+# ---------------------------------------------------------------- stage progression per session (#39)
+@register("stage_progression", B.with_ctes("sessions") + """,
+nodes AS (SELECT * FROM (VALUES (1, 'greeting'), (2, 'need_discovery'), (3, 'solution_matching'),
+                  (4, 'price_discussion'), (5, 'objection_handling'), (6, 'closing')) t(step_order, stage_name)),
+prog AS (SELECT *, lead(stage_name) OVER (ORDER BY step_order) AS next_stage FROM nodes),
+lastev AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id),
+s AS (SELECT se.id, se.current_step,
+             CASE l.last_type WHEN 'purchase' THEN 'closing' WHEN 'click' THEN 'solution_matching'
+                  WHEN 'view' THEN 'need_discovery' WHEN 'signup' THEN 'greeting' ELSE 'objection_handling' END
+               AS proposed_stage
+      FROM sessions se JOIN lastev l ON l.user_id = se.id)
+SELECT s.id, p.stage_name AS current_node,
+       array_to_string(list_filter([p.stage_name, p.next_stage], lambda x: x IS NOT NULL), ',') AS allowed_next_nodes,
+       coalesce(list_contains(list_filter([p.stage_name, p.next_stage], lambda x: x IS NOT NULL), s.proposed_stage), false)
+         AS move_valid
+FROM s LEFT JOIN prog p ON p.step_order = s.current_step""")
+def stage_progression(spark, d):
+    prog = D.stage_progression(spark.createDataFrame(
+        [("default", i, n) for i, n in enumerate(B.STAGE_NAMES, start=1)], "shop_id string, step_order int, stage_name string"))
+    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+    last = ev.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    proposed = (F.when(F.col("last_type") == "purchase", "closing").when(F.col("last_type") == "click",
+                "solution_matching").when(F.col("last_type") == "view", "need_discovery")
+                .when(F.col("last_type") == "signup", "greeting").otherwise("objection_handling"))
+    sess = B.sessions(spark, d).drop("user_id")
+    s = sess.join(last, sess.id == last.user_id).select(
+        F.col("id"), F.lit("default").alias("shop_id"), "current_step", proposed.alias("proposed_stage"))
+    out = D.move_validity(s, F.broadcast(prog))
+    return out.select("id", "current_node", F.array_join("allowed_next_nodes", ",").alias("allowed_next_nodes"),
+                      "move_valid")
+
+
+# ---------------------------------------------------------------- #25 merge analyses, #56 final response, #57 turns
+@register("merge_turn_analyses", _ROUTED_SQL + """
+SELECT event_id, session_id, intent_code, handoff_required, risk_level, task FROM routed""")
+def merge_turn_analyses(spark, d):
+    a = B.analyses(spark, d)
+    intent = a.select("event_id", "session_id", "intent_code")
+    handoff = D.handoff_decision(a).drop("session_id", "intent_code")
+    merged = intent.join(handoff, "event_id")
+    return D.task_routing(merged).select("event_id", "session_id", "intent_code", "handoff_required", "risk_level",
+                                         "task")
+
+
+def _final_sql():
+    sales = PQ.parse_sql(PZ.SPECS["sales"])
+    guard = PQ.parse_sql(PZ.SPECS["guardrail"])
+    return _ROUTED_SQL + f""",
+sales AS ({sales}),
+guard AS ({guard})
+SELECT r.event_id, r.task,
+       CASE WHEN r.task = 'human_handle' THEN '{D.HANDOFF_NOTE.replace(chr(10), "' || chr(10) || '")}' ELSE '' END ||
+       CASE WHEN coalesce(g.approved, true) THEN coalesce(nullif(g.modified_text, ''), s.response_text)
+            ELSE '{D.SAFE_FALLBACK_TEXT}' END AS final_text
+FROM routed r JOIN sales s ON s.event_id = r.event_id JOIN guard g ON g.event_id = r.event_id
+WHERE s.error IS NULL AND g.error IS NULL"""
+
+
+def _final(spark, d):
+    routed = _routed(spark, d).select("event_id", "session_id", "ts", "task", "intent_code", "risk_level",
+                                      "handoff_required", "handoff_reason")
+    sales = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["sales"]), "sales").where(F.col("error").isNull())
+    guard = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["guardrail"]), "guardrail").where(
+        F.col("error").isNull())
+    j = (routed.join(sales.select("event_id", "response_text"), "event_id")
+         .join(guard.select("event_id", "approved", "modified_text"), "event_id"))
+    return j.withColumn("final_text", D.final_response(F.col("approved"), F.col("modified_text"),
+                                                       F.col("response_text"), F.col("task")))
+
+
+@register("final_response", _final_sql())
+def final_response(spark, d):
+    return _final(spark, d).select("event_id", "task", "final_text")

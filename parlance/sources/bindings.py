@@ -66,6 +66,30 @@ def context_updates(spark: SparkSession, d: str) -> DataFrame:
         (F.floor("value") - 10).cast("bigint").alias("increment"))
 
 
+def analyses(spark: SparkSession, d: str) -> DataFrame:
+    """events -> per-turn analyses: emotion scores from value and type, flags from props.k, risk by value."""
+    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    v, t = F.col("value"), F.col("event_type")
+    emo = {
+        "frustration": F.when(t == "error", F.least(F.lit(1.0), v / 50)).otherwise(F.least(F.lit(1.0), v / 400)),
+        "anger": F.when(t == "error", F.least(F.lit(1.0), v / 80)).otherwise(F.lit(0.0)),
+        "sadness": F.least(F.lit(1.0), k / 200),
+        "joy": F.when(t == "purchase", F.least(F.lit(1.0), v / 100)).otherwise(F.lit(0.0)),
+        "fear": F.when(t == "signup", F.least(F.lit(1.0), k / 150)).otherwise(F.lit(0.0)),
+    }
+    base = ev.select("event_id", F.col("user_id").alias("session_id"), epoch_seconds(F.col("ts")).alias("ts"),
+                     t.alias("event_type"), *[c.cast("double").alias(n) for n, c in emo.items()],
+                     (k % 17 == 0).alias("legal"), (k % 19 == 0).alias("medical"),
+                     (k % 23 == 0).alias("financial_risk"), ((t == "error") & (k % 5 == 0)).alias("high_technical"),
+                     F.when(v > 400, "high").when(v > 200, "medium").otherwise("low").alias("risk_level"),
+                     ((t == "signup") & (k % 13 == 0)).alias("human_request"),
+                     F.when(t == "purchase", "purchase_consultation").when(t == "view", "product_inquiry")
+                      .when(t == "click", "information_request").when(t == "error", "complaint")
+                      .otherwise("booking").alias("intent_code"))
+    return base.withColumn("neutral", 1.0 - F.greatest(*[F.col(n) for n in emo]))
+
+
 # ---------------------------------------------------------------- catalog
 def products(spark: SparkSession, d: str) -> DataFrame:
     """part -> products of shop = brand; sku null / '' / 'brand-key' by key."""
@@ -171,6 +195,23 @@ SQL: dict[str, str] = {
               WHEN 'view' THEN 'last_tool_used' ELSE 'user_mood' END AS field,
          props AS value, CAST(floor(value) - 10 AS BIGINT) AS increment
   FROM events)""",
+    "analyses": """analyses AS (
+  SELECT *, 1.0 - greatest(frustration, anger, sadness, joy, fear) AS neutral FROM (
+  SELECT event_id, user_id AS session_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type,
+         CAST(CASE WHEN event_type = 'error' THEN least(1.0, value / 50) ELSE least(1.0, value / 400) END AS DOUBLE) AS frustration,
+         CAST(CASE WHEN event_type = 'error' THEN least(1.0, value / 80) ELSE 0.0 END AS DOUBLE) AS anger,
+         CAST(least(1.0, CAST(json_extract(props, '$.k') AS INTEGER) / 200) AS DOUBLE) AS sadness,
+         CAST(CASE WHEN event_type = 'purchase' THEN least(1.0, value / 100) ELSE 0.0 END AS DOUBLE) AS joy,
+         CAST(CASE WHEN event_type = 'signup' THEN least(1.0, CAST(json_extract(props, '$.k') AS INTEGER) / 150) ELSE 0.0 END AS DOUBLE) AS fear,
+         CAST(json_extract(props, '$.k') AS INTEGER) % 17 = 0 AS legal,
+         CAST(json_extract(props, '$.k') AS INTEGER) % 19 = 0 AS medical,
+         CAST(json_extract(props, '$.k') AS INTEGER) % 23 = 0 AS financial_risk,
+         event_type = 'error' AND CAST(json_extract(props, '$.k') AS INTEGER) % 5 = 0 AS high_technical,
+         CASE WHEN value > 400 THEN 'high' WHEN value > 200 THEN 'medium' ELSE 'low' END AS risk_level,
+         event_type = 'signup' AND CAST(json_extract(props, '$.k') AS INTEGER) % 13 = 0 AS human_request,
+         CASE event_type WHEN 'purchase' THEN 'purchase_consultation' WHEN 'view' THEN 'product_inquiry'
+              WHEN 'click' THEN 'information_request' WHEN 'error' THEN 'complaint' ELSE 'booking' END AS intent_code
+  FROM events))""",
     "products": """products AS (
   SELECT p_partkey AS id, p_brand AS shop_id, p_name AS name,
          CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN ''
