@@ -18,31 +18,39 @@ from parlance.sources.tables import read_table
 
 # ------------------------------------------------------------- raw text recipe
 def _value(f: PZ.Field):
-    """(spark column, sql text) of the JSON value text for a leaf field."""
+    """(spark column thunk, sql text) of the JSON value text for a leaf field."""
+    name = f.path.split(".")[-1]
     if f.kind == "str":
-        return (F.concat(F.lit('"'), F.col("event_type"), F.lit("-" + f.path.split(".")[-1] + '"')),
-                f"'\"' || event_type || '-{f.path.split('.')[-1]}\"'")
+        return (lambda: F.concat(F.lit('"'), F.col("event_type"), F.lit("-" + name + '"')),
+                f"'\"' || event_type || '-{name}\"'")
     if f.kind == "float":
         # hundredths from the integer part: no rounding ties between engines
-        return (((F.floor("value") % 120) / 100.0).cast("string"),
+        return (lambda: ((F.floor("value") % 120) / 100.0).cast("string"),
                 "CAST((CAST(floor(value) AS BIGINT) % 120) / 100.0 AS VARCHAR)")
     if f.kind == "int":
-        return ((F.col("event_id") % 7).cast("string"), "CAST(event_id % 7 AS VARCHAR)")
+        return (lambda: (F.col("event_id") % 7).cast("string"), "CAST(event_id % 7 AS VARCHAR)")
     if f.kind == "bool":
-        return (F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"),
+        return (lambda: F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"),
                 "CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END")
     if f.kind == "list":
-        return (F.concat(F.lit('["'), F.col("event_type"), F.lit('", "item-'), (F.col("event_id") % 5).cast("string"),
-                         F.lit('"]')),
+        return (lambda: F.concat(F.lit('["'), F.col("event_type"), F.lit('", "item-'),
+                                 (F.col("event_id") % 5).cast("string"), F.lit('"]')),
                 "'[\"' || event_type || '\", \"item-' || CAST(event_id % 5 AS VARCHAR) || '\"]'")
     if f.kind == "obj":
-        return (F.concat(F.lit('{"k": '), (F.col("event_id") % 5).cast("string"), F.lit("}")),
+        return (lambda: F.concat(F.lit('{"k": '), (F.col("event_id") % 5).cast("string"), F.lit("}")),
                 "'{\"k\": ' || CAST(event_id % 5 AS VARCHAR) || '}'")
     raise ValueError(f.kind)
 
 
+def _text(t: str):
+    return (lambda: F.lit(t)), "'" + t.replace("'", "''") + "'"
+
+
 def _object(spec: PZ.Spec, drop_last=False, null_last=False):
-    """Build the object text: top-level keys in spec order, nested objects from dotted paths."""
+    """Build the object text: top-level keys in spec order, nested objects from dotted paths.
+
+    Returns (spark column thunk, sql text); Spark columns are only built when called.
+    """
     tops: list[tuple[str, list]] = []
     for f in spec.fields:
         if f.kind == "obj_present":
@@ -53,80 +61,92 @@ def _object(spec: PZ.Spec, drop_last=False, null_last=False):
             tops.append((f.path, [f]))
     if drop_last:
         tops = tops[:-1]
-    sp, sq = [F.lit("{")], ["'{'"]
+    pieces = [_text("{")]
     for i, (key, leaves) in enumerate(tops):
         last = i == len(tops) - 1
-        sp.append(F.lit(('' if i == 0 else ', ') + f'"{key}": '))
-        sq.append("'" + ('' if i == 0 else ', ') + f'"{key}": ' + "'")
+        pieces.append(_text(('' if i == 0 else ', ') + f'"{key}": '))
         if null_last and last:
-            sp.append(F.lit("null"))
-            sq.append("'null'")
+            pieces.append(_text("null"))
         elif len(leaves) == 1 and leaves[0].path == key:
-            c, q = _value(leaves[0])
-            sp.append(c)
-            sq.append(q)
+            pieces.append(_value(leaves[0]))
         else:
-            sp.append(F.lit("{"))
-            sq.append("'{'")
+            pieces.append(_text("{"))
             for j, lf in enumerate(leaves):
-                c, q = _value(lf)
-                name = lf.path.split(".")[-1]
-                sp += [F.lit(('' if j == 0 else ', ') + f'"{name}": '), c]
-                sq += ["'" + ('' if j == 0 else ', ') + f'"{name}": ' + "'", q]
-            sp.append(F.lit("}"))
-            sq.append("'}'")
-    sp.append(F.lit("}"))
-    sq.append("'}'")
-    return F.concat(*sp), "(" + " || ".join(sq) + ")"
-
-
-def _raw(spec: PZ.Spec):
-    obj_c, obj_q = _object(spec)
-    miss_c, miss_q = _object(spec, drop_last=True)
-    null_c, null_q = _object(spec, null_last=True)
-    k = F.col("event_id") % 7
-    spark = (F.when(k == 0, obj_c)
-             .when(k == 1, F.concat(F.lit("```json\n"), obj_c, F.lit("\n```")))
-             .when(k == 2, F.concat(F.lit("Result: "), obj_c, F.lit(" done.")))
-             .when(k == 3, F.concat(obj_c, F.lit(" trailing {x}")))
-             .when(k == 4, miss_c).when(k == 5, null_c)
-             .otherwise(F.concat(F.lit("no structured answer for "), F.col("event_type"))))
-    sql = f"""CASE event_id % 7 WHEN 0 THEN {obj_q}
+                pieces.append(_text(('' if j == 0 else ', ') + f'"{lf.path.split(".")[-1]}": '))
+                pieces.append(_value(lf))
+            pieces.append(_text("}"))
+    pieces.append(_text("}"))
+    return (lambda: F.concat(*[c() for c, _ in pieces])), "(" + " || ".join(q for _, q in pieces) + ")"
+
+
+def _raw_sql(spec: PZ.Spec) -> str:
+    _, obj_q = _object(spec)
+    _, miss_q = _object(spec, drop_last=True)
+    _, null_q = _object(spec, null_last=True)
+    return f"""CASE event_id % 7 WHEN 0 THEN {obj_q}
     WHEN 1 THEN '```json' || chr(10) || {obj_q} || chr(10) || '```'
     WHEN 2 THEN 'Result: ' || {obj_q} || ' done.'
     WHEN 3 THEN {obj_q} || ' trailing {{x}}'
     WHEN 4 THEN {miss_q} WHEN 5 THEN {null_q}
     ELSE 'no structured answer for ' || event_type END"""
-    return spark, sql
-
-
-# Input columns every spec may refer to (derived from the same event row).
-_INPUTS = [
-    ("user_id", F.col("user_id").cast("string"), "CAST(user_id AS VARCHAR)"),
-    ("session_id", F.concat(F.lit("s-"), F.col("user_id").cast("string")), "'s-' || CAST(user_id AS VARCHAR)"),
-    ("in_task_by_flag", F.when(F.col("value") > 40, "human_handle").otherwise("sales_task"),
-     "CASE WHEN value > 40 THEN 'human_handle' ELSE 'sales_task' END"),
-    ("in_clean_intent_text", F.col("event_type"), "event_type"),
-    ("in_intent_code", F.lit("product_inquiry"), "'product_inquiry'"),
-    ("in_handoff_required", F.col("value") > 40, "value > 40"),
-    ("in_handoff_reason", F.when(F.col("value") > 40, "high value"), "CASE WHEN value > 40 THEN 'high value' END"),
-    ("in_risk_level", F.when(F.col("value") > 40, "medium").otherwise("low"),
-     "CASE WHEN value > 40 THEN 'medium' ELSE 'low' END"),
-    ("current_node", F.lit("greeting"), "'greeting'"),
-    ("first_label", F.lit("VIP"), "'VIP'"),
-    ("rule_priority", (F.col("event_id") % 3 + 1).cast("bigint"), "CAST(event_id % 3 + 1 AS BIGINT)"),
+
+
+def _raw_col(spec: PZ.Spec):
+    obj_c = _object(spec)[0]()
+    miss_c = _object(spec, drop_last=True)[0]()
+    null_c = _object(spec, null_last=True)[0]()
+    k = F.col("event_id") % 7
+    return (F.when(k == 0, obj_c)
+            .when(k == 1, F.concat(F.lit("```json\n"), obj_c, F.lit("\n```")))
+            .when(k == 2, F.concat(F.lit("Result: "), obj_c, F.lit(" done.")))
+            .when(k == 3, F.concat(obj_c, F.lit(" trailing {x}")))
+            .when(k == 4, miss_c).when(k == 5, null_c)
+            .otherwise(F.concat(F.lit("no structured answer for "), F.col("event_type"))))
+
+
+# Input columns every spec may refer to (derived from the same event row); Spark side built lazily.
+def _inputs():
+    return [
+        ("user_id", F.col("user_id").cast("string"), "CAST(user_id AS VARCHAR)"),
+        ("session_id", F.concat(F.lit("s-"), F.col("user_id").cast("string")), "'s-' || CAST(user_id AS VARCHAR)"),
+        ("in_task_by_flag", F.when(F.col("value") > 40, "human_handle").otherwise("sales_task"),
+         "CASE WHEN value > 40 THEN 'human_handle' ELSE 'sales_task' END"),
+        ("in_clean_intent_text", F.col("event_type"), "event_type"),
+        ("in_intent_code", F.lit("product_inquiry"), "'product_inquiry'"),
+        ("in_handoff_required", F.col("value") > 40, "value > 40"),
+        ("in_handoff_reason", F.when(F.col("value") > 40, "high value"), "CASE WHEN value > 40 THEN 'high value' END"),
+        ("in_risk_level", F.when(F.col("value") > 40, "medium").otherwise("low"),
+         "CASE WHEN value > 40 THEN 'medium' ELSE 'low' END"),
+        ("current_node", F.lit("greeting"), "'greeting'"),
+        ("first_label", F.lit("VIP"), "'VIP'"),
+        ("rule_priority", (F.col("event_id") % 3 + 1).cast("bigint"), "CAST(event_id % 3 + 1 AS BIGINT)"),
+    ]
+
+
+_INPUT_SQL = [
+    ("user_id", "CAST(user_id AS VARCHAR)"),
+    ("session_id", "'s-' || CAST(user_id AS VARCHAR)"),
+    ("in_task_by_flag", "CASE WHEN value > 40 THEN 'human_handle' ELSE 'sales_task' END"),
+    ("in_clean_intent_text", "event_type"),
+    ("in_intent_code", "'product_inquiry'"),
+    ("in_handoff_required", "value > 40"),
+    ("in_handoff_reason", "CASE WHEN value > 40 THEN 'high value' END"),
+    ("in_risk_level", "CASE WHEN value > 40 THEN 'medium' ELSE 'low' END"),
+    ("current_node", "'greeting'"),
+    ("first_label", "'VIP'"),
+    ("rule_priority", "CAST(event_id % 3 + 1 AS BIGINT)"),
 ]
 
 
 def raw_outputs(spark, d, spec: PZ.Spec):
     ev = read_table(spark, d, "events", "event_id", "user_id", "event_type", "value")
-    raw_c, _ = _raw(spec)
-    return ev.select("event_id", *[c.alias(n) for n, c, _ in _INPUTS], raw_c.alias("raw"))
+    raw_c = _raw_col(spec)
+    return ev.select("event_id", *[c.alias(n) for n, c, _ in _inputs()], raw_c.alias("raw"))
 
 
 def raw_outputs_sql(spec: PZ.Spec) -> str:
-    _, raw_q = _raw(spec)
-    cols = ", ".join(f"{q} AS {n}" for n, _, q in _INPUTS)
+    raw_q = _raw_sql(spec)
+    cols = ", ".join(f"{q} AS {n}" for n, q in _INPUT_SQL)
     return f"raw_outputs AS (SELECT event_id, {cols}, {raw_q} AS raw FROM events)"
 
 
@@ -204,7 +224,7 @@ def parse_sql(spec: PZ.Spec) -> str:
                 conds.append(f"WHEN {present} AND ({val} < {f.lo} OR {val} > {f.hi}) THEN '{f.path}: range'")
             errs.append(f"CASE WHEN NOT is_fallback THEN CASE {' '.join(conds)} END END")
     err = f"coalesce({', '.join(errs)})" if errs else "CAST(NULL AS VARCHAR)"
-    inputs = ", ".join(n for n, _, _ in _INPUTS)
+    inputs = ", ".join(n for n, _ in _INPUT_SQL)
     return f"""WITH {raw_outputs_sql(spec)},
 c AS (SELECT *, CASE WHEN starts_with({_STRIP}, '{{') THEN raw
                      ELSE nullif(regexp_extract(coalesce(raw, ''), '(?s)\\{{.*\\}}', 0), '') END AS cand

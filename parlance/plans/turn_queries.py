@@ -202,3 +202,65 @@ def _final(spark, d):
 @register("final_response", _final_sql())
 def final_response(spark, d):
     return _final(spark, d).select("event_id", "task", "final_text")
+
+
+# ---------------------------------------------------------------- #57 turn results (flagship)
+_TRACE = [
+    ("Phase 1: IntentAgent + AnalyseHandoffAgent", None),
+    ("Phase 1.5: OrchestratorAgent", None),
+    ("Phase 2: Sales workflow", "sales"),
+    ("Phase 2.0: Load short memory", "sales"),
+    ("Phase 3: GuardrailAgent", "sales"),
+    ("Phase 3: Escalation note (human_handle)", "human"),
+    ("Phase 3: receive_input (assistant)", None),
+]
+
+
+def turn_results_frame(spark, d):
+    """Per turn: intent, handoff, routing, tone, short-memory size, final text and the phase trace."""
+    from parlance.operators import memory as M
+    from parlance.plans.memory_queries import LONG_TTL
+
+    final = _final(spark, d)
+    mem = M.rolling_short_memory(B.messages_long(spark, d), ttl=LONG_TTL).select(
+        F.col("msg_id").alias("event_id"), F.size("short_memory").alias("short_memory_size"))
+    j = final.join(mem, "event_id")
+    trace = F.array_compact(F.array(*[
+        F.lit(t) if cond is None
+        else F.when(F.col("task").isin("sales_task", "human_handle"), F.lit(t)) if cond == "sales"
+        else F.when(F.col("task") == "human_handle", F.lit(t)) for t, cond in _TRACE]))
+    return j.select("event_id", "session_id", "intent_code", "handoff_required", "handoff_reason", "risk_level",
+                    "task", D.tone_policy(F.col("risk_level")).alias("tone"), "short_memory_size", "final_text",
+                    F.array_join(trace, " | ").alias("phase_trace"))
+
+
+def _turns_sql():
+    from parlance.plans.memory_queries import LONG_TTL, _seg_sql
+
+    parts = []
+    for t, cond in _TRACE:
+        if cond is None:
+            parts.append(f"'{t}'")
+        elif cond == "sales":
+            parts.append(f"CASE WHEN f.task IN ('sales_task', 'human_handle') THEN '{t}' END")
+        else:
+            parts.append(f"CASE WHEN f.task = 'human_handle' THEN '{t}' END")
+    trace = f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ' | ')"
+    final_body = _final_sql()
+    head, select = final_body.rsplit("\nSELECT r.event_id, r.task,", 1)
+    final_cte = head + ",\nfinal AS (SELECT r.event_id, r.session_id, r.intent_code, r.handoff_required, " \
+        "r.handoff_reason, r.risk_level, r.task," + select + ")"
+    final_cte = final_cte.replace(B.with_ctes("analyses"),
+                                  B.with_ctes("analyses", "messages_long") + "," + _seg_sql("messages_long", LONG_TTL), 1)
+    return final_cte + f""",
+mem AS (SELECT msg_id AS event_id, CAST(count(*) OVER (PARTITION BY session_id, seg_no ORDER BY ts, msg_id
+               ROWS BETWEEN {19} PRECEDING AND CURRENT ROW) AS INTEGER) AS short_memory_size FROM seg)
+SELECT f.event_id, f.session_id, f.intent_code, f.handoff_required, f.handoff_reason, f.risk_level, f.task,
+       CASE WHEN f.risk_level IN ('medium', 'high') THEN 'consultative' ELSE 'professional_warm' END AS tone,
+       m.short_memory_size, f.final_text, {trace} AS phase_trace
+FROM final f JOIN mem m ON f.event_id = m.event_id"""
+
+
+@register("turn_results", _turns_sql())
+def turn_results(spark, d):
+    return turn_results_frame(spark, d)
