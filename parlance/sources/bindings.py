@@ -55,7 +55,12 @@ def messages_long(spark: SparkSession, d: str) -> DataFrame:
 
 def context_updates(spark: SparkSession, d: str) -> DataFrame:
     """events -> context writes: field by event type, value = props, increment = floor(value) - 10."""
-    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return context_updates_from(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value",
+                                           "props"))
+
+
+def context_updates_from(ev: DataFrame) -> DataFrame:
+    """The context-update binding over any events frame (batch or stream)."""
     field = (F.when(F.col("event_type") == "click", "current_goal")
               .when(F.col("event_type") == "purchase", "extracted_entities")
               .when(F.col("event_type") == "view", "last_tool_used")
@@ -68,7 +73,11 @@ def context_updates(spark: SparkSession, d: str) -> DataFrame:
 
 def analyses(spark: SparkSession, d: str) -> DataFrame:
     """events -> per-turn analyses: emotion scores from value and type, flags from props.k, risk by value."""
-    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return analyses_from(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
+
+
+def analyses_from(ev: DataFrame) -> DataFrame:
+    """The analyses binding over any events frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     v, t = F.col("value"), F.col("event_type")
     emo = {
