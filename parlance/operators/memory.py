@@ -140,8 +140,9 @@ def summary_input(disposition: DataFrame, triggers: DataFrame, n: int = SUMMARY_
         F.greatest(hi_b - 1, F.lit(0)), hi_b))))
     j = trig.join(arch, ["session_id", "bucket"])
     j = j.where((F.col("arank") > F.col("archived_total") - n) & (F.col("arank") <= F.col("archived_total")))
+    carried = [c for c in ("ts", "msg_id", "role", "content") if c in disposition.columns]
     return (j.groupBy("session_id", "trigger_msg_id", "archived_total")
-            .agg(F.array_sort(F.collect_list(F.struct("ts", "msg_id", "role", "content"))).alias("messages")))
+            .agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("messages")))
 
 
 def messages_per_session(disposition: DataFrame) -> DataFrame:

@@ -67,7 +67,6 @@ name_hits AS (
   WHERE length(""" + _STRIP.format(x="q.hay") + """) > 0
   GROUP BY q.q_id)"""
 
-_GROUP_CASES = {g: kws for g, kws in C.KEYWORD_GROUPS.items()}
 
 
 def _kw_sql():
@@ -118,22 +117,23 @@ firsts AS (
   SELECT shop_id, combo_id, min(position) AS sel_position, arg_min(price, position) AS sel_price
   FROM cands GROUP BY shop_id, combo_id),
 looked AS (
-  SELECT s.q_id, s.selected_combo, f.sel_position, f.sel_price
+  SELECT s.q_id, s.hay, s.selected_combo, f.sel_position, f.sel_price
   FROM sel s LEFT JOIN firsts f ON s.shop_id = f.shop_id AND s.selected_combo = f.combo_id)"""
 
 
-@register("selected_combo_lookup", _LISTING_SQL + "," + _SEL_SQL + "\nSELECT * FROM looked")
+@register("selected_combo_lookup", _LISTING_SQL + "," + _SEL_SQL +
+          "\nSELECT q_id, selected_combo, sel_position, sel_price FROM looked")
 def selected_combo_lookup(spark, d):
     return (C.selected_combo_lookup(_selections(spark, d), _candidates(spark, d))
             .select("q_id", "selected_combo", "sel_position", "sel_price"))
 
 
 @register("fallback_combo", _LISTING_SQL + "," + _NAME_SQL + "," + _kw_sql() + "," + _SEL_SQL + f"""
-SELECT l.q_id, {_contains_any_sql('q.hay', C.PRICE_KEYWORDS)} AS price_intent,
+SELECT l.q_id, {_contains_any_sql('l.hay', C.PRICE_KEYWORDS)} AS price_intent,
        CASE WHEN l.sel_position IS NOT NULL THEN l.selected_combo
-            WHEN {_contains_any_sql('q.hay', C.PRICE_KEYWORDS)} THEN coalesce(n.name_combo, k.keyword_combo) END
+            WHEN {_contains_any_sql('l.hay', C.PRICE_KEYWORDS)} THEN coalesce(n.name_combo, k.keyword_combo) END
          AS final_combo
-FROM looked l JOIN q ON l.q_id = q.q_id LEFT JOIN name_hits n ON l.q_id = n.q_id
+FROM looked l LEFT JOIN name_hits n ON l.q_id = n.q_id
      LEFT JOIN kw_hits k ON l.q_id = k.q_id""")
 def fallback_combo(spark, d):
     cands = _candidates(spark, d)
