@@ -74,21 +74,40 @@ def combo_candidates(listing: DataFrame, shops: DataFrame | None = None) -> Data
 
 
 def shop_candidate_arrays(candidates: DataFrame) -> DataFrame:
-    """One row per shop: its candidates (at most the listing limit) in catalog order."""
-    kw_groups = list(KEYWORD_GROUPS.items())
-
-    def groups_hit(text_col):
-        return F.array_compact(F.array(*[F.when(contains_any(text_col, kws), F.lit(g)) for g, kws in kw_groups]))
+    """One row per shop with its match structures (all bounded by the listing limit).
 
+    * ``name_cands``: distinct non-empty normalised names, each with the first combo
+      (catalog order) carrying it - a later combo with the same name can never be
+      the first hit, so dropping it is exact and shrinks the per-question scan;
+    * ``kw_<i>``: per keyword group, the first combo whose name hits the group;
+    * ``cands``: every candidate with stock (for ranking).
+    """
+    kw_groups = list(KEYWORD_GROUPS.values())
     c = candidates.select(
         "shop_id", "position", "combo_id", "price", "stock",
         normalize_name(F.col("products")[0]).alias("token"),
         F.concat_ws(" ", normalize(F.col("combo_id")),
                     F.array_join(F.transform("products", lambda p: normalize(p)), " ")).alias("combo_name"))
-    c = c.withColumn("groups", groups_hit(F.col("combo_name")))
-    return (c.groupBy("shop_id")
-            .agg(F.array_sort(F.collect_list(F.struct("position", "combo_id", "price", "stock", "token",
-                                                       "groups"))).alias("cands")))
+    first = F.struct("position", "combo_id")
+    names = (c.where(F.length("token") > 0).groupBy("shop_id", "token")
+             .agg(F.min(first).alias("f"))
+             .groupBy("shop_id")
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("f.position").alias("position"),
+                                                        F.col("f.combo_id").alias("combo_id"),
+                                                        F.col("token")))).alias("name_cands")))
+    per_shop = c.groupBy("shop_id").agg(
+        *[F.min(F.when(contains_any(F.col("combo_name"), kws), first)).alias(f"kw_{i}")
+          for i, kws in enumerate(kw_groups)])
+    # ranking: in-stock candidates with the same name tie on name hits, so only the
+    # best of them (most stock, then first in catalog order) can win
+    best = F.struct((-F.col("stock")).alias("neg_stock"), "position", "combo_id")
+    ranks = (c.where((F.col("stock") > 0) & (F.length("token") > 0)).groupBy("shop_id", "token")
+             .agg(F.min(best).alias("b"))
+             .groupBy("shop_id")
+             .agg(F.collect_list(F.struct(F.col("b.position").alias("position"),
+                                          F.col("b.combo_id").alias("combo_id"),
+                                          (-F.col("b.neg_stock")).alias("stock"), F.col("token"))).alias("cands")))
+    return per_shop.join(names, "shop_id", "left").join(ranks, "shop_id", "left")
 
 
 def match_combos(questions: DataFrame, shop_cands: DataFrame, text_col: str = "text",
@@ -96,24 +115,23 @@ def match_combos(questions: DataFrame, shop_cands: DataFrame, text_col: str = "t
     """#22 / #23 / #51: name match, keyword-group match and price intent per question.
 
     ``questions`` has ``shop_id`` and a text column; ``extra_cols`` are further
-    requirement texts (explicit / implicit lists) appended to the haystack.
+    requirement texts (explicit / implicit lists) appended to the haystack.  The
+    keyword pass is the first combo over the groups the question hits: a ``least``
+    of at most three per-shop structs, no per-candidate work.
     """
-    kw_groups = list(KEYWORD_GROUPS.items())
+    kw_groups = list(KEYWORD_GROUPS.values())
     pieces = F.array(normalize(F.col(text_col)))
     for c in extra_cols:
         pieces = F.concat(pieces, F.transform(F.coalesce(F.col(c), F.array()), lambda x: normalize(x)))
     q = questions.withColumn("_hay", F.array_join(pieces, " "))
-    q = q.withColumn("_qgroups", F.array_compact(F.array(
-        *[F.when(contains_any(F.col("_hay"), kws), F.lit(g)) for g, kws in kw_groups])))
-    j = q.join(shop_cands, "shop_id", "left")
+    j = q.join(shop_cands.drop("cands"), "shop_id", "left")
     has_text = F.length(py_strip(F.col("_hay"))) > 0
-    name_hit = F.get(F.filter(F.col("cands"), lambda c: (F.length(c["token"]) > 0)
-                              & (F.instr(F.col("_hay"), c["token"]) > 0)), 0)
-    kw_hit = F.get(F.filter(F.col("cands"), lambda c: F.arrays_overlap(c["groups"], F.col("_qgroups"))), 0)
+    name_hit = F.get(F.filter(F.col("name_cands"), lambda c: F.instr(F.col("_hay"), c["token"]) > 0), 0)
+    kw_hit = F.least(*[F.when(contains_any(F.col("_hay"), kws), F.col(f"kw_{i}")) for i, kws in enumerate(kw_groups)])
     return (j.withColumn("name_match", F.when(has_text, name_hit))
             .withColumn("keyword_match", F.when(has_text & F.col("name_match").isNull(), kw_hit))
             .withColumn("price_intent", contains_any(normalize(F.col(text_col)), PRICE_KEYWORDS))
-            .drop("cands", "_qgroups", "_hay"))
+            .drop("name_cands", "_hay", *[f"kw_{i}" for i in range(len(kw_groups))]))
 
 
 def selected_combo_lookup(selections: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ Semantics of the reference, per raw text:
    quarantined by the caller), not a fallback.
 
 Spark plan: all column expressions (one projection), so it is a map-only job.
-Strict validity uses ``from_json('[' || t || ']')`` (trailing text fails like Python's
-parser, single quotes are refused); field presence, JSON kind and value come from
+Strict validity: ``json_array_length('[' || t || ']') = 1`` (trailing text fails like
+Python's parser) and a non-null ``try_parse_json`` (single quotes are refused); field presence, JSON kind and value come from
 a ``VARIANT`` of the object (``variant_get`` / ``schema_of_variant``).  Known gaps:
 text with duplicate keys or NaN parses in Python but not as a variant (-> fallback).
 """
@@ -188,17 +188,22 @@ def parse_model_output(df: DataFrame, spec: Spec | str, raw_col: str = "raw") ->
     """Apply one spec to ``raw_col``: typed fields, ``is_fallback`` and ``error`` columns."""
     spec = SPECS[spec] if isinstance(spec, str) else spec
     cand = json_candidate(F.col(raw_col))
-    arr = F.from_json(F.concat(F.lit("["), cand, F.lit("]")), T.ArrayType(T.StringType()),
-                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    # strict check: exactly one JSON value (trailing text fails like Python's parser,
+    # single quotes are refused); the value itself is read as a VARIANT
+    # (json_array_length streams the tokens without building values; the variant parser
+    # refuses single quotes)
+    n_values = F.json_array_length(F.concat(F.lit("["), F.col("_cand"), F.lit("]")))
     d = df.withColumn("_cand", cand).withColumn("_v", F.try_parse_json(F.col("_cand")))
-    ok = (F.col("_cand").isNotNull() & arr.isNotNull() & (F.size(arr) == 1)
-          & F.col("_v").isNotNull() & (F.schema_of_variant(F.col("_v")).startswith("OBJECT")))
+    ok = (F.col("_cand").isNotNull() & (n_values == 1)
+          & F.col("_v").isNotNull() & py_strip(F.col("_cand")).startswith("{"))
     d = d.withColumn("is_fallback", ~F.coalesce(ok, F.lit(False)))
     errors = []
     outs = []
-    for f in spec.fields:
-        sub = F.expr(f"variant_get(_v, '$.{f.path}')")
-        kind = _kind(sub)
+    # each field's sub-variant and JSON kind are computed once, in their own projection
+    d = d.select("*", *[F.expr(f"variant_get(_v, '$.{f.path}')").alias(f"_s{i}") for i, f in enumerate(spec.fields)])
+    d = d.select("*", *[_kind(F.col(f"_s{i}")).alias(f"_k{i}") for i, f in enumerate(spec.fields)])
+    for i, f in enumerate(spec.fields):
+        sub, kind = F.col(f"_s{i}"), F.col(f"_k{i}")
         present = sub.isNotNull()
         text = F.try_variant_get(sub, "$", "string")
         if f.kind == "str":

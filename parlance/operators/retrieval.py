@@ -114,7 +114,7 @@ def dense_top_k_ivf(queries: DataFrame, vectors: DataFrame, model, k: int = DEFA
 
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens of a whole text (letters and digits, any script)."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), "")
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

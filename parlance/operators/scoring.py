@@ -158,8 +158,8 @@ def stage_classification(messages: DataFrame, allowed_stages: list[str], success
 def combo_ranking(questions: DataFrame, shop_cands: DataFrame, text_col: str = "text") -> DataFrame:
     """#60d: best in-stock combo: explicit name hit, then word hits, then stock, then catalog order.
 
-    The shop's candidate array (bounded by the listing limit) is ranked inside the
-    question's row; no candidate with a hit -> null.
+    The shop's in-stock candidates (one per distinct name, bounded by the listing
+    limit) are ranked inside the question's row; no candidate with a hit -> null.
     """
     hay = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     qtok = tokens(F.col(text_col))
@@ -167,12 +167,12 @@ def combo_ranking(questions: DataFrame, shop_cands: DataFrame, text_col: str = "
         (F.instr(hay, c["token"]) > 0).cast("int").alias("explicit"),
         F.size(F.array_intersect(F.split(c["token"], " "), qtok)).alias("implicit"),
         c["stock"].alias("stock"), c["position"].alias("position"), c["combo_id"].alias("combo_id")))
-    usable = F.filter(scored, lambda s: (s["stock"] > 0) & ((s["explicit"] > 0) | (s["implicit"] > 0)))
+    usable = F.filter(scored, lambda s: (s["explicit"] > 0) | (s["implicit"] > 0))
     ranked = F.array_sort(usable, lambda a, b: F.when(a["explicit"] != b["explicit"], b["explicit"] - a["explicit"])
                           .when(a["implicit"] != b["implicit"], b["implicit"] - a["implicit"])
                           .when(a["stock"] != b["stock"], b["stock"] - a["stock"])
                           .otherwise(a["position"] - b["position"]))
-    j = questions.join(shop_cands, "shop_id", "left")
+    j = questions.join(shop_cands.select("shop_id", "cands"), "shop_id", "left")
     return j.withColumn("best_combo", F.get(ranked, 0)["combo_id"]).drop("cands")
 
 

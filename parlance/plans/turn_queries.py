@@ -190,11 +190,13 @@ WHERE s.error IS NULL AND g.error IS NULL"""
 def _final(spark, d):
     routed = _routed(spark, d).select("event_id", "session_id", "ts", "task", "intent_code", "risk_level",
                                       "handoff_required", "handoff_reason")
-    sales = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["sales"]), "sales").where(F.col("error").isNull())
-    guard = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["guardrail"]), "guardrail").where(
-        F.col("error").isNull())
-    j = (routed.join(sales.select("event_id", "response_text"), "event_id")
-         .join(guard.select("event_id", "approved", "modified_text"), "event_id"))
+    sales = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["sales"]), "sales")
+    guard = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["guardrail"]), "guardrail")
+    j = (routed.join(sales.select("event_id", "response_text", F.col("error").alias("_se")), "event_id")
+         .join(guard.select("event_id", "approved", "modified_text", F.col("error").alias("_ge")), "event_id"))
+    # One predicate over both sides: it cannot be pushed below the join, so the
+    # validation expressions are evaluated once, not re-inlined into pushed filters.
+    j = j.where(F.coalesce(F.col("_se"), F.col("_ge")).isNull()).drop("_se", "_ge")
     return j.withColumn("final_text", D.final_response(F.col("approved"), F.col("modified_text"),
                                                        F.col("response_text"), F.col("task")))
 
