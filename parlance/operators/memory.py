@@ -32,37 +32,104 @@ def _by_session():
     return Window.partitionBy("session_id").orderBy("ts", "msg_id")
 
 
-def ttl_segments(messages: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """#34: cut each session where the idle gap reaches ``ttl`` (>=, key expiry semantics)."""
-    w = _by_session()
-    prev = F.lag("ts").over(w)
-    new_seg = F.when(prev.isNull() | (F.col("ts") - prev >= ttl), 1).otherwise(0)
-    return (messages.withColumn("_new", new_seg)
-            .withColumn("seg_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-            .drop("_new"))
+CHUNK_SECONDS = 86400    # time chunk for the two-level (hot-session safe) segmentation
+
+
+def _segment_frame(messages: DataFrame, ttl: int, chunk_seconds: int, limit: int | None = None) -> DataFrame:
+    """TTL segments with position, size and end of every message's segment, hot-session safe.
+
+    A two-level prefix computation instead of one window over a whole session:
+
+    1. rows are windowed per ``(session, chunk)`` (``chunk = ts // chunk_seconds``):
+       local segment index ``_k`` (idle gaps >= ttl inside the chunk) and local position;
+    2. one row per ``(session, chunk, _k)`` (a partial aggregate) and one per
+       ``(session, chunk)`` carry sizes and first/last times;
+    3. windows over those small summaries decide whether a chunk's first row opens a
+       segment (gap to the previous chunk's last row), number the segments, and carry
+       row offsets and sizes of segments that span chunks;
+    4. rows join their summary back on ``(session, chunk, _k)``.
+
+    A session with a third of all messages is spread over its chunks in steps 1 and
+    4; steps 2-3 see one row per chunk / local segment.
+    """
+    m = messages.withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
+    wl = Window.partitionBy("session_id", "_c").orderBy("ts", "msg_id")
+    prev = F.lag("ts").over(wl)
+    m = m.withColumn("_lflag", F.when(prev.isNotNull() & (F.col("ts") - prev >= ttl), 1).otherwise(0))
+    m = m.withColumn("_k", F.sum("_lflag").over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_lpos", F.row_number().over(
+        Window.partitionBy("session_id", "_c", "_k").orderBy("ts", "msg_id")))
+    local = m.groupBy("session_id", "_c", "_k").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_min"), F.max("ts").alias("_max"))
+    chunks = local.groupBy("session_id", "_c").agg(
+        F.min("_min").alias("_first"), F.max("_max").alias("_last"), F.max("_k").alias("_nflags"))
+    wc = Window.partitionBy("session_id").orderBy("_c")
+    prev_last = F.lag("_last").over(wc)
+    chunks = chunks.withColumn("_b", F.when(prev_last.isNull() | (F.col("_first") - prev_last >= ttl), 1)
+                               .otherwise(0))
+    chunks = chunks.withColumn("_before", F.coalesce(
+        F.sum(F.col("_b") + F.col("_nflags")).over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    seg = (local.join(chunks.select("session_id", "_c", "_b", "_before"), ["session_id", "_c"])
+           .withColumn("seg_no", (F.col("_before") + F.col("_b") + F.col("_k")).cast("int")))
+    ws = Window.partitionBy("session_id", "seg_no")
+    seg = (seg.withColumn("_prev_rows", F.coalesce(F.sum("_n").over(
+               ws.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+           .withColumn("seg_size", F.sum("_n").over(ws))
+           .withColumn("seg_last_ts", F.max("_max").over(ws))
+           .withColumn("_last_seg", F.max("seg_no").over(Window.partitionBy("session_id"))))
+    info = [F.col("seg_no"), F.col("_prev_rows"), F.col("seg_size"), F.col("seg_last_ts"), F.col("_last_seg")]
+    if limit is not None:
+        # archived messages of all earlier segments of the session (archive rank offset):
+        # each segment counts once (on its first chunk row), summed over lower seg_no
+        step = limit + 1 - limit // 2
+        n = F.col("seg_size")
+        archived = F.when(n <= limit, F.lit(0)).otherwise((F.floor((n - (limit + 1)) / step) + 1) * step)
+        seg = seg.withColumn("_arch", F.when(F.col("_prev_rows") == 0, archived).otherwise(0).cast("bigint"))
+        seg = seg.withColumn("_arch_before", F.coalesce(F.sum("_arch").over(
+            Window.partitionBy("session_id").orderBy("seg_no").rangeBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)))
+        info.append(F.col("_arch_before"))
+    # one row per (session, chunk) holding its local segments in _k order: the join
+    # back is keyed like the rows' own partitioning, so the rows are not shuffled again
+    per_chunk = seg.groupBy("session_id", "_c").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_k"), *info))).alias("_segs"))
+    out = m.join(per_chunk, ["session_id", "_c"])
+    out = out.withColumn("_s", F.element_at(F.col("_segs"), (F.col("_k") + 1).cast("int")))
+    cols = ["seg_no", "seg_size", "seg_last_ts", "_last_seg"] + (["_arch_before"] if limit is not None else [])
+    out = out.select("*", *[F.col(f"_s.{c}").alias(c) for c in cols],
+                     (F.col("_s._prev_rows") + F.col("_lpos")).cast("int").alias("pos"))
+    return out.drop("_c", "_k", "_lflag", "_lpos", "_segs", "_s")
+
+
+def ttl_segments(messages: DataFrame, ttl: int = TTL_SECONDS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """#34: cut each session where the idle gap reaches ``ttl`` (>=, key expiry semantics).
+
+    Adds ``seg_no`` (1-based per session); see ``_segment_frame`` for the plan.
+    """
+    return (_segment_frame(messages, ttl, chunk_seconds)
+            .drop("pos", "seg_size", "seg_last_ts", "_last_seg"))
 
 
 def message_disposition(messages: DataFrame, as_of: int, limit: int = BUFFER_LIMIT,
-                        ttl: int = TTL_SECONDS) -> DataFrame:
-    """#33: per message ``archived`` (with its eviction turn), ``in_buffer`` or ``expired``."""
+                        ttl: int = TTL_SECONDS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """#33: per message ``archived`` (with its eviction turn), ``in_buffer`` or ``expired``.
+
+    Pure arithmetic on (position, segment size) from ``_segment_frame``; also
+    ``arank`` (the message's rank in the session's archive) for archived messages.
+    """
     keep = limit // 2
     step = limit + 1 - keep
-    seg = ttl_segments(messages, ttl)
-    ws = Window.partitionBy("session_id", "seg_no")
-    wo = ws.orderBy("ts", "msg_id")
-    d = (seg.withColumn("pos", F.row_number().over(wo))
-         .withColumn("seg_size", F.count(F.lit(1)).over(ws))
-         .withColumn("seg_last_ts", F.max("ts").over(ws))
-         .withColumn("last_seg", F.max("seg_no").over(Window.partitionBy("session_id"))))
+    d = _segment_frame(messages, ttl, chunk_seconds, limit=limit)
     batch = F.floor((F.col("pos") - 1) / step) + 1
     evict_at = (limit + 1) + (batch - 1) * step
     archived = evict_at <= F.col("seg_size")
-    alive = (F.col("seg_no") == F.col("last_seg")) & (F.lit(as_of) - F.col("seg_last_ts") < ttl)
+    alive = (F.col("seg_no") == F.col("_last_seg")) & (F.lit(as_of) - F.col("seg_last_ts") < ttl)
     return (d.withColumn("eviction_turn", F.when(archived, evict_at.cast("int")))
             .withColumn("disposition", F.when(archived, F.lit("archived"))
                         .when(alive, F.lit("in_buffer")).otherwise(F.lit("expired")))
             .withColumn("is_eviction", (F.col("pos") >= limit + 1) & ((F.col("pos") - (limit + 1)) % step == 0))
-            .drop("last_seg"))
+            .withColumn("arank", F.when(archived, F.col("_arch_before") + F.col("pos")))
+            .drop("_last_seg", "_arch_before"))
 
 
 def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS) -> DataFrame:
@@ -126,13 +193,13 @@ def summary_trigger_points(disposition: DataFrame, limit: int = BUFFER_LIMIT,
 def summary_input(disposition: DataFrame, triggers: DataFrame, n: int = SUMMARY_INPUT) -> DataFrame:
     """#38: for each trigger, the last ``n`` archived messages (time order) up to it.
 
-    Archived messages get their archive rank r per session; a trigger at total c
+    Archived messages carry their archive rank r per session (``arank`` from
+    ``message_disposition``, computed from segment-level counts); a trigger at total c
     reads ranks (c - n, c].  Both sides are keyed by ``(session_id, bucket)`` with
     bucket = floor((r - 1) / n); a trigger touches at most two buckets, so the join
     is an equi-join with a fan-out of two and no hot key even for a huge session.
     """
     arch = disposition.where(F.col("disposition") == "archived")
-    arch = arch.withColumn("arank", F.row_number().over(_by_session()).cast("bigint"))
     arch = arch.withColumn("bucket", F.floor((F.col("arank") - 1) / n))
     trig = triggers.select("session_id", F.col("msg_id").alias("trigger_msg_id"), "archived_total")
     hi_b = F.floor((F.col("archived_total") - 1) / n)

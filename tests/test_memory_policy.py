@@ -44,25 +44,32 @@ def make_log(rng, sessions, ttl):
     return rows
 
 
-@pytest.mark.parametrize("limit", [50, 10, 7, 6, 5])
-def test_disposition_matches_stepwise(spark, limit):
+@pytest.mark.parametrize("limit,chunk", [(50, 86400), (10, 7), (7, 50), (6, 333), (5, 10**9)])
+def test_disposition_matches_stepwise(spark, limit, chunk):
+    """Chunk sizes from far below to far above the TTL exercise segments spanning chunks."""
     rng = random.Random(limit)
     ttl = 100
     rows = make_log(rng, 12, ttl)
     as_of = max(t for _, _, t in rows) + 50
     df = spark.createDataFrame(rows, "session_id long, msg_id long, ts long")
-    got = {r.msg_id: (r.disposition, r.eviction_turn)
-           for r in M.message_disposition(df, as_of, limit=limit, ttl=ttl).collect()}
+    res = M.message_disposition(df, as_of, limit=limit, ttl=ttl, chunk_seconds=chunk).collect()
+    got = {r.msg_id: (r.disposition, r.eviction_turn) for r in res}
+    # archive rank = order of archived messages in the session
+    for sid in {r.session_id for r in res}:
+        arch = sorted((r.ts, r.msg_id, r.arank) for r in res if r.session_id == sid and r.disposition == "archived")
+        assert [a for _, _, a in arch] == list(range(1, len(arch) + 1))
     want = {}
     for sid in sorted({s for s, _, _ in rows}):
         want.update(stepwise([r for r in rows if r[0] == sid], limit, ttl, as_of))
     assert got == want
 
 
-def test_gap_equal_to_ttl_cuts_segment(spark):
-    df = spark.createDataFrame([(1, 1, 0), (1, 2, 3600), (1, 3, 3601)], "session_id long, msg_id long, ts long")
-    segs = {r.msg_id: r.seg_no for r in M.ttl_segments(df, 3600).collect()}
-    assert segs == {1: 1, 2: 2, 3: 2}
+@pytest.mark.parametrize("chunk", [1, 3600, 86400])
+def test_gap_equal_to_ttl_cuts_segment(spark, chunk):
+    df = spark.createDataFrame([(1, 1, 0), (1, 2, 3600), (1, 3, 3601), (1, 4, 3601)],
+                               "session_id long, msg_id long, ts long")
+    segs = {r.msg_id: r.seg_no for r in M.ttl_segments(df, 3600, chunk_seconds=chunk).collect()}
+    assert segs == {1: 1, 2: 2, 3: 2, 4: 2}
 
 
 def test_last_n_and_slice(spark):
