@@ -32,6 +32,36 @@ def _by_session():
     return Window.partitionBy("session_id").orderBy("ts", "msg_id")
 
 
+def chunked_prefix(df: DataFrame, value_col: str | None = None, chunk_seconds: int = 86400) -> DataFrame:
+    """Row number, running sum of ``value_col`` and row count per session in (ts, msg_id) order.
+
+    Two levels, so no task holds a whole session: windows per ``(session, chunk)``,
+    then offsets from a window over one row per chunk, joined back on
+    ``(session, chunk)`` (the rows' own partitioning).  Adds ``_rn`` (1-based),
+    ``_n`` (session size) and, with ``value_col``, ``_run`` (running sum).
+    """
+    d = df.withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
+    wl = Window.partitionBy("session_id", "_c").orderBy("ts", "msg_id")
+    d = d.withColumn("_lrn", F.row_number().over(wl))
+    aggs = [F.count(F.lit(1)).alias("_cn")]
+    if value_col:
+        d = d.withColumn("_lsum", F.sum(value_col).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+        aggs.append(F.coalesce(F.sum(value_col), F.lit(0)).alias("_cs"))
+    per = d.groupBy("session_id", "_c").agg(*aggs)
+    wc = Window.partitionBy("session_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    per = (per.withColumn("_nb", F.coalesce(F.sum("_cn").over(wc), F.lit(0)))
+           .withColumn("_n", F.sum("_cn").over(Window.partitionBy("session_id"))))
+    keep = ["session_id", "_c", "_nb", "_n"]
+    if value_col:
+        per = per.withColumn("_sb", F.coalesce(F.sum("_cs").over(wc), F.lit(0)))
+        keep.append("_sb")
+    out = d.join(per.select(*keep), ["session_id", "_c"])
+    out = out.withColumn("_rn", F.col("_nb") + F.col("_lrn"))
+    if value_col:
+        out = out.withColumn("_run", F.col("_sb") + F.col("_lsum"))
+    return out.drop("_c", "_lrn", "_nb", "_lsum", "_sb")
+
+
 CHUNK_SECONDS = 86400    # time chunk for the two-level (hot-session safe) segmentation
 
 
@@ -151,8 +181,8 @@ def last_n_messages(messages: DataFrame, n: int = SHORT_MEMORY) -> DataFrame:
     ``n`` rows inside every map task before the shuffle.
     """
     if n <= 0:
-        w = _by_session()
-        return messages.withColumn("position", F.row_number().over(w))
+        return (chunked_prefix(messages).withColumn("position", F.col("_rn").cast("int"))
+                .drop("_rn", "_n"))
     wd = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
     kept = messages.withColumn("_rn", F.row_number().over(wd)).where(F.col("_rn") <= n)
     # position counted from the oldest kept message: size of the kept set minus rank + 1
@@ -163,9 +193,7 @@ def last_n_messages(messages: DataFrame, n: int = SHORT_MEMORY) -> DataFrame:
 
 def message_slice(messages: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
     """#14: inclusive 0-based range per session; negative bounds count from the end, clipped."""
-    w = _by_session()
-    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    d = messages.withColumn("idx", (F.row_number().over(w) - 1).cast("int")).withColumn("_n", n)
+    d = chunked_prefix(messages).withColumn("idx", (F.col("_rn") - 1).cast("int")).drop("_rn")
     s = F.lit(start) if start >= 0 else F.col("_n") + start
     e = F.lit(end) if end >= 0 else F.col("_n") + end
     s = F.greatest(s, F.lit(0))
@@ -262,9 +290,9 @@ def active_sessions(messages: DataFrame, as_of: int, ttl: int = TTL_SECONDS) ->
 
 
 def token_counter(updates: DataFrame) -> DataFrame:
-    """#29: running total of signed increments per session, in (ts, id) order."""
-    w = _by_session().rowsBetween(Window.unboundedPreceding, 0)
-    return updates.withColumn("running_total", F.sum("increment").over(w).cast("bigint"))
+    """#29: running total of signed increments per session, in (ts, id) order (two-level prefix sum)."""
+    return (chunked_prefix(updates, "increment").withColumn("running_total", F.col("_run").cast("bigint"))
+            .drop("_rn", "_n", "_run"))
 
 
 # Context fields of a session context record.
