@@ -202,9 +202,19 @@ def message_slice(messages: DataFrame, start: int = 0, end: int = -1) -> DataFra
 
 
 def retention_keep_last_n(archived: DataFrame, keep: int = RETENTION_KEEP) -> DataFrame:
-    """#35: mark archived messages beyond the newest ``keep`` per session for deletion."""
-    wd = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
-    return archived.withColumn("keep", F.row_number().over(wd) <= keep)
+    """#35: mark archived messages beyond the newest ``keep`` per session for deletion.
+
+    With the archive rank ``arank`` (from ``message_disposition``) a message is kept
+    iff ``arank > total - keep``; the per-session total is a partial aggregate joined
+    back on ``session_id`` (one row per session on that side, so AQE can split a hot
+    session's rows).  Without ``arank`` it falls back to a descending ``row_number``.
+    """
+    if "arank" not in archived.columns:
+        wd = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
+        return archived.withColumn("keep", F.row_number().over(wd) <= keep)
+    totals = archived.groupBy("session_id").agg(F.max("arank").alias("_total"))
+    return (archived.join(totals, "session_id")
+            .withColumn("keep", F.col("arank") > F.col("_total") - keep).drop("_total"))
 
 
 def summary_trigger_points(disposition: DataFrame, limit: int = BUFFER_LIMIT,
@@ -274,17 +284,19 @@ def transcript_text(messages: DataFrame, n: int = SUMMARY_INPUT, numbered: bool
                     F.size("_lines").alias("n_messages"))
 
 
-def active_sessions(messages: DataFrame, as_of: int, ttl: int = TTL_SECONDS) -> DataFrame:
+def active_sessions(messages: DataFrame, as_of: int, ttl: int = TTL_SECONDS,
+                    chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """#40: sessions whose buffer key is alive at ``as_of``: remaining TTL and size of the live segment.
 
-    Windows and the final aggregate all key on ``session_id``, so the plan has one
-    Exchange.
+    Every row carries its segment's size and end and the session's last segment
+    number (from the two-level segmentation), so this is a filter and a per-session
+    aggregate - no window over a whole session.
     """
-    seg = ttl_segments(messages, ttl)
-    seg = seg.withColumn("_last_seg", F.max("seg_no").over(Window.partitionBy("session_id")))
-    cnt = (seg.where(F.col("seg_no") == F.col("_last_seg"))
-           .groupBy("session_id").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("message_count")))
-    return (cnt.withColumn("remaining_ttl", F.col("last_ts") + ttl - F.lit(as_of))
+    seg = _segment_frame(messages, ttl, chunk_seconds)
+    last = (seg.where(F.col("seg_no") == F.col("_last_seg"))
+            .groupBy("session_id").agg(F.max("seg_last_ts").alias("last_ts"),
+                                       F.max("seg_size").alias("message_count")))
+    return (last.withColumn("remaining_ttl", F.col("last_ts") + ttl - F.lit(as_of))
             .where(F.col("remaining_ttl") > 0)
             .select("session_id", "remaining_ttl", "message_count"))
 
