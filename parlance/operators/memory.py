@@ -162,16 +162,38 @@ def message_disposition(messages: DataFrame, as_of: int, limit: int = BUFFER_LIM
             .drop("_last_seg", "_arch_before"))
 
 
-def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS) -> DataFrame:
+def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
+                         chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """#36: for every message, the up-to-``n`` messages ending at it inside its TTL segment.
 
-    A bounded row frame: each output row holds at most ``n`` entries, however long
-    the session is.
+    Hot-session safe: rows are framed per ``(session, day-chunk)``.  Each chunk gets a
+    halo - the last ``n - 1`` messages before it - built from per-chunk tails
+    (WindowGroupLimit) with a bounded window over one row per chunk.  A row's frame is
+    halo + its chunk's rows up to it, cut to the last ``n`` and to its own segment.
+    Every array holds at most ``n`` (halo: ``(n - 1)^2`` while built) entries.
     """
-    w = (Window.partitionBy("session_id", "seg_no").orderBy("ts", "msg_id").rowsBetween(-(n - 1), 0))
-    seg = ttl_segments(messages, ttl)
-    return seg.withColumn("short_memory", F.collect_list(
-        F.struct("ts", "msg_id", "role", "content", "tokens")).over(w))
+    item = ["ts", "msg_id", "role", "content", "tokens"]
+    seg = ttl_segments(messages, ttl, chunk_seconds).withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
+    entry = F.struct(*[F.col(c) for c in item], F.col("seg_no"))
+    if n > 1:
+        wt = Window.partitionBy("session_id", "_c").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
+        tails = (seg.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= n - 1)
+                 .groupBy("session_id", "_c").agg(F.array_sort(F.collect_list(entry)).alias("_tail")))
+        wc = Window.partitionBy("session_id").orderBy("_c").rowsBetween(-(n - 1), -1)
+        before = F.flatten(F.collect_list("_tail").over(wc))
+        halo = (tails.withColumn("_b", before)
+                .select("session_id", "_c", F.slice("_b", F.greatest(F.size("_b") - (n - 1) + 1, F.lit(1)), n - 1)
+                        .alias("_halo")))
+        seg = seg.join(halo, ["session_id", "_c"])
+    else:
+        seg = seg.withColumn("_halo", F.filter(F.array(entry), lambda e: F.lit(False)))  # typed empty
+    wl = Window.partitionBy("session_id", "_c").orderBy("ts", "msg_id").rowsBetween(-(n - 1), 0)
+    seg = seg.withColumn("_own", F.collect_list(entry).over(wl))
+    frame = F.concat("_halo", "_own")
+    frame = F.slice(frame, F.greatest(F.size(frame) - n + 1, F.lit(1)), n)
+    same = F.filter(frame, lambda e: e["seg_no"] == F.col("seg_no"))
+    return (seg.withColumn("short_memory", F.transform(same, lambda e: F.struct(*[e[c].alias(c) for c in item])))
+            .drop("_c", "_halo", "_own"))
 
 
 def last_n_messages(messages: DataFrame, n: int = SHORT_MEMORY) -> DataFrame:

@@ -224,8 +224,9 @@ def turn_results_frame(spark, d):
     from parlance.plans.memory_queries import LONG_TTL
 
     final = _final(spark, d)
-    mem = M.rolling_short_memory(B.messages_long(spark, d), ttl=LONG_TTL).select(
-        F.col("msg_id").alias("event_id"), F.size("short_memory").alias("short_memory_size"))
+    # size of the rolling short memory = min(position in the TTL segment, 20)
+    mem = M._segment_frame(B.messages_long(spark, d), LONG_TTL, M.CHUNK_SECONDS).select(
+        F.col("msg_id").alias("event_id"), F.least(F.col("pos"), F.lit(M.SHORT_MEMORY)).alias("short_memory_size"))
     j = final.join(mem, "event_id")
     trace = F.array_compact(F.array(*[
         F.lit(t) if cond is None

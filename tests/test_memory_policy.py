@@ -105,3 +105,29 @@ def test_rolling_memory_bounded(spark):
     r = M.rolling_short_memory(df, n=20, ttl=10**6).orderBy("msg_id").collect()
     assert [len(x.short_memory) for x in r][:3] == [1, 2, 3] and max(len(x.short_memory) for x in r) == 20
     assert [m.msg_id for m in r[-1].short_memory] == list(range(40, 60))
+
+
+@pytest.mark.parametrize("chunk", [3, 25, 10**9])
+def test_rolling_memory_across_chunks_matches_model(spark, chunk):
+    rng = random.Random(chunk)
+    ttl = 40
+    rows, mid = [], 0
+    for sid in range(5):
+        ts = 0
+        for _ in range(rng.randint(0, 90)):
+            ts += rng.choice([1, 2, 5, 39, 40, 41, 100])
+            rows.append((sid, mid, ts, "user", f"m{mid}", 1))
+            mid += 1
+    df = spark.createDataFrame(rows, "session_id long, msg_id long, ts long, role string, content string, tokens long")
+    got = {r.msg_id: [m.msg_id for m in r.short_memory]
+           for r in M.rolling_short_memory(df, n=20, ttl=ttl, chunk_seconds=chunk).collect()}
+    want = {}
+    for sid in range(5):
+        seg, last = [], None
+        for s_, m, t, *_ in [r for r in rows if r[0] == sid]:
+            if last is not None and t - last >= ttl:
+                seg = []
+            seg.append(m)
+            want[m] = seg[-20:]
+            last = t
+    assert got == want
