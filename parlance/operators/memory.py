@@ -162,9 +162,9 @@ def message_disposition(messages: DataFrame, as_of: int, limit: int = BUFFER_LIM
             .drop("_last_seg", "_arch_before"))
 
 
-def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
-                         chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """#36: for every message, the up-to-``n`` messages ending at it inside its TTL segment.
+def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
+                  chunk_seconds: int = CHUNK_SECONDS, out_col: str = "short_memory") -> DataFrame:
+    """For every message, ``item_cols`` of the up-to-``n`` messages ending at it inside its TTL segment.
 
     Hot-session safe: rows are framed per ``(session, day-chunk)``.  Each chunk gets a
     halo - the last ``n - 1`` messages before it - built from per-chunk tails
@@ -172,9 +172,10 @@ def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int =
     halo + its chunk's rows up to it, cut to the last ``n`` and to its own segment.
     Every array holds at most ``n`` (halo: ``(n - 1)^2`` while built) entries.
     """
-    item = ["ts", "msg_id", "role", "content", "tokens"]
+    item = list(item_cols)
     seg = ttl_segments(messages, ttl, chunk_seconds).withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
-    entry = F.struct(*[F.col(c) for c in item], F.col("seg_no"))
+    entry = F.struct(F.col("ts").alias("_ts"), F.col("msg_id").alias("_id"), *[F.col(c) for c in item],
+                     F.col("seg_no").alias("_seg"))
     if n > 1:
         wt = Window.partitionBy("session_id", "_c").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
         tails = (seg.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= n - 1)
@@ -191,11 +192,17 @@ def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int =
     seg = seg.withColumn("_own", F.collect_list(entry).over(wl))
     frame = F.concat("_halo", "_own")
     frame = F.slice(frame, F.greatest(F.size(frame) - n + 1, F.lit(1)), n)
-    same = F.filter(frame, lambda e: e["seg_no"] == F.col("seg_no"))
-    return (seg.withColumn("short_memory", F.transform(same, lambda e: F.struct(*[e[c].alias(c) for c in item])))
+    same = F.filter(frame, lambda e: e["_seg"] == F.col("seg_no"))
+    return (seg.withColumn(out_col, F.transform(same, lambda e: F.struct(*[e[c].alias(c) for c in item])))
             .drop("_c", "_halo", "_own"))
 
 
+def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
+                         chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """#36: for every message, the up-to-``n`` messages ending at it inside its TTL segment."""
+    return rolling_frame(messages, ["ts", "msg_id", "role", "content", "tokens"], n, ttl, chunk_seconds)
+
+
 def last_n_messages(messages: DataFrame, n: int = SHORT_MEMORY) -> DataFrame:
     """#13: newest ``n`` per session, numbered oldest first; ``n <= 0`` keeps everything.
 

@@ -119,18 +119,23 @@ def emotion_policy_scores(turns: DataFrame, text_col: str = "text") -> DataFrame
                         .otherwise("low"))
 
 
-def requirement_terms(messages: DataFrame, history: int = 20) -> DataFrame:
+def requirement_terms(messages: DataFrame, history: int = 20, ttl: int | None = None) -> DataFrame:
     """#60b: explicit terms (latest message), implicit terms (history-only hits + implied), service type.
 
-    History is the previous ``history - 1`` messages of the session - a bounded row
-    frame, so a long session never gathers more than that per row.
+    History is the previous ``history - 1`` messages of the short memory (the same
+    hot-session-safe bounded frame as #36), so a long session never gathers more
+    than that per row.
     """
+    from parlance.operators.memory import TTL_SECONDS, rolling_frame
+
     vocab = F.array(*[F.lit(t) for t in REQUIREMENT_TERMS])
     toks = tokens(F.col("content"))
     d = messages.withColumn("_toks", toks)
     d = d.withColumn("_hit", F.array_distinct(F.filter("_toks", lambda t: F.array_contains(vocab, t))))
-    w = Window.partitionBy("session_id").orderBy("ts", "msg_id").rowsBetween(-(history - 1), -1)
-    d = d.withColumn("_hist", F.array_distinct(F.flatten(F.collect_list("_hit").over(w))))
+    d = rolling_frame(d, ["_hit"], history, ttl or TTL_SECONDS, out_col="_frame")
+    prev = F.slice("_frame", 1, F.greatest(F.size("_frame") - 1, F.lit(0)))
+    d = d.withColumn("_hist", F.array_distinct(F.flatten(F.transform(prev, lambda e: e["_hit"])))).drop(
+        "_frame", "seg_no")
     explicit = F.array_sort(F.col("_hit"))
     from_hist = F.array_except(F.col("_hist"), F.col("_hit"))
     seen = F.array_union(F.col("_hit"), F.col("_hist"))
