@@ -159,7 +159,8 @@ def message_disposition(messages: DataFrame, as_of: int, limit: int = BUFFER_LIM
                         .when(alive, F.lit("in_buffer")).otherwise(F.lit("expired")))
             .withColumn("is_eviction", (F.col("pos") >= limit + 1) & ((F.col("pos") - (limit + 1)) % step == 0))
             .withColumn("arank", F.when(archived, F.col("_arch_before") + F.col("pos")))
-            .drop("_last_seg", "_arch_before"))
+            .withColumnRenamed("_arch_before", "archived_before")
+            .drop("_last_seg"))
 
 
 def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
@@ -248,11 +249,17 @@ def retention_keep_last_n(archived: DataFrame, keep: int = RETENTION_KEEP) -> Da
 
 def summary_trigger_points(disposition: DataFrame, limit: int = BUFFER_LIMIT,
                            every: int = SUMMARY_EVERY) -> DataFrame:
-    """#37: evictions at which the session's cumulative archived count crosses a multiple of ``every``."""
+    """#37: evictions at which the session's cumulative archived count crosses a multiple of ``every``.
+
+    The b-th eviction of a segment (at position M + 1 + (b - 1) S) brings the
+    session's archive to ``archived_before + b * S``: arithmetic per eviction row,
+    no window over the session.
+    """
     step = limit + 1 - limit // 2
-    ev = disposition.where(F.col("is_eviction")).select("session_id", "msg_id", "ts")
-    w = _by_session().rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("archived_total", (F.count(F.lit(1)).over(w) * step).cast("bigint"))
+    ev = disposition.where(F.col("is_eviction"))
+    b = F.floor((F.col("pos") - (limit + 1)) / step) + 1
+    ev = ev.select("session_id", "msg_id", "ts",
+                   (F.col("archived_before") + b * step).cast("bigint").alias("archived_total"))
     crossed = F.floor(F.col("archived_total") / every) > F.floor((F.col("archived_total") - step) / every)
     return ev.where(crossed)
 
