@@ -106,3 +106,40 @@ def apply_defaults(spark, d):
 
 # keep the uuid import used (ids are generated in mutation plans)
 _ = uuid5_dns
+
+
+# ------------------------------------------------------------------ #1 load tables
+def _load_tables_sql():
+    from parlance.sources.tables import DRIVER_SCHEMAS, DRIVER_TABLES
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n_rows, {len(DRIVER_SCHEMAS[t].fields)} AS n_columns FROM {t}"
+        for t in DRIVER_TABLES)
+
+
+@register("load_tables", _load_tables_sql())
+def load_tables(spark, d):
+    """#1: every driver table read with its declared schema: rows and declared columns per table."""
+    from parlance.sources.tables import load_tables as _load
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows",
+                                                              F.lit(len(df.columns)).alias("n_columns"))
+             for name, df in _load(spark, d).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("contract_violations_analyses", B.with_ctes("analyses") + """
+SELECT event_id, rule FROM (
+  SELECT event_id, unnest(list_filter([
+    CASE WHEN frustration < 0 OR frustration > 1 THEN 'frustration: 0..1' END,
+    CASE WHEN anger < 0 OR anger > 1 THEN 'anger: 0..1' END,
+    CASE WHEN neutral < 0 OR neutral > 1 THEN 'neutral: 0..1' END,
+    CASE WHEN risk_level IS NOT NULL AND risk_level NOT IN ('low', 'medium', 'high') THEN 'risk_level: domain' END,
+    CASE WHEN intent_code IS NULL THEN 'intent_code: not null' END], lambda x: x IS NOT NULL)) AS rule
+  FROM analyses)""")
+def contract_violations_analyses(spark, d):
+    a = B.analyses(spark, d)
+    rules = [K.between("frustration", 0, 1), K.between("anger", 0, 1), K.between("neutral", 0, 1),
+             K.in_domain("risk_level", ["low", "medium", "high"]), K.not_null("intent_code")]
+    return K.contract_violations(a, ["event_id"], rules)
