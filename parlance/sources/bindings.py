@@ -76,8 +76,8 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
     return analyses_from(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
 
 
-def analyses_from(ev: DataFrame) -> DataFrame:
-    """The analyses binding over any events frame (batch or stream)."""
+def analyses_from(ev: DataFrame, keep=()) -> DataFrame:
+    """The analyses binding over any events frame (batch or stream); ``keep`` columns pass through."""
     k = F.get_json_object("props", "$.k").cast("int")
     v, t = F.col("value"), F.col("event_type")
     emo = {
@@ -87,7 +87,7 @@ def analyses_from(ev: DataFrame) -> DataFrame:
         "joy": F.when(t == "purchase", F.least(F.lit(1.0), v / 100)).otherwise(F.lit(0.0)),
         "fear": F.when(t == "signup", F.least(F.lit(1.0), k / 150)).otherwise(F.lit(0.0)),
     }
-    base = ev.select("event_id", F.col("user_id").alias("session_id"), epoch_seconds(F.col("ts")).alias("ts"),
+    base = ev.select("event_id", *keep, F.col("user_id").alias("session_id"), epoch_seconds(F.col("ts")).alias("ts"),
                      t.alias("event_type"), *[c.cast("double").alias(n) for n, c in emo.items()],
                      (k % 17 == 0).alias("legal"), (k % 19 == 0).alias("medical"),
                      (k % 23 == 0).alias("financial_risk"), ((t == "error") & (k % 5 == 0)).alias("high_technical"),
