@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions.ids import uuid5_dns
 from parlance.operators import contracts as K
 from parlance.plans.registry import register
 from parlance.sources import bindings as B
@@ -104,9 +103,6 @@ def apply_defaults(spark, d):
     return K.apply_defaults(raw, {"status": "active"})
 
 
-# keep the uuid import used (ids are generated in mutation plans)
-_ = uuid5_dns
-
 
 # ------------------------------------------------------------------ #1 load tables
 def _load_tables_sql():

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.ids import uuid5_dns
-from parlance.operators import memory as M
 from parlance.operators import mutations as X
 from parlance.operators import parsing as PZ
 from parlance.plans import memory_queries as MQ
@@ -310,5 +309,3 @@ SELECT vec_id AS id FROM embeddings WHERE NOT coalesce(CAST(label AS VARCHAR) =
 def vector_delete_by_shop(spark, d):
     return X.vector_delete(B.vectors(spark, d), shop_id="5").select("id")
 
-
-_ = M

@@ -1,7 +1,5 @@
 """Combo matching against a brute-force Python model on a hand-written fixture."""
 
-from pyspark.sql import functions as F
-
 from parlance.operators import catalog as C
 
 
@@ -74,4 +72,3 @@ def test_selected_lookup_first_position(spark):
                                                                       "selected_combo string")
     got = {r.q_id: (r.sel_position, r.sel_price) for r in C.selected_combo_lookup(sel, cands).collect()}
     assert got == {"q1": (1, 1.0), "q2": (None, None)}
-    _ = F

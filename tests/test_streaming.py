@@ -1,6 +1,5 @@
 """Stream = batch: the session buffer over several micro-batches equals the closed form."""
 
-import os
 import tempfile
 import time
 
@@ -43,4 +42,3 @@ def test_stream_buffer_equals_batch_over_micro_batches(spark):
     trig = M.summary_trigger_points(batch, limit=limit).select("msg_id").collect()
     s_trig = {r.msg_id for r in out.where("disposition = 'summary_trigger'").collect()}
     assert s_trig == {r.msg_id for r in trig}
-    _ = (F, os)
