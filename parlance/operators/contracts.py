@@ -52,7 +52,7 @@ def unique_violations(df: DataFrame, key_cols, skip_nulls: bool = True) -> DataF
 def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, fk_name: str) -> DataFrame:
     """#4: child rows whose non-null reference has no parent row."""
     c = child.where(F.col(child_key).isNotNull())
-    p = parent.select(F.col(parent_key).alias("_pk")).distinct()
+    p = parent.select(F.col(parent_key).alias("_pk"))  # an anti join needs no distinct build side
     return (c.join(p, c[child_key] == p["_pk"], "left_anti")
             .select(F.lit(fk_name).alias("fk"), F.col(child_key).cast("string").alias("child_key")))
 

@@ -92,7 +92,7 @@ def cascade_delete(shops: DataFrame, products: DataFrame, customers: DataFrame,
     Sessions whose current stage was deleted keep their row with the stage set to
     null.  Every step is a semi or anti join on a key; nothing is collected.
     """
-    ds = doomed_shops.select(F.col("id").alias("shop_id")).distinct()
+    ds = doomed_shops.select(F.col("id").alias("shop_id"))   # semi/anti joins need no distinct
     keep_products = products.join(ds, "shop_id", "left_anti")
     gone_products = products.join(ds, "shop_id", "left_semi").select(F.col("id").alias("product_id"))
     keep_docs = documents.join(gone_products, "product_id", "left_anti")
@@ -100,7 +100,7 @@ def cascade_delete(shops: DataFrame, products: DataFrame, customers: DataFrame,
     keep_stages = stages.join(ds, "shop_id", "left_anti")
     gone_stage_ids = stages.join(ds, "shop_id", "left_semi").select(F.col("stage_id").alias("current_stage_id"),
                                                                    F.lit(True).alias("_gone"))
-    dss = doomed_sessions.select(F.col("id")).distinct()
+    dss = doomed_sessions.select(F.col("id"))
     keep_sessions = (sessions.join(dss, "id", "left_anti")
                      .join(gone_stage_ids, "current_stage_id", "left")
                      .withColumn("current_stage_id", F.when(F.col("_gone"), F.lit(None))

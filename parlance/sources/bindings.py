@@ -181,12 +181,6 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "embeddings", "vec_id", "embedding", "label").where(F.col("vec_id") < 5)
-    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"),
-                    F.col("label").cast("string").alias("shop_id"))
-
-
 # ================================================================ SQL CTEs
 SQL: dict[str, str] = {
     "messages_short": """messages_short AS (
@@ -248,9 +242,6 @@ SQL: dict[str, str] = {
   SELECT vec_id AS id, embedding AS dense_vector, CAST(label AS VARCHAR) AS shop_id,
          CAST(vec_id AS VARCHAR) AS doc_id, CAST(vec_id % 50 AS VARCHAR) AS product_id
   FROM embeddings)""",
-    "vector_queries": """vector_queries AS (
-  SELECT vec_id AS query_id, embedding AS query_vector, CAST(label AS VARCHAR) AS shop_id
-  FROM embeddings WHERE vec_id < 5)""",
 }
 
 # CTEs that need another CTE first.
