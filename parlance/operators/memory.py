@@ -170,16 +170,18 @@ def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: in
     Hot-session safe: rows are framed per ``(session, day-chunk)``.  Each chunk gets a
     halo - the last ``n - 1`` messages before it - built from per-chunk tails
     (WindowGroupLimit) with a bounded window over one row per chunk.  A row's frame is
-    halo + its chunk's rows up to it, cut to the last ``n`` and to its own segment.
-    Every array holds at most ``n`` (halo: ``(n - 1)^2`` while built) entries.
+    halo + its chunk's rows up to it, cut to the last ``n``, then to its own segment:
+    the suffix after the frame's last idle gap >= ``ttl`` (so the halo needs no
+    segmentation).  Every array holds at most ``n`` (halo: ``(n - 1)^2`` while built)
+    entries.  Output rows also carry ``seg_no``.
     """
     item = list(item_cols)
+    entry = F.struct(F.col("ts").alias("_ts"), F.col("msg_id").alias("_id"), *[F.col(c) for c in item])
     seg = ttl_segments(messages, ttl, chunk_seconds).withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
-    entry = F.struct(F.col("ts").alias("_ts"), F.col("msg_id").alias("_id"), *[F.col(c) for c in item],
-                     F.col("seg_no").alias("_seg"))
     if n > 1:
+        raw = messages.withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
         wt = Window.partitionBy("session_id", "_c").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
-        tails = (seg.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= n - 1)
+        tails = (raw.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= n - 1)
                  .groupBy("session_id", "_c").agg(F.array_sort(F.collect_list(entry)).alias("_tail")))
         wc = Window.partitionBy("session_id").orderBy("_c").rowsBetween(-(n - 1), -1)
         before = F.flatten(F.collect_list("_tail").over(wc))
@@ -192,10 +194,15 @@ def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: in
     wl = Window.partitionBy("session_id", "_c").orderBy("ts", "msg_id").rowsBetween(-(n - 1), 0)
     seg = seg.withColumn("_own", F.collect_list(entry).over(wl))
     frame = F.concat("_halo", "_own")
-    frame = F.slice(frame, F.greatest(F.size(frame) - n + 1, F.lit(1)), n)
-    same = F.filter(frame, lambda e: e["_seg"] == F.col("seg_no"))
+    seg = seg.withColumn("_f", F.slice(frame, F.greatest(F.size(frame) - n + 1, F.lit(1)), n))
+    # gaps[i] = (ts[i+1] - ts[i] >= ttl); the segment starts after the last such gap
+    ts = F.transform("_f", lambda e: e["_ts"])
+    gaps = F.zip_with(F.slice(ts, 2, n), F.slice(ts, 1, n - 1), lambda a, b: (a - b) >= ttl)
+    from_end = F.array_position(F.reverse(gaps), True)
+    start = F.when(from_end == 0, F.lit(1)).otherwise(F.size(gaps) - from_end + 2)
+    same = F.slice("_f", start.cast("int"), n)
     return (seg.withColumn(out_col, F.transform(same, lambda e: F.struct(*[e[c].alias(c) for c in item])))
-            .drop("_c", "_halo", "_own"))
+            .drop("_c", "_halo", "_own", "_f"))
 
 
 def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
