@@ -1,10 +1,11 @@
 """Sequence packing as a cutting-stock problem solved by column generation.
 
 1. Every document becomes its token ids and an end id, cut into pieces of ``limit`` ids
-   and one shorter rest.  The cuts depend on the document alone, so ids are made and
-   digested in one pass and never shuffled.
-2. The lengths of the rests form a histogram of at most ``len(grid(limit))`` types (the
-   rests of a type count with its largest length).
+   and a rest.  The rest is cut once more, at the last multiple of ``UNIT``, so that the
+   stock holds both unit multiples and short tails and nearly every sequence can be
+   filled whatever the documents' lengths are.  The cuts depend on the document alone:
+   ids are made and digested in one pass and never shuffled.
+2. The lengths of the pieces form a histogram of at most ``len(grid(limit))`` types.
 3. On the driver, over that bounded histogram only: the linear program "fewest sequences
    that hold all counts" is solved by column generation.  A knapsack dynamic program over
    the duals prices new patterns.  Multiplicities are rounded down, and what remains (a
@@ -31,6 +32,8 @@ from parlance.llm.words import word_ids
 
 LIMIT = 2048
 END_ID = 1
+#: Grain of the second cut.
+UNIT = 128
 #: Pieces that share one bucket of the two-level rank, on average, and buckets at least.
 BUCKET_ROWS, BUCKETS = 20_000, 64
 #: Pivots at most; every basis on the way is a valid packing.
@@ -40,13 +43,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def grid(limit: int = LIMIT) -> np.ndarray:
-    """Length types: exact up to 128, then steps of 1/64 of the next power of two."""
-    sizes, step, top = list(range(1, min(128, limit) + 1)), 2, 256
-    while sizes[-1] < limit:
-        while sizes[-1] < min(top, limit):
-            sizes.append(min(sizes[-1] + step, limit))
-        step, top = step * 2, top * 2
-    return np.array(sizes)
+    """The lengths that pieces have: below ``UNIT`` any, from there multiples (and ``limit``)."""
+    return np.array([*range(1, min(UNIT, limit)), *range(UNIT, limit, UNIT), limit])
+
+
+def cuts(total: int, limit: int = LIMIT) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document of ``total`` ids."""
+    out = [(at, limit) for at in range(0, total - limit + 1, limit)]
+    at = len(out) * limit
+    whole = (total - at) // UNIT * UNIT
+    return out + [(s, n) for s, n in ((at, whole), (at + whole, total - at - whole)) if n]
 
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID,
@@ -62,9 +68,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID,
             for doc, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts)):
                 ids += end
                 total = len(ids) // 4
-                for at in range(0, total, limit):
-                    own = ids[4 * at:4 * (at + limit)]
-                    rows.append((doc, at, len(own) // 4, zlib.crc32(own), total))
+                rows += [(doc, at, n, zlib.crc32(ids[4 * at:4 * (at + n)]), total) for at, n in cuts(total, limit)]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -78,13 +82,13 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID,
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Best value and last item for every capacity (unbounded knapsack)."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(sizes, c, side="right")
-        if n:
-            gain = best[c - sizes[:n]] + values[:n]
-            i = int(gain.argmax())
-            if gain[i] > 0:
-                best[c], last[c] = gain[i], i
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
+    for c in range(fit.index(1) if 1 in fit else int(sizes[0]), capacity + 1):
+        n = fit[c]
+        gain = best[c - sizes[:n]] + values[:n]
+        i = gain.argmax()
+        if gain[i] > 0:
+            best[c], last[c] = gain[i], i
     return best, last
 
 
@@ -99,14 +103,14 @@ def _pattern(sizes: np.ndarray, last: np.ndarray, first: int, capacity: int) ->
 
 def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int,
                       gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and their multiplicities in the linear program, within ``gap``
-    of the bound that the priced duals give."""
+    """Patterns (columns) and their multiplicities in the linear program.  Ends within
+    ``gap`` of the bound that the priced duals give, or of the ids' own volume."""
     m = len(sizes)
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / columns.diagonal())
     x = inverse @ counts
-    pivots = 0
-    while pivots < PIVOTS:
+    pivots, volume = 0, float(sizes @ counts) / capacity
+    while pivots < PIVOTS and x.sum() > (1 + gap) * volume:
         duals = inverse.sum(axis=0)
         best, last = knapsack(sizes, duals, capacity)
         value = duals + best[capacity - sizes]
@@ -114,7 +118,7 @@ def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int,
         if value[order[0]] <= 1 + gap:
             break
         moved = False
-        for first in order[:32]:
+        for first in order[:16]:
             if value[first] <= 1 + gap:
                 break
             a = _pattern(sizes, last, first, capacity)
@@ -177,15 +181,9 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int
 def assign(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``sequence_id`` and ``offset`` for a stored table of pieces."""
     sizes = grid(limit)
-    # position of a length in the grid, as arithmetic
-    typed = F.col("length") - 1
-    base, top, step = min(128, limit), 256, 2
-    while base < limit:
-        offset = int(np.searchsorted(sizes, base, side="right"))
-        typed = F.when(F.col("length") > base,
-                       offset + F.floor((F.col("length") - base - 1) / step)).otherwise(typed)
-        base, top, step = top, top * 2, step * 2
-    typed = cut.withColumn("type", typed.cast("int"))
+    number = (F.when(F.col("length") == limit, len(sizes) - 1).when(F.col("length") < UNIT, F.col("length") - 1)
+              .otherwise(UNIT - 2 + F.floor(F.col("length") / UNIT)))
+    typed = cut.withColumn("type", number.cast("int"))
     found = {r["type"]: r["n"] for r in typed.groupBy("type").agg(F.count("*").alias("n")).collect()}
     counts = np.array([found.get(i, 0) for i in range(len(sizes))])
     total = int(counts.sum())
