@@ -42,11 +42,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a scratch folder is created;
-    on a cluster the setting must point at shared storage and is used as is.
+    Only when a local session names none (tests) a scratch folder is created; on a
+    cluster the setting must point at shared storage, and its absence is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         current = tempfile.mkdtemp(prefix="parlance-ckpt-", dir=os.environ.get("PARLANCE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
