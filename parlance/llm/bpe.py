@@ -14,9 +14,9 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
-from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -29,9 +29,12 @@ from parlance.llm.common import slices
 NONE = np.int32(2**31 - 1)
 #: Widths of the padded matrices; longer pieces are merged one by one.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
-#: Cells of one matrix, and entries of one worker's piece cache (about 0.3 KB each).
+#: Cells of one matrix, and entries of one worker's piece cache (about 0.2 KB each).
 CELLS = 1 << 20
-CACHE = 200_000
+CACHE = 400_000
+
+#: Documents encoded together.
+ROWS = 1024
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Two white-space characters in a row, by the widest definition (a superset of the pattern's).
@@ -91,40 +94,34 @@ class PairTable:
         return out
 
 
-def merge_matrix(ids: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
-    """Merge every row of a matrix padded with -1; returns the ids of each row."""
-    n, out = len(ids), [None] * len(ids)
-    rows = np.arange(n)
+def merge_matrix(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """Merge every row of a matrix padded with -1; the result is padded with -1 too."""
+    out = np.full(ids.shape, -1, np.int32)
+    rows = np.arange(len(ids))
     ranks = pairs.ranks(ids[:, :-1], ids[:, 1:])
-    while len(rows):
+    while True:
+        at, width = np.arange(len(rows)), ids.shape[1]
         pos = ranks.argmin(axis=1)
-        at = np.arange(len(rows))
         best = ranks[at, pos]
         done = best == NONE
         if done.any():
-            for i in np.flatnonzero(done):
-                row = ids[i]
-                out[rows[i]] = row[row >= 0]
+            out[rows[done], :width] = ids[done]
             go = ~done
             rows, ids, ranks, pos, best = rows[go], ids[go], ranks[go], pos[go], best[go]
             at = np.arange(len(rows))
-            if not len(rows):
-                break
+        if not len(rows):
+            return out
         ids[at, pos] = best
-        width = ids.shape[1]
         if width == 2:
-            for i, row in enumerate(ids[:, :1]):
-                out[rows[i]] = row.copy()
-            break
+            out[rows, 0] = ids[:, 0]
+            return out
         # compaction: the column after the merged pair closes up
         cols = np.arange(width - 1)
         ids = np.take_along_axis(ids, cols + (cols > pos[:, None]), axis=1)
         ranks = np.take_along_axis(ranks, cols[:-1] + (cols[:-1] > pos[:, None]), axis=1)
-        inner = width - 2
         for beside in (pos - 1, pos):
-            ok = np.flatnonzero((beside >= 0) & (beside < inner))
+            ok = np.flatnonzero((beside >= 0) & (beside < width - 2))
             ranks[ok, beside[ok]] = pairs.ranks(ids[ok, beside[ok]], ids[ok, beside[ok] + 1])
-    return out
 
 
 def merge_long(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
@@ -168,74 +165,77 @@ class Encoder:
 
         with open(path, "rb") as f:
             vocab = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.vocab = vocab
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, rank in vocab.items():
             self.bytes_of[rank] = token
+        self.decimal = list(map(str, range(len(self.bytes_of))))
+        self.whole = {token: rank.to_bytes(4, "little") for token, rank in vocab.items()}
         self.byte_id = np.array([vocab[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(vocab)
         self.split = regex.compile(pattern)
         self.seen: tuple[dict, dict] = ({}, {})
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece of the split pattern."""
-        out: list = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece of the split pattern, as little-endian 32-bit numbers."""
+        out: list = [self.whole.get(p) for p in pieces]
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            whole = self.vocab.get(piece)
-            if whole is not None:
-                out[i] = np.array([whole], np.int32)
-            elif len(piece) > WIDTHS[-1]:
-                out[i] = merge_long(self.byte_id[np.frombuffer(piece, np.uint8)], self.pairs)
-            else:
-                by_width.setdefault(next(w for w in WIDTHS if w >= len(piece)), []).append(i)
+            if out[i] is None:
+                width = WIDTHS[bisect.bisect_left(WIDTHS, len(piece))] if len(piece) <= WIDTHS[-1] else 0
+                by_width.setdefault(width, []).append(i)
+        for i in by_width.pop(0, []):
+            out[i] = merge_long(self.byte_id[np.frombuffer(pieces[i], np.uint8)], self.pairs).astype("<i4").tobytes()
         for width, members in by_width.items():
             step = max(1, CELLS // width)
             for at in range(0, len(members), step):
                 part = members[at:at + step]
-                joined = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in part), np.uint8)
+                joined = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in part]), np.uint8)
                 ids = self.byte_id[joined].reshape(len(part), width)
                 lengths = np.array([len(pieces[i]) for i in part])
                 ids[np.arange(width) >= lengths[:, None]] = -1
-                for i, row in zip(part, merge_matrix(ids, self.pairs)):
-                    out[i] = row
+                merged = merge_matrix(ids, self.pairs)
+                on = merged >= 0
+                flat = merged[on].astype("<i4").tobytes()
+                ends = (4 * np.cumsum(on.sum(axis=1))).tolist()
+                for i, a, b in zip(part, [0, *ends], ends):
+                    out[i] = flat[a:b]
         return out
 
-    def _learn(self, keys: Iterable[str], lead: str) -> dict:
-        """Cache entries (decimal ids, ids) for ``lead + key``."""
+    def _learn(self, keys: set[str], lead: str) -> dict[str, bytes]:
+        """Cache with the ids of ``lead + key`` for all keys."""
         known = self.seen[bool(lead)]
-        missing = list({k for k in keys if k not in known})
+        missing = [k for k in keys if k not in known]
         if len(known) + len(missing) > CACHE:
             known.clear()
-            missing = list(set(keys))
+            missing = list(keys)
         pieces = [self.split.findall(lead + k) for k in missing]
         distinct = list(dict.fromkeys(chain.from_iterable(pieces)))
-        ids = dict(zip(distinct, (x.tolist() for x in self.encode_pieces([p.encode() for p in distinct]))))
+        ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct])))
         for key, own in zip(missing, pieces):
-            whole = tuple(chain.from_iterable(ids[p] for p in own))
-            known[key] = (" ".join(map(str, whole)), whole)
+            known[key] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
         return known
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[str, list[int]]]:
-        """(decimal ids joined by a space, ids) of each whole text.
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each whole text.
 
         Without two white-space characters in a row, the pattern never matches across
         the place before a space, so such texts are looked up by space-led words.
         """
         plain = [None if _DOUBLE_SPACE.search(t) else t.split(" ") for t in texts]
         words = [p[1:] if p else [] for p in plain]
-        heads = [[p[0]] if p else self.split.findall(t) for p, t in zip(plain, texts)]
-        led = self._learn(set(chain.from_iterable(words)), " ")
-        raw = self._learn(set(chain.from_iterable(heads)), "")
-        out = []
-        for head, rest in zip(heads, words):
-            found = [raw[k] for k in head] + [led[k] for k in rest]
-            out.append((" ".join([f[0] for f in found if f[0]]), list(chain.from_iterable([f[1] for f in found]))))
-        return out
+        heads = [p[:1] if p else self.split.findall(t) for p, t in zip(plain, texts)]
+        led = self._learn(set().union(*words), " ")
+        raw = self._learn(set().union(*heads), "")
+        joined = (b"".join([raw[k] for k in head] + [led[k] for k in rest]) for head, rest in zip(heads, words))
+        return [np.frombuffer(x, "<i4").tolist() for x in joined]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decimals(self, ids: list[int]) -> bytes:
+        """Decimal ids joined by one space."""
+        return " ".join(map(self.decimal.__getitem__, ids)).encode()
+
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's encoder for this rank file, built once."""
@@ -249,9 +249,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``doc_id, ids``: the token ids of every whole text."""
     def run(batches):
         enc = encoder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, ROWS):
             texts = [t or "" for t in part.column(1).to_pylist()]
-            ids = [x[1] for x in enc.encode_texts(texts)]
+            ids = enc.encode_texts(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))],
                                              ["doc_id", "ids"])
 
@@ -263,7 +263,7 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, data``: the bytes that the ids stand for."""
     def run(batches):
         enc = encoder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, ROWS):
             data = [enc.decode(x or []) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
@@ -278,10 +278,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str,
     """
     def run(batches):
         enc = encoder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, ROWS):
             rows = []
-            for text, ids in enc.encode_texts([t or "" for t in part.column(1).to_pylist()]):
-                rows.append((len(ids), hashlib.sha256(text.encode()).hexdigest(),
+            for ids in enc.encode_texts([t or "" for t in part.column(1).to_pylist()]):
+                rows.append((len(ids), hashlib.sha256(enc.decimals(ids)).hexdigest(),
                              hashlib.sha256(enc.decode(ids)).hexdigest()))
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays(

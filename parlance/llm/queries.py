@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, dedup, packing, quality, sharding, token_counts, warc
+from parlance.llm import bpe, dedup, jaccard, langid, lm, packing, quality, sharding, token_counts, warc
 from parlance.llm.common import documents, shared_folder
 from parlance.sources.tables import read_table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +32,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang")).withColumn(
+        "n_spans", F.size("spans")).drop("spans")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(PIECES))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir, "doc_id", "text", "lang", "source")).drop("failed_ratios")
 
@@ -60,8 +74,8 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_byte_bpe, op2_token_counts, op3_packing, op5_sharding,
-        op8_quality_rules, op9_exact_dedup, op10_warc_audit)}
+        op1_byte_bpe, op2_token_counts, op3_packing, op4_language_id, op5_sharding, op6_lm_scoring,
+        op7_ngram_jaccard, op8_quality_rules, op9_exact_dedup, op10_warc_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
