@@ -1,14 +1,19 @@
 """Language-model scoring by the subword lattice.
 
 The pieces of an existing vocabulary are the units of a unigram model.  Every way to cut a
-word (with its word mark) into pieces is a path of a lattice; the word's probability is
-the sum over all paths of the product of their piece probabilities, by a forward recursion
-in log space.  A text is its words and an end piece, and the piece probabilities sum to
-one, so scores are log probabilities over all texts.
+word (with its word mark) into pieces is a path of a lattice; the lattice likelihood of
+the word is the sum over all paths of the product of their piece probabilities, by a
+forward recursion in log space.  Piece probabilities sum to one and a mark opens each
+word, so the likelihoods of all words sum to one.
+
+A word that training has seen has one more arc, from its start to its end, with its
+discounted relative frequency; the mass of the discounts weights the piece paths:
+P(word) = (1 - P(end)) * (max(c - d, 0) / n + d * v / n * lattice(word)).
+A text's score is the log of the product over its words and its end.
 
 The vocabulary's own scores (ranks) give the first piece probabilities.  They are then
-re-estimated on the training words: a forward-backward pass over every distinct word's
-lattice, weighted by its count, gives expected piece counts.
+re-estimated on the words of training, each distinct word once, as each gives the same
+discount: a forward-backward pass over the lattices gives expected piece counts.
 
 Flow: documents are grouped into blocks in the task that reads them, and a block carries
 its documents as numbers into the block's own dictionary of distinct words.  Only
@@ -72,22 +77,20 @@ class Lattice:
                 pieces[text] = [len(ranks)]
                 ranks.append(model.get_score(i))
         self.pieces = list(pieces)
-        self.end = len(self.pieces)  # the end piece has the last number
         self.longest = max(map(len, self.pieces))
         # existing scores are ranks (0, -1, -2, ...): Zipf weights
         weight = 1 / (2.7 - np.array(ranks))
-        first = np.r_[weight, weight.max()]
-        self.first = np.log(first / first.sum())
+        self.first = np.log(weight / weight.sum())
         self.powers = np.ones(WIDE + self.longest + 2, np.uint64)
         for i in range(1, len(self.powers)):
-            self.powers[i] = self.powers[i - 1] * self.BASE
+            self.powers[i:i + 1] = self.powers[i - 1:i] * self.BASE
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         size = 1 << (4 * len(hashes)).bit_length()
         self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
         self.keys, self.values = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.probes = 0
+        self.probes, slots = 0, self._slot(hashes)
         for n, h in enumerate(hashes):
-            at, step = int(self._slot(h)), 1
+            at, step = int(slots[n]), 1
             while self.values[at] >= 0:
                 at, step = (at + 1) & self.mask, step + 1
             self.keys[at], self.values[at] = h, n
@@ -251,30 +254,27 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # --- training and scoring ------------------------------------------------------------------------
 
 def expected_counts(words: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
-    """Expected piece counts over ``word, c`` (training words).  Each task sums its own into
-    one vector over the vocabulary, whose size is fixed; the vectors are added per piece."""
+    """Expected piece counts over the column ``word``.  Each task sums its own into one
+    vector over the vocabulary, whose size is fixed; the vectors are added per piece."""
     def run(batches):
         model, total = lattice(path), np.zeros(len(logp))
         for part in slices(batches, 50_000):
             own = [marked(w) for w in part.column(0).to_pylist()]
-            total += model.forward(own, logp, part.column(1).to_numpy().astype(float))[1]
+            total += model.forward(own, logp, np.ones(len(own)))[1]
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "c"])
 
     out = np.zeros(len(logp))
-    for r in words.mapInArrow(run, "piece int, c double").groupBy("piece").agg(F.sum("c").alias("c")).collect():
+    for r in words.select("word").mapInArrow(run, "piece int, c double").groupBy("piece").agg(F.sum("c").alias("c")).collect():
         out[r["piece"]] = r["c"]
     return out
 
 
-def train(words: DataFrame, ends: int, path: str, passes: int = PASSES) -> np.ndarray:
-    """Natural-log piece probabilities (the end piece last), re-estimated on all training words."""
-    model = lattice(path)
-    logp = model.first
+def train(words: DataFrame, path: str, passes: int = PASSES) -> np.ndarray:
+    """Natural-log piece probabilities, re-estimated on all distinct training words."""
+    logp = lattice(path).first
     for _ in range(passes):
-        counts = expected_counts(words, path, logp)
-        counts[model.end] += ends
-        counts += FLOOR
+        counts = expected_counts(words, path, logp) + FLOOR
         logp = np.log(counts / counts.sum())
     return logp
 
@@ -287,19 +287,28 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
     words = stored(entries.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     ends = held.select(F.expr("size(filter(folds, x -> not x))").alias("n")).agg(F.sum("n")).first()[0] or 0
     known = words.filter("c > 0")
-    seen = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
-    logp = train(known, ends, path, passes) if ends else lattice(path).first
+    seen = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"),
+                     F.count_if(F.col("c") == 2).alias("twice")).first()
+    n, v = seen["n"] or 0, seen["v"]
+    total, distinct = n + ends, v + (ends > 0)
+    logp = train(known, path, passes) if v else lattice(path).first
     below = total + ADD * (distinct + 1)
-    base_end, end_score = math.log10((ends + ADD) / below), logp[-1] / math.log(10)
+    base_end = math.log10((ends + ADD) / below)
+    # the discount that leaves a word seen once its expected share
+    discount = (seen["once"] + 0.5) / (seen["once"] + 2 * seen["twice"] + 1)
+    open_mass = discount * v / n if n else 1.0
+    end = (ends + 0.5) / (total + 1)
+    end_score = math.log10(end)
 
     def word_scores(batches):
         model = lattice(path)
         for part in slices(batches, 50_000):
             own = [marked(w) for w in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(model.forward(own, logp)[0] / math.log(10))],
-                ["word", "c", "score"])
+            c = part.column(1).to_numpy().astype(float)
+            paths = model.forward(own, logp)[0] + math.log(open_mass)
+            whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-300) / max(n, 1)), -np.inf)
+            p = (np.logaddexp(paths, whole) + math.log1p(-end)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p)], ["word", "c", "score"])
 
     scored = stored(words.select("word", "c").mapInArrow(word_scores, "word binary, c long, score double"), "lm-scores")
     # a block's dictionary holds at most BLOCK_WORDS words (or those of one text)
