@@ -130,7 +130,7 @@ def session_stage_messages(spark, d):
 
 
 # ---------------------------------------------------------------- stage progression per session (#39)
-@register("stage_progression", B.with_ctes("sessions") + """,
+_STAGE_SQL = B.with_ctes("sessions") + """,
 nodes AS (SELECT * FROM (VALUES (1, 'greeting'), (2, 'need_discovery'), (3, 'solution_matching'),
                   (4, 'price_discussion'), (5, 'objection_handling'), (6, 'closing')) t(step_order, stage_name)),
 prog AS (SELECT *, lead(stage_name) OVER (ORDER BY step_order) AS next_stage FROM nodes),
@@ -144,7 +144,10 @@ SELECT s.id, p.stage_name AS current_node,
        array_to_string(list_filter([p.stage_name, p.next_stage], lambda x: x IS NOT NULL), ',') AS allowed_next_nodes,
        coalesce(list_contains(list_filter([p.stage_name, p.next_stage], lambda x: x IS NOT NULL), s.proposed_stage), false)
          AS move_valid
-FROM s LEFT JOIN prog p ON p.step_order = s.current_step""")
+FROM s LEFT JOIN prog p ON p.step_order = s.current_step"""
+
+
+@register("stage_progression", _STAGE_SQL)
 def stage_progression(spark, d):
     prog = D.stage_progression(spark.createDataFrame(
         [("default", i, n) for i, n in enumerate(B.STAGE_NAMES, start=1)], "shop_id string, step_order int, stage_name string"))
@@ -180,11 +183,12 @@ def _final_sql():
 sales AS ({sales}),
 guard AS ({guard})
 SELECT r.event_id, r.task,
+       CASE WHEN s.error IS NULL AND g.error IS NULL THEN
        CASE WHEN r.task = 'human_handle' THEN '{D.HANDOFF_NOTE.replace(chr(10), "' || chr(10) || '")}' ELSE '' END ||
        CASE WHEN coalesce(g.approved, true) THEN coalesce(nullif(g.modified_text, ''), s.response_text)
-            ELSE '{D.SAFE_FALLBACK_TEXT}' END AS final_text
-FROM routed r JOIN sales s ON s.event_id = r.event_id JOIN guard g ON g.event_id = r.event_id
-WHERE s.error IS NULL AND g.error IS NULL"""
+            ELSE '{D.SAFE_FALLBACK_TEXT}' END END AS final_text,
+       coalesce('sales ' || s.error, 'guardrail ' || g.error) AS error
+FROM routed r JOIN sales s ON s.event_id = r.event_id JOIN guard g ON g.event_id = r.event_id"""
 
 
 def _final(spark, d):
@@ -194,24 +198,39 @@ def _final(spark, d):
     guard = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["guardrail"]), "guardrail")
     j = (routed.join(sales.select("event_id", "response_text", F.col("error").alias("_se")), "event_id")
          .join(guard.select("event_id", "approved", "modified_text", F.col("error").alias("_ge")), "event_id"))
-    # One predicate over both sides: it cannot be pushed below the join, so the
-    # validation expressions are evaluated once, not re-inlined into pushed filters.
-    j = j.where(F.coalesce(F.col("_se"), F.col("_ge")).isNull()).drop("_se", "_ge")
-    return j.withColumn("final_text", D.final_response(F.col("approved"), F.col("modified_text"),
-                                                       F.col("response_text"), F.col("task")))
+    # a turn whose model output fails validation stays, with the reason and without a text
+    j = j.withColumn("error", F.coalesce(F.concat(F.lit("sales "), F.col("_se")),
+                                         F.concat(F.lit("guardrail "), F.col("_ge")))).drop("_se", "_ge")
+    return j.withColumn("final_text", F.when(F.col("error").isNull(), D.final_response(
+        F.col("approved"), F.col("modified_text"), F.col("response_text"), F.col("task"))))
 
 
 @register("final_response", _final_sql())
 def final_response(spark, d):
-    return _final(spark, d).select("event_id", "task", "final_text")
+    return _final(spark, d).select("event_id", "task", "final_text", "error")
+
+
+@register("turn_quarantine", "SELECT event_id, task, error FROM (" + _final_sql() + ") WHERE error IS NOT NULL")
+def turn_quarantine(spark, d):
+    """Turns whose sales or guardrail output failed validation, with the reason."""
+    return _final(spark, d).select("event_id", "task", "error").where(F.col("error").isNotNull())
 
 
 # ---------------------------------------------------------------- #57 turn results (flagship)
+# The phase trace of a turn; "sales" phases run for both tasks, "human" ones
+# for escalations only.  The result line carries the task.
 _TRACE = [
-    ("Phase 1: IntentAgent + AnalyseHandoffAgent", None),
-    ("Phase 1.5: OrchestratorAgent", None),
-    ("Phase 2: Sales workflow", "sales"),
+    ("Phase 0: receive_input (user)", None),
+    ("Phase 1: IntentAgent + AnalyseHandoffAgent (parallel)", None),
+    ("Phase 1: OrchestratorAgent (task selection)", None),
+    ("Phase 1 result: task=", "task"),
+    ("Phase 2: Sales workflow", None),
     ("Phase 2.0: Load short memory", "sales"),
+    ("Phase 2.1: PredictRequirementAgent", "sales"),
+    ("Phase 2.2: ClassifyStepAgent", "sales"),
+    ("Phase 2.3: ProfileAgent", "sales"),
+    ("Phase 2.4: UpSalesCrossSalesAgent", "sales"),
+    ("Phase 2.5: SalesAgent", "sales"),
     ("Phase 3: GuardrailAgent", "sales"),
     ("Phase 3: Escalation note (human_handle)", "human"),
     ("Phase 3: receive_input (assistant)", None),
@@ -221,29 +240,40 @@ _TRACE = [
 def turn_results_frame(spark, d):
     """Per turn: intent, handoff, routing, tone, short-memory size, final text and the phase trace."""
     from parlance.operators import memory as M
-    from parlance.plans.memory_queries import LONG_TTL
+    from parlance.plans.profile_queries import _history
+    from parlance.operators import profile as P
 
     final = _final(spark, d)
     # size of the rolling short memory = min(position in the TTL segment, 20)
-    mem = M._segment_frame(B.messages_long(spark, d), LONG_TTL, M.CHUNK_SECONDS).select(
+    mem = M._segment_frame(B.messages_long(spark, d), M.TTL_SECONDS, M.CHUNK_SECONDS).select(
         F.col("msg_id").alias("event_id"), F.least(F.col("pos"), F.lit(M.SHORT_MEMORY)).alias("short_memory_size"))
-    j = final.join(mem, "event_id")
+    # one row per session: the customer's profile and the session's stage
+    profile = P.customer_label(P.priority_score(_history(spark, d))).select(
+        F.col("customer_id").alias("session_id"), "priority_score", "customer_label")
+    stage = stage_progression(spark, d).select(F.col("id").alias("session_id"), "current_node", "allowed_next_nodes")
+    j = final.join(mem, "event_id").join(profile, "session_id", "left").join(stage, "session_id", "left")
     trace = F.array_compact(F.array(*[
         F.lit(t) if cond is None
+        else F.concat(F.lit(t), F.col("task")) if cond == "task"
         else F.when(F.col("task").isin("sales_task", "human_handle"), F.lit(t)) if cond == "sales"
         else F.when(F.col("task") == "human_handle", F.lit(t)) for t, cond in _TRACE]))
     return j.select("event_id", "session_id", "intent_code", "handoff_required", "handoff_reason", "risk_level",
                     "task", D.tone_policy(F.col("risk_level")).alias("tone"), "short_memory_size", "final_text",
+                    "error", "priority_score", "customer_label", "current_node", "allowed_next_nodes",
                     F.array_join(trace, " | ").alias("phase_trace"))
 
 
 def _turns_sql():
-    from parlance.plans.memory_queries import LONG_TTL, _seg_sql
+    from parlance.operators import memory as M
+    from parlance.plans.memory_queries import _seg_sql
+    from parlance.plans.profile_queries import _label_sql, _priority_sql
 
     parts = []
     for t, cond in _TRACE:
         if cond is None:
             parts.append(f"'{t}'")
+        elif cond == "task":
+            parts.append(f"'{t}' || f.task")
         elif cond == "sales":
             parts.append(f"CASE WHEN f.task IN ('sales_task', 'human_handle') THEN '{t}' END")
         else:
@@ -254,14 +284,18 @@ def _turns_sql():
     final_cte = head + ",\nfinal AS (SELECT r.event_id, r.session_id, r.intent_code, r.handoff_required, " \
         "r.handoff_reason, r.risk_level, r.task," + select + ")"
     final_cte = final_cte.replace(B.with_ctes("analyses"),
-                                  B.with_ctes("analyses", "messages_long") + "," + _seg_sql("messages_long", LONG_TTL), 1)
+                                  B.with_ctes("analyses", "messages_long") + "," + _seg_sql("messages_long", M.TTL_SECONDS), 1)
     return final_cte + f""",
 mem AS (SELECT msg_id AS event_id, CAST(count(*) OVER (PARTITION BY session_id, seg_no ORDER BY ts, msg_id
                ROWS BETWEEN {19} PRECEDING AND CURRENT ROW) AS INTEGER) AS short_memory_size FROM seg)
 SELECT f.event_id, f.session_id, f.intent_code, f.handoff_required, f.handoff_reason, f.risk_level, f.task,
        CASE WHEN f.risk_level IN ('medium', 'high') THEN 'consultative' ELSE 'professional_warm' END AS tone,
-       m.short_memory_size, f.final_text, {trace} AS phase_trace
-FROM final f JOIN mem m ON f.event_id = m.event_id"""
+       m.short_memory_size, f.final_text, f.error, pr.priority_score, la.customer_label, st.current_node,
+       st.allowed_next_nodes, {trace} AS phase_trace
+FROM final f JOIN mem m ON f.event_id = m.event_id
+LEFT JOIN ({_priority_sql(5, 10000000, 30)}) pr ON pr.customer_id = f.session_id
+LEFT JOIN ({_label_sql()}) la ON la.customer_id = f.session_id
+LEFT JOIN ({_STAGE_SQL}) st ON st.id = f.session_id"""
 
 
 @register("turn_results", _turns_sql())

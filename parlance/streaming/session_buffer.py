@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from parlance.operators.memory import BUFFER_LIMIT, SUMMARY_EVERY, TTL_SECONDS
@@ -38,6 +38,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Files of one micro-batch.
+MAX_FILES = 16
+
 BUFFER_SCHEMA = "msg_id long, ts long, pos int"
 META_SCHEMA = "last_ts long, seg_no int, seg_count int, archived_total long"
 OUTPUT_SCHEMA = ("session_id long, msg_id long, ts long, seg_no int, pos int, disposition string, "
@@ -154,13 +157,12 @@ def stream_context(updates: DataFrame, watermark: str = "0 seconds") -> DataFram
 
 
 def message_stream(spark: SparkSession, sf_dir: str, table: str = "events",
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """#9: a driver table as a file stream (directory + glob filter; single-file paths are refused)."""
-    reader = (spark.readStream.schema(DRIVER_SCHEMAS[table])
-              .option("pathGlobFilter", f"{table}.parquet"))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir)
+                   max_files_per_trigger: int = MAX_FILES) -> DataFrame:
+    """#9: a driver table as a file stream (directory + glob filter; single-file paths are
+    refused).  ``max_files_per_trigger`` bounds a micro-batch, and so the rows of one session
+    that the processors sort at a time."""
+    return (spark.readStream.schema(DRIVER_SCHEMAS[table]).option("pathGlobFilter", f"{table}.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
 
 
 def events_as_messages(stream: DataFrame) -> DataFrame:
@@ -186,22 +188,35 @@ def stream_turn_decisions(analyses_stream: DataFrame) -> DataFrame:
     return D.task_routing(D.handoff_decision(analyses_stream))
 
 
-def run_available_now(df: DataFrame, name: str | None = None, checkpoint_root: str | None = None) -> DataFrame:
-    """Run a streaming DataFrame once over everything available and return the result as a table.
+def run_available_now(df: DataFrame, name: str, checkpoint_root: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame over everything available and return its output table.
 
-    The checkpoint goes under the session's ``spark.checkpoint.dir`` (shared
-    storage on a cluster), so a restarted query resumes instead of recomputing.
+    Executors write each micro-batch as Parquet under a partition of its batch id, so a
+    batch that runs again replaces its own files.  Checkpoint and output live under
+    ``<spark.checkpoint.dir>/<name>``: a query started again under the same name resumes
+    there and only adds what is new.  Nothing passes through the driver.
     """
     spark = df.sparkSession
+    root = os.path.join(checkpoint_root or ensure_checkpoint_dir(spark), name)
+    out = os.path.join(root, "out")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
     # transformWithState keeps its state in RocksDB (the default provider cannot hold it)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    root = checkpoint_root or ensure_checkpoint_dir(spark)
-    name = name or f"stream_{uuid.uuid4().hex[:12]}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", os.path.join(root, name))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB_PROVIDER)
+    try:
+        q = (df.writeStream.outputMode("append").foreachBatch(sink)
+             .option("checkpointLocation", os.path.join(root, "checkpoint"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(out).drop("batch_id")
 
 
 def archive_sink(batch_df: DataFrame, batch_id: int, path: str) -> None:

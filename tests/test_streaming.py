@@ -30,7 +30,7 @@ def test_stream_buffer_equals_batch_over_micro_batches(spark):
         time.sleep(1.1)
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src))
     limit, ttl = 6, 3 * 86400
-    out = SB.run_available_now(SB.stream_session_buffer(SB.events_as_messages(stream), limit=limit, ttl=ttl),
+    out = SB.run_available_now(SB.stream_session_buffer(SB.events_as_messages(stream), limit=limit, ttl=ttl), "buffer",
                                checkpoint_root=tempfile.mkdtemp(prefix="parlance-ckpt-"))
     batch = M.message_disposition(B.messages_long(spark, SF_SMALL), 10**12, limit=limit, ttl=ttl)
     s_arch = {(r.msg_id, r.eviction_turn) for r in out.where("disposition = 'archived'").collect()}
@@ -42,3 +42,18 @@ def test_stream_buffer_equals_batch_over_micro_batches(spark):
     trig = M.summary_trigger_points(batch, limit=limit).select("msg_id").collect()
     s_trig = {r.msg_id for r in out.where("disposition = 'summary_trigger'").collect()}
     assert s_trig == {r.msg_id for r in trig}
+
+
+def test_a_query_started_again_resumes_and_adds_what_is_new(spark):
+    ev = read_table(spark, SF_SMALL, "events").select("event_id", "user_id")
+    src, root = tempfile.mkdtemp(prefix="parlance-stream-src-"), tempfile.mkdtemp(prefix="parlance-ckpt-")
+
+    def run():
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        return SB.run_available_now(stream, "again", checkpoint_root=root)
+
+    ev.where("event_id % 2 = 0").coalesce(1).write.mode("append").parquet(src)
+    assert run().count() == ev.where("event_id % 2 = 0").count()
+    ev.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
+    out = run()
+    assert out.count() == ev.count() and out.distinct().count() == ev.count()
