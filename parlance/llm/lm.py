@@ -88,13 +88,16 @@ class Lattice:
         size = 1 << (4 * len(hashes)).bit_length()
         self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
         self.keys, self.values = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.probes, slots = 0, self._slot(hashes)
+        self.probes, slots = 0, (self._mixed(hashes) >> self.shift).astype(np.int64)
         for n, h in enumerate(hashes):
             at, step = int(slots[n]), 1
             while self.values[at] >= 0:
                 at, step = (at + 1) & self.mask, step + 1
             self.keys[at], self.values[at] = h, n
             self.probes = max(self.probes, step)
+        # most substrings are no pieces: a flag per leading bits of the hash turns them away first
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._mixed(hashes) >> np.uint64(44)] = True
         self.by_length = {n: {p: i for i, p in enumerate(self.pieces) if len(p) == n} for n in range(1, self.longest + 1)}
 
     def _hash(self, piece: bytes) -> int:
@@ -104,13 +107,16 @@ class Lattice:
         # lengths are told apart
         return (h ^ (len(piece) * 0x9E3779B97F4A7C15)) % (1 << 64)
 
-    def _slot(self, h):
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        return h * np.uint64(0x9E3779B97F4A7C15)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes, -1 where there is none."""
         out = np.full(h.shape, -1, np.int32)
-        todo, at = np.arange(len(h)), self._slot(h)
+        mixed = self._mixed(h)
+        todo = np.flatnonzero(self.maybe[mixed >> np.uint64(44)])
+        at = (mixed[todo] >> self.shift).astype(np.int64)
         for _ in range(self.probes):
             value = self.values[at]
             hit = (self.keys[at] == h[todo]) & (value >= 0)
