@@ -92,5 +92,5 @@ def drop_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_sha"] == kept["_sha"]), "left_semi")
     turn = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(
-        *(c for c in docs.columns if c not in ("doc_id", "text"))))
+        *(c for c in docs.columns if c != "doc_id")))
     return stay.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
