@@ -71,10 +71,18 @@ def write_replace_partitions(df: DataFrame, path: str, part_col: str = "shop_id"
      .partitionBy(part_col).parquet(path))
 
 
-def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key_cols) -> DataFrame:
-    """#8: add rows whose key is absent (first row per key of the batch wins by the given order)."""
-    fresh = new_rows.dropDuplicates(list(key_cols)).join(existing.select(*key_cols), list(key_cols), "left_anti")
-    return existing.unionByName(fresh)
+def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key_cols, order_cols=()) -> DataFrame:
+    """#8: add rows whose key is absent.  Of several rows with one key the least wins, by
+    ``order_cols`` and then by all other columns; the choice is a partial aggregate."""
+    keys = list(key_cols)
+    rest = [c for c in new_rows.columns if c not in keys]
+    order = [*order_cols, *(c for c in rest if c not in order_cols)]
+    if rest:
+        first = new_rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+        first = first.select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest))
+    else:
+        first = new_rows.distinct()
+    return existing.unionByName(first.join(existing.select(*keys), keys, "left_anti").select(*new_rows.columns))
 
 
 def session_lookup(requests: DataFrame, sessions: DataFrame, raw_col: str = "requested_id") -> DataFrame:
@@ -115,17 +123,27 @@ def cascade_delete(shops: DataFrame, products: DataFrame, customers: DataFrame,
 def upsert_handoff_reason(sessions: DataFrame, updates: DataFrame, now: Column | None = None) -> DataFrame:
     """#62: set ``handoff_reason`` (null included) for existing sessions, insert absent ones.
 
-    ``updates`` rows are ``(id, ts, msg_id, handoff_reason)``.  A full outer join of
-    the table with the reduced batch; ``touched`` tells inserts/updates apart.
+    ``updates`` rows are ``(id, ts, msg_id, handoff_reason)`` and may name the ``user_id``
+    of a session to insert; without one the session's own id stands for its user, so the
+    required column is never null.  A full outer join of the table with the reduced batch;
+    ``touched`` and ``was_inserted`` tell updates and inserts apart.  With ``now``, inserted
+    and updated rows get it as ``updated_at`` (and inserted ones as ``created_at``) where
+    the table has these columns.
     """
-    u = (last_update_per_key(updates, "id", ["handoff_reason"], keep_nulls=True)
-         .select("id", F.col("handoff_reason").alias("_new_reason"), F.lit(True).alias("_touched")))
-    j = sessions.join(u, "id", "full_outer")
-    out = j.withColumn("handoff_reason", F.when(F.col("_touched"), F.col("_new_reason"))
-                       .otherwise(F.col("handoff_reason")))
-    return out.withColumn("was_inserted", F.col("_touched") & F.col("user_id").isNull()) \
-              .withColumn("touched", F.coalesce(F.col("_touched"), F.lit(False))) \
-              .drop("_new_reason", "_touched")
+    named = updates if "user_id" in updates.columns else updates.withColumn("user_id", F.col("id"))
+    u = (last_update_per_key(named, "id", ["handoff_reason"], keep_nulls=True)
+         .select("id", F.col("handoff_reason").alias("_new_reason"), F.lit(True).alias("_touched"))
+         .join(named.groupBy("id").agg(F.min("user_id").alias("_user")), "id"))
+    j = sessions.withColumn("_there", F.lit(True)).join(u, "id", "full_outer")
+    touched, inserted = F.coalesce("_touched", F.lit(False)), F.col("_there").isNull()
+    out = (j.withColumn("handoff_reason", F.when(touched, F.col("_new_reason")).otherwise(F.col("handoff_reason")))
+           .withColumn("user_id", F.coalesce("user_id", F.when(inserted, F.coalesce("_user", "id")))))
+    if now is not None:
+        for c, when in (("created_at", inserted), ("updated_at", touched)):
+            if c in sessions.columns:
+                out = out.withColumn(c, F.when(when, now).otherwise(F.col(c)))
+    return (out.withColumn("was_inserted", inserted).withColumn("touched", touched)
+            .drop("_new_reason", "_touched", "_user", "_there"))
 
 
 def metadata_patch(updates: DataFrame, key: str = "id", order=("ts", "msg_id")) -> DataFrame:
@@ -176,9 +194,14 @@ def summary_metadata(summary: Column, tags: Column, topics: Column) -> Column:
 
 
 def update_session_summary(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
-    """#64: merge each session's summary patch into its metadata; the handoff reason is untouched."""
-    s = summaries.select(F.col("id"), summary_metadata(F.col("summary"), F.col("tags"), F.col("key_topics"))
-                         .alias("_patch"))
+    """#64: merge each session's summary patch into its metadata; the handoff reason is untouched.
+
+    Several summaries of a session are folded first, in the order of ``ts`` and ``msg_id``
+    where the batch has them, so a session stays one row.
+    """
+    order = [c for c in ("ts", "msg_id") if c in summaries.columns] or ["metadata"]
+    s = metadata_patch(summaries.withColumn(
+        "metadata", summary_metadata(F.col("summary"), F.col("tags"), F.col("key_topics"))), order=order)
     return (sessions.join(s, "id", "left")
             .withColumn("metadata", F.when(F.col("_patch").isNotNull(),
                                            shallow_merge(F.col("metadata"), F.col("_patch")))
@@ -189,12 +212,18 @@ def update_session_summary(sessions: DataFrame, summaries: DataFrame) -> DataFra
 def merge_customer_info(customers: DataFrame, info: DataFrame) -> DataFrame:
     """#65: for existing customers: non-empty name/phone/email overwrite, preferences shallow-merged.
 
-    An info row applies only when it found a name, phone or e-mail.
+    An info row applies only when it found a name, phone or e-mail.  Several rows of one
+    customer are folded first (last non-empty value of each field, patches in order of
+    ``ts`` and ``msg_id`` where the batch has them), so a customer stays one row.
     """
-    found = (nonempty_or_null(F.col("name")).isNotNull() | nonempty_or_null(F.col("phone")).isNotNull()
-             | nonempty_or_null(F.col("email")).isNotNull())
-    i = info.where(found).select("customer_id", F.col("name").alias("_name"), F.col("phone").alias("_phone"),
-                                 F.col("email").alias("_email"), F.col("preferences").alias("_prefs"))
+    texts = {c: nonempty_or_null(F.col(c)) for c in ("name", "phone", "email")}
+    order = [c for c in ("ts", "msg_id") if c in info.columns] or ["name", "phone", "email", "preferences"]
+    rows = info.where(F.coalesce(*texts.values()).isNotNull())
+    last = F.struct(*order)
+    i = rows.groupBy("customer_id").agg(*(F.max_by(t, F.when(t.isNotNull(), last)).alias(f"_{c}") for c, t in texts.items()))
+    patches = metadata_patch(rows.withColumn("metadata", F.col("preferences")), key="customer_id",
+                             order=order).withColumnRenamed("_patch", "_prefs")
+    i = i.join(patches, "customer_id", "left")
     j = customers.join(i, "customer_id", "left")
     hit = F.col("_prefs").isNotNull() | F.col("_name").isNotNull() | F.col("_phone").isNotNull() \
         | F.col("_email").isNotNull()

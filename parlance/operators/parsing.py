@@ -9,9 +9,11 @@ Semantics of the reference, per raw text:
 
 Spark plan: all column expressions (one projection), so it is a map-only job.
 Strict validity: ``json_array_length('[' || t || ']') = 1`` (trailing text fails like
-Python's parser) and a non-null ``try_parse_json`` (single quotes are refused); field presence, JSON kind and value come from
-a ``VARIANT`` of the object (``variant_get`` / ``schema_of_variant``).  Known gaps:
-text with duplicate keys or NaN parses in Python but not as a variant (-> fallback).
+Python's parser) and a non-null ``try_parse_json`` (single quotes are refused); field
+presence, JSON kind and value come from a ``VARIANT`` of the object (``variant_get`` /
+``schema_of_variant``).  As in Python, the last of duplicate keys counts (the session
+setting ``spark.sql.variant.allowDuplicateKeys`` is switched on), and ``NaN`` and
+``Infinity`` are numbers, which then fail the bounds.
 """
 
 from __future__ import annotations
@@ -62,19 +64,16 @@ _FLAGS = ("legal", "medical", "financial_risk", "high_technical")
 _EMOTIONS = ("frustration", "anger", "sadness", "joy", "fear", "neutral")
 
 
-def _nested_flags(prefix, fallback_neutral=True, from_input=False):
-    out = []
-    for f in _FLAGS:
-        out.append(Field(f"{prefix}.{f}" if prefix else f, "bool", missing=False,
-                         fallback=Ref(f"in_policy_flags_{f}") if from_input else False))
-    return out
+def _nested_flags(from_input=False):
+    given = {f: Ref(f"in_policy_flags_{f}") if from_input else False for f in _FLAGS}
+    return [Field(f"policy_flags.{f}", "bool", missing=v, fallback=v) for f, v in given.items()]
 
 
 def _nested_emotions(from_input=False):
     out = []
     for e in _EMOTIONS:
         fb = Ref(f"in_emotion_score_{e}") if from_input else (1.0 if e == "neutral" else 0.0)
-        out.append(Field(f"emotion_score.{e}", "float", missing=0.0, fallback=fb, lo=0.0, hi=1.0))
+        out.append(Field(f"emotion_score.{e}", "float", missing=fb if from_input else 0.0, fallback=fb, lo=0.0, hi=1.0))
     return out
 
 
@@ -92,7 +91,7 @@ SPECS: dict[str, Spec] = {
         Field("confidence", "float", fallback=0.5, lo=0.0, hi=1.0),
     ), overwrite={"user_id": "user_id"}),
     "handoff": Spec("handoff", tuple(
-        [Field("policy_flags", "obj_present", fallback=True)] + _nested_flags("policy_flags")
+        [Field("policy_flags", "obj_present", fallback=True)] + _nested_flags()
         + [Field("emotion_score", "obj_present", fallback=True)] + _nested_emotions()
         + [Field("handoff_required", "bool", fallback=False),
            Field("handoff_reason", "str", missing=None, fallback=None, nullable=True),
@@ -102,6 +101,8 @@ SPECS: dict[str, Spec] = {
         Field("task", "str", fallback=Ref("in_task_by_flag")),
         Field("clean_intent_text", "str", missing=Ref("in_clean_intent_text"), fallback=Ref("in_clean_intent_text")),
         Field("intent_code", "str", missing=Ref("in_intent_code"), fallback=Ref("in_intent_code")),
+        Field("policy_flags", "obj_present", missing=True, fallback=True), *_nested_flags(from_input=True),
+        Field("emotion_score", "obj_present", missing=True, fallback=True), *_nested_emotions(from_input=True),
         Field("handoff_required", "bool", missing=Ref("in_handoff_required"), fallback=Ref("in_handoff_required")),
         Field("handoff_reason", "str", missing=None, fallback=Ref("in_handoff_reason"), nullable=True),
         Field("risk_level", "str", missing=Ref("in_risk_level"), fallback=Ref("in_risk_level")),
@@ -157,6 +158,9 @@ SPECS: dict[str, Spec] = {
 _SPARK_TYPES = {"str": T.StringType(), "float": T.DoubleType(), "int": T.LongType(), "bool": T.BooleanType(),
                 "list": T.ArrayType(T.StringType()), "obj": T.StringType(), "obj_present": T.BooleanType()}
 
+#: A bare NaN or Infinity as the value of a member or an element.
+NON_FINITE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
+
 _LAX_TRUE = ["true", "t", "yes", "y", "on", "1"]
 _LAX_FALSE = ["false", "f", "no", "n", "off", "0"]
 
@@ -192,8 +196,11 @@ def parse_model_output(df: DataFrame, spec: Spec | str, raw_col: str = "raw") ->
     # single quotes are refused); the value itself is read as a VARIANT
     # (json_array_length streams the tokens without building values; the variant parser
     # refuses single quotes)
-    n_values = F.json_array_length(F.concat(F.lit("["), F.col("_cand"), F.lit("]")))
-    d = df.withColumn("_cand", cand).withColumn("_v", F.try_parse_json(F.col("_cand")))
+    finite = F.regexp_replace("_cand", NON_FINITE, '$1"$2"')
+    n_values = F.coalesce(*(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) for c in (F.col("_cand"), finite)))
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    d = df.withColumn("_cand", cand).withColumn(
+        "_v", F.coalesce(F.try_parse_json(F.col("_cand")), F.try_parse_json(finite)))
     ok = (F.col("_cand").isNotNull() & (n_values == 1)
           & F.col("_v").isNotNull() & py_strip(F.col("_cand")).startswith("{"))
     d = d.withColumn("is_fallback", ~F.coalesce(ok, F.lit(False)))
@@ -225,7 +232,9 @@ def parse_model_output(df: DataFrame, spec: Spec | str, raw_col: str = "raw") ->
             bad_type = val.isNull() & (kind != "null")
         elif f.kind == "list":
             val = F.when(kind == "array", F.try_variant_get(sub, "$", "array<string>"))
-            bad_type = val.isNull() & (kind != "null")
+            # every element must be a string: numbers, nulls and nested values are refused
+            strings = F.schema_of_variant(sub).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(val, lambda x: x.isNull())
+            bad_type = ~F.coalesce(strings, F.lit(False)) & (kind != "null")
         elif f.kind == "obj":
             val = F.when(kind == "object", F.to_json(sub))
             bad_type = kind != "object"

@@ -67,7 +67,11 @@ STAGE_RULES = {
 INTEREST_TERMS = ["music", "sport", "travel", "books", "food", "fashion", "musique", "reise", "viaje"]
 BANNED_PHRASES = ["miễn phí", "guaranteed", "cam kết 100%"]
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE_RE = r"\+?[0-9]{1,3} ?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"
+# a national number of ten digits, plain or grouped; or a grouped international one
+PHONE_RE = (r"(?:\+84|0)(?:[ .-]?[0-9]){9}\b|"
+            r"\+?[0-9]{1,3} ?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}")
+# an amount with its currency; other numbers in a text (counts, sizes) are no prices
+PRICE_RE = r"(?i)([0-9]+(?:[.,][0-9]+)*) ?(?:đ|₫|vnđ|vnd)"
 NAME_RE = r"(?i)my name is ([\p{L}]+)"
 EMOTION_STEP = 0.25     # score per hit, clipped to 1.0
 FALLBACK_INTENT = "unknown"
@@ -181,17 +185,26 @@ def combo_ranking(questions: DataFrame, shop_cands: DataFrame, text_col: str = "
     return j.withColumn("best_combo", F.get(ranked, 0)["combo_id"]).drop("cands")
 
 
+def plain_number(x: Column) -> Column:
+    """An amount as written (``199.000``, ``1,234.50``, ``901.00``) in plain notation:
+    separators before groups of three digits are dropped, a last other one is the point."""
+    grouped = F.regexp_replace(x, r"[.,](?=[0-9]{3}(?:[.,]|$))", "")
+    return F.regexp_replace(grouped, ",", ".")
+
+
 def response_claim_check(responses: DataFrame) -> DataFrame:
     """#60e: approve, double-check or reject a response from its claims.
 
     ``responses`` has ``response``, ``catalog_price`` (decimal) and ``stock``.
-    Banned phrase -> rejected; quoted price != catalog price or stock 0 offered ->
+    Banned phrase -> rejected; any quoted price != catalog price or stock 0 offered ->
     approved with a double-check flag and reason; else approved.
     """
     low = F.lower(F.col("response"))
-    banned = F.exists(F.array(*[F.lit(p) for p in BANNED_PHRASES]), lambda p: F.instr(low, p) > 0)
-    quoted = F.regexp_extract(F.col("response"), r"([0-9]+(\.[0-9]+)?)", 1)
-    mismatch = F.nullif(quoted, F.lit("")).cast("decimal(12,2)") != F.col("catalog_price")
+    banned = F.lit(False)
+    for phrase in BANNED_PHRASES:
+        banned = banned | (F.instr(low, phrase) > 0)
+    quoted = F.transform(F.regexp_extract_all("response", F.lit(PRICE_RE), 1), lambda x: plain_number(x).cast("decimal(14,2)"))
+    mismatch = F.exists(quoted, lambda x: x != F.col("catalog_price"))
     reason = (F.when(banned, F.lit("banned phrase"))
               .when(F.coalesce(mismatch, F.lit(False)), F.lit("price mismatch"))
               .when(F.col("stock") <= 0, F.lit("out of stock offered")))

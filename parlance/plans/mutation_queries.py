@@ -148,9 +148,9 @@ def cascade_delete(spark, d):
 
 # ------------------------------------------------------------------ #62 upsert handoff reason
 def _session_updates(spark, d):
-    """purchase events are session updates: reason (null when id % 3 = 0), stage, props as metadata."""
-    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props")
-    return ev.where(F.col("event_type") == "purchase").select(
+    """Every event is a session update: reason (null when id % 3 = 0), stage, props as metadata."""
+    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "props")
+    return ev.select(
         F.col("user_id").alias("id"), B.epoch_seconds(F.col("ts")).alias("ts"), F.col("event_id").alias("msg_id"),
         F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("reason-"), F.col("event_id").cast("string"))).alias("handoff_reason"),
@@ -164,15 +164,15 @@ upd AS (SELECT user_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id A
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'reason-' || CAST(event_id AS VARCHAR) END AS handoff_reason,
                CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_id % 6 + 1 END AS current_stage_id,
                props AS metadata
-        FROM events WHERE event_type = 'purchase')"""
+        FROM events)"""
 
 
 @register("upsert_handoff_reason", "WITH " + _UPDATES_SQL + """,
 existing AS (SELECT DISTINCT conv_id AS id, conv_id AS user_id, 'initial' AS handoff_reason FROM conversations),
 lastu AS (SELECT id, arg_max_null(handoff_reason, (ts, msg_id)) AS r FROM upd GROUP BY id)
-SELECT coalesce(e.id, l.id) AS id, e.user_id,
+SELECT coalesce(e.id, l.id) AS id, coalesce(e.user_id, l.id) AS user_id,
        CASE WHEN l.id IS NOT NULL THEN l.r ELSE e.handoff_reason END AS handoff_reason,
-       (l.id IS NOT NULL AND e.user_id IS NULL) AS was_inserted, l.id IS NOT NULL AS touched
+       e.id IS NULL AS was_inserted, l.id IS NOT NULL AS touched
 FROM existing e FULL OUTER JOIN lastu l ON e.id = l.id""")
 def upsert_handoff_reason(spark, d):
     existing = read_table(spark, d, "conversations", "conv_id").select(
@@ -273,19 +273,8 @@ FROM customer c LEFT JOIN red r ON c.c_custkey = r.customer_id""")
 def merge_customer_info(spark, d):
     spec = PZ.SPECS["user_info"]
     parsed = PZ.parse_model_output(PQ.raw_outputs(spark, d, spec), spec).where(~F.col("is_fallback"))
-    parsed = parsed.select(F.col("user_id").cast("bigint").alias("customer_id"), F.col("event_id").alias("ts"),
-                           F.col("event_id").alias("msg_id"), "name", "phone", "email",
-                           F.col("preferences").alias("metadata"))
-    found = (F.coalesce(F.col("name"), F.lit("")) != "") | (F.coalesce(F.col("phone"), F.lit("")) != "") \
-        | (F.coalesce(F.col("email"), F.lit("")) != "")
-    parsed = parsed.where(found)
-    red = X.last_update_per_key(parsed.withColumn("name", F.nullif("name", F.lit("")))
-                                .withColumn("phone", F.nullif("phone", F.lit("")))
-                                .withColumn("email", F.nullif("email", F.lit(""))),
-                                "customer_id", ["name", "phone", "email"])
-    patch = X.metadata_patch(parsed.withColumnRenamed("customer_id", "id"))
-    info = (red.join(patch.withColumnRenamed("id", "customer_id"), "customer_id", "left")
-            .select("customer_id", "name", "phone", "email", F.col("_patch").alias("preferences")))
+    info = parsed.select(F.col("user_id").cast("bigint").alias("customer_id"), F.col("event_id").alias("ts"),
+                         F.col("event_id").alias("msg_id"), "name", "phone", "email", "preferences")
     cust = read_table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("full_name"),
         F.lit(None).cast("string").alias("phone"), F.lit(None).cast("string").alias("email"),

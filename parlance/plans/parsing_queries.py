@@ -120,6 +120,10 @@ def _inputs():
         ("current_node", F.lit("greeting"), "'greeting'"),
         ("first_label", F.lit("VIP"), "'VIP'"),
         ("rule_priority", (F.col("event_id") % 3 + 1).cast("bigint"), "CAST(event_id % 3 + 1 AS BIGINT)"),
+        *((f"in_policy_flags_{f}", F.col("event_id") % (i + 3) == 0, f"event_id % {i + 3} = 0")
+          for i, f in enumerate(PZ._FLAGS)),
+        *((f"in_emotion_score_{e}", (F.col("event_id") % (i + 2)) / 10.0, f"(event_id % {i + 2}) / 10.0")
+          for i, e in enumerate(PZ._EMOTIONS)),
     ]
 
 
@@ -135,6 +139,8 @@ _INPUT_SQL = [
     ("current_node", "'greeting'"),
     ("first_label", "'VIP'"),
     ("rule_priority", "CAST(event_id % 3 + 1 AS BIGINT)"),
+    *((f"in_policy_flags_{f}", f"event_id % {i + 3} = 0") for i, f in enumerate(PZ._FLAGS)),
+    *((f"in_emotion_score_{e}", f"CAST((event_id % {i + 2}) / 10.0 AS DOUBLE)") for i, e in enumerate(PZ._EMOTIONS)),
 ]
 
 

@@ -157,9 +157,11 @@ r AS (SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppk
              p.price AS catalog_price, p.stock_quantity AS stock
       FROM lineitem l JOIN products p ON l.l_partkey = p.id),
 c AS (SELECT *, ({' OR '.join(f"instr(lower(response), '{b}') > 0" for b in S.BANNED_PHRASES)}) AS banned,
-             TRY_CAST(nullif(regexp_extract(response, '([0-9]+(\\.[0-9]+)?)', 1), '') AS DECIMAL(12,2)) AS quoted
+             list_transform(regexp_extract_all(response, '{S.PRICE_RE}', 1), lambda x: CAST(replace(
+               CASE WHEN regexp_full_match(x, '[0-9]+([.,][0-9]{{3}})+') THEN regexp_replace(x, '[.,]', '', 'g') ELSE x END,
+               ',', '.') AS DECIMAL(14,2))) AS quoted
       FROM r),
-d AS (SELECT *, CASE WHEN banned THEN 'banned phrase' WHEN coalesce(quoted <> catalog_price, false) THEN 'price mismatch'
+d AS (SELECT *, CASE WHEN banned THEN 'banned phrase' WHEN len(list_filter(quoted, lambda x: x <> catalog_price)) > 0 THEN 'price mismatch'
                      WHEN stock <= 0 THEN 'out of stock offered' END AS reason_recheck FROM c)
 SELECT q_id, NOT banned AS approved, reason_recheck IS NOT NULL AND NOT banned AS sales_doublecheck, reason_recheck
 FROM d""")

@@ -49,3 +49,28 @@ def test_vector_delete_null_predicate_deletes_nothing(spark):
                               "id long, shop_id string, doc_id string, product_id string")
     assert X.vector_delete(v, shop_id="s").count() == 1
     assert X.vector_delete(v, product_id="p", shop_id="s").count() == 1
+
+
+def test_insert_if_absent_takes_the_least_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, 0, "x")], "id long, n int, v string")
+    new = spark.createDataFrame([(1, 1, "a"), (2, 9, "b"), (2, 3, "c"), (2, 3, "d")], "id long, n int, v string")
+    got = sorted(tuple(r) for r in X.insert_if_absent(old, new, ["id"], ["n"]).collect())
+    assert got == [(1, 0, "x"), (2, 3, "c")]
+
+
+def test_merges_fold_several_rows_of_a_key(spark):
+    c = spark.createDataFrame([(1, "N", None, None, '{"a": 1}'), (2, "M", None, None, None)],
+                              "customer_id long, full_name string, phone string, email string, preferences string")
+    i = spark.createDataFrame([(1, 1, 1, "first", "p1", None, '{"a": 2}'), (1, 2, 2, "", None, "e2", '{"b": 3}'),
+                               (2, 1, 3, None, None, "", '{"z": 1}')],
+                              "customer_id long, ts long, msg_id long, name string, phone string, email string, "
+                              "preferences string")
+    out = {r.customer_id: r for r in X.merge_customer_info(c, i).collect()}
+    assert len(out) == 2 and X.merge_customer_info(c, i).count() == 2
+    assert (out[1].full_name, out[1].phone, out[1].email) == ("first", "p1", "e2")
+    assert json.loads(out[1].preferences) == {"a": 2, "b": 3} and out[2].preferences is None
+    s = spark.createDataFrame([(1, None, "{}")], "id long, handoff_reason string, metadata string")
+    u = spark.createDataFrame([(1, 1, 1, "old", ["t"], []), (1, 2, 2, "new", [], ["k"])],
+                              "id long, ts long, msg_id long, summary string, tags array<string>, key_topics array<string>")
+    r = X.update_session_summary(s, u).collect()
+    assert len(r) == 1 and json.loads(r[0].metadata) == {"summary": "new", "tags": ["t"], "key_topics": ["k"]}

@@ -85,3 +85,19 @@ def test_nested_handoff_defaults(spark):
     r = PZ.parse_model_output(df, "handoff").collect()[0]
     assert r.error is None and r.policy_flags_legal is True and r.policy_flags_medical is False
     assert r.emotion_score_anger == 0.6 and r.emotion_score_joy == 0.0 and r.handoff_reason is None
+
+
+def test_duplicate_keys_non_finite_numbers_and_strict_lists(spark):
+    raws = ['{"intent_code": "a", "clean_intent_text": "t", "confidence": 0.1, "confidence": 0.4}',
+            '{"intent_code": "a", "clean_intent_text": "t", "confidence": NaN}',
+            '{"intent_code": "a", "clean_intent_text": "see: NaN, ok", "confidence": 0.5}']
+    df = spark.createDataFrame([(i, r, "u", "s") for i, r in enumerate(raws)],
+                               "i int, raw string, user_id string, session_id string")
+    out = {r.i: r for r in PZ.parse_model_output(df, "intent").collect()}
+    assert (out[0].is_fallback, out[0].confidence, out[0].error) == (False, 0.4, None)
+    assert (out[1].is_fallback, out[1].error) == (False, "confidence: range")
+    assert out[2].clean_intent_text == "see: NaN, ok" and out[2].error is None
+    lists = ['["a", "b"]', "[]", '["a", 1]', '["a", null]', '["a", ["b"]]', "[1]", '"a"']
+    df = spark.createDataFrame([(i, '{"explicit_requirements": %s}' % x) for i, x in enumerate(lists)], "i int, raw string")
+    out = {r.i: r.error for r in PZ.parse_model_output(df, "requirement").collect()}
+    assert out == {0: None, 1: None, **{i: "explicit_requirements: type" for i in range(2, 7)}}
