@@ -1,24 +1,24 @@
 """Catalog listing, combo candidates and text-to-combo matching (#10, #11, #21-#24, #51).
 
-Matching plan.  Every shop's combo list is at most ``limit`` rows (the listing
-limit is the reference's own feature), so it is folded into one row per shop: an
-array of candidates in catalog order.  A question then joins exactly one row (an
-equi-join on ``shop_id``, 1:1, no fan-out) and the first candidate whose name
-occurs in the question is ``filter(cands, ...)[0]`` inside the question's row.  No
-nested-loop join, no all-pairs, no aggregate after the join.  The per-shop table
-is small and AQE broadcasts it from its measured size; when it is not, the join is
-a sort-merge join whose hot-shop partitions AQE splits (the shop side of each key
-is one row, so splitting is cheap).
+Matching plan.  The whole catalog is searched; only the listing (#10) has a limit.  A
+candidate's place in the catalog is its ``rank`` struct (name, then id), so "first in
+catalog order" is a ``min`` and no shop is sorted in one task.  Names are reduced to one
+row per shop and spelling.  A name can only occur in a text that holds the name's first
+``GRAM`` characters, so distinct texts are expanded to their short substrings and meet
+names by an equi-join on (shop, substring); the substring spreads a hot shop.  The keyword
+pass and the ranking are equi-joins of the same kind.  There is no nested-loop join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import contains_any, normalize, normalize_name, py_strip
 
 LISTING_LIMIT = 50
+#: Characters of a name that a text must hold to be compared with the whole name.
+GRAM = 4
 
 # Price-intent keywords, matched on the normalised message.
 PRICE_KEYWORDS = ["giá", "bao nhiêu", "price", "cost", "tiền"]
@@ -52,10 +52,13 @@ def catalog_listing(products: DataFrame, limit: int = LISTING_LIMIT) -> DataFram
                     F.col("price").cast("double").alias("price"), F.col("stock_quantity")))
 
 
-def combo_candidates(listing: DataFrame, shops: DataFrame | None = None) -> DataFrame:
-    """#11: product -> single-product combo; shops with an empty listing get the demo combos."""
-    combos = listing.select(
-        "shop_id", "position",
+def combo_candidates(products: DataFrame, shops: DataFrame | None = None) -> DataFrame:
+    """#11: product -> single-product combo; shops without products get the demo combos."""
+    def rank(seq, name, pid):
+        return F.struct(seq.cast("int").alias("seq"), name.alias("name"), pid.cast("long").alias("id")).alias("rank")
+
+    combos = products.select(
+        "shop_id", rank(F.lit(0), F.col("name"), F.col("id")),
         F.coalesce(F.nullif(F.col("sku"), F.lit("")), F.col("id").cast("string")).alias("combo_id"),
         F.array(F.col("name")).alias("products"),
         F.col("stock_quantity").cast("int").alias("stock"),
@@ -63,82 +66,75 @@ def combo_candidates(listing: DataFrame, shops: DataFrame | None = None) -> Data
         F.lit(False).alias("is_demo"))
     if shops is None:
         return combos
-    demo = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("combo_id"),
-                              F.array(F.lit(n)).alias("products"), F.lit(s).alias("stock"),
+    demo = F.array(*[F.struct(rank(F.lit(i + 1), F.lit(n), F.lit(None)), F.lit(c).alias("combo_id"),
+                              F.array(F.lit(n)).alias("products"), F.lit(s).cast("int").alias("stock"),
                               F.lit(p).alias("price")) for i, (c, n, s, p) in enumerate(DEMO_COMBOS)])
-    empty = shops.select(F.col("id").alias("shop_id")).join(listing.select("shop_id"), "shop_id", "left_anti")
-    fallback = (empty.select("shop_id", F.inline(demo))
-                .select("shop_id", F.col("position").cast("int").alias("position"), "combo_id", "products",
-                        F.col("stock").cast("int").alias("stock"), "price", F.lit(True).alias("is_demo")))
-    return combos.unionByName(fallback)
+    empty = shops.select(F.col("id").alias("shop_id")).join(products.select("shop_id"), "shop_id", "left_anti")
+    return combos.unionByName(empty.select("shop_id", F.inline(demo)).withColumn("is_demo", F.lit(True)))
 
 
-def shop_candidate_arrays(candidates: DataFrame) -> DataFrame:
-    """One row per shop with its match structures (all bounded by the listing limit).
+def _haystack(questions: DataFrame, text_col: str, extra_cols: tuple) -> DataFrame:
+    """``questions`` with the normalised text and requirement texts as ``_hay``."""
+    pieces = F.array(normalize(F.col(text_col)))
+    for c in extra_cols:
+        pieces = F.concat(pieces, F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), normalize))
+    return questions.withColumn("_hay", F.array_join(pieces, " "))
 
-    * ``name_cands``: distinct non-empty normalised names, each with the first combo
-      (catalog order) carrying it - a later combo with the same name can never be
-      the first hit, so dropping it is exact and shrinks the per-question scan;
-    * ``kw_<i>``: per keyword group, the first combo whose name hits the group;
-    * ``cands``: every candidate with stock (for ranking).
-    """
-    kw_groups = list(KEYWORD_GROUPS.values())
-    c = candidates.select(
-        "shop_id", "position", "combo_id", "price", "stock",
-        normalize_name(F.col("products")[0]).alias("token"),
-        F.concat_ws(" ", normalize(F.col("combo_id")),
-                    F.array_join(F.transform("products", lambda p: normalize(p)), " ")).alias("combo_name"))
-    first = F.struct("position", "combo_id")
-    names = (c.where(F.length("token") > 0).groupBy("shop_id", "token")
-             .agg(F.min(first).alias("f"))
-             .groupBy("shop_id")
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("f.position").alias("position"),
-                                                        F.col("f.combo_id").alias("combo_id"),
-                                                        F.col("token")))).alias("name_cands")))
-    per_shop = c.groupBy("shop_id").agg(
-        *[F.min(F.when(contains_any(F.col("combo_name"), kws), first)).alias(f"kw_{i}")
-          for i, kws in enumerate(kw_groups)])
-    # ranking: in-stock candidates with the same name tie on name hits, so only the
-    # best of them (most stock, then first in catalog order) can win
-    best = F.struct((-F.col("stock")).alias("neg_stock"), "position", "combo_id")
-    ranks = (c.where((F.col("stock") > 0) & (F.length("token") > 0)).groupBy("shop_id", "token")
-             .agg(F.min(best).alias("b"))
-             .groupBy("shop_id")
-             .agg(F.collect_list(F.struct(F.col("b.position").alias("position"),
-                                          F.col("b.combo_id").alias("combo_id"),
-                                          (-F.col("b.neg_stock")).alias("stock"), F.col("token"))).alias("cands")))
-    return per_shop.join(names, "shop_id", "left").join(ranks, "shop_id", "left")
-
-
-def match_combos(questions: DataFrame, shop_cands: DataFrame, text_col: str = "text",
-                 extra_cols: tuple = ()) -> DataFrame:
+
+def _names(candidates: DataFrame) -> DataFrame:
+    """Candidates with the spelling that is looked for in texts."""
+    return candidates.withColumn("token", normalize_name(F.col("products")[0])).where(F.length("token") > 0)
+
+
+def name_hits(hays: DataFrame, names: DataFrame) -> DataFrame:
+    """``shop_id, _hay, token`` for every name that occurs in a text of its shop."""
+    grams = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length("_hay")),
+        lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.substring(F.col("_hay"), i, k)))))
+    texts = hays.where(F.length("_hay") > 0).select("shop_id", "_hay", F.explode(grams).alias("gram"))
+    keyed = names.select("shop_id", "token", F.substring("token", 1, GRAM).alias("gram")).distinct()
+    return texts.join(keyed, ["shop_id", "gram"]).where(F.instr("_hay", F.col("token")) > 0).select(
+        "shop_id", "_hay", "token")
+
+
+def match_combos(questions: DataFrame, candidates: DataFrame, text_col: str = "text",
+                 extra_cols: tuple = (), keyword_groups: dict = KEYWORD_GROUPS) -> DataFrame:
     """#22 / #23 / #51: name match, keyword-group match and price intent per question.
 
     ``questions`` has ``shop_id`` and a text column; ``extra_cols`` are further
-    requirement texts (explicit / implicit lists) appended to the haystack.  The
-    keyword pass is the first combo over the groups the question hits: a ``least``
-    of at most three per-shop structs, no per-candidate work.
+    requirement texts (explicit / implicit lists) appended to the haystack.
     """
-    kw_groups = list(KEYWORD_GROUPS.values())
-    pieces = F.array(normalize(F.col(text_col)))
-    for c in extra_cols:
-        pieces = F.concat(pieces, F.transform(F.coalesce(F.col(c), F.array()), lambda x: normalize(x)))
-    q = questions.withColumn("_hay", F.array_join(pieces, " "))
-    j = q.join(shop_cands.drop("cands"), "shop_id", "left")
+    groups = list(keyword_groups.values())
+    q = _haystack(questions, text_col, extra_cols)
+    hays = q.where(F.length(py_strip(F.col("_hay"))) > 0).select("shop_id", "_hay").distinct()
+    names = _names(candidates)
+    first = F.struct("rank", "combo_id")
+    firsts = names.groupBy("shop_id", "token").agg(F.min(first).alias("first"))
+    by_name = name_hits(hays, names).join(firsts, ["shop_id", "token"]).groupBy("shop_id", "_hay").agg(
+        F.min("first").alias("name_match"))
+    spelled = candidates.withColumn("spelled", F.concat_ws(" ", normalize(F.col("combo_id")),
+                                                           F.array_join(F.transform("products", normalize), " ")))
+    by_group = spelled.groupBy("shop_id").agg(
+        *[F.min(F.when(contains_any(F.col("spelled"), kws), first)).alias(f"kw_{i}") for i, kws in enumerate(groups)])
+    j = q.join(by_name, ["shop_id", "_hay"], "left").join(by_group, "shop_id", "left")
     has_text = F.length(py_strip(F.col("_hay"))) > 0
-    name_hit = F.get(F.filter(F.col("name_cands"), lambda c: F.instr(F.col("_hay"), c["token"]) > 0), 0)
-    kw_hit = F.least(*[F.when(contains_any(F.col("_hay"), kws), F.col(f"kw_{i}")) for i, kws in enumerate(kw_groups)])
-    return (j.withColumn("name_match", F.when(has_text, name_hit))
-            .withColumn("keyword_match", F.when(has_text & F.col("name_match").isNull(), kw_hit))
-            .withColumn("price_intent", contains_any(normalize(F.col(text_col)), PRICE_KEYWORDS))
-            .drop("name_cands", "_hay", *[f"kw_{i}" for i in range(len(kw_groups))]))
+    kw_hits = [F.when(contains_any(F.col("_hay"), kws), F.col(f"kw_{i}")) for i, kws in enumerate(groups)]
+    kw_hit = F.least(*kw_hits) if len(kw_hits) > 1 else kw_hits[0]
+    return (j.withColumn("keyword_match", F.when(has_text & F.col("name_match").isNull(), kw_hit))
+            .withColumn("price_intent", price_intent(F.col(text_col)))
+            .drop("_hay", *[f"kw_{i}" for i in range(len(groups))]))
+
+
+def price_intent(text: Column) -> Column:
+    """#51: whether a message asks for a price."""
+    return contains_any(normalize(text), PRICE_KEYWORDS)
 
 
 def selected_combo_lookup(selections: DataFrame, candidates: DataFrame) -> DataFrame:
-    """#21: first candidate (lowest position) whose combo_id equals the selected id, else null."""
+    """#21: first candidate in catalog order whose combo_id equals the selected id, else null."""
     firsts = (candidates.groupBy("shop_id", F.col("combo_id").alias("selected_combo"))
-              .agg(F.min(F.struct("position", "price")).alias("_first"))
-              .select("shop_id", "selected_combo", F.col("_first.position").alias("sel_position"),
+              .agg(F.min(F.struct("rank", "price")).alias("_first"))
+              .select("shop_id", "selected_combo", F.col("_first.rank").alias("sel_rank"),
                       F.col("_first.price").alias("sel_price")))
     return selections.join(firsts, ["shop_id", "selected_combo"], "left")
 
@@ -148,5 +144,5 @@ def fallback_combo(matched: DataFrame) -> DataFrame:
     heur = F.coalesce(F.col("name_match.combo_id"), F.col("keyword_match.combo_id"))
     return matched.withColumn(
         "final_combo",
-        F.when(F.col("sel_position").isNotNull(), F.col("selected_combo"))
+        F.when(F.col("sel_rank").isNotNull(), F.col("selected_combo"))
          .when(F.col("price_intent"), heur))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators import catalog
+
 from parlance.operators.retrieval import tokens
 
 # Fixed values (our rule tables; the prompts name the labels but give no terms).
@@ -164,25 +166,31 @@ def stage_classification(messages: DataFrame, allowed_stages: list[str], success
             .withColumn("confidence", F.coalesce(conf, F.lit(FALLBACK_CONFIDENCE))))
 
 
-def combo_ranking(questions: DataFrame, shop_cands: DataFrame, text_col: str = "text") -> DataFrame:
+def combo_ranking(questions: DataFrame, candidates: DataFrame, text_col: str = "text",
+                  extra_cols: tuple = ()) -> DataFrame:
     """#60d: best in-stock combo: explicit name hit, then word hits, then stock, then catalog order.
 
-    The shop's in-stock candidates (one per distinct name, bounded by the listing
-    limit) are ranked inside the question's row; no candidate with a hit -> null.
+    Names meet texts as in the catalog matching, words by an equi-join on (shop, word); of
+    equal names in a shop the one with most stock stands for all.  ``extra_cols`` are lists
+    of requirement texts that count as part of the message.  No hit -> null.
     """
-    hay = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    qtok = tokens(F.col(text_col))
-    scored = F.transform(F.col("cands"), lambda c: F.struct(
-        (F.instr(hay, c["token"]) > 0).cast("int").alias("explicit"),
-        F.size(F.array_intersect(F.split(c["token"], " "), qtok)).alias("implicit"),
-        c["stock"].alias("stock"), c["position"].alias("position"), c["combo_id"].alias("combo_id")))
-    usable = F.filter(scored, lambda s: (s["explicit"] > 0) | (s["implicit"] > 0))
-    ranked = F.array_sort(usable, lambda a, b: F.when(a["explicit"] != b["explicit"], b["explicit"] - a["explicit"])
-                          .when(a["implicit"] != b["implicit"], b["implicit"] - a["implicit"])
-                          .when(a["stock"] != b["stock"], b["stock"] - a["stock"])
-                          .otherwise(a["position"] - b["position"]))
-    j = questions.join(shop_cands.select("shop_id", "cands"), "shop_id", "left")
-    return j.withColumn("best_combo", F.get(ranked, 0)["combo_id"]).drop("cands")
+    pieces = [F.coalesce(F.col(text_col), F.lit("")), *(F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
+                                                        for c in extra_cols)]
+    q = questions.withColumn("_hay", F.lower(F.concat_ws(" ", *pieces)))
+    hays = q.select("shop_id", "_hay").distinct()
+    names = catalog._names(candidates.where(F.col("stock") > 0))
+    best = names.groupBy("shop_id", "token").agg(F.min(F.struct(
+        (-F.col("stock")).alias("less"), "rank", "combo_id")).alias("best"))
+    explicit = catalog.name_hits(hays, names).withColumn("explicit", F.lit(1)).withColumn("implicit", F.lit(0))
+    words = best.select("shop_id", "token", F.explode(F.array_distinct(F.split("token", " "))).alias("word"))
+    implicit = (hays.select("shop_id", "_hay", F.explode(F.array_distinct(tokens(F.col("_hay")))).alias("word"))
+                .join(words, ["shop_id", "word"])
+                .select("shop_id", "_hay", "token", F.lit(0).alias("explicit"), F.lit(1).alias("implicit")))
+    hits = explicit.unionByName(implicit).groupBy("shop_id", "_hay", "token").agg(
+        (-F.max("explicit")).alias("e"), (-F.sum("implicit")).alias("i"))
+    top = hits.join(best, ["shop_id", "token"]).groupBy("shop_id", "_hay").agg(
+        F.min(F.struct("e", "i", "best")).alias("top"))
+    return q.join(top, ["shop_id", "_hay"], "left").withColumn("best_combo", F.col("top.best.combo_id")).drop("top", "_hay")
 
 
 def plain_number(x: Column) -> Column:

@@ -25,11 +25,11 @@ listing AS (
          id, name, sku, CAST(price AS DOUBLE) AS price, stock_quantity
   FROM products QUALIFY position <= {C.LISTING_LIMIT}),
 cands AS (
-  SELECT shop_id, position, coalesce(nullif(sku, ''), CAST(id AS VARCHAR)) AS combo_id, name,
-         CAST(stock_quantity AS INTEGER) AS stock, price,
+  SELECT shop_id, row_number() OVER (PARTITION BY shop_id ORDER BY name, id) AS position, id, coalesce(nullif(sku, ''), CAST(id AS VARCHAR)) AS combo_id, name,
+         CAST(stock_quantity AS INTEGER) AS stock, CAST(price AS DOUBLE) AS price,
          replace({_norm_sql('name')}, '_', ' ') AS token,
          {_norm_sql("coalesce(nullif(sku, ''), CAST(id AS VARCHAR))")} || ' ' || {_norm_sql('name')} AS combo_name
-  FROM listing),
+  FROM products),
 q AS (
   SELECT q_id, shop_id, part_id, text, {_norm_sql('text')} AS hay FROM product_questions)
 """
@@ -41,7 +41,7 @@ def _listing(spark, d):
 
 
 def _candidates(spark, d):
-    return C.combo_candidates(_listing(spark, d), B.shops(spark, d))
+    return C.combo_candidates(B.products(spark, d))
 
 
 @register("catalog_listing", _LISTING_SQL + "SELECT * FROM listing")
@@ -49,15 +49,27 @@ def catalog_listing(spark, d):
     return _listing(spark, d)
 
 
-@register("combo_candidates", _LISTING_SQL + """
-SELECT shop_id, position, combo_id, to_json([name]) AS products, stock, price, false AS is_demo FROM cands""")
+_DEMO_SQL = ", ".join(f"('{c}', '[\"{n}\"]', {s}, {p})" for c, n, s, p in C.DEMO_COMBOS)
+
+
+@register("combo_candidates", _LISTING_SQL + f"""
+SELECT shop_id, combo_id, CAST(to_json([name]) AS VARCHAR) AS products, stock, price, false AS is_demo FROM cands
+UNION ALL SELECT n.n_name, d.combo_id, d.products, CAST(d.stock AS INTEGER), CAST(d.price AS DOUBLE), true
+FROM nation n, (VALUES {_DEMO_SQL}) d(combo_id, products, stock, price)""")
 def combo_candidates(spark, d):
-    return _candidates(spark, d).withColumn("products", F.to_json("products"))
+    """The catalog's shops, and the nations as shops that have no product yet."""
+    from parlance.sources.tables import read_table
+
+    shops = B.shops(spark, d).select("id").union(read_table(spark, d, "nation", "n_name"))
+    return C.combo_candidates(B.products(spark, d), shops).withColumn("products", F.to_json("products")).drop("rank")
+
+
+#: Keyword groups of the queries: the fixed ones, and two whose words occur in the driver data.
+GROUPS = C.KEYWORD_GROUPS | {"widgets": ["promo", "widget"], "bolts": ["economy", "bolt"]}
 
 
 def _matched(spark, d):
-    cands = _candidates(spark, d)
-    return C.match_combos(B.product_questions(spark, d), C.shop_candidate_arrays(cands))
+    return C.match_combos(B.product_questions(spark, d), _candidates(spark, d), keyword_groups=GROUPS)
 
 
 _NAME_SQL = """
@@ -72,7 +84,7 @@ name_hits AS (
 def _kw_sql():
     conds = " OR ".join(
         f"({_contains_any_sql('q.hay', kws)} AND {_contains_any_sql('c.combo_name', kws)})"
-        for kws in C.KEYWORD_GROUPS.values())
+        for kws in GROUPS.values())
     return f"""
 kw_hits AS (
   SELECT q.q_id, arg_min(c.combo_id, c.position) AS keyword_combo
@@ -97,11 +109,12 @@ def combo_keyword_match(spark, d):
 @register("price_intent", _LISTING_SQL + f"""
 SELECT q_id, {_contains_any_sql('hay', C.PRICE_KEYWORDS)} AS price_intent FROM q""")
 def price_intent(spark, d):
-    return _matched(spark, d).select("q_id", "price_intent")
+    q = B.product_questions(spark, d)
+    return q.select("q_id", C.price_intent(F.col("text")).alias("price_intent"))
 
 
 def _selections(spark, d):
-    """Each question 'selects' the combo id of its own part (which may be outside the listing)."""
+    """Each question 'selects' the combo id of its own part ."""
     q = B.product_questions(spark, d)
     sel = F.when(F.col("part_id") % 7 == 0, F.col("part_id").cast("string")) \
            .when(F.col("part_id") % 11 == 0, F.col("part_id").cast("string")) \
@@ -114,23 +127,23 @@ sel AS (
   SELECT q.*, CASE WHEN part_id % 7 = 0 THEN CAST(part_id AS VARCHAR) WHEN part_id % 11 = 0 THEN CAST(part_id AS VARCHAR)
                    ELSE shop_id || '-' || CAST(part_id AS VARCHAR) END AS selected_combo FROM q),
 firsts AS (
-  SELECT shop_id, combo_id, min(position) AS sel_position, arg_min(price, position) AS sel_price
+  SELECT shop_id, combo_id, arg_min(id, position) AS sel_product, arg_min(price, position) AS sel_price
   FROM cands GROUP BY shop_id, combo_id),
 looked AS (
-  SELECT s.q_id, s.hay, s.selected_combo, f.sel_position, f.sel_price
+  SELECT s.q_id, s.hay, s.selected_combo, f.sel_product, f.sel_price
   FROM sel s LEFT JOIN firsts f ON s.shop_id = f.shop_id AND s.selected_combo = f.combo_id)"""
 
 
 @register("selected_combo_lookup", _LISTING_SQL + "," + _SEL_SQL +
-          "\nSELECT q_id, selected_combo, sel_position, sel_price FROM looked")
+          "\nSELECT q_id, selected_combo, sel_product, sel_price FROM looked")
 def selected_combo_lookup(spark, d):
     return (C.selected_combo_lookup(_selections(spark, d), _candidates(spark, d))
-            .select("q_id", "selected_combo", "sel_position", "sel_price"))
+            .select("q_id", "selected_combo", F.col("sel_rank.id").alias("sel_product"), "sel_price"))
 
 
 @register("fallback_combo", _LISTING_SQL + "," + _NAME_SQL + "," + _kw_sql() + "," + _SEL_SQL + f"""
 SELECT l.q_id, {_contains_any_sql('l.hay', C.PRICE_KEYWORDS)} AS price_intent,
-       CASE WHEN l.sel_position IS NOT NULL THEN l.selected_combo
+       CASE WHEN l.sel_product IS NOT NULL THEN l.selected_combo
             WHEN {_contains_any_sql('l.hay', C.PRICE_KEYWORDS)} THEN coalesce(n.name_combo, k.keyword_combo) END
          AS final_combo
 FROM looked l LEFT JOIN name_hits n ON l.q_id = n.q_id
@@ -138,5 +151,5 @@ FROM looked l LEFT JOIN name_hits n ON l.q_id = n.q_id
 def fallback_combo(spark, d):
     cands = _candidates(spark, d)
     looked = C.selected_combo_lookup(_selections(spark, d), cands)
-    matched = C.match_combos(looked, C.shop_candidate_arrays(cands))
+    matched = C.match_combos(looked, cands, keyword_groups=GROUPS)
     return C.fallback_combo(matched).select("q_id", "price_intent", "final_combo")

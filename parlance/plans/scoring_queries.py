@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import catalog as C
 from parlance.operators import scoring as S
 from parlance.plans import catalog_queries as CQ
 from parlance.plans.registry import register
@@ -132,8 +131,7 @@ best AS (SELECT q_id, arg_min(combo_id, (-explicit, -implicit, -stock, position)
          WHERE stock > 0 AND (explicit > 0 OR implicit > 0) GROUP BY q_id)
 SELECT q.q_id, b.best_combo FROM q LEFT JOIN best b ON q.q_id = b.q_id""")
 def combo_ranking(spark, d):
-    cands = C.shop_candidate_arrays(CQ._candidates(spark, d))
-    return S.combo_ranking(B.product_questions(spark, d), cands).select("q_id", "best_combo")
+    return S.combo_ranking(B.product_questions(spark, d), CQ._candidates(spark, d)).select("q_id", "best_combo")
 
 
 # ------------------------------------------------------------------ #60e

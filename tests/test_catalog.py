@@ -40,13 +40,12 @@ def test_match_against_brute_force(spark):
     prods = spark.createDataFrame(PRODUCTS, "id long, shop_id string, name string, sku string, "
                                             "stock_quantity int, price double")
     shops = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "id string")
-    listing = C.catalog_listing(prods)
-    cands = C.combo_candidates(listing, shops)
+    cands = C.combo_candidates(prods, shops)
     qs = spark.createDataFrame(QUESTIONS, "q_id string, shop_id string, text string")
     got = {r.q_id: (r.name_match.combo_id if r.name_match else None,
                     r.keyword_match.combo_id if r.keyword_match else None, r.price_intent)
-           for r in C.match_combos(qs, C.shop_candidate_arrays(cands)).collect()}
-    cand_rows = sorted(cands.collect(), key=lambda r: (r.shop_id, r.position))
+           for r in C.match_combos(qs, cands).collect()}
+    cand_rows = sorted(cands.collect(), key=lambda r: (r.shop_id, r.rank.seq, r.rank.name, r.rank.id or 0))
     for qid, shop, text in QUESTIONS:
         combos = [(c.combo_id, list(c.products)) for c in cand_rows if c.shop_id == shop]
         name, kw, price = got[qid]
@@ -65,10 +64,22 @@ def test_listing_top_50_by_name_then_id(spark):
     assert got == sorted((f"n{i % 7}", i) for i in range(120))[:50]
 
 
-def test_selected_lookup_first_position(spark):
-    cands = spark.createDataFrame([("s", 1, "A", 1.0), ("s", 2, "A", 2.0), ("s", 3, "B", 3.0)],
-                                  "shop_id string, position int, combo_id string, price double")
+def test_selected_lookup_takes_the_first_in_catalog_order(spark):
+    prods = spark.createDataFrame([(1, "s", "b", "A", 1, 1.0), (2, "s", "a", "A", 1, 2.0), (3, "s", "c", "B", 1, 3.0)],
+                                  "id long, shop_id string, name string, sku string, stock_quantity int, price double")
     sel = spark.createDataFrame([("q1", "s", "A"), ("q2", "s", "Z")], "q_id string, shop_id string, "
                                                                       "selected_combo string")
-    got = {r.q_id: (r.sel_position, r.sel_price) for r in C.selected_combo_lookup(sel, cands).collect()}
-    assert got == {"q1": (1, 1.0), "q2": (None, None)}
+    got = {r.q_id: (r.sel_rank and r.sel_rank.id, r.sel_price)
+           for r in C.selected_combo_lookup(sel, C.combo_candidates(prods)).collect()}
+    assert got == {"q1": (2, 2.0), "q2": (None, None)}
+
+
+def test_matching_searches_beyond_the_listing_limit(spark):
+    rows = [(i, "s", f"n{i:04d}", f"sku{i}", 1, 1.0) for i in range(300)]
+    prods = spark.createDataFrame(rows, "id long, shop_id string, name string, sku string, stock_quantity int, "
+                                        "price double")
+    qs = spark.createDataFrame([("q", "s", "giá n0299 bao nhiêu", ["x"]), ("r", "s", "giá", ["cái N0123"])],
+                               "q_id string, shop_id string, text string, wants array<string>")
+    got = {r.q_id: r.name_match and r.name_match.combo_id
+           for r in C.match_combos(qs, C.combo_candidates(prods), extra_cols=("wants",)).collect()}
+    assert got == {"q": "sku299", "r": "sku123"}
