@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import slices
+from parlance.llm.common import arrow_map, slices
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the padded matrices; longer pieces are merged one by one.
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                                              ["doc_id", "ids"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, ids array<int>"))
+            .transform(arrow_map, run, "doc_id long, ids array<int>"))
 
 
 def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -267,7 +267,7 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
             data = [enc.decode(x or []) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return ids.select("doc_id", "ids").transform(arrow_map, run, "doc_id long, data binary")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str,
@@ -289,4 +289,4 @@ def encode_digests(docs: DataFrame, path: str, pattern: str,
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, SCHEMA))
+            .transform(arrow_map, run, SCHEMA))

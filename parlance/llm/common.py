@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+import parlance
 from parlance.session import ensure_checkpoint_dir
 from parlance.sources.tables import read_table
 
@@ -42,3 +46,29 @@ def slices(batches, size: int = SLICE) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package (``addPyFile``), once per Spark application.
+
+    Workers import it as a module, so what a module caches lasts as long as the worker.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_parlance_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(parlance.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="parlance-code-"), "parlance_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(os.path.dirname(os.path.abspath(parlance.__file__))):
+            for name in names:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    archive.write(at, os.path.relpath(at, top))
+    context.addPyFile(path)
+    context._parlance_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import slices, stored
+from parlance.llm.common import arrow_map, slices, stored
 
 WORDS = 5
 #: Word hashes that one worker keeps (about 0.15 KB each).
@@ -134,7 +134,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 [part.column(0), pa.array(n, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
                 ["doc", "n", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc long, n int, d1 long, d2 long")
+    return docs.transform(arrow_map, run, "doc long, n int, d1 long, d2 long")
 
 
 def hash_prefixes(docs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def hash_prefixes(docs: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))],
                     ["token", "doc"])
 
-    return docs.mapInArrow(run, "token long, doc long")
+    return docs.transform(arrow_map, run, "token long, doc long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc", "hashes"])
 
-    return docs.mapInArrow(run, "doc long, hashes binary")
+    return docs.transform(arrow_map, run, "doc long, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= 75 * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["x", "y"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.transform(arrow_map, run, "x long, y long")
 
 
 # --- components ------------------------------------------------------------------------------
@@ -277,7 +277,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame
                     [pa.array(np.concatenate(own)), part.column(0).take(again)], ["token", "doc"])
 
     tokens = stored(sets.join(enough, "doc", "left_semi").select("doc", "hashes")
-                    .mapInArrow(unpack, "token long, doc long"), "candidate-sets")
+                    .transform(arrow_map, unpack, "token long, doc long"), "candidate-sets")
     lists = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = (tokens.join(lists, "token").withColumn(
         "pos", F.row_number().over(Window.partitionBy("doc").orderBy("df", "token")) - 1)
@@ -315,9 +315,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = stored(found.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep")), "set-classes")
     reps = classes.filter("rep is not null").select(F.col("rep").alias("doc"), "n")
 
-    emitted = hash_prefixes(docs).repartition("token")
-    shared = emitted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    rows = emitted.join(shared.hint("shuffle_hash"), "token", "left_semi")
+    # one shuffle both counts a hash's documents and keeps its rows (a join would emit twice)
+    held = F.count("*").over(Window.partitionBy("token"))
+    rows = hash_prefixes(docs).withColumn("held", held).filter("held > 1").drop("held")
     rows = stored(rows.join(reps, "doc"), "prefixes")
     for _ in range(PRUNES):
         rows = _shared_only(rows)

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import slices, stored
+from parlance.llm.common import arrow_map, slices, stored
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents per language, and languages, that the classifier learns from at most.
@@ -136,7 +136,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> Mode
                 [pa.array([lang] * len(own)), pa.array(own.keys(), pa.int32()), pa.array(own.values(), pa.int64())],
                 ["lang", "feature", "n"])
 
-    sums = sample(docs, per_lang, langs).mapInArrow(run, "lang string, feature int, n long").groupBy(
+    sums = sample(docs, per_lang, langs).transform(arrow_map, run, "lang string, feature int, n long").groupBy(
         "lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
     if not names:
@@ -231,7 +231,7 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 [part.column(0), part.column(1), pa.array(preds), pa.array(shares, pa.float64()),
                  pa.array(spans, SPAN_TYPE)], ["doc_id", "held_out", "lang_pred", "score", "spans"])
 
-    return frame.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double, spans {SPANS}")
+    return frame.transform(arrow_map, run, f"doc_id long, held_out boolean, lang_pred string, score double, spans {SPANS}")
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> DataFrame:
@@ -253,4 +253,4 @@ def language_filter(docs: DataFrame, least: float = 0.5) -> DataFrame:
             preds, shares, _ = labeller.label(part.column(at).to_pylist())
             yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, shares)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)

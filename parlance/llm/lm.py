@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import slices, stored
+from parlance.llm.common import arrow_map, slices, stored
 
 FOLDS, HELD_OUT = 10, 0
 #: Add-constant of the base model.
@@ -254,7 +254,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS))
     return (docs.select(F.col(id_col).cast("long").alias("doc"), (fold == HELD_OUT).alias("out"),
-                        F.col(text_col).alias("text")).mapInArrow(run, BLOCKS))
+                        F.col(text_col).alias("text")).transform(arrow_map, run, BLOCKS))
 
 
 # --- training and scoring ------------------------------------------------------------------------
@@ -271,7 +271,7 @@ def expected_counts(words: DataFrame, path: str, logp: np.ndarray) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "c"])
 
     out = np.zeros(len(logp))
-    for r in words.select("word").mapInArrow(run, "piece int, c double").groupBy("piece").agg(F.sum("c").alias("c")).collect():
+    for r in words.select("word").transform(arrow_map, run, "piece int, c double").groupBy("piece").agg(F.sum("c").alias("c")).collect():
         out[r["piece"]] = r["c"]
     return out
 
@@ -316,7 +316,7 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
             p = (np.logaddexp(paths, whole) + math.log1p(-end)) / math.log(10)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p)], ["word", "c", "score"])
 
-    scored = stored(words.select("word", "c").mapInArrow(word_scores, "word binary, c long, score double"), "lm-scores")
+    scored = stored(words.select("word", "c").transform(arrow_map, word_scores, "word binary, c long, score double"), "lm-scores")
     # a block's dictionary holds at most BLOCK_WORDS words (or those of one text)
     back = entries.select("block", "number", "word").join(scored, "word").groupBy("block").agg(
         F.collect_list(F.struct("number", "c", "score")).alias("e")).select(
@@ -343,6 +343,6 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
                      pa.array(add(base) + base_end), pa.array(add(own) + end_score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return held.select("block", "docs", "folds", "sizes", "numbers").join(back, "block", "left").mapInArrow(
-        sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    return held.select("block", "docs", "folds", "sizes", "numbers").join(back, "block", "left").transform(
+        arrow_map, sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")

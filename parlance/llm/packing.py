@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import slices, stored
+from parlance.llm.common import arrow_map, slices, stored
 from parlance.llm.words import word_ids
 
 LIMIT = 2048
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID,
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, PIECES))
+            .transform(arrow_map, run, PIECES))
 
 
 # --- the bounded problem on the driver: types x capacity --------------------------------
@@ -219,7 +219,7 @@ def assign(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq)], [*batch.schema.names, "sequence_id"])
 
     in_order = Window.partitionBy("sequence_id").orderBy(F.desc("type"), "rank")
-    return (ranked.mapInArrow(place, PIECES + ", type int, rank long, sequence_id long")
+    return (ranked.transform(arrow_map, place, PIECES + ", type int, rank long, sequence_id long")
             .withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
             .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
 

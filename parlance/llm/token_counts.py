@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ASCII_SPACE, slices, stored
+from parlance.llm.common import ASCII_SPACE, arrow_map, slices, stored
 from parlance.llm.words import word_ids
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -72,7 +72,7 @@ def encode_misses(docs: DataFrame, keys: DataFrame, cache: DataFrame, path: str)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())],
                                              ["digest", "n_tokens"])
 
-    return texts.mapInArrow(run, "digest binary, n_tokens long")
+    return texts.transform(arrow_map, run, "digest binary, n_tokens long")
 
 
 def count_tokens(docs: DataFrame, path: str, cache_dir: str, limit: int = 2048,
