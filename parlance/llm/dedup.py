@@ -87,10 +87,10 @@ def drop_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The rows that stay are found by the index; a row that repeats id and text is dropped
     by its other columns' order, so exactly one stays.
     """
-    kept = exact_groups(docs, capacity).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_sha"] == kept["_sha"]), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(
-        *(c for c in docs.columns if c != "doc_id")))
-    return stay.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+    # one key for the join and for the choice among repeated rows, so texts are dealt once
+    same = lambda sha: F.xxhash64("doc_id", sha).alias("_same")
+    kept = exact_groups(docs, capacity).filter("kept").select(same("text_sha256"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("_same", same("_sha"))
+    turn = F.row_number().over(Window.partitionBy("_same", "_sha").orderBy(*(c for c in docs.columns if c != "doc_id")))
+    return (keyed.join(kept, ["_same", "_sha"], "left_semi").withColumn("_turn", turn)
+            .filter("_turn = 1").select(*docs.columns))
