@@ -2,7 +2,7 @@
 
 Dense: a batch of query vectors against a vector table.  The shop filter makes
 the pairing an equi-join on ``shop_id`` (no cross product); distances are
-computed with ``zip_with`` + ``aggregate`` inside codegen, and the top k per
+computed with ``zip_with`` + ``aggregate`` (interpreted per element), and the top k per
 query use ``row_number() <= k`` (WindowGroupLimit: a partial top-k per map task,
 so a query that meets a third of all vectors still ships only k rows per task).
 
@@ -17,11 +17,11 @@ rows, the pairing is an equi-join on ``term`` and the score is ``sum(wq * wd)``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import stored
+
 # Default search parameters of the vector store.
 DEFAULT_K = 10
 NLIST = 1024
@@ -78,15 +78,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K,
     return _top_k(pairs, k)
 
 
-def kmeans_cells(vectors: DataFrame, nlist: int | None = None, seed: int = 7, max_iter: int = 20):
-    """Train IVF cells with ``ml.clustering.KMeans``; nlist shrinks with the data (about sqrt(n), <= 1024)."""
+def kmeans_cells(vectors: DataFrame, nlist: int, seed: int = 7, max_iter: int = 20):
+    """Train ``nlist`` IVF cells with ``ml.clustering.KMeans`` on all vectors (the vector
+    store's own default is ``NLIST``; about the square root of the row count is usual)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     feats = vectors.select("id", array_to_vector(F.col("dense_vector").cast("array<double>")).alias("features"))
-    if nlist is None:
-        n = vectors.count()
-        nlist = max(1, min(NLIST, int(math.sqrt(max(n, 1)))))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(feats)
     return model
 
@@ -117,25 +115,52 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once (a lambda variable is never inlined)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def term_counts(toks: Column) -> Column:
+    """Distinct tokens of a document with their counts, inside its row: the tokens are
+    sorted and each run of equal ones becomes an entry ``(term, tf)``."""
+    def runs(s):
+        starts = F.filter(F.transform(s, lambda x, i: i), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True)))
+        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return _let(F.sort_array(toks), runs)
+
+
+def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, dl, entries)``: token count and term counts of every document (no shuffle)."""
+    return (docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_toks"))
+            .select("doc_id", F.size("_toks").alias("dl"), term_counts(F.col("_toks")).alias("entries")))
+
+
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, term, tf, dl)``: per-document term counts and the document length in tokens."""
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_toks"))
-    t = t.select("doc_id", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
-    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    return document_terms(docs, id_col, text_col).select("doc_id", "dl", F.inline("entries"))
 
 
 def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+                 k1: float = BM25_K1, b: float = BM25_B, only_terms: DataFrame | None = None) -> DataFrame:
     """#70: BM25 posting rows ``(doc_id, term, weight)``.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)).
-    N and avgdl are two scalars from one aggregate over the documents.
+    Texts are cut into terms once; N, avgdl, df and the postings read the stored counts.
+    ``only_terms`` (a frame with ``term``) keeps the postings that a search needs before
+    anything is shuffled by term; N, avgdl and df are those of the whole corpus.
     """
-    tf = term_frequencies(docs, id_col, text_col)
-    stats = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    counted = stored(document_terms(docs, id_col, text_col), "term-counts")
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"]), float(stats["avgdl"] or 1.0)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = counted.select("doc_id", "dl", F.inline("entries"))
+    terms = counted.select(F.explode("entries.term").alias("term"))
+    if only_terms is not None:
+        wanted = only_terms.select("term").distinct()
+        tf, terms = tf.join(wanted, "term", "left_semi"), terms.join(wanted, "term", "left_semi")
+    # stored, so that the join shuffles both sides directly and AQE can split a hot term
+    df = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
     j = tf.join(df, "term")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))

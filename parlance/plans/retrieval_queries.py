@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import retrieval as R
 from parlance.plans.registry import register
+from parlance.session import stored
 from parlance.sources import bindings as B
 from parlance.sources.tables import read_table
 
@@ -66,10 +67,14 @@ def dense_top_k(spark, d):
     return out.select("query_id", "id", "doc_id", "product_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+#: Cells of the registered IVF query.
+IVF_CELLS = 32
+
+
 @register("dense_top_k_ivf")
 def dense_top_k_ivf(spark, d):
     vecs = B.vectors(spark, d)
-    model = R.kmeans_cells(vecs)
+    model = R.kmeans_cells(vecs, IVF_CELLS)
     q = centroid_queries(spark, d).drop("shop_id")
     out = R.dense_top_k_ivf(q, vecs, model)
     return out.select("query_id", "id", "doc_id", "product_id", F.round("distance", 6).alias("distance"), "rank")
@@ -115,5 +120,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
 WHERE rank <= {R.DEFAULT_K}""")
 def sparse_top_k(spark, d):
-    out = R.sparse_top_k(benchmark_query_terms(spark, d), _postings(spark, d))
+    wanted = stored(benchmark_query_terms(spark, d), "query-terms")
+    postings = R.bm25_weights(read_table(spark, d, "documents", "doc_id", "text"), only_terms=wanted)
+    out = R.sparse_top_k(wanted, postings)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package relies on.  AQE re-plans joins from runtime
 # sizes, coalesces small shuffle partitions and splits skewed ones.
@@ -54,3 +55,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as a Parquet table under the shared checkpoint folder and read again.
+
+    For a frame that a plan reads several times: it is computed once, its lineage ends at
+    the files, and a join on it shuffles directly above the scan, so AQE can split a hot key.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ def test_dense_top_k_brute_force(spark):
 def test_ivf_recall_floor(spark):
     vecs = B.vectors(spark, SF_CHECK)
     q = RQ.centroid_queries(spark, SF_CHECK).drop("shop_id")
-    model = R.kmeans_cells(vecs)                      # about sqrt(n) cells
+    model = R.kmeans_cells(vecs, 22)                  # about sqrt(n) cells
     approx = R.dense_top_k_ivf(q, vecs, model, k=10)  # default probes
     q2 = q.crossJoin(vecs.select("id", "dense_vector"))  # brute force on the small fixture only
     exact = R._top_k(q2.withColumn("distance", F.round(R.sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)), 10)
@@ -55,3 +55,14 @@ def test_bm25_python_model(spark):
     qt = spark.createDataFrame([(1, "cat", 1.0), (1, "the", 1.0)], "query_id long, term string, qweight double")
     top = R.sparse_top_k(qt, R.bm25_weights(df), k=2).orderBy("rank").collect()
     assert top[0].doc_id == 1
+    only = R.bm25_weights(df, only_terms=qt.select("term"))
+    assert {(r.doc_id, r.term): r.weight for r in only.collect()} == {k: v for k, v in got.items() if k[1] in ("cat", "the")}
+
+
+def test_ivf_with_every_cell_probed_is_exact(spark):
+    vecs = B.vectors(spark, SF_CHECK)
+    q = RQ.centroid_queries(spark, SF_CHECK).drop("shop_id").limit(3)
+    approx = R.dense_top_k_ivf(q, vecs, R.kmeans_cells(vecs, 8), k=10, nprobe=8)
+    q2 = q.crossJoin(vecs.select("id", "dense_vector"))  # brute force on the small fixture only
+    exact = R._top_k(q2.withColumn("distance", F.round(R.sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)), 10)
+    assert {(r.query_id, r.id) for r in approx.collect()} == {(r.query_id, r.id) for r in exact.collect()}
