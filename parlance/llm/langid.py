@@ -16,8 +16,6 @@ repeated results; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-import bisect
-import zlib
 from collections import Counter
 from itertools import chain
 
@@ -51,23 +49,41 @@ SCRIPT_RANGES = (
     (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x30000, "Other"),
 )
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
-_STARTS = [at for at, _ in SCRIPT_RANGES]
-_NUMBER = [SCRIPTS.index(name) for _, name in SCRIPT_RANGES]
+_STARTS = np.array([at for at, _ in SCRIPT_RANGES], np.uint64)
+_NUMBER = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 _LETTERS = regex.compile(r"\p{L}+")
+_ODD, _OPEN, _CLOSE = np.uint64(0x9E3779B97F4A7C15), 60, 62
 
 
-def script(letter: str) -> int:
-    return _NUMBER[bisect.bisect_right(_STARTS, ord(letter)) - 1]
+def letters(token: str) -> str:
+    return token if token.isalpha() else "".join(_LETTERS.findall(token))
 
 
-def word_features(token: str) -> tuple[list[int], int]:
-    """Hashed n-grams of a token's letters, and its script (-1 without letters)."""
-    letters = "".join(_LETTERS.findall(token))
-    if not letters:
-        return [], -1
-    framed = f"<{letters}>"
-    grams = [framed, *(framed[i:i + k] for k in (2, 3) for i in range(len(framed) - k + 1))]
-    return [zlib.crc32(g.encode()) >> (32 - BITS) for g in grams], script(letters[0])
+class Grams:
+    """Hashed features of words (non-empty, letters only): 2- and 3-grams of the framed
+    word and the word itself, for all words at once, in the order of the words."""
+
+    def __init__(self, words: list[str]):
+        c = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        first = np.flatnonzero(c == _OPEN)
+        self.sizes = np.diff(np.r_[first, len(c)])
+        two, three = c[:-1] * _ODD + c[1:], (c[:-2] * _ODD + c[1:-1]) * _ODD + c[2:]
+        inside = c != _CLOSE
+        self.two = self._hash(two[inside[:-1]], 2)
+        self.three = self._hash(three[inside[:-2] & inside[1:-1]], 3)
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(self.sizes.max(), _ODD)])
+        place = np.arange(len(c)) - np.repeat(first, self.sizes)
+        self.whole = self._hash(np.add.reduceat(c * powers[place], first), 5)
+        self.scripts = _NUMBER[np.searchsorted(_STARTS, c[first + 1], side="right") - 1]
+
+    @staticmethod
+    def _hash(x: np.ndarray, kind: int) -> np.ndarray:
+        x = (x + np.uint64(kind)) * _ODD
+        return (((x ^ (x >> np.uint64(29))) * _ODD) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def kinds(self):
+        """(features, number of them per word) of each kind; every word has each kind."""
+        return (self.two, self.sizes - 1), (self.three, self.sizes - 2), (self.whole, np.ones_like(self.sizes))
 
 
 def _fold(doc: Column) -> Column:
@@ -101,17 +117,18 @@ class Model:
         self.candidate[~self.candidate.any(axis=1)] = True
 
     def scores(self, tokens: list[str]) -> np.ndarray:
-        """One row per token; zeros for tokens without letters, -inf-like for non-candidates."""
-        found = [word_features(t) for t in tokens]
-        out = np.zeros((len(tokens), len(self.langs)), np.float32)
-        on = np.array([i for i, (f, _) in enumerate(found) if f], np.int64)
-        if len(on):
-            sizes = np.array([len(found[i][0]) for i in on])
-            flat = np.fromiter(chain.from_iterable(found[i][0] for i in on), np.int64, sizes.sum())
-            summed = np.add.reduceat(self.table[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-            candidate = self.candidate[[found[i][1] for i in on]]
-            out[on] = np.where(candidate, summed, summed.min(axis=1, keepdims=True) - 100)
-        return out
+        """One row per token; zeros for tokens without letters, very low for non-candidates."""
+        plain = [letters(t) for t in tokens]
+        words = list(dict.fromkeys(w for w in plain if w))
+        table = np.zeros((len(words) + 1, len(self.langs)), np.float32)  # the last row stands for no letters
+        if words:
+            grams = Grams(words)
+            for features, sizes in grams.kinds():
+                table[:-1] += np.add.reduceat(self.table[features], np.cumsum(sizes) - sizes, axis=0)
+            own = table[:-1]
+            table[:-1] = np.where(self.candidate[grams.scripts], own, own.min(axis=1, keepdims=True) - 100)
+        number = dict(zip(words, range(len(words))))
+        return table[np.fromiter((number.get(w, -1) for w in plain), np.int64, len(plain))]
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> Model | None:
@@ -121,19 +138,23 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> Mode
     languages x (2**BITS + scripts) rows.
     """
     def run(batches):
-        counts: dict[str, Counter] = {}
+        counts: dict[str, np.ndarray] = {}
         for part in slices(batches):
+            words: dict[str, Counter] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own = counts.setdefault(lang, Counter())
-                for token, n in Counter(text.lower().split()).items():
-                    grams, kind = word_features(token)
-                    if kind >= 0:
-                        own[(1 << BITS) + kind] += n
-                    for g in grams:
-                        own[g] += n
+                words.setdefault(lang, Counter()).update(map(letters, text.lower().split()))
+            for lang, found in words.items():
+                own = counts.setdefault(lang, np.zeros((1 << BITS) + len(SCRIPTS)))
+                found.pop("", None)
+                if found:
+                    grams, n = Grams(list(found)), np.array(list(found.values()), float)
+                    for features, sizes in grams.kinds():
+                        own += np.bincount(features, np.repeat(n, sizes), len(own))
+                    own += np.bincount((1 << BITS) + grams.scripts, n, len(own))
         for lang, own in counts.items():
+            on = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(own)), pa.array(own.keys(), pa.int32()), pa.array(own.values(), pa.int64())],
+                [pa.array([lang] * len(on)), pa.array(on.astype(np.int32)), pa.array(own[on].astype(np.int64))],
                 ["lang", "feature", "n"])
 
     sums = sample(docs, per_lang, langs).transform(arrow_map, run, "lang string, feature int, n long").groupBy(

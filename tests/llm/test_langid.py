@@ -48,8 +48,8 @@ def test_mixed_text_is_labelled_in_spans(model):
 
 
 def test_scripts_narrow_the_candidates(model):
-    assert L.SCRIPTS[L.script("θ")] == "Greek" and L.SCRIPTS[L.script("ü")] == "Latin"
-    assert L.SCRIPTS[L.script("漢")] == "Han" and L.SCRIPTS[L.script("я")] == "Cyrillic"
+    words = ["θ", "üx", "漢字", "я", "𠀀", "ア", "한"]
+    assert [L.SCRIPTS[i] for i in L.Grams(words).scripts] == ["Greek", "Latin", "Han", "Cyrillic", "Han", "Kana", "Hangul"]
     preds, _, _ = L.Labeller(model).label(["αβγδ θθθ", "ψυχή"])
     assert preds == ["el", "el"]
 
@@ -89,3 +89,14 @@ def test_viterbi_equals_brute_force():
         value = lambda p: sum(own[i, x] for i, x in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731, B023
         assert abs(value(labels[at:at + n].tolist()) - max(map(value, paths))) < 1e-4
         at += n
+
+
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words = ["a", "the", "über", "thethe", "漢", "x" * 500]
+    together, at = L.Grams(words), [0, 0, 0]
+    for i, word in enumerate(words):
+        alone = L.Grams([word])
+        for k, ((all_of, sizes), (own, n)) in enumerate(zip(together.kinds(), alone.kinds())):
+            assert sizes[i] == n[0] == len(own)
+            assert (all_of[at[k]:at[k] + n[0]] == own).all()
+            at[k] += n[0]
