@@ -304,7 +304,8 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame
         (F.col("comp_a") != F.col("comp_b")) & (~F.col("minor") | (F.col("doc_a") > F.col("doc_b")))
         & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
         & (F.col("pos_a") < F.col("n_a") - overlap + demand) & (F.col("pos_b") < F.col("n_b") - overlap + demand))
-    return (met.groupBy(F.col("doc_a").alias("x"), F.col("doc_b").alias("y"))
+    # a pair's sides may change roles from list to list
+    return (met.groupBy(F.greatest("doc_a", "doc_b").alias("x"), F.least("doc_a", "doc_b").alias("y"))
             .agg(F.count("*").alias("c"), F.max(demand).alias("demand")).filter("c >= demand").select("x", "y"))
 
 
