@@ -82,7 +82,7 @@ def test_packing_holds_every_id(stages):
 
 
 def test_edge_rows_and_extra_columns(spark):
-    text = " ".join(f"the thing and other word number {i}" for i in range(20))
+    text = " ".join(f"the thing{c} and other{c} word" for c in "abcdefghijklmnopqrst")
     data = [(1, text, "en", "s", 1, "k"), (2, text, "en", "s", 1, None), (2, text, "en", "s", 1, None),
             (None, text + " more", None, None, None, "z"), (3, None, "en", None, None, None), (4, "", None, "s", 0, "q")]
     docs = spark.createDataFrame(data * 1, "doc_id long, text string, lang string, source string, n_chars long, kept string")
