@@ -13,12 +13,13 @@ their prefixes of ``n - a + l`` and ``m - a + l`` share at least ``l`` of them,
    partner would require, again and again: most documents end here, whatever passages
    they share, and only the sets of the others are ever moved.
 3. Each remaining document is compared with the partner that it shares most with among
-   the smallest ids of its hashes' lists.  These star links are linear in the size of a
-   group of near copies and already connect most of it.
+   the most central documents of its hashes' lists.  These star links are linear in the
+   size of a group of near copies and already connect most of it.
 4. Documents that share enough hashes with *another* component are ordered anew, rarest
    hash first.  A document's prefix is lengthened by its estimated candidate cost (the
-   list lengths of its prefix), and a pair needs as many shared prefix hashes as the
-   shorter lengthening demands, at positions that its two sizes allow.  Pairs inside a
+   lengths of its lists), and a pair needs as many shared prefix hashes as the
+   shorter lengthening demands, at positions that its two sizes allow, and hashes enough
+   that other components hold at all (edits of its own rule a document out).  Pairs inside a
    component are never made; the members of a list's largest component meet the others
    only.
 5. Pairs that remain are verified on whole sets; links become components.
@@ -50,7 +51,7 @@ WORDS = 5
 CACHE = 400_000
 #: Times that documents with too few shared hashes are dropped (each time is exact).
 PRUNES = 2
-#: List length above which a prefix hash counts as costly.
+#: Candidates of a prefix above which it is lengthened, by lists of at most this length.
 COST = 64
 
 _HASHES: dict[bytes, int] = {}
@@ -247,9 +248,18 @@ def _shared_only(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each document with the smallest id of a list that it meets most often."""
-    heads = rows.groupBy("token").agg(F.min("doc").alias("head"))
-    met = (rows.join(heads, "token").filter("doc > head")
+    """Each document with the head of a list that it meets most often.
+
+    A list's head is its most central document, the one with the largest share of its
+    prefix in lists: near copies with few edits of their own link most of their group.
+    """
+    size = F.max("n")
+    base = size - _least_overlap(size)
+    central = rows.groupBy("doc").agg((F.count("*") / F.least(
+        size, base + 1 + F.greatest(F.lit(32), _div(size, 12)))).alias("share"))
+    heads = rows.join(central, "doc").groupBy("token").agg(
+        F.max(F.struct("share", (-F.col("doc")).alias("last")))["last"].alias("last"))
+    met = (rows.join(heads.select("token", (-F.col("last")).alias("head")), "token").filter("doc <> head")
            .groupBy("doc", "head").agg(F.count("*").alias("c")))
     return met.groupBy("doc").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("best")).select(
         F.col("doc").alias("x"), (-F.col("best.h")).alias("y"))
@@ -278,31 +288,36 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame
 
     tokens = stored(sets.join(enough, "doc", "left_semi").select("doc", "hashes")
                     .transform(arrow_map, unpack, "token long, doc long"), "candidate-sets")
-    lists = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = (tokens.join(lists, "token").withColumn(
+    tokens = stored(tokens.join(enough, "doc"), "candidate-tokens")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    ordered = tokens.join(lists, "token").withColumn(
         "pos", F.row_number().over(Window.partitionBy("doc").orderBy("df", "token")) - 1)
-        .join(enough, "doc"))
     base = F.col("n") - _least_overlap(F.col("n"))
     own = Window.partitionBy("doc")
     cost = F.sum(F.when((F.col("pos") <= base) & (F.col("df") > 1), F.col("df")).otherwise(0)).over(own)
-    # each doubling of the cost beyond COST adds 1/40 of the set, up to 1/5
-    longer = F.least(_div(F.col("n"), 5), _least_overlap(F.col("n")) - 1,
-                     F.greatest(F.lit(0), F.ceil(F.log2(cost / COST))).cast("int") * (_div(F.col("n"), 40) + 1))
-    prefixes = ordered.withColumn("l", F.when(cost > COST, longer).otherwise(0) + 1)
-    prefixes = stored(prefixes.filter((F.col("df") > 1) & (F.col("pos") < base + F.col("l")))
-                      .select("token", "doc", "comp", "n", "pos", "l"), "adaptive-prefixes")
+    # a costly prefix is lengthened over the short lists that follow it (up to 1/5 of the
+    # set): each costs little and demands one more shared hash; long lists are left out,
+    # as meeting them would cost more than verifying the candidates
+    short = F.sum((F.col("df") <= COST).cast("int")).over(own)
+    longer = F.greatest(F.lit(0), F.least(_div(F.col("n"), 5), _least_overlap(F.col("n")) - 1, short - base - 1))
+    # no overlap with another component exceeds the hashes that other components hold
+    most = F.sum(F.col("mixed").cast("int")).over(own)
+    prefixes = ordered.withColumn("l", F.when(cost > COST, longer).otherwise(0) + 1).withColumn("most", most)
+    prefixes = stored(prefixes.filter(F.col("mixed") & (F.col("pos") < base + F.col("l"))
+                                      & (F.col("most") >= _least_overlap(F.col("n"))))
+                      .select("token", "doc", "comp", "n", "pos", "l", "most"), "adaptive-prefixes")
     # of each list the members of its largest component, and the others
     held = prefixes.groupBy("token", "comp").agg(F.count("*").alias("c"))
     major = held.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"),
                                       F.count("*").alias("k")).filter("k > 1").select("token", "major")
     lists = stored(prefixes.join(major, "token").withColumn("minor", F.col("comp") != F.col("major")), "mixed-lists")
-    a = lists.filter("minor").select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc", "comp", "n", "pos", "l")))
-    b = lists.select("token", "minor", *(F.col(c).alias(f"{c}_b") for c in ("doc", "comp", "n", "pos", "l")))
+    a = lists.filter("minor").select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc", "comp", "n", "pos", "l", "most")))
+    b = lists.select("token", "minor", *(F.col(c).alias(f"{c}_b") for c in ("doc", "comp", "n", "pos", "l", "most")))
     overlap = _div(3 * (F.col("n_a") + F.col("n_b")) + 6, 7)
     demand = F.least("l_a", "l_b")
     met = a.join(b, "token").filter(
         (F.col("comp_a") != F.col("comp_b")) & (~F.col("minor") | (F.col("doc_a") > F.col("doc_b")))
-        & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+        & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (overlap <= F.least("most_a", "most_b"))
         & (F.col("pos_a") < F.col("n_a") - overlap + demand) & (F.col("pos_b") < F.col("n_b") - overlap + demand))
     # a pair's sides may change roles from list to list
     return (met.groupBy(F.greatest("doc_a", "doc_b").alias("x"), F.least("doc_a", "doc_b").alias("y"))
