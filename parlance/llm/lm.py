@@ -16,9 +16,9 @@ re-estimated on the words of training, each distinct word once, as each gives th
 discount: a forward-backward pass over the lattices gives expected piece counts.
 
 Flow: documents are grouped into blocks in the task that reads them, and a block carries
-its documents as numbers into the block's own dictionary of distinct words.  Only
-dictionaries are shuffled: once to count words over the corpus, and once to bring counts
-and lattice scores back.  A word that is in every document is shuffled once per block.
+its documents as numbers into the block's own dictionary of distinct words.  Dictionaries
+are shuffled by word, which gives every entry its word's total, and totals and lattice
+scores go back to the blocks.  A word that is in every document is shuffled once per block.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the
 text '' for the fold; repeated rows count each; an empty table gives an empty result;
@@ -27,13 +27,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import arrow_map, slices, stored
@@ -43,9 +42,9 @@ FOLDS, HELD_OUT = 10, 0
 ADD = 0.1
 MARK = "▁"
 #: Words in a block at most (a longer text is a block of its own).
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 2_000_000
 #: Passes of re-estimation, and the count that every piece has besides.
-PASSES, FLOOR = 2, 0.05
+PASSES, FLOOR = 1, 0.05
 #: Cells of a lattice matrix, and longest word that is handled in a matrix.
 CELLS, WIDE = 1 << 20, 64
 
@@ -212,45 +211,57 @@ def marked(word: bytes) -> bytes:
 
 # --- blocks ------------------------------------------------------------------------------------
 
-BLOCKS = ("block string, words array<binary>, train array<int>, docs array<long>, folds array<boolean>, "
+BLOCKS = ("block long, words array<binary>, train array<int>, docs array<long>, folds array<boolean>, "
           "sizes array<int>, numbers binary")
 
 
+class Block:
+    """Documents as numbers into a dictionary of their distinct words."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.rows: list[tuple[int | None, bool]] = []
+        self.ids: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc: int | None, out: bool, words: list[bytes]) -> None:
+        number = self.number
+        for w in set(words):
+            if w not in number:
+                number[w] = len(number)
+        self.rows.append((doc, out))
+        self.ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.held += len(words) + 1
+
+    def batch(self) -> pa.RecordBatch:
+        # the name of a block follows from its rows, so a task that runs again repeats it
+        numbers = np.concatenate(self.ids).tobytes()
+        name = hashlib.blake2b(numbers + repr(self.rows).encode(), digest_size=8).digest()
+        taught = [np.empty(0, np.int32), *(x for x, (_, out) in zip(self.ids, self.rows) if not out)]
+        counts = np.bincount(np.concatenate(taught), minlength=len(self.number))
+        one = lambda x, t: pa.array([x], t)
+        return pa.RecordBatch.from_arrays(
+            [one(int.from_bytes(name, "little", signed=True), pa.int64()), one(list(self.number), pa.list_(pa.binary())),
+             one(counts.astype(np.int32), pa.list_(pa.int32())), one([r[0] for r in self.rows], pa.list_(pa.int64())),
+             one([r[1] for r in self.rows], pa.list_(pa.bool_())),
+             one([len(x) for x in self.ids], pa.list_(pa.int32())), one(numbers, pa.binary())],
+            ["block", "words", "train", "docs", "folds", "sizes", "numbers"])
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents grouped as they are read: a block's distinct words with their training
     counts, and every document as numbers into that dictionary."""
     def run(batches):
-        texts, rows, held = [], [], 0
-
-        def block():
-            counts, whole = Counter(), Counter()
-            for words, (_, out) in zip(texts, rows):
-                (whole if out else counts).update(words)
-            words = list(dict.fromkeys([*counts, *whole]))
-            number = dict(zip(words, range(len(words))))
-            flat = [np.fromiter(map(number.__getitem__, t), np.int32, len(t)) for t in texts]
-            numbers = np.concatenate([*flat, np.empty(0, np.int32)]).tobytes()
-            # the name of a block follows from its rows, so a task that runs again repeats it
-            name = f"{zlib.crc32(numbers):08x}-{zlib.crc32(repr(rows).encode()):08x}-{len(numbers)}-{rows[0][0]}"
-            one = lambda x, t: pa.array([x], t)
-            return pa.RecordBatch.from_arrays(
-                [one(name, pa.string()), one(words, pa.list_(pa.binary())),
-                 one([counts[w] for w in words], pa.list_(pa.int32())), one([r[0] for r in rows], pa.list_(pa.int64())),
-                 one([r[1] for r in rows], pa.list_(pa.bool_())), one([len(t) for t in texts], pa.list_(pa.int32())),
-                 one(numbers, pa.binary())],
-                ["block", "words", "train", "docs", "folds", "sizes", "numbers"])
-
+        block = Block()
         for part in slices(batches):
             for doc, out, text in zip(*(part.column(i).to_pylist() for i in range(3))):
                 words = (text or "").encode().lower().split()
-                if rows and held + len(words) > BLOCK_WORDS:
-                    yield block()
-                    texts, rows, held = [], [], 0
-                texts.append(words)
-                rows.append((doc, out))
-                held += len(words) + 1
-        if rows:
-            yield block()
+                if block.rows and block.held + len(words) > BLOCK_WORDS:
+                    yield block.batch()
+                    block = Block()
+                block.add(doc, out, words)
+        if block.rows:
+            yield block.batch()
 
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS))
     return (docs.select(F.col(id_col).cast("long").alias("doc"), (fold == HELD_OUT).alias("out"),
@@ -290,9 +301,12 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
     held = stored(blocks(docs, id_col, text_col), "lm-blocks")
     entries = held.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("number", "e")).select(
         "block", "number", F.col("e.words").alias("word"), F.col("e.train").alias("c"))
-    words = stored(entries.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    # one shuffle by word: every entry gets its word's total, the first one stands for the word
+    same = Window.partitionBy("word")
+    totals = stored(entries.select("block", "number", "word", F.sum("c").over(same).alias("c"),
+                                   (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "lm-words")
     ends = held.select(F.expr("size(filter(folds, x -> not x))").alias("n")).agg(F.sum("n")).first()[0] or 0
-    known = words.filter("c > 0")
+    known = totals.filter("first and c > 0")
     seen = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"),
                      F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = seen["n"] or 0, seen["v"]
@@ -309,18 +323,26 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
     def word_scores(batches):
         model = lattice(path)
         for part in slices(batches, 50_000):
-            own = [marked(w) for w in part.column(0).to_pylist()]
-            c = part.column(1).to_numpy().astype(float)
-            paths = model.forward(own, logp)[0] + math.log(open_mass)
+            # rows come sorted by word: each run of equal words is scored once
+            coded = part.column(2).dictionary_encode()
+            at = coded.indices.to_numpy()
+            paths = model.forward([marked(w) for w in coded.dictionary.to_pylist()], logp)[0][at] + math.log(open_mass)
+            c = part.column(3).to_numpy()
             whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-300) / max(n, 1)), -np.inf)
             p = (np.logaddexp(paths, whole) + math.log1p(-end)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p)], ["word", "c", "score"])
+            block, number = part.column(0).to_numpy(), part.column(1).to_numpy().astype("<i4")
+            order = np.argsort(block, kind="stable")
+            names, first = np.unique(block[order], return_index=True)
+            cuts = np.split(order, first[1:])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), *(pa.array([x[i].tobytes() for i in cuts], pa.binary())
+                                    for x in (number, c.astype("<i8"), p.astype("<f8")))],
+                ["block", "number", "c", "score"])
 
-    scored = stored(words.select("word", "c").transform(arrow_map, word_scores, "word binary, c long, score double"), "lm-scores")
     # a block's dictionary holds at most BLOCK_WORDS words (or those of one text)
-    back = entries.select("block", "number", "word").join(scored, "word").groupBy("block").agg(
-        F.collect_list(F.struct("number", "c", "score")).alias("e")).select(
-        "block", "e.number", "e.c", "e.score")
+    back = totals.select("block", "number", "word", "c").transform(
+        arrow_map, word_scores, "block long, number binary, c binary, score binary").groupBy("block").agg(
+        F.collect_list(F.struct("number", "c", "score")).alias("parts"))
 
     def sums(batches):
         for batch in batches:
@@ -328,11 +350,10 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
                 col = lambda name: batch.column(batch.schema.names.index(name))[i]  # noqa: E731, B023
                 sizes = np.array(col("sizes").values, np.int64)
                 ids = np.frombuffer(col("numbers").as_buffer(), np.int32)
-                c, own = np.zeros(0), np.zeros(0)
-                if col("number").is_valid:
-                    at = np.array(col("number").values)
-                    c, own = np.zeros(len(at)), np.zeros(len(at))
-                    c[at], own[at] = np.array(col("c").values), np.array(col("score").values)
+                parts = col("parts").as_py() or []
+                at, c, own = (np.frombuffer(b"".join(x[k] for x in parts), kind)
+                              for k, kind in (("number", "<i4"), ("c", "<i8"), ("score", "<f8")))
+                c, own = (np.bincount(at, x) / np.maximum(np.bincount(at), 1) for x in (c, own))
                 base = np.log10((c + ADD) / below)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 add = lambda x: np.bincount(doc, x[ids], len(sizes)) if len(ids) else np.zeros(len(sizes))  # noqa: E731, B023
