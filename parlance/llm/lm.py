@@ -244,7 +244,8 @@ class Block:
             [one(int.from_bytes(name, "little", signed=True), pa.int64()), one(list(self.number), pa.list_(pa.binary())),
              one(counts.astype(np.int32), pa.list_(pa.int32())), one([r[0] for r in self.rows], pa.list_(pa.int64())),
              one([r[1] for r in self.rows], pa.list_(pa.bool_())),
-             one([len(x) for x in self.ids], pa.list_(pa.int32())), one(numbers, pa.binary())],
+             one([len(x) for x in self.ids], pa.list_(pa.int32())),
+             one(pa.compress(numbers, "zstd", asbytes=True), pa.binary())],
             ["block", "words", "train", "docs", "folds", "sizes", "numbers"])
 
 
@@ -349,7 +350,8 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
             for i in range(batch.num_rows):
                 col = lambda name: batch.column(batch.schema.names.index(name))[i]  # noqa: E731, B023
                 sizes = np.array(col("sizes").values, np.int64)
-                ids = np.frombuffer(col("numbers").as_buffer(), np.int32)
+                packed = pa.decompress(col("numbers").as_buffer(), int(4 * sizes.sum()), "zstd") if sizes.sum() else b""
+                ids = np.frombuffer(packed, np.int32)
                 parts = col("parts").as_py() or []
                 at, c, own = (np.frombuffer(b"".join(x[k] for x in parts), kind)
                               for k, kind in (("number", "<i4"), ("c", "<i8"), ("score", "<f8")))
