@@ -122,6 +122,22 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     assert few == 1 and len(one) == len(rows())
 
 
+def test_registered_passes_re_estimate_twice(spark, model):
+    """Two forward-backward passes over the distinct training words, one by one."""
+    docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    known = sorted({w for i, t in rows() for w in words(t) if zlib.crc32(str(i if i is not None else "").encode()) % 10})
+    logp = model.first
+    for _ in range(2):
+        counts = sum(model.forward([M.marked(w)], logp, np.ones(1))[1] for w in known) + M.FLOOR
+        logp = np.log(counts / counts.sum())
+    got = M.train(spark.createDataFrame([(w,) for w in known], "word binary"), PATH)
+    assert np.allclose(got, logp)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score)
+    default, two, one = ([r.score for r in sorted(M.score(docs, PATH, **k).collect(), key=key)]
+                         for k in ({}, {"passes": 2}, {"passes": 1}))
+    assert np.allclose(default, two) and not np.allclose(default, one)
+
+
 def test_nothing_to_learn_from_and_empty_tables(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     docs = spark.createDataFrame([(held, "some words")], "doc_id long, text string")
