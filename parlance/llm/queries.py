@@ -69,7 +69,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return warc.audit(warc.records(pages), warc.records(damaged(pages)))
+    return warc.compare(warc.records(pages), warc.records(damaged(pages)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,3 +79,61 @@ def test_query_damage_over_the_pages_table(spark):
     assert len(out) == table.count()
     want = {0: "missing", 1: "corrupt"}
     assert all(r.status == want.get(r.page_id % 97, "ok") for r in out)
+
+
+def compare(spark, one, two):
+    """``two`` has a fourth column: where the replica holds the record."""
+    a = W.records(spark.createDataFrame(one, SCHEMA).repartition(3))
+    b = W.records(spark.createDataFrame(two, SCHEMA + ", place long").repartition(3), position_col="place")
+    return W.compare(a, b).collect()
+
+
+def placed(rows):
+    return [(*r, i) for i, r in enumerate(rows)]
+
+
+def test_extra_records_are_found(spark):
+    one = pages()
+    two = [*one[:30], (29, "http://h/2", "inserted"), *one[30:1500], one[1499], *one[1500:], (9000, "u", "own file")]
+    out = compare(spark, one, placed(two))
+    assert sorted((r.page_id, r.file, r.ordinal) for r in out if r.status == "extra") == [
+        (29, 0, 30), (1499, 1, 500), (9000, 9, 0)]
+    assert all(r.status in ("ok", "extra") for r in out) and len(out) == len(one) + 3
+    assert [r.status for r in compare(spark, [], placed(one[:3]))] == ["extra"] * 3
+
+
+def test_moved_records_are_found(spark):
+    one = pages()
+    two = list(one)
+    two[40], two[41] = two[41], two[40]
+    two[1100], two[1900] = two[1900], two[1100]
+    two.insert(2400, two.pop(2100))
+    out = compare(spark, one, placed(two))
+    assert {r.page_id for r in out if r.status == "moved"} == {40, 41, 1100, 1900, 2100}
+    assert all(r.status in ("ok", "moved") for r in out) and len(out) == len(one)
+
+
+def test_move_across_equal_leaves_behind_an_insertion(spark):
+    """Lengths are equal, so the leaves between are equal and are not reached."""
+    one = [(i, "u", f"<{i:03}>") for i in range(60)]
+    two = [*one[:5], (7, "u", "<new>"), *one[6:50], one[5], *one[51:], one[50]]
+    got = {(r.page_id, r.status) for r in compare(spark, one, placed(two)) if r.status != "ok"}
+    assert got == {(5, "moved"), (7, "extra"), (50, "moved")}
+
+
+def test_all_kinds_of_damage_together(spark):
+    one = pages()
+    two = [(*r, 10 * i) for i, r in enumerate(one) if i % 97 != 0]
+    two = [(i, u, "changed" if i % 97 == 1 else h, p + (10_000 if i in (3, 1003) else 0)) for i, u, h, p in two]
+    two = [(i, u, h, 5000 if i == 3 else 15_000 if i == 1003 else p) for i, u, h, p in two]
+    two += [(i, "http://extra", "x", 10 * i + 5) for i in range(50, 2500, 200)]
+    out = compare(spark, one, two)
+    want = {i: "missing" if i % 97 == 0 else "corrupt" if i % 97 == 1 else "moved" if i in (3, 1003) else "ok" for i in range(2500)}
+    assert {r.page_id: r.status for r in out if r.status != "extra"} == want
+    assert sorted(r.page_id for r in out if r.status == "extra") == list(range(50, 2500, 200))
+
+
+def test_leaves_cover_offset_and_length(spark):
+    rows = [(1, 0, 0, 5, "a"), (1, 0, 1, 5, "a"), (1, 0, 0, 6, "a")]
+    frame = spark.createDataFrame(rows, "file long, ordinal int, offset long, length long, sha string")
+    assert len({r.sha for r in W.leaves(frame).collect()}) == 3
