@@ -137,3 +137,14 @@ def test_leaves_cover_offset_and_length(spark):
     rows = [(1, 0, 0, 5, "a"), (1, 0, 1, 5, "a"), (1, 0, 0, 6, "a")]
     frame = spark.createDataFrame(rows, "file long, ordinal int, offset long, length long, sha string")
     assert len({r.sha for r in W.leaves(frame).collect()}) == 3
+
+
+def test_only_reached_leaves_are_paired(spark):
+    one = pages()
+    two = list(one)
+    two[1234] = (1234, two[1234][1], two[1234][2].replace("p", "q"))
+    a, b, c = (W.manifest(W.records(spark.createDataFrame(x, SCHEMA))) for x in (one, two, one))
+    at = W.reached(a, b)
+    assert [(r.file, r.node, r.before) for r in at.collect()] == [(1, 234, 234)]
+    assert [(r.page_id, r.here.ordinal, r.there.ordinal) for r in W.paired(a, b, at).collect()] == [(1234, 234, 234)]
+    assert W.reached(a, c).isEmpty()
