@@ -67,16 +67,22 @@ def dense_top_k(spark, d):
     return out.select("query_id", "id", "doc_id", "product_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-#: Cells of the registered IVF query.
-IVF_CELLS = 32
+#: Cells of the registered IVF query, and how many of them a query probes: 16 find 0.93 of the
+#: true neighbours at sf0.01 and 0.90 at sf0.1, the vector store's default of 10 0.83 and 0.79.
+IVF_CELLS, IVF_PROBES = 32, 20
+
+
+def vector_queries(spark, d):
+    """Every vector whose id is divisible by 50, as a query over the whole table."""
+    return B.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"),
+                                                            F.col("dense_vector").alias("query_vector"))
 
 
 @register("dense_top_k_ivf")
 def dense_top_k_ivf(spark, d):
     vecs = B.vectors(spark, d)
     model = R.kmeans_cells(vecs, IVF_CELLS)
-    q = centroid_queries(spark, d).drop("shop_id")
-    out = R.dense_top_k_ivf(q, vecs, model)
+    out = R.dense_top_k_ivf(vector_queries(spark, d), vecs, model, nprobe=IVF_PROBES)
     return out.select("query_id", "id", "doc_id", "product_id", F.round("distance", 6).alias("distance"), "rank")
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import retrieval as R
@@ -66,3 +67,15 @@ def test_ivf_with_every_cell_probed_is_exact(spark):
     q2 = q.crossJoin(vecs.select("id", "dense_vector"))  # brute force on the small fixture only
     exact = R._top_k(q2.withColumn("distance", F.round(R.sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)), 10)
     assert {(r.query_id, r.id) for r in approx.collect()} == {(r.query_id, r.id) for r in exact.collect()}
+
+
+@pytest.mark.parametrize("sf_dir", [SF_CHECK, "/root/testdata/sf0.1"])
+def test_registered_ivf_query_finds_nine_of_ten_neighbours(spark, sf_dir):
+    """The registered query, with its own cells, probes and queries, against brute force."""
+    rows = B.vectors(spark, sf_dir).select("id", "dense_vector").collect()
+    ids, x = np.array([r.id for r in rows]), np.array([r.dense_vector for r in rows], np.float64)
+    exact = {(int(i), int(n)) for i, v in zip(ids, x) if i % 50 == 0
+             for n in ids[np.lexsort((ids, ((x - v) ** 2).sum(1).round(9)))[:10]]}
+    got = {(r.query_id, r.id) for r in RQ.dense_top_k_ivf(spark, sf_dir).collect()}
+    assert {q for q, _ in got} == {q for q, _ in exact}
+    assert len(got & exact) / len(exact) >= 0.9
