@@ -3,7 +3,8 @@
 The builders start a streaming query over the driver table (a file stream),
 run it to completion into a Parquet table and return that table, so the result can be
 checked like any batch query.  Checkpoints and tables go under ``spark.checkpoint.dir``,
-in a folder named after the query and its source, where a later run resumes.
+in a folder named after the query and its source's files (path, length and modification
+time), where a later run over the same files resumes; a replaced file starts a new one.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ def _sb():
     return SB
 
 
-def _name(query: str, d: str) -> str:
-    return f"{query}-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
+def _name(query: str, spark, d: str) -> str:
+    files = F.concat_ws("|", "path", "length", F.unix_micros("modificationTime"))
+    held = _sb().source_files(spark, d).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(files)), "\n"), 256)).first()[0]
+    return f"{query}-{hashlib.sha256(f'{d} {held}'.encode()).hexdigest()[:12]}"
 
 
 @register("message_stream", "SELECT event_id, user_id, event_type FROM events")
 def message_stream(spark, d):
     SB = _sb()
     return SB.run_available_now(SB.message_stream(spark, d).select("event_id", "user_id", "event_type"),
-                                _name("message_stream", d))
+                                _name("message_stream", spark, d))
 
 
 # With the 30-day idle limit no session of the driver data goes idle long enough to
@@ -42,7 +45,7 @@ def stream_session_buffer(spark, d):
     """Evictions and expiries with the small buffer and the long idle limit."""
     SB = _sb()
     s = SB.stream_session_buffer(SB.events_as_messages(SB.message_stream(spark, d)), limit=SMALL_LIMIT, ttl=LONG_TTL)
-    return SB.run_available_now(s, _name("stream_session_buffer", d)).where(F.col("disposition") != "summary_trigger").select(
+    return SB.run_available_now(s, _name("stream_session_buffer", spark, d)).where(F.col("disposition") != "summary_trigger").select(
         "session_id", "msg_id", "seg_no", "pos", "disposition", "eviction_turn")
 
 
@@ -51,7 +54,7 @@ def stream_archive_and_summary(spark, d):
     """Summary triggers emitted from the persistent archived counter."""
     SB = _sb()
     s = SB.stream_session_buffer(SB.events_as_messages(SB.message_stream(spark, d)), limit=SMALL_LIMIT, ttl=LONG_TTL)
-    return SB.run_available_now(s, _name("stream_archive_and_summary", d)).where(F.col("disposition") == "summary_trigger").select(
+    return SB.run_available_now(s, _name("stream_archive_and_summary", spark, d)).where(F.col("disposition") == "summary_trigger").select(
         "session_id", "msg_id", "ts", "archived_total")
 
 
@@ -60,7 +63,7 @@ def stream_context(spark, d):
     SB = _sb()
     ev = SB.message_stream(spark, d)
     upd = B.context_updates_from(ev).withColumn("event_time", F.timestamp_seconds("ts"))
-    out = SB.run_available_now(SB.stream_context(upd), _name("stream_context", d))
+    out = SB.run_available_now(SB.stream_context(upd), _name("stream_context", spark, d))
     last = out.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "session_id"]),
                                                   "version").alias("s"))
     return last.select("session_id", "s.current_goal", "s.extracted_entities", "s.last_tool_used", "s.user_mood",
@@ -73,4 +76,4 @@ def stream_turn_decisions(spark, d):
     a = B.analyses_from(SB.message_stream(spark, d))
     return SB.run_available_now(SB.stream_turn_decisions(a).select("event_id", "task", "task_reason",
                                                                     "handoff_required"),
-                                _name("stream_turn_decisions", d))
+                                _name("stream_turn_decisions", spark, d))

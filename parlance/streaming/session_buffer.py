@@ -30,7 +30,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from parlance.operators.memory import BUFFER_LIMIT, SUMMARY_EVERY, TTL_SECONDS
 from parlance.session import ensure_checkpoint_dir
-from parlance.sources.tables import DRIVER_SCHEMAS
+from parlance.sources.tables import DRIVER_SCHEMAS, table_path
 
 # The processor class is shipped to Python workers by value, so executors need only
 # pyspark and pandas, not this package on their path.
@@ -156,13 +156,23 @@ def stream_context(updates: DataFrame, watermark: str = "0 seconds") -> DataFram
             .transformWithStateInPandas(SessionContextProcessor(), CONTEXT_OUTPUT, "append", "None"))
 
 
+def source_files(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    """``path, length, modificationTime`` of a driver table's files; their bytes are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        table_path(sf_dir, table)).select("path", "length", "modificationTime")
+
+
 def message_stream(spark: SparkSession, sf_dir: str, table: str = "events",
                    max_files_per_trigger: int = MAX_FILES) -> DataFrame:
-    """#9: a driver table as a file stream (directory + glob filter; single-file paths are
-    refused).  ``max_files_per_trigger`` bounds a micro-batch, and so the rows of one session
-    that the processors sort at a time."""
-    return (spark.readStream.schema(DRIVER_SCHEMAS[table]).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    """#9: a driver table as a file stream.  A table that is one file is read by its directory
+    and a glob filter (single-file paths are refused), a folder of part files by its own path.
+    ``max_files_per_trigger`` bounds a micro-batch, and so the rows of one session that the
+    processors sort at a time."""
+    stream = spark.readStream.schema(DRIVER_SCHEMAS[table]).option("maxFilesPerTrigger", max_files_per_trigger)
+    one = source_files(spark, sf_dir, table).filter(F.col("path").endswith(f"/{table}.parquet")).select("path").first()
+    if one and one["path"].rsplit("/", 2)[-2] == sf_dir.rstrip("/").rsplit("/", 1)[-1]:
+        return stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return stream.parquet(table_path(sf_dir, table))
 
 
 def events_as_messages(stream: DataFrame) -> DataFrame:

@@ -57,3 +57,26 @@ def test_a_query_started_again_resumes_and_adds_what_is_new(spark):
     ev.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
     out = run()
     assert out.count() == ev.count() and out.distinct().count() == ev.count()
+
+
+def test_registered_query_sees_a_replaced_file_and_a_folder_table(spark, tmp_path):
+    """A lasting checkpoint folder holds the first file's rows; another file of its name is another source."""
+    import shutil
+
+    from parlance.plans import streaming_queries as SQ
+    from parlance.sources.tables import read_table
+    events = read_table(spark, SF_SMALL, "events")
+    src, parts = tmp_path / "src", tmp_path / "parts"
+    src.mkdir()
+    want = []
+    for i, rows in enumerate((events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1 and event_id % 3 = 0"))):
+        rows.coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        shutil.copyfile(next((tmp_path / f"w{i}").glob("part-*.parquet")), src / "events.parquet")
+        want.append({r.event_id for r in rows.collect()})
+        got = [r.event_id for r in SQ.message_stream(spark, str(src)).collect()]
+        assert sorted(got) == sorted(want[-1])
+        again = [r.event_id for r in SQ.message_stream(spark, str(src)).collect()]
+        assert sorted(again) == sorted(got)
+    assert want[0] and want[1] and want[0] != want[1]
+    events.repartition(3).write.parquet(str(parts / "events.parquet"))
+    assert SQ.message_stream(spark, str(parts)).count() == events.count()
