@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least half the words are in one learned language."""
-    return langid.language_filter(docs)
+    """Documents of which at least half the words are in one learned language; if no row has
+    a label to learn from, none can be judged and all that have letters stay."""
+    return langid.language_filter(docs, keep_unjudged=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,12 +260,15 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> D
     return label(docs, train(docs.select(F.col("doc_id").alias("doc"), "lang", "text"), per_lang, langs))
 
 
-def language_filter(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def language_filter(docs: DataFrame, least: float = 0.5, keep_unjudged: bool = False) -> DataFrame:
     """The rows of ``docs`` that have a language: not ``und``, and at least ``least`` of the
-    words in it.  The verdict is a property of the text and filters the pass that finds it."""
+    words in it.  The verdict is a property of the text and filters the pass that finds it.
+
+    Without a labelled row to learn from no text can be judged: then none has a language, or
+    with ``keep_unjudged`` the rows that have letters stay."""
     model = train(docs.select(F.col("doc_id").alias("doc"), "lang", "text"))
     if model is None:
-        return docs.limit(0)
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))) if keep_unjudged else docs.limit(0)
     at = docs.columns.index("text")
 
     def run(batches):

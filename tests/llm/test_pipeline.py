@@ -96,3 +96,13 @@ def test_empty_table(spark):
     for name, stage in C.STAGES:
         docs = stored(stage(spark, docs, SF_SMALL), "test-empty")
         assert docs.count() == 0
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    """No row teaches a language, so no row can be judged."""
+    data = [(1, "words without a label"), (2, "文字"), (3, "123 ... !!"), (4, None), (5, ""), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in data],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(C.STAGES)["language_id"](spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in out.collect()} == {data[0], data[1], data[5]}
