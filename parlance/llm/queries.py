@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, dedup, jaccard, langid, lm, packing, quality, sharding, token_counts, warc
+from parlance.llm import bpe, dedup, jaccard, langid, lm, packing, quality, resampling, sharding, token_counts, warc
 from parlance.llm.common import documents, shared_folder
 from parlance.sources.tables import read_table
 
@@ -72,10 +72,15 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.compare(warc.records(pages), warc.records(damaged(pages)))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir, "doc_id", "text"),
+                               read_table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_token_counts, op3_packing, op4_language_id, op5_sharding, op6_lm_scoring,
-        op7_ngram_jaccard, op8_quality_rules, op9_exact_dedup, op10_warc_audit)}
+        op7_ngram_jaccard, op8_quality_rules, op9_exact_dedup, op10_warc_audit, op11_importance_resampling)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,8 +129,54 @@ SELECT page_id, file, row_number() OVER (PARTITION BY file ORDER BY page_id) - 1
        CASE page_id % 97 WHEN 0 THEN 'missing' WHEN 1 THEN 'corrupt' ELSE 'ok' END AS status
 FROM r"""
 
+#: CRC-32 by its byte table, over the bytes of each distinct word.
+_OP11_SQL = rf"""
+WITH own AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS w
+  FROM documents),
+goal AS (
+  SELECT unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS w
+  FROM benchmark),
+tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM own UNION SELECT w FROM goal)),
+bytes AS (
+  SELECT w, list_transform(range(length(h) // 2), lambda i:
+    CAST(16 * strpos('123456789ABCDEF', h[2 * i + 1]) + strpos('123456789ABCDEF', h[2 * i + 2]) AS BIGINT)) AS b
+  FROM hexed),
+bucket AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], b),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, tab),
+s AS (SELECT bucket, count(*) AS n FROM own JOIN bucket USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM goal JOIN bucket USING (w) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM own) AS s, (SELECT count(*) FROM goal) AS t),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * (total.s + 10000))
+    / (CAST(s.n + 1 AS DOUBLE) * (total.t + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t ON t.bucket = s.bucket, total),
+weighed AS (
+  SELECT own.doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM own JOIN bucket USING (w) JOIN gain USING (bucket) GROUP BY own.doc_id),
+h AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         list_reduce(list_transform(range(8), lambda i: CAST(strpos('123456789abcdef', x[i + 1]) AS BIGINT)),
+                     lambda a, b: 16 * a + b) AS h
+  FROM (SELECT doc_id, n, weight, substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS x
+        FROM documents LEFT JOIN weighed USING (doc_id))),
+scored AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM h),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, models, seeded shuffles and sketches can't be written as SQL; the tests
     compare those queries with brute-force versions."""
-    return {"op7_ngram_jaccard": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op10_warc_audit": _OP10_SQL}
+    return {"op7_ngram_jaccard": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op10_warc_audit": _OP10_SQL,
+            "op11_importance_resampling": _OP11_SQL}
