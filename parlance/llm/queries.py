@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, dedup, jaccard, langid, lm, packing, quality, resampling, sharding, token_counts, warc
+from parlance.llm import (bpe, dedup, jaccard, langid, lm, packing, quality, resampling, search, sharding, token_counts,
+                          warc)
 from parlance.llm.common import documents, shared_folder
 from parlance.sources.tables import read_table
 
@@ -77,10 +78,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                read_table(spark, sf_dir, "benchmark", "text"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(documents(spark, sf_dir, "doc_id", "text"),
+                       read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_token_counts, op3_packing, op4_language_id, op5_sharding, op6_lm_scoring,
-        op7_ngram_jaccard, op8_quality_rules, op9_exact_dedup, op10_warc_audit, op11_importance_resampling)}
+        op7_ngram_jaccard, op8_quality_rules, op9_exact_dedup, op10_warc_audit, op11_importance_resampling,
+        op13_ranked_search)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -174,9 +181,32 @@ placed AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
 FROM scored LEFT JOIN placed USING (doc_id)"""
 
+_OP13_SQL = rf"""
+WITH tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term
+    FROM documents) GROUP BY doc_id, term),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+stats AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM n),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * stats.n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+m AS (SELECT doc_id, 100 - 50 + (50 * n.n * stats.n) // stats.l AS m FROM n, stats),
+asked AS (
+  SELECT DISTINCT item_id, unnest(
+    regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, models, seeded shuffles and sketches can't be written as SQL; the tests
     compare those queries with brute-force versions."""
     return {"op7_ngram_jaccard": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op10_warc_audit": _OP10_SQL,
-            "op11_importance_resampling": _OP11_SQL}
+            "op11_importance_resampling": _OP11_SQL, "op13_ranked_search": _OP13_SQL}
