@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import (bpe, dedup, jaccard, langid, lm, packing, quality, resampling, search, sharding, token_counts,
-                          warc)
+from parlance.llm import (bpe, dedup, extract, jaccard, langid, lm, packing, quality, resampling, search, sharding,
+                          token_counts, warc)
 from parlance.llm.common import documents, shared_folder
 from parlance.sources.tables import read_table
 
@@ -78,6 +78,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                read_table(spark, sf_dir, "benchmark", "text"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(documents(spark, sf_dir, "doc_id", "text"),
                        read_table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -87,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_token_counts, op3_packing, op4_language_id, op5_sharding, op6_lm_scoring,
         op7_ngram_jaccard, op8_quality_rules, op9_exact_dedup, op10_warc_audit, op11_importance_resampling,
-        op13_ranked_search)}
+        op12_html_extraction, op13_ranked_search)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -181,6 +185,22 @@ placed AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
 FROM scored LEFT JOIN placed USING (doc_id)"""
 
+#: What the tables' own markup says: the blocks of the article element.
+_OP12_SQL = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1),
+    '<br>', ' ', 'g'), '</?b>', '', 'g') AS body
+  FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(p|h1)>'), lambda b: trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      b, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b
+  FROM article),
+texts AS (
+  SELECT page_id, url, coalesce(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)), '') AS text
+  FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+
 _OP13_SQL = rf"""
 WITH tf AS (
   SELECT doc_id, term, count(*) AS tf FROM (
@@ -209,4 +229,5 @@ def oracle_sql() -> dict[str, str]:
     """Tokenizers, models, seeded shuffles and sketches can't be written as SQL; the tests
     compare those queries with brute-force versions."""
     return {"op7_ngram_jaccard": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op10_warc_audit": _OP10_SQL,
-            "op11_importance_resampling": _OP11_SQL, "op13_ranked_search": _OP13_SQL}
+            "op11_importance_resampling": _OP11_SQL, "op12_html_extraction": _OP12_SQL,
+            "op13_ranked_search": _OP13_SQL}
