@@ -11,8 +11,8 @@ Approximate dense (IVF): ``ml.clustering.KMeans`` cells, each query probes its
 candidates are re-ranked exactly.  Centroids (at most ``nlist`` x dim floats) are
 the only broadcast, and their size is bounded by ``nlist``.
 
-Sparse: BM25 posting rows ``(doc_id, term, weight)``; a query is its own posting
-rows, the pairing is an equi-join on ``term`` and the score is ``sum(wq * wd)``.
+Sparse: BM25 posting rows ``(doc_id, term, weight)``; a query is its own posting rows, the score is
+``sum(wq * wd)`` and the search skips blocks of postings by their bounds (``sparse.py``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.sparse import sparse_top_k  # noqa: F401 - the search over these postings
 from parlance.session import stored
 
 # Default search parameters of the vector store.
@@ -115,31 +116,29 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), "")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` over ``value`` evaluated once (a lambda variable is never inlined)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def term_counts(toks: Column) -> Column:
-    """Distinct tokens of a document with their counts, inside its row: the tokens are
-    sorted and each run of equal ones becomes an entry ``(term, tf)``."""
-    def runs(s):
-        starts = F.filter(F.transform(s, lambda x, i: i), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True)))
-        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
-            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, dl, term, tf)``: per-document term counts and the document length in tokens.
 
-    return _let(F.sort_array(toks), runs)
+    Counting is an aggregate, summed in the tasks that read the texts before anything is shuffled."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_toks"))
+    words = cut.select("doc_id", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
+    return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, dl, entries)``: token count and term counts of every document (no shuffle)."""
-    return (docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_toks"))
-            .select("doc_id", F.size("_toks").alias("dl"), term_counts(F.col("_toks")).alias("entries")))
+#: The mark of a document's own row among its terms, which hold letters and digits only.  It is spread
+#: over this many keys, so that no join or count has a key that every document shares.
+_MARK, _MARKS = "\u0000", 4096
 
 
-def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, term, tf, dl)``: per-document term counts and the document length in tokens."""
-    return document_terms(docs, id_col, text_col).select("doc_id", "dl", F.inline("entries"))
+def _counted(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None) -> DataFrame:
+    """Term counts as above, stored, with one marked row per document that carries its length."""
+    mark = F.concat(F.lit(_MARK), F.pmod(F.xxhash64(F.col(id_col)), F.lit(_MARKS)).cast("string"))
+    cut = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_toks"), mark.alias("_mark"))
+    words = cut.select("doc_id", F.size("_toks").alias("dl"), F.explode(F.array_append("_toks", F.col("_mark"))).alias("term"))
+    if only_terms is not None:
+        wanted = only_terms.select("term").distinct().withColumn("_wanted", F.lit(True))
+        words = words.join(wanted, "term", "left").where(F.col("_wanted") | F.startswith("term", F.lit(_MARK)))
+    return stored(words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
 
 
 def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -149,37 +148,22 @@ def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)).
     Texts are cut into terms once; N, avgdl, df and the postings read the stored counts.
     ``only_terms`` (a frame with ``term``) keeps the postings that a search needs before
-    anything is shuffled by term; N, avgdl and df are those of the whole corpus.
+    anything is shuffled; N, avgdl and df are those of the whole corpus.
     """
-    counted = stored(document_terms(docs, id_col, text_col), "term-counts")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = int(stats["n"]), float(stats["avgdl"] or 1.0)
-    tf = counted.select("doc_id", "dl", F.inline("entries"))
-    terms = counted.select(F.explode("entries.term").alias("term"))
-    if only_terms is not None:
-        wanted = only_terms.select("term").distinct()
-        tf, terms = tf.join(wanted, "term", "left_semi"), terms.join(wanted, "term", "left_semi")
-    # stored, so that the join shuffles both sides directly and AQE can split a hot term
-    df = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+    counted = _counted(docs, id_col, text_col, only_terms)
+    marked = F.startswith("term", F.lit(_MARK))
+    stats = counted.where(marked).agg(F.sum("tf").alias("n"), F.sum(F.col("dl") * F.col("tf")).alias("total")).first()
+    n, total = stats["n"] or 0, stats["total"] or 0
+    avgdl = float(total) / n if total else 1.0
+    tf = counted.where(~marked)
+    # two stored sides under the join, so that AQE can split a hot term
+    df = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
     j = tf.join(df, "term")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
     return j.select("doc_id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
 
 
-def sparse_top_k(query_terms: DataFrame, postings: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """#69: k best documents per query by inner product of sparse vectors; ties by doc id.
-
-    ``query_terms``: ``(query_id, term, qweight)``; ``postings``: ``(doc_id, term, weight)``.
-    """
-    pairs = query_terms.join(postings, "term")
-    # Scores are rounded to 1e-9 before ranking: a float sum depends on the order of
-    # its terms, and exact copies of a document must tie (then the lower id wins).
-    scores = pairs.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("qweight") * F.col("weight")), 9).alias("score"))
-    return _top_k(scores, k, score="score", asc=False, tie="doc_id")
-
-
 def collection_stats(vectors: DataFrame) -> DataFrame:
     """#32: row count per shop of a vector collection."""
     return vectors.groupBy("shop_id").agg(F.count(F.lit(1)).alias("n"))

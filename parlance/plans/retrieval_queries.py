@@ -117,9 +117,12 @@ def benchmark_query_terms(spark, d):
     return tf.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").cast("double").alias("qweight"))
 
 
-@register("sparse_top_k", "WITH " + _bm25_sql() + f""",
+_QUERY_TERMS_SQL = f"""
 qt AS (SELECT item_id AS query_id, term, CAST(count(*) AS DOUBLE) AS qweight FROM (
-         SELECT item_id, unnest({_TOKENS_SQL.format(x='text')}) AS term FROM benchmark) GROUP BY item_id, term),
+         SELECT item_id, unnest({_TOKENS_SQL.format(x='text')}) AS term FROM benchmark) GROUP BY item_id, term)"""
+
+
+@register("sparse_top_k", "WITH " + _bm25_sql() + "," + _QUERY_TERMS_SQL + f""",
 sc AS (SELECT qt.query_id, b.doc_id, round(sum(qt.qweight * b.weight), 9) AS score
        FROM qt JOIN bm25 b ON qt.term = b.term GROUP BY qt.query_id, b.doc_id)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
@@ -130,3 +133,25 @@ def sparse_top_k(spark, d):
     postings = R.bm25_weights(read_table(spark, d, "documents", "doc_id", "text"), only_terms=wanted)
     out = R.sparse_top_k(wanted, postings)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+#: The shops of the corpus are the documents' sources; each query searches the shop of its number.
+SHOPS = 20
+
+
+@register("sparse_top_k_shop", "WITH " + _bm25_sql() + "," + _QUERY_TERMS_SQL + f""",
+sc AS (SELECT qt.query_id, d.source AS shop_id, b.doc_id, round(sum(qt.qweight * b.weight), 9) AS score
+       FROM qt JOIN bm25 b ON qt.term = b.term JOIN documents d ON d.doc_id = b.doc_id
+       WHERE d.source = 'src' || CAST(qt.query_id % {SHOPS} AS VARCHAR) GROUP BY qt.query_id, d.source, b.doc_id)
+SELECT query_id, 'src' || CAST(query_id % {SHOPS} AS VARCHAR) AS shop_id, doc_id, round(score, 6) AS score,
+       CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+WHERE rank <= {R.DEFAULT_K}""")
+def sparse_top_k_shop(spark, d):
+    """#69 with the shop filter: weights are those of the whole corpus, documents those of the query's shop."""
+    shop = F.concat(F.lit("src"), (F.col("query_id") % SHOPS).cast("string"))
+    wanted = stored(benchmark_query_terms(spark, d).withColumn("shop_id", shop), "query-terms")
+    docs = read_table(spark, d, "documents", "doc_id", "text", "source")
+    postings = R.bm25_weights(docs, only_terms=wanted).join(docs.select("doc_id", F.col("source").alias("shop_id")), "doc_id")
+    out = R.sparse_top_k(wanted, postings, within=("shop_id",))
+    return out.select("query_id", shop.alias("shop_id"), "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -25,18 +25,6 @@ def test_dense_top_k_brute_force(spark):
             assert got[(r.query_id, k + 1)] == cand[k][1]
 
 
-def test_ivf_recall_floor(spark):
-    vecs = B.vectors(spark, SF_CHECK)
-    q = RQ.centroid_queries(spark, SF_CHECK).drop("shop_id")
-    model = R.kmeans_cells(vecs, 22)                  # about sqrt(n) cells
-    approx = R.dense_top_k_ivf(q, vecs, model, k=10)  # default probes
-    q2 = q.crossJoin(vecs.select("id", "dense_vector"))  # brute force on the small fixture only
-    exact = R._top_k(q2.withColumn("distance", F.round(R.sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)), 10)
-    a = {(r.query_id, r.id) for r in approx.collect()}
-    e = {(r.query_id, r.id) for r in exact.collect()}
-    assert len(a & e) / len(e) >= 0.8
-
-
 def test_bm25_python_model(spark):
     docs = [(1, "the cat sat on the mat"), (2, "the dog"), (3, "Cats and dogs, the end!"), (4, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
