@@ -3,10 +3,8 @@
 Matching plan.  The whole catalog is searched; only the listing (#10) has a limit.  A
 candidate's place in the catalog is its ``rank`` struct (name, then id), so "first in
 catalog order" is a ``min`` and no shop is sorted in one task.  Names are reduced to one
-row per shop and spelling.  A name can only occur in a text that holds the name's first
-``GRAM`` characters, so distinct texts are expanded to their short substrings and meet
-names by an equi-join on (shop, substring); the substring spreads a hot shop.  The keyword
-pass and the ranking are equi-joins of the same kind.  There is no nested-loop join.
+row per shop and spelling and meet the distinct texts by their rarest gram (``matching.py``).
+There is no nested-loop join.
 """
 
 from __future__ import annotations
@@ -15,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import contains_any, normalize, normalize_name, py_strip
+from parlance.operators.matching import name_hits
+from parlance.session import stored
 
 LISTING_LIMIT = 50
-#: Characters of a name that a text must hold to be compared with the whole name.
-GRAM = 4
 
 # Price-intent keywords, matched on the normalised message.
 PRICE_KEYWORDS = ["giá", "bao nhiêu", "price", "cost", "tiền"]
@@ -86,17 +84,6 @@ def _names(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("token", normalize_name(F.col("products")[0])).where(F.length("token") > 0)
 
 
-def name_hits(hays: DataFrame, names: DataFrame) -> DataFrame:
-    """``shop_id, _hay, token`` for every name that occurs in a text of its shop."""
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("_hay")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.substring(F.col("_hay"), i, k)))))
-    texts = hays.where(F.length("_hay") > 0).select("shop_id", "_hay", F.explode(grams).alias("gram"))
-    keyed = names.select("shop_id", "token", F.substring("token", 1, GRAM).alias("gram")).distinct()
-    return texts.join(keyed, ["shop_id", "gram"]).where(F.instr("_hay", F.col("token")) > 0).select(
-        "shop_id", "_hay", "token")
-
-
 def match_combos(questions: DataFrame, candidates: DataFrame, text_col: str = "text",
                  extra_cols: tuple = (), keyword_groups: dict = KEYWORD_GROUPS) -> DataFrame:
     """#22 / #23 / #51: name match, keyword-group match and price intent per question.
@@ -106,16 +93,19 @@ def match_combos(questions: DataFrame, candidates: DataFrame, text_col: str = "t
     """
     groups = list(keyword_groups.values())
     q = _haystack(questions, text_col, extra_cols)
-    hays = q.where(F.length(py_strip(F.col("_hay"))) > 0).select("shop_id", "_hay").distinct()
+    hays = stored(q.where(F.length(py_strip(F.col("_hay"))) > 0).select("shop_id", "_hay").distinct(), "asked-texts")
     names = _names(candidates)
     first = F.struct("rank", "combo_id")
     firsts = names.groupBy("shop_id", "token").agg(F.min(first).alias("first"))
-    by_name = name_hits(hays, names).join(firsts, ["shop_id", "token"]).groupBy("shop_id", "_hay").agg(
-        F.min("first").alias("name_match"))
+    # what distinct texts and shops find is written: the questions then meet tables of known size,
+    # and are not shuffled where those are small
+    by_name = stored(name_hits(hays, names).join(firsts, ["shop_id", "token"]).groupBy("shop_id", "_hay").agg(
+        F.min("first").alias("name_match")), "name-matches")
     spelled = candidates.withColumn("spelled", F.concat_ws(" ", normalize(F.col("combo_id")),
                                                            F.array_join(F.transform("products", normalize), " ")))
-    by_group = spelled.groupBy("shop_id").agg(
-        *[F.min(F.when(contains_any(F.col("spelled"), kws), first)).alias(f"kw_{i}") for i, kws in enumerate(groups)])
+    by_group = stored(spelled.groupBy("shop_id").agg(
+        *[F.min(F.when(contains_any(F.col("spelled"), kws), first)).alias(f"kw_{i}") for i, kws in enumerate(groups)]),
+        "group-matches")
     j = q.join(by_name, ["shop_id", "_hay"], "left").join(by_group, "shop_id", "left")
     has_text = F.length(py_strip(F.col("_hay"))) > 0
     kw_hits = [F.when(contains_any(F.col("_hay"), kws), F.col(f"kw_{i}")) for i, kws in enumerate(groups)]

@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators import catalog
-
+from parlance.operators import catalog, matching
 from parlance.operators.retrieval import tokens
+from parlance.session import stored
 
 # Fixed values (our rule tables; the prompts name the labels but give no terms).
 INTENT_RULES = {
@@ -170,27 +170,30 @@ def combo_ranking(questions: DataFrame, candidates: DataFrame, text_col: str = "
                   extra_cols: tuple = ()) -> DataFrame:
     """#60d: best in-stock combo: explicit name hit, then word hits, then stock, then catalog order.
 
-    Names meet texts as in the catalog matching, words by an equi-join on (shop, word); of
+    Names meet texts as in the catalog matching, and words inside tasks (``matching.best_overlap``); of
     equal names in a shop the one with most stock stands for all.  ``extra_cols`` are lists
     of requirement texts that count as part of the message.  No hit -> null.
     """
     pieces = [F.coalesce(F.col(text_col), F.lit("")), *(F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
                                                         for c in extra_cols)]
     q = questions.withColumn("_hay", F.lower(F.concat_ws(" ", *pieces)))
-    hays = q.select("shop_id", "_hay").distinct()
+    hays = stored(q.select("shop_id", "_hay").distinct(), "ranked-texts")
     names = catalog._names(candidates.where(F.col("stock") > 0))
-    best = names.groupBy("shop_id", "token").agg(F.min(F.struct(
+    words = lambda c: F.array_distinct(c).alias("words")
+    best = stored(names.groupBy("shop_id", "token").agg(F.min(F.struct(
         (-F.col("stock")).alias("less"), "rank", "combo_id")).alias("best"))
-    explicit = catalog.name_hits(hays, names).withColumn("explicit", F.lit(1)).withColumn("implicit", F.lit(0))
-    words = best.select("shop_id", "token", F.explode(F.array_distinct(F.split("token", " "))).alias("word"))
-    implicit = (hays.select("shop_id", "_hay", F.explode(F.array_distinct(tokens(F.col("_hay")))).alias("word"))
-                .join(words, ["shop_id", "word"])
-                .select("shop_id", "_hay", "token", F.lit(0).alias("explicit"), F.lit(1).alias("implicit")))
-    hits = explicit.unionByName(implicit).groupBy("shop_id", "_hay", "token").agg(
-        (-F.max("explicit")).alias("e"), (-F.sum("implicit")).alias("i"))
-    top = hits.join(best, ["shop_id", "token"]).groupBy("shop_id", "_hay").agg(
-        F.min(F.struct("e", "i", "best")).alias("top"))
-    return q.join(top, ["shop_id", "_hay"], "left").withColumn("best_combo", F.col("top.best.combo_id")).drop("top", "_hay")
+        .select("shop_id", "token", "best", words(F.split("token", " "))), "ranked-names")
+    texts = hays.select("shop_id", "_hay", words(tokens(F.col("_hay"))))
+    hits = stored(matching.name_hits(hays, best), "name-hits")
+    explicit = (hits.join(best, ["shop_id", "token"]).join(texts.withColumnRenamed("words", "said"), ["shop_id", "_hay"])
+                .groupBy("shop_id", "_hay").agg(F.min(F.struct(
+                    (-F.size(F.array_intersect("words", "said"))).alias("less"), "best")).alias("top"))
+                .select("shop_id", "_hay", F.col("top.best.combo_id").alias("best_combo")))
+    # words only decide where no name is said
+    others = texts.join(hits.select("shop_id", "_hay"), ["shop_id", "_hay"], "left_anti")
+    implicit = matching.best_overlap(others, best).select("shop_id", "_hay", F.col("best.combo_id").alias("best_combo"))
+    found = stored(explicit.unionByName(implicit), "ranked-matches")
+    return q.join(found, ["shop_id", "_hay"], "left").drop("_hay")
 
 
 def plain_number(x: Column) -> Column:

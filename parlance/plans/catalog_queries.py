@@ -106,6 +106,38 @@ def combo_keyword_match(spark, d):
     return _matched(spark, d).select("q_id", F.col("keyword_match.combo_id").alias("keyword_combo"))
 
 
+def with_requirements(spark, d):
+    """Questions with requirement lists: what was asked for, of every third part its name, and what
+    follows from it, of every fifth part a remark; null for every seventh."""
+    names = B.products(spark, d).select(F.col("id").alias("part_id"), F.col("name").alias("_name"))
+    part, none = F.col("part_id"), F.array().cast("array<string>")
+    explicit = F.when(part % 7 == 0, F.lit(None).cast("array<string>")).when(
+        part % 3 == 0, F.array(F.concat(F.lit(" Cần "), "_name"), F.lit("loại tốt"))).otherwise(none)
+    implicit = F.when(part % 5 == 0, F.array(F.lit("widget "))).otherwise(none)
+    return (B.product_questions(spark, d).join(names, "part_id").withColumn("explicit_requirements", explicit)
+            .withColumn("implicit_requirements", implicit).drop("_name"))
+
+
+_REQ_SQL = f"""
+rq AS (
+  SELECT q.q_id, q.shop_id, array_to_string(list_concat([{_norm_sql('q.text')}], list_transform(list_concat(
+      CASE WHEN q.part_id % 7 = 0 THEN [] WHEN q.part_id % 3 = 0 THEN [' Cần ' || p.name, 'loại tốt'] ELSE [] END,
+      CASE WHEN q.part_id % 5 = 0 THEN ['widget '] ELSE [] END), lambda x: {_norm_sql('x')})), ' ') AS hay
+  FROM product_questions q JOIN products p ON p.id = q.part_id)"""
+
+
+@register("combo_match_requirements", _LISTING_SQL + "," + _REQ_SQL + "," + _NAME_SQL.replace("FROM q ", "FROM rq q ") + ","
+          + _kw_sql().replace("FROM q ", "FROM rq q ") + """
+SELECT rq.q_id, n.name_combo, CASE WHEN n.name_combo IS NULL THEN k.keyword_combo END AS keyword_combo
+FROM rq LEFT JOIN name_hits n ON rq.q_id = n.q_id LEFT JOIN kw_hits k ON rq.q_id = k.q_id""")
+def combo_match_requirements(spark, d):
+    """#22 / #23 with the requirement texts as part of the message."""
+    out = C.match_combos(with_requirements(spark, d), _candidates(spark, d), keyword_groups=GROUPS,
+                         extra_cols=("explicit_requirements", "implicit_requirements"))
+    return out.select("q_id", F.col("name_match.combo_id").alias("name_combo"),
+                      F.col("keyword_match.combo_id").alias("keyword_combo"))
+
+
 @register("price_intent", _LISTING_SQL + f"""
 SELECT q_id, {_contains_any_sql('hay', C.PRICE_KEYWORDS)} AS price_intent FROM q""")
 def price_intent(spark, d):
