@@ -228,8 +228,11 @@ def fit(sequences: list[tuple[list[set], list[int]]], rounds: int = ROUNDS) -> F
 def sample(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
     """The training sample: at most ``TRAIN_PAGES`` pages of at most ``TRAIN_BYTES`` bytes."""
     named = pages.filter(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]") & (F.octet_length(html_col) <= TRAIN_BYTES))
-    least = named.select(F.xxhash64(F.col(id_col).cast("string"), html_col).alias("turn"), F.col(html_col).alias("html"))
-    return [r["html"] for r in least.orderBy("turn", "html").limit(TRAIN_PAGES).collect()]
+    turn = named.select(F.xxhash64(F.col(id_col).cast("string"), html_col).alias("turn"), F.col(html_col).alias("html"))
+    # the numbers first: whole pages leave the tasks only if they are in the sample
+    least = [r["turn"] for r in turn.select("turn").distinct().orderBy("turn").limit(TRAIN_PAGES).collect()]
+    chosen = turn.filter(F.col("turn").isin(least)).groupBy("turn").agg(F.min("html").alias("html"))
+    return [r["html"] for r in chosen.orderBy("turn").collect()]
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Field:
