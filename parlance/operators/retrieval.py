@@ -1,23 +1,12 @@
-"""Dense and sparse retrieval over vector / text tables (#32, #66-#70).
+"""Vector records, BM25 weights and collection counts (#32, #66, #70).
 
-Dense: a batch of query vectors against a vector table.  The shop filter makes
-the pairing an equi-join on ``shop_id`` (no cross product); distances are
-computed with ``zip_with`` + ``aggregate`` (interpreted per element), and the top k per
-query use ``row_number() <= k`` (WindowGroupLimit: a partial top-k per map task,
-so a query that meets a third of all vectors still ships only k rows per task).
-
-Approximate dense (IVF): ``ml.clustering.KMeans`` cells, each query probes its
-``nprobe`` nearest cells, the pairing is an equi-join on ``cell`` and the
-candidates are re-ranked exactly.  Centroids (at most ``nlist`` x dim floats) are
-the only broadcast, and their size is bounded by ``nlist``.
-
-Sparse: BM25 posting rows ``(doc_id, term, weight)``; a query is its own posting rows, the score is
-``sum(wq * wd)`` and the search skips blocks of postings by their bounds (``sparse.py``).
+The searches are in ``dense.py`` (#67, #68) and ``sparse.py`` (#69); the latter takes BM25 posting rows
+``(doc_id, term, weight)``, and a query as posting rows of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.sparse import sparse_top_k  # noqa: F401 - the search over these postings
@@ -25,7 +14,6 @@ from parlance.session import stored
 
 # Default search parameters of the vector store.
 DEFAULT_K = 10
-NLIST = 1024
 NPROBE = 10
 # BM25 parameters from the literature (Robertson et al.): k1 = 1.2, b = 0.75.
 BM25_K1 = 1.2
@@ -34,17 +22,11 @@ BM25_B = 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def sq_l2(a: Column, b: Column) -> Column:
-    """Squared L2 distance of two equal-length float arrays, summed in double."""
-    diffs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
 def prepare_vectors(records: DataFrame, dim: int) -> DataFrame:
     """#66: defaults and dimension check for vector records.
 
     doc_id defaults to a generated id (a hash of the record id), product_id to
-    '0', metadata to '{}', a missing sparse vector to an empty one; ``dim_ok``
+    '0', text_content to '', metadata to '{}', a missing sparse vector to an empty one; ``dim_ok``
     flags records whose dense vector has the wrong length.
     """
     cols = records.columns
@@ -57,60 +39,12 @@ def prepare_vectors(records: DataFrame, dim: int) -> DataFrame:
         .alias("doc_id"),
         F.coalesce(F.col("product_id"), F.lit("0")).alias("product_id"),
         F.coalesce(F.col("shop_id"), F.lit("0")).alias("shop_id"),
+        F.coalesce(F.col("text_content") if "text_content" in cols else F.lit(None).cast("string"),
+                   F.lit("")).alias("text_content"),
         F.coalesce(meta, F.lit("{}")).alias("metadata"),
         F.coalesce(sparse, F.create_map().cast("map<string,double>")).alias("sparse_vector"))
 
 
-def _top_k(pairs: DataFrame, k: int, key: str = "query_id", score: str = "distance", asc: bool = True,
-           tie: str = "id") -> DataFrame:
-    order = F.col(score).asc() if asc else F.col(score).desc()
-    w = Window.partitionBy(key).orderBy(order, F.col(tie).asc())
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K,
-                output_fields=("doc_id", "product_id")) -> DataFrame:
-    """#67: k nearest vectors (squared L2) per query inside the query's shop, ordered by distance."""
-    v = vectors.select("id", "shop_id", F.col("dense_vector"), *output_fields)
-    pairs = queries.join(v, "shop_id")
-    # rounded to 1e-9 so equal vectors tie exactly (then the lower id wins)
-    pairs = pairs.withColumn("distance", F.round(sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)) \
-        .drop("dense_vector", "query_vector")
-    return _top_k(pairs, k)
-
-
-def kmeans_cells(vectors: DataFrame, nlist: int, seed: int = 7, max_iter: int = 20):
-    """Train ``nlist`` IVF cells with ``ml.clustering.KMeans`` on all vectors (the vector
-    store's own default is ``NLIST``; about the square root of the row count is usual)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    feats = vectors.select("id", array_to_vector(F.col("dense_vector").cast("array<double>")).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(feats)
-    return model
-
-
-def dense_top_k_ivf(queries: DataFrame, vectors: DataFrame, model, k: int = DEFAULT_K,
-                    nprobe: int = NPROBE, output_fields=("doc_id", "product_id")) -> DataFrame:
-    """#68: approximate top-k: probe the ``nprobe`` nearest cells, re-rank their vectors exactly."""
-    from pyspark.ml.functions import array_to_vector
-
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]  # nlist x dim, bounded by nlist
-    # Centroids travel as one array literal: each query row scores them in place and
-    # keeps its nprobe nearest cells (no join between queries and centroids).
-    cents = F.lit(centers).cast("array<array<double>>")
-    scored = F.transform(cents, lambda c, i: F.struct(sq_l2(F.col("query_vector"), c).alias("d"), i.alias("cell")))
-    probes = queries.select("query_id", "query_vector",
-                            F.explode(F.slice(F.array_sort(scored), 1, nprobe)).alias("_p")) \
-        .select("query_id", "query_vector", F.col("_p.cell").alias("cell"))
-    feats = vectors.withColumn("features", array_to_vector(F.col("dense_vector").cast("array<double>")))
-    assigned = model.transform(feats).select("id", "cell", "dense_vector", *output_fields)
-    pairs = probes.join(assigned, "cell")
-    pairs = pairs.withColumn("distance", F.round(sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)).drop(
-        "dense_vector", "query_vector")
-    return _top_k(pairs, k)
-
-
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens of a whole text (letters and digits, any script)."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), "")

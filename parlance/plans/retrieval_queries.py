@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlance.operators import dense as D
 from parlance.operators import retrieval as R
 from parlance.plans.registry import register
 from parlance.session import stored
@@ -14,7 +15,7 @@ DIM = 64   # dimension of the driver embeddings (the reference collection uses 7
 
 
 def _records(spark, d):
-    v = B.vectors(spark, d)
+    v = B.vectors(spark, d).drop("text_content", "metadata")
     return v.withColumn("doc_id", F.when(F.col("id") % 9 == 0, F.lit(None).cast("string")).otherwise(F.col("doc_id")))
 
 
@@ -29,6 +30,23 @@ def prepare_vectors(spark, d):
                                                              "metadata")
 
 
+@register("prepare_vectors_text", f"""
+SELECT vec_id AS id, CASE WHEN vec_id % 13 = 0 THEN false WHEN vec_id % 17 = 0 THEN false ELSE true END AS dim_ok,
+       CASE WHEN vec_id % 11 = 0 THEN '' ELSE 'item ' || CAST(vec_id AS VARCHAR) || ' of shop ' || CAST(label AS VARCHAR) END
+         AS text_content,
+       CASE WHEN vec_id % 4 = 0 THEN '0' ELSE CAST(label AS VARCHAR) END AS shop_id,
+       CASE WHEN vec_id % 3 = 0 THEN '{{}}' ELSE '{{"label": ' || CAST(label AS VARCHAR) || '}}' END AS metadata
+FROM embeddings""")
+def prepare_vectors_text(spark, d):
+    """#66 with every default: texts, shops and metadata missing, vectors missing or of a wrong length."""
+    no = lambda c, n: F.when(F.col("id") % n != 0, F.col(c))
+    v = B.vectors(spark, d)
+    cut = F.when(F.col("id") % 13 == 0, F.slice("dense_vector", 1, 7)).otherwise(no("dense_vector", 17))
+    v = v.select("id", "doc_id", "product_id", cut.alias("dense_vector"), no("text_content", 11).alias("text_content"),
+                 no("shop_id", 4).alias("shop_id"), no("metadata", 3).alias("metadata"))
+    return R.prepare_vectors(v, DIM).select("id", "dim_ok", "text_content", "shop_id", "metadata")
+
+
 @register("collection_stats", """
 SELECT CAST(label AS VARCHAR) AS shop_id, count(*) AS n FROM embeddings GROUP BY label""")
 def collection_stats(spark, d):
@@ -63,26 +81,43 @@ SELECT query_id, id, doc_id, product_id, round(distance, 6) AS distance, CAST(ra
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
 WHERE rank <= {R.DEFAULT_K}""")
 def dense_top_k(spark, d):
-    out = R.dense_top_k(centroid_queries(spark, d), B.vectors(spark, d))
+    out = D.dense_top_k(centroid_queries(spark, d), B.vectors(spark, d), R.DEFAULT_K, ("doc_id", "product_id"), in_shop=True)
     return out.select("query_id", "id", "doc_id", "product_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-#: Cells of the registered IVF query, and how many of them a query probes: 16 find 0.93 of the
-#: true neighbours at sf0.01 and 0.90 at sf0.1, the vector store's default of 10 0.83 and 0.79.
-IVF_CELLS, IVF_PROBES = 32, 20
-
-
 def vector_queries(spark, d):
     """Every vector whose id is divisible by 50, as a query over the whole table."""
     return B.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"),
                                                             F.col("dense_vector").alias("query_vector"))
 
 
+@register("dense_top_k_all", B.with_ctes("vectors") + f""",
+pairs AS (
+  SELECT q.id AS query_id, v.id, v.text_content, v.shop_id, v.metadata,
+         round(list_reduce(list_transform(list_zip(CAST(q.dense_vector AS DOUBLE[]), CAST(v.dense_vector AS DOUBLE[])),
+                                    lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b), 9) AS distance
+  FROM vectors q, vectors v WHERE q.id % 50 = 0)
+SELECT query_id, id, text_content, shop_id, metadata, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
+WHERE rank <= {R.DEFAULT_K}""")
+def dense_top_k_all(spark, d):
+    """#67 without a shop, with the vector store's default output fields."""
+    out = D.dense_top_k(vector_queries(spark, d), B.vectors(spark, d), R.DEFAULT_K)
+    return out.select("query_id", "id", "text_content", "shop_id", "metadata", F.round("distance", 6).alias("distance"), "rank")
+
+
+#: Share of the cells whose codes a query of the registered index search reads, and the vectors, found by
+#: their codes, that it compares as a whole.
+IVF_SHARE, IVF_RERANK = 0.6, 60
+
+
 @register("dense_top_k_ivf")
 def dense_top_k_ivf(spark, d):
+    """#68: an index with as many cells as the root of the table's rows; a new one for each run."""
     vecs = B.vectors(spark, d)
-    model = R.kmeans_cells(vecs, IVF_CELLS)
-    out = R.dense_top_k_ivf(vector_queries(spark, d), vecs, model, nprobe=IVF_PROBES)
+    model = D.fit(vecs)
+    out = D.search(D.build(vecs, model), vector_queries(spark, d), vecs, R.DEFAULT_K,
+                   max(1, round(IVF_SHARE * len(model.centers))), IVF_RERANK, ("doc_id", "product_id"))
     return out.select("query_id", "id", "doc_id", "product_id", F.round("distance", 6).alias("distance"), "rank")
 
 

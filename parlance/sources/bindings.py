@@ -178,6 +178,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
         F.col("label").cast("string").alias("shop_id"),
         F.col("vec_id").cast("string").alias("doc_id"),
         (F.col("vec_id") % 50).cast("string").alias("product_id"),
+        F.concat(F.lit("item "), F.col("vec_id").cast("string"), F.lit(" of shop "), F.col("label").cast("string")).alias("text_content"),
+        F.concat(F.lit('{"label": '), F.col("label").cast("string"), F.lit("}")).alias("metadata"),
     )
 
 
@@ -240,7 +242,9 @@ SQL: dict[str, str] = {
   FROM events GROUP BY user_id)""",
     "vectors": """vectors AS (
   SELECT vec_id AS id, embedding AS dense_vector, CAST(label AS VARCHAR) AS shop_id,
-         CAST(vec_id AS VARCHAR) AS doc_id, CAST(vec_id % 50 AS VARCHAR) AS product_id
+         CAST(vec_id AS VARCHAR) AS doc_id, CAST(vec_id % 50 AS VARCHAR) AS product_id,
+         'item ' || CAST(vec_id AS VARCHAR) || ' of shop ' || CAST(label AS VARCHAR) AS text_content,
+         '{"label": ' || CAST(label AS VARCHAR) || '}' AS metadata
   FROM embeddings)""",
 }
 

@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
+from parlance.operators import dense as D
 from parlance.operators import retrieval as R
 from parlance.plans import retrieval_queries as RQ
 from parlance.sources import bindings as B
@@ -16,7 +17,7 @@ from conftest import SF_CHECK
 def test_dense_top_k_brute_force(spark):
     vecs = B.vectors(spark, SF_CHECK)
     q = RQ.centroid_queries(spark, SF_CHECK)
-    got = {(r.query_id, r.rank): r.id for r in R.dense_top_k(q, vecs, k=5).collect()}
+    got = {(r.query_id, r.rank): r.id for r in D.dense_top_k(q, vecs, 5, (), in_shop=True).collect()}
     pv = [(r.id, r.shop_id, np.array(r.dense_vector, dtype=np.float64)) for r in vecs.collect()]
     for r in q.collect():
         qv = np.array(r.query_vector)
@@ -48,13 +49,103 @@ def test_bm25_python_model(spark):
     assert {(r.doc_id, r.term): r.weight for r in only.collect()} == {k: v for k, v in got.items() if k[1] in ("cat", "the")}
 
 
-def test_ivf_with_every_cell_probed_is_exact(spark):
-    vecs = B.vectors(spark, SF_CHECK)
-    q = RQ.centroid_queries(spark, SF_CHECK).drop("shop_id").limit(3)
-    approx = R.dense_top_k_ivf(q, vecs, R.kmeans_cells(vecs, 8), k=10, nprobe=8)
-    q2 = q.crossJoin(vecs.select("id", "dense_vector"))  # brute force on the small fixture only
-    exact = R._top_k(q2.withColumn("distance", F.round(R.sq_l2(F.col("query_vector"), F.col("dense_vector")), 9)), 10)
-    assert {(r.query_id, r.id) for r in approx.collect()} == {(r.query_id, r.id) for r in exact.collect()}
+def brute(queries, vectors, k):
+    """{(query, id, distance, rank)} of {id: vector} on both sides."""
+    ids = np.array(sorted(vectors))
+    x = np.array([vectors[i] for i in ids])
+    out = set()
+    for q, v in queries.items():
+        far = ((x - np.array(v)) ** 2).sum(1).round(9)
+        order = np.lexsort((ids, far))[:k]
+        out |= {(q, int(ids[i]), round(float(far[i]), 6), n + 1) for n, i in enumerate(order)}
+    return out
+
+
+def rows_of(df):
+    return {(r.query_id, r.id, round(r.distance, 6), r["rank"]) for r in df.collect()}
+
+
+def random_frames(spark, n=700, dim=12, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)).round(2)
+    x[n // 2:n // 2 + 40] = x[0]  # copies, which tie
+    vectors = {i: v.tolist() for i, v in enumerate(x)}
+    queries = {i: x[i].tolist() for i in range(0, n, 29)} | {9000: rng.normal(size=dim).tolist()}
+    v = spark.createDataFrame([(i, v, f"s{i % 3}", f"text {i}") for i, v in vectors.items()],
+                              "id long, dense_vector array<double>, shop_id string, text_content string").repartition(5)
+    q = spark.createDataFrame([(i, v, f"s{i % 4}") for i, v in queries.items()],
+                              "query_id long, query_vector array<double>, shop_id string")
+    return vectors, queries, v, q
+
+
+def test_exact_search_equals_brute_force(spark, monkeypatch):
+    vectors, queries, v, q = random_frames(spark)
+    want = brute(queries, vectors, 7)
+    out = D.dense_top_k(q, v, 7, ("text_content", "shop_id"))
+    assert rows_of(out) == want
+    assert all(r.text_content == f"text {r.id}" and r.shop_id == f"s{r.id % 3}" for r in out.collect())
+    in_shop = set().union(*(brute({i: x}, {j: y for j, y in vectors.items() if j % 3 == i % 4}, 7) for i, x in queries.items()
+                            if i % 4 < 3))
+    assert rows_of(D.dense_top_k(q, v, 7, (), in_shop=True)) == in_shop
+    monkeypatch.setattr(D, "CHUNK_QUERIES", 6)  # several chunks
+    assert rows_of(D.dense_top_k(q, v, 7, ())) == want
+
+
+def test_exact_search_takes_small_blocks(monkeypatch):
+    """The task's loop, with blocks of three vectors."""
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(50, 4)), rng.normal(size=(6, 4))
+    monkeypatch.setattr(D, "PAIRS", 18)
+    batch = pa.record_batch([pa.array(np.arange(50)), pa.array(x.tolist())], names=["id", "dense_vector"])
+    queries = pa.table({"query_id": pa.array(np.arange(6)), "query_vector": pa.array(q.tolist())})
+    out = pa.Table.from_batches(D._scan(queries, 4, 5, False, [])(iter([batch.slice(0, 20), batch.slice(20)])))
+    got = {(r["query_id"], r["id"]) for r in out.to_pylist()}
+    assert got == {(i, int(n)) for i in range(6) for n in ((x - q[i]) ** 2).sum(1).argsort()[:5]}
+
+
+def test_odd_vectors_and_empty_sides(spark):
+    schema = "id long, dense_vector array<double>, shop_id string"
+    v = spark.createDataFrame([(1, [0.0, 1.0], "a"), (2, None, "a"), (3, [1.0], "a"), (4, [0.0, 1.0], None),
+                               (5, [float("nan"), 0.0], "a")], schema)
+    q = spark.createDataFrame([(1, [0.0, 1.0], "a"), (2, None, "a"), (3, [5.0, 1.0], None)],
+                              "query_id long, query_vector array<double>, shop_id string")
+    assert rows_of(D.dense_top_k(q, v, 2, ())) == {(1, 1, 0.0, 1), (1, 4, 0.0, 2), (3, 1, 25.0, 1), (3, 4, 25.0, 2)}
+    assert {(r.query_id, r.id) for r in D.dense_top_k(q, v, 9, (), in_shop=True).collect()} == {(1, 1)}
+    assert D.dense_top_k(q, v.limit(0), 3, ()).count() == 0 == D.dense_top_k(q.limit(0), v, 3, ()).count()
+
+
+def test_index_with_every_cell_probed_is_exact_and_can_be_extended(spark, tmp_path):
+    vectors, queries, v, q = random_frames(spark)
+    model = D.fit(v, nlist=9, parts=3)
+    path = D.build(v.where("id < 400"), model, str(tmp_path / "index"))
+    part = {i: x for i, x in vectors.items() if i < 400}
+    assert rows_of(D.search(path, q, v, 7, 9, 400, ())) == brute(queries, part, 7)
+    D.add(path, v.where("id >= 400"))
+    assert rows_of(D.search(path, q, v, 7, 9, 700, ())) == brute(queries, vectors, 7)
+    held = spark.read.parquet(f"{path}/blocks").collect()
+    assert sorted(i for r in held for i in r.ids) == sorted(vectors)
+    x = {i: np.array(y) for i, y in vectors.items()}
+    for r in held:
+        assert all(((x[i] - model.centers) ** 2).sum(1).argmin() == r.cell for i in r.ids)
+
+
+def test_code_distances_are_those_of_the_codewords(spark):
+    _, _, v, _ = random_frames(spark, n=300)
+    model = D.fit(v, nlist=5, parts=4)
+    x = np.array([r.dense_vector for r in v.collect()])
+    cells = model.cells(x)
+    codes = model.codes(x, cells)
+    near = model.centers[cells] + model.words[np.arange(4), codes].reshape(len(x), -1)
+    for c in range(5):
+        table = model.tables(x[:3], c)
+        own = np.flatnonzero(cells == c)
+        assert np.allclose(table[:, np.arange(4), codes[own]].sum(-1), ((x[:3, None] - near[None, own]) ** 2).sum(-1))
+    assert ((x - near) ** 2).sum() < 0.2 * ((x - x.mean(0)) ** 2).sum()
+
+
+def test_registered_index_compares_at_most_a_fifth_as_whole_vectors(spark):
+    n = B.vectors(spark, SF_CHECK).count()
+    assert RQ.IVF_RERANK <= n / 5
 
 
 @pytest.mark.parametrize("sf_dir", [SF_CHECK, "/root/testdata/sf0.1"])
