@@ -15,14 +15,17 @@ their prefixes of ``n - a + l`` and ``m - a + l`` share at least ``l`` of them,
 3. Each remaining document is compared with the partner that it shares most with among
    the most central documents of its hashes' lists.  These star links are linear in the
    size of a group of near copies and already connect most of it.
-4. Documents that share enough hashes with *another* component are ordered anew, rarest
+   The star pairs, linked or not, also form groups: documents around the same central ones.
+4. Inside a group, near misses would be all pairs.  Blocks of its documents are compared inside
+   tasks, component against component, by products of bit matrices; only links leave a task.
+5. Documents that share enough hashes with *another* group are ordered anew, rarest
    hash first.  A document's prefix is lengthened by its estimated candidate cost (the
    lengths of its lists), and a pair needs as many shared prefix hashes as the
    shorter lengthening demands, at positions that its two sizes allow, and hashes enough
-   that other components hold at all (edits of its own rule a document out).  Pairs inside a
-   component are never made; the members of a list's largest component meet the others
+   that other groups hold at all (edits of its own rule a document out).  Pairs inside a
+   group are never made; the members of a list's largest group meet the others
    only.
-5. Pairs that remain are verified on whole sets; links become components.
+6. Pairs that remain are verified on whole sets; links become components.
 
 No link between different components is lost, so the components are those of the full
 similarity join.  Hash equality stands for shingle equality (64 bits, compared only
@@ -44,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map, slices, stored
+from parlance.llm.common import arrow_map, ship_package, slices, stored
 
 WORDS = 5
 #: Word hashes that one worker keeps (about 0.15 KB each).
@@ -53,6 +56,8 @@ CACHE = 400_000
 PRUNES = 2
 #: Candidates of a prefix above which it is lengthened, by lists of at most this length.
 COST = 64
+#: Documents and hashes of a block that is compared inside a task; columns of a bit matrix.
+BLOCK_DOCS, BLOCK_HASHES, COLUMNS = 1024, 1 << 20, 4096
 
 _HASHES: dict[bytes, int] = {}
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -121,48 +126,44 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc, n, d1, d2``: size and 128-bit digest of every document's set."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """``doc, n, d1, d2, hashes``: size and 128-bit digest of every document's set, and its lengthened
+    prefix in hash order.  Of equal sets a task gives the prefix of the first, and again only
+    of a smaller id: a large group of copies has few prefixes per task, its smallest id's among them."""
     def run(batches):
+        smallest: dict[bytes, int] = {}
         for part in slices(batches):
-            n, pairs = [], []
-            for text in part.column(1).to_pylist():
+            n, marks, prefixes = [], [], []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 own = shingle_set(text)
+                mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 n.append(len(own))
-                pairs.append(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64))
-            pairs = np.array(pairs)
+                marks.append(np.frombuffer(mark, np.int64))
+                if doc is None or not len(own) or smallest.get(mark, doc + 1) <= doc:
+                    prefixes.append(None)
+                else:
+                    smallest[mark] = doc
+                    prefixes.append(own[:prefix(len(own))].tobytes())
+            marks = np.array(marks)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-                ["doc", "n", "d1", "d2"])
+                [part.column(0), pa.array(n, pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
+                 pa.array(prefixes, pa.binary())], ["doc", "n", "d1", "d2", "hashes"])
 
-    return docs.transform(arrow_map, run, "doc long, n int, d1 long, d2 long")
+    return docs.transform(arrow_map, run, "doc long, n int, d1 long, d2 long, hashes binary")
 
 
-def hash_prefixes(docs: DataFrame) -> DataFrame:
-    """``token, doc``: the lengthened prefix of every document, in hash order.  Of equal
-    sets a task emits the first, and again only for a smaller id: a large group of copies
-    emits few sets per task, its smallest id's among them."""
+def unpacked(rows: DataFrame) -> DataFrame:
+    """``token, doc, n`` of a frame ``doc, n, hashes``."""
     def run(batches):
-        smallest: dict[bytes, int] = {}
         for part in slices(batches):
-            tokens, owners = [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own = shingle_set(text)
-                if doc is None or not len(own):
-                    continue
-                mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if smallest.get(mark, doc + 1) <= doc:
-                    continue
-                smallest[mark] = doc
-                own = own[:prefix(len(own))]
-                tokens.append(own)
-                owners.append(np.full(len(own), doc, np.int64))
-            if tokens:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            if sum(map(len, own)):
+                again = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))],
-                    ["token", "doc"])
+                    [pa.array(np.concatenate(own)), part.column(0).take(again), part.column(1).take(again)],
+                    ["token", "doc", "n"])
 
-    return docs.transform(arrow_map, run, "token long, doc long")
+    return rows.select("doc", "n", "hashes").transform(arrow_map, run, "token long, doc long, n int")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -265,29 +266,109 @@ def star_pairs(rows: DataFrame) -> DataFrame:
         F.col("doc").alias("x"), (-F.col("best.h")).alias("y"))
 
 
+class _Roots(dict):
+    """Components joined in a task."""
+
+    def find(self, x: int) -> int:
+        while self.get(x, x) != x:
+            self[x] = x = self.get(self[x], self[x])
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of bit matrices over the hashes
+    that both sides hold, so many columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    sides = []
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for sets in (left, right):
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        tokens = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, tokens), max(0, len(both) - 1))
+        held = both[at] == tokens if len(both) else np.zeros(len(tokens), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], of[held][order], len(sets)))
+    for first in range(0, len(both), COLUMNS):
+        bits = []
+        for at, of, rows in sides:
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            m = np.zeros((rows, COLUMNS), np.float32)
+            m[of[a:b], at[a:b] - first] = 1
+            bits.append(m)
+        out += bits[0] @ bits[1].T
+    return out
+
+
+def _block_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Links that join components, between the two sides of a pair of blocks (or within one)."""
+    side = rows.column("side").to_numpy()
+    doc, comp, n = (rows.column(c).to_numpy() for c in ("doc", "comp", "n"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
+    one = key[2].as_py() == key[3].as_py() and not key[1].as_py()
+    left = np.arange(len(doc)) if one else np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    linked = 7 * shared >= 3 * (n[left][:, None] + n[right][None, :])
+    linked &= comp[left][:, None] != comp[right][None, :]
+    roots, x, y = _Roots(), [], []
+    for i, j in zip(*np.nonzero(linked)):
+        if roots.join(int(comp[left[i]]), int(comp[right[j]])):
+            x.append(int(doc[left[i]]))
+            y.append(int(doc[right[j]]))
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
+def group_links(sets: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """``x, y``: links between the components of each group, enough of them to join what links.
+
+    A group's largest component is only compared with the others.  Both are cut into blocks of at most
+    ``BLOCK_DOCS`` documents and ``BLOCK_HASHES`` hashes on average; a task compares two blocks by
+    matrix products, and only links leave it: a document is sent once per opposite block."""
+    n = F.floor(F.octet_length("hashes") / 8).cast("int").alias("n")
+    placed = stored(sets.select("doc", n).join(groups.withColumnRenamed("comp", "grp"), "doc").join(comps, "doc", "left")
+                    .withColumn("comp", F.coalesce("comp", "doc")), "grouped-documents")
+    held = placed.groupBy("grp", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    largest = F.max(F.struct("c", "comp", "s"))
+    per = held.groupBy("grp").agg(largest.alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("c > top.c")
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK_DOCS, s / BLOCK_HASHES)).cast("int")
+    per = stored(per.select("grp", F.col("top.comp").alias("major"), blocks(F.col("top.c"), F.col("top.s")).alias("majors"),
+                            blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("minors")), "group-blocks")
+    at = placed.join(per, "grp").withColumn("big", F.col("comp") == F.col("major")).withColumn(
+        "own", F.pmod(F.xxhash64("doc"), F.when(F.col("big"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    task = lambda big, a, b, side: F.struct(F.lit(big).alias("big"), a.alias("a"), b.alias("b"), side.alias("side"))
+    own = F.col("own")
+    with_minor = F.transform(every("minors"), lambda j: task(
+        False, F.least(own, j), F.greatest(own, j), F.when(own <= j, 0).otherwise(1)))
+    with_major = F.transform(every("majors"), lambda j: task(True, own, j, F.lit(0)))
+    to_minor = F.transform(every("minors"), lambda j: task(True, j, own, F.lit(1)))
+    sent = at.select("grp", "doc", "comp", "n", F.inline(F.when(F.col("big"), to_minor).otherwise(
+        F.concat(with_minor, with_major))))
+    ship_package(sets.sparkSession)
+    return (sent.join(sets.select("doc", "hashes"), "doc").groupBy("grp", "big", "a", "b")
+            .applyInArrow(_block_links, "x long, y long"))
+
+
 def cross_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different components that share enough of their adaptive prefixes."""
+    """Pairs of different groups (``comps``) that share enough of their adaptive prefixes."""
     def with_comp(df: DataFrame) -> DataFrame:
         return df.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
-    # documents that share enough hashes with another component
+    # documents that share enough hashes with another group
     placed = with_comp(rows)
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     enough = stored(placed.join(mixed.select("token"), "token", "left_semi").groupBy("doc", "comp").agg(
         F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= _demand(F.col("n")))
         .select("doc", "comp", "n"), "candidates")
 
-    def unpack(batches):
-        for part in slices(batches):
-            own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            size = [len(x) for x in own]
-            if sum(size):
-                again = pa.array(np.repeat(np.arange(len(own)), size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(own)), part.column(0).take(again)], ["token", "doc"])
-
-    tokens = stored(sets.join(enough, "doc", "left_semi").select("doc", "hashes")
-                    .transform(arrow_map, unpack, "token long, doc long"), "candidate-sets")
+    tokens = stored(unpacked(sets.join(enough.select("doc", "n"), "doc")).drop("n"), "candidate-sets")
     tokens = stored(tokens.join(enough, "doc"), "candidate-tokens")
     lists = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("mixed"))
     ordered = tokens.join(lists, "token").withColumn(
@@ -327,23 +408,27 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     docs = _docs(docs, id_col, text_col)
-    found = stored(digests(docs), "set-digests")
+    found = stored(scanned(docs), "set-prefixes")
     classes = stored(found.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep")), "set-classes")
     reps = classes.filter("rep is not null").select(F.col("rep").alias("doc"), "n")
 
     # one shuffle both counts a hash's documents and keeps its rows (a join would emit twice)
     held = F.count("*").over(Window.partitionBy("token"))
-    rows = hash_prefixes(docs).withColumn("held", held).filter("held > 1").drop("held")
-    rows = stored(rows.join(reps, "doc"), "prefixes")
+    rows = stored(unpacked(found.filter("hashes is not null").join(reps, ["doc", "n"], "left_semi"))
+                  .withColumn("held", held).filter("held > 1").drop("held"), "prefixes")
     for _ in range(PRUNES):
         rows = _shared_only(rows)
 
     near = rows.select("doc").distinct()
     sets = stored(whole_sets(docs.join(near, "doc", "left_semi").dropDuplicates(["doc", "text"])), "near-sets")
-    stars = stored(verified(star_pairs(rows), sets), "star-links")
-    crossed = verified(cross_pairs(rows, sets, components(stars)), sets)
-    comps = components(stars.unionByName(stored(crossed, "cross-links")))
-
+    heads = stored(star_pairs(rows), "star-pairs")
+    stars = stored(verified(heads, sets), "star-links")
+    groups = components(heads)
+    within = stored(group_links(sets, groups, components(stars)), "group-links")
+    crossed = stored(verified(cross_pairs(rows, sets, groups), sets), "cross-links")
+    comps = components(stars.unionByName(within).unionByName(crossed))
+
+    found = found.drop("hashes")
     members = found.join(classes, ["d1", "d2", "n"], "left")
     return (members.join(comps.withColumnRenamed("doc", "rep"), "rep", "left")
             .select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),

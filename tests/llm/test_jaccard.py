@@ -112,3 +112,59 @@ def test_prefix_arithmetic(spark):
     for r in got:
         assert r.a == J.least_overlap(r.n) and r.d == J.matches(J.least_overlap(r.n))
         assert 1 <= J.matches(r.n) <= J.prefix(r.n) <= r.n
+
+
+def near_misses(count, words=300, edits=6, seed=1):
+    """Documents that each differ from one text in places of their own: hardly any two link."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(count):
+        own = list(base)
+        for at in rng.sample(range(words), edits):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_large_group_of_near_misses(spark):
+    check(spark, near_misses(220) + [(1000 + i, t) for i, t in near_misses(60, edits=3, seed=2)])
+
+
+def test_rows_between_stages_grow_with_the_documents(spark, monkeypatch):
+    """Every table that the join writes, for groups of 300, 600 and 1200 near misses."""
+    held = {}
+    keep = J.stored
+
+    def counted(df, label):
+        out = keep(df, label)
+        held[label] = max(held.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(J, "stored", counted)
+    grown = []
+    for count in (300, 600, 1200):
+        held.clear()
+        rows = near_misses(count)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        out = {r.doc_id: r.component_id for r in J.linked_components(docs).collect()}
+        grown.append({**held, "rows": len(out)})
+        if count == 300:
+            assert {(i, c) for i, c in out.items()} == {(i, c) for i, _, c in brute(rows)}
+    for label in set(grown[0]) & set(grown[2]):
+        assert grown[2][label] <= 4.6 * max(grown[0][label], 300), (label, grown)
+
+
+def test_blocks_smaller_than_a_group_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(J, "COLUMNS", 13)
+    check(spark, families(3, families=3, copies=40) + [(50_000 + i, t) for i, t in near_misses(60, words=90, edits=2)])
+
+
+def test_overlaps_of_sets():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    got = J.overlaps(sets[:12], sets[12:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
+    assert J.overlaps([], sets).shape == (0, 30) and J.overlaps(sets[:2], [np.zeros(0, np.uint64)]).tolist() == [[0], [0]]
