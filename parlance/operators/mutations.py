@@ -39,13 +39,15 @@ def last_update_per_key(updates: DataFrame, key: str, fields, order=("ts", "msg_
 
 
 def archive_rows(evicted: DataFrame) -> DataFrame:
-    """#6: evicted buffer messages as archive rows (id, session uuid, role, content, tokens, time)."""
+    """#6: evicted buffer messages as archive rows (id, session uuid, role, content, tokens, time);
+    the messages' tool calls too, if they have any such column."""
     sess = F.col("session_id").cast("string")
+    calls = [F.col("tool_calls")] if "tool_calls" in evicted.columns else []
     return evicted.select(
         uuid5_dns(F.concat_ws("/", F.lit("msg"), sess, F.col("msg_id").cast("string"))).alias("id"),
         F.coalesce(canonical_uuid(sess), uuid5_dns(sess)).alias("session_id"),
         F.col("role"), F.col("content"),
-        F.coalesce(F.col("tokens"), F.lit(0)).cast("int").alias("token_count"),
+        F.coalesce(F.col("tokens"), F.lit(0)).cast("int").alias("token_count"), *calls,
         iso_text(F.col("ts")).alias("created_at"))
 
 

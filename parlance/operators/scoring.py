@@ -90,9 +90,15 @@ def label_scores(toks: Column, rules: dict) -> dict[str, Column]:
     return {label: hits(toks, terms) for label, terms in rules.items()}
 
 
+def _most(columns) -> Column:
+    """The largest of one or more columns."""
+    columns = list(columns)
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
 def arg_max_label(scores: dict[str, Column], fallback: str) -> tuple[Column, Column]:
     """(label, winner share); ties go to the earlier label; no hits -> fallback."""
-    top = F.greatest(*scores.values())
+    top = _most(scores.values())
     total = sum(scores.values(), F.lit(0))
     label = None
     for name, s in scores.items():
@@ -102,25 +108,26 @@ def arg_max_label(scores: dict[str, Column], fallback: str) -> tuple[Column, Col
     return label, share
 
 
-def intent_scores(turns: DataFrame, text_col: str = "text") -> DataFrame:
+def intent_scores(turns: DataFrame, text_col: str = "text", rules: dict = INTENT_RULES) -> DataFrame:
     """#59: intent code (8 codes or ``unknown``) and confidence = winner share (0.5 when no hit)."""
     toks = tokens(F.col(text_col))
-    label, share = arg_max_label(label_scores(toks, INTENT_RULES), FALLBACK_INTENT)
+    label, share = arg_max_label(label_scores(toks, rules), FALLBACK_INTENT)
     return turns.withColumn("intent_code", label).withColumn(
         "confidence", F.coalesce(share, F.lit(FALLBACK_CONFIDENCE)))
 
 
-def emotion_policy_scores(turns: DataFrame, text_col: str = "text") -> DataFrame:
+def emotion_policy_scores(turns: DataFrame, text_col: str = "text", emotions: dict = EMOTION_RULES,
+                          flags: dict = FLAG_RULES) -> DataFrame:
     """#60: 5 emotions clipped to 0..1, neutral = 1 - max, 4 policy flags, risk level."""
     toks = tokens(F.col(text_col))
     d = turns
-    for name, s in label_scores(toks, EMOTION_RULES).items():
+    for name, s in label_scores(toks, emotions).items():
         d = d.withColumn(name, F.least(F.lit(1.0), s * EMOTION_STEP).cast("double"))
-    d = d.withColumn("neutral", 1.0 - F.greatest(*[F.col(n) for n in EMOTION_RULES]))
-    for name, s in label_scores(toks, FLAG_RULES).items():
+    d = d.withColumn("neutral", 1.0 - _most(F.col(n) for n in emotions))
+    for name, s in label_scores(toks, flags).items():
         d = d.withColumn(name, s > 0)
     neg = F.greatest(F.col("frustration"), F.col("anger"))
-    any_flag = F.greatest(*[F.col(f).cast("int") for f in FLAG_RULES]) == 1
+    any_flag = _most(F.col(f).cast("int") for f in flags) == 1
     return d.withColumn("risk_level", F.when(neg > 0.7, "high").when((neg > 0.4) | any_flag, "medium")
                         .otherwise("low"))
 

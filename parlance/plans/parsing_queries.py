@@ -145,7 +145,11 @@ _INPUT_SQL = [
 
 
 def raw_outputs(spark, d, spec: PZ.Spec):
-    ev = read_table(spark, d, "events", "event_id", "user_id", "event_type", "value")
+    return raw_outputs_from(read_table(spark, d, "events", "event_id", "user_id", "event_type", "value"), spec)
+
+
+def raw_outputs_from(ev, spec: PZ.Spec):
+    """The model-output binding over any events frame (a table or a micro-batch)."""
     raw_c = _raw_col(spec)
     return ev.select("event_id", *[c.alias(n) for n, c, _ in _inputs()], raw_c.alias("raw"))
 

@@ -192,10 +192,15 @@ FROM routed r JOIN sales s ON s.event_id = r.event_id JOIN guard g ON g.event_id
 
 
 def _final(spark, d):
-    routed = _routed(spark, d).select("event_id", "session_id", "ts", "task", "intent_code", "risk_level",
-                                      "handoff_required", "handoff_reason")
-    sales = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["sales"]), "sales")
-    guard = PZ.parse_model_output(PQ.raw_outputs(spark, d, PZ.SPECS["guardrail"]), "guardrail")
+    return final_from(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
+
+
+def final_from(ev):
+    """Routing and final response of the turns of any events frame (a table or a micro-batch)."""
+    routed = D.task_routing(D.handoff_decision(B.analyses_from(ev))).select(
+        "event_id", "session_id", "ts", "task", "intent_code", "risk_level", "handoff_required", "handoff_reason")
+    sales = PZ.parse_model_output(PQ.raw_outputs_from(ev, PZ.SPECS["sales"]), "sales")
+    guard = PZ.parse_model_output(PQ.raw_outputs_from(ev, PZ.SPECS["guardrail"]), "guardrail")
     j = (routed.join(sales.select("event_id", "response_text", F.col("error").alias("_se")), "event_id")
          .join(guard.select("event_id", "approved", "modified_text", F.col("error").alias("_ge")), "event_id"))
     # a turn whose model output fails validation stays, with the reason and without a text

@@ -71,6 +71,18 @@ def context_updates_from(ev: DataFrame) -> DataFrame:
         (F.floor("value") - 10).cast("bigint").alias("increment"))
 
 
+def context_writes_from(ev: DataFrame) -> DataFrame:
+    """Context updates as a client writes them: increments are text, of which some are no integer or
+    missing, and some entities are no JSON object."""
+    up, bad = context_updates_from(ev), F.col("msg_id")
+    number = (F.when(bad % 13 == 0, F.lit("n/a")).when(bad % 17 == 0, F.lit(None).cast("string"))
+              .when(bad % 19 == 0, F.concat(F.lit(" +"), F.abs("increment").cast("string"), F.lit(" ")))
+              .otherwise(F.col("increment").cast("string")))
+    value = (F.when((F.col("field") == "extracted_entities") & (bad % 5 == 0), F.lit("{broken"))
+             .when((F.col("field") == "extracted_entities") & (bad % 7 == 0), F.lit("[1, 2]")).otherwise(F.col("value")))
+    return up.withColumn("value", value).withColumn("increment", number)
+
+
 def analyses(spark: SparkSession, d: str) -> DataFrame:
     """events -> per-turn analyses: emotion scores from value and type, flags from props.k, risk by value."""
     return analyses_from(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
@@ -200,6 +212,14 @@ SQL: dict[str, str] = {
               WHEN 'view' THEN 'last_tool_used' ELSE 'user_mood' END AS field,
          props AS value, CAST(floor(value) - 10 AS BIGINT) AS increment
   FROM events)""",
+    "context_writes": """context_writes AS (
+  SELECT session_id, msg_id, ts, field,
+         CASE WHEN field = 'extracted_entities' AND msg_id % 5 = 0 THEN '{broken'
+              WHEN field = 'extracted_entities' AND msg_id % 7 = 0 THEN '[1, 2]' ELSE value END AS value,
+         CASE WHEN msg_id % 13 = 0 THEN 'n/a' WHEN msg_id % 17 = 0 THEN NULL
+              WHEN msg_id % 19 = 0 THEN ' +' || CAST(abs(increment) AS VARCHAR) || ' '
+              ELSE CAST(increment AS VARCHAR) END AS increment
+  FROM context_updates)""",
     "analyses": """analyses AS (
   SELECT *, 1.0 - greatest(frustration, anger, sadness, joy, fear) AS neutral FROM (
   SELECT event_id, user_id AS session_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type,
@@ -249,7 +269,7 @@ SQL: dict[str, str] = {
 }
 
 # CTEs that need another CTE first.
-SQL_DEPENDS = {"stages": ["shops"]}
+SQL_DEPENDS = {"stages": ["shops"], "context_writes": ["context_updates"]}
 
 
 def with_ctes(*names: str) -> str:
