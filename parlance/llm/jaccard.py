@@ -15,11 +15,10 @@ their prefixes of ``n - a + l`` and ``m - a + l`` share at least ``l`` of them,
 3. Each remaining document is compared with the partner that it shares most with among
    the most central documents of its hashes' lists.  These star links are linear in the
    size of a group of near copies and already connect most of it.
-   The star pairs, linked or not, also form groups: documents around the same central ones.
-4. Inside a group, near misses would be all pairs.  Blocks of its documents are compared inside
-   tasks, component against component, by products of bit matrices; only links leave a task.
-5. Documents that share enough hashes with *another* group are ordered anew, rarest
-   hash first.  A document's prefix is lengthened by its estimated candidate cost (the
+4. Near misses are documents of whose whole sets *other* components hold as many hashes as a link needs.
+   Those around the same central document form a group, inside which they would be all pairs: blocks of its
+   documents are compared inside tasks, component against component, by bit matrices; only links leave a task.
+5. Near misses of *different* groups are ordered anew, rarest hash first.  A document's prefix is lengthened by its estimated candidate cost (the
    lengths of its lists), and a pair needs as many shared prefix hashes as the
    shorter lengthening demands, at positions that its two sizes allow, and hashes enough
    that other groups hold at all (edits of its own rule a document out).  Pairs inside a
@@ -281,13 +280,17 @@ class _Roots(dict):
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets, by products of bit matrices over the hashes
-    that both sides hold, so many columns at a time."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    """Sizes of all intersections of two lists of sets, by AND and popcount over bit matrices of the
+    hashes that both sides hold (within one list: that two sets hold), so many columns at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
     if not left or not right:
         return out
+    if left is right:
+        tokens, count = np.unique(np.concatenate(left), return_counts=True)
+        both = tokens[count > 1]
+    else:
+        both = np.intersect1d(np.concatenate(left), np.concatenate(right))
     sides = []
-    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
     for sets in (left, right):
         of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         tokens = np.concatenate(sets)
@@ -299,10 +302,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         bits = []
         for at, of, rows in sides:
             a, b = np.searchsorted(at, [first, first + COLUMNS])
-            m = np.zeros((rows, COLUMNS), np.float32)
-            m[of[a:b], at[a:b] - first] = 1
-            bits.append(m)
-        out += bits[0] @ bits[1].T
+            m = np.zeros((rows, COLUMNS), bool)
+            m[of[a:b], at[a:b] - first] = True
+            bits.append(np.packbits(m, axis=1).view(np.uint64))
+        for row in np.flatnonzero(bits[0].any(axis=1)):
+            out[row] += np.bitwise_count(bits[0][row] & bits[1]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -314,7 +318,8 @@ def _block_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     one = key[2].as_py() == key[3].as_py() and not key[1].as_py()
     left = np.arange(len(doc)) if one else np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
-    shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    own = [sets[i] for i in left]
+    shared = overlaps(own, own if one else [sets[i] for i in right])
     linked = 7 * shared >= 3 * (n[left][:, None] + n[right][None, :])
     linked &= comp[left][:, None] != comp[right][None, :]
     roots, x, y = _Roots(), [], []
@@ -325,15 +330,13 @@ def _block_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
-def group_links(sets: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+def group_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """``x, y``: links between the components of each group, enough of them to join what links.
+    ``placed``: ``doc, n, comp, grp``.
 
     A group's largest component is only compared with the others.  Both are cut into blocks of at most
     ``BLOCK_DOCS`` documents and ``BLOCK_HASHES`` hashes on average; a task compares two blocks by
-    matrix products, and only links leave it: a document is sent once per opposite block."""
-    n = F.floor(F.octet_length("hashes") / 8).cast("int").alias("n")
-    placed = stored(sets.select("doc", n).join(groups.withColumnRenamed("comp", "grp"), "doc").join(comps, "doc", "left")
-                    .withColumn("comp", F.coalesce("comp", "doc")), "grouped-documents")
+    bit matrices, and only links leave it: a document is sent once per opposite block."""
     held = placed.groupBy("grp", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     largest = F.max(F.struct("c", "comp", "s"))
     per = held.groupBy("grp").agg(largest.alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("c > top.c")
@@ -356,20 +359,26 @@ def group_links(sets: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFra
             .applyInArrow(_block_links, "x long, y long"))
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different groups (``comps``) that share enough of their adaptive prefixes."""
-    def with_comp(df: DataFrame) -> DataFrame:
-        return df.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+def near_misses(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that may link with another component, and their hashes: ``doc, n, comp`` and ``token, doc``.
 
-    # documents that share enough hashes with another group
-    placed = with_comp(rows)
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    enough = stored(placed.join(mixed.select("token"), "token", "left_semi").groupBy("doc", "comp").agg(
+    They share enough prefix hashes with other components, and of their whole sets other components hold
+    as many hashes as any link needs: a passage that many documents share does not bring them here."""
+    placed = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = lambda df: df.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
+        "lo < hi").select("token")
+    enough = stored(placed.join(mixed(placed), "token", "left_semi").groupBy("doc", "comp").agg(
         F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= _demand(F.col("n")))
         .select("doc", "comp", "n"), "candidates")
+    tokens = stored(unpacked(sets.join(enough.select("doc", "n"), "doc")).drop("n").join(enough, "doc"), "candidate-tokens")
+    docs = stored(tokens.join(mixed(tokens), "token", "left_semi").groupBy("doc", "comp", "n").agg(F.count("*").alias("most"))
+                  .filter(F.col("most") >= _least_overlap(F.col("n"))).select("doc", "n", "comp"), "near-misses")
+    return docs, stored(tokens.select("token", "doc").join(docs.select("doc"), "doc", "left_semi"), "near-tokens")
 
-    tokens = stored(unpacked(sets.join(enough.select("doc", "n"), "doc")).drop("n"), "candidate-sets")
-    tokens = stored(tokens.join(enough, "doc"), "candidate-tokens")
+
+def cross_pairs(placed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs of different groups that share enough of their adaptive prefixes.  ``placed``: ``doc, n, grp``."""
+    tokens = stored(tokens.join(placed.select("doc", "n", F.col("grp").alias("comp")), "doc"), "group-tokens")
     lists = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("mixed"))
     ordered = tokens.join(lists, "token").withColumn(
         "pos", F.row_number().over(Window.partitionBy("doc").orderBy("df", "token")) - 1)
@@ -421,11 +430,14 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     near = rows.select("doc").distinct()
     sets = stored(whole_sets(docs.join(near, "doc", "left_semi").dropDuplicates(["doc", "text"])), "near-sets")
-    heads = stored(star_pairs(rows), "star-pairs")
-    stars = stored(verified(heads, sets), "star-links")
-    groups = components(heads)
-    within = stored(group_links(sets, groups, components(stars)), "group-links")
-    crossed = stored(verified(cross_pairs(rows, sets, groups), sets), "cross-links")
+    stars = stored(verified(star_pairs(rows), sets), "star-links")
+    apart, tokens = near_misses(rows, sets, components(stars))
+    # near misses around the same central document are a group
+    heads = star_pairs(rows.join(apart.select("doc"), "doc", "left_semi"))
+    placed = stored(apart.join(components(heads).select("doc", F.col("comp").alias("grp")), "doc", "left")
+                    .withColumn("grp", F.coalesce("grp", "doc")), "grouped-documents")
+    within = stored(group_links(placed, sets), "group-links")
+    crossed = stored(verified(cross_pairs(placed, tokens), sets), "cross-links")
     comps = components(stars.unionByName(within).unionByName(crossed))
 
     found = found.drop("hashes")
