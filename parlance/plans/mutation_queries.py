@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.ids import uuid5_dns
+from parlance.operators import cascade as CD
 from parlance.operators import mutations as X
 from parlance.operators import parsing as PZ
 from parlance.plans import memory_queries as MQ
@@ -92,7 +93,7 @@ def session_lookup(spark, d):
 
 
 # ------------------------------------------------------------------ #61 cascade delete
-def _cascade_inputs(spark, d):
+def _domain(spark, d):
     shops = B.shops(spark, d)
     products = B.products(spark, d)
     customers = read_table(spark, d, "customer", "c_custkey", "c_nationkey").select(
@@ -108,6 +109,11 @@ def _cascade_inputs(spark, d):
          .otherwise(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string"), F.lit("/"),
                              (F.col("user_id") % 7).cast("string"))).alias("current_stage_id"))
     messages = B.messages_long(spark, d).select("session_id", "msg_id")
+    return shops, products, customers, stages, documents, sessions, messages
+
+
+def _cascade_inputs(spark, d):
+    shops, products, customers, stages, documents, sessions, messages = _domain(spark, d)
     doomed_shops = shops.where(F.col("id").endswith("1"))
     doomed_sessions = sessions.where(F.col("id") % 4 == 0)
     return X.cascade_delete(shops, products, customers, stages, documents, sessions, messages,
@@ -146,6 +152,69 @@ def cascade_delete(spark, d):
     return out
 
 
+def _contract_tables(spark, d):
+    """The domain tables by their contract names, each with an ``id``."""
+    shops, products, customers, stages, documents, sessions, messages = _domain(spark, d)
+    return {"shops": shops.select("id"), "products": products.select("id", "shop_id"), "customers": customers,
+            "sales_pipelines": stages.select(F.col("stage_id").alias("id"), "shop_id"), "documents": documents,
+            "sessions": sessions, "messages": messages.select(F.col("msg_id").alias("id"), "session_id")}
+
+
+def _doomed(tables):
+    return {"shops": tables["shops"].where(F.col("id").endswith("1")).select(F.col("id").alias("key")),
+            "sessions": tables["sessions"].where(F.col("id") % 4 == 0).select(F.col("id").alias("key")),
+            "documents": tables["documents"].where(F.col("id") % 10 == 3).select(F.col("id").alias("key"))}
+
+
+_CASCADE_CTES = B.with_ctes("products", "shops", "stages") + """,
+cust AS (SELECT c_custkey AS id, 'Brand#' || CAST(c_nationkey + 1 AS VARCHAR) AS shop_id FROM customer),
+st AS (SELECT shop_id || '/' || CAST(step_order AS VARCHAR) AS id, shop_id FROM stages),
+sess AS (SELECT DISTINCT user_id AS id,
+                CASE WHEN user_id % 7 = 0 THEN NULL
+                     ELSE 'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) || '/' || CAST(user_id % 7 AS VARCHAR) END
+                  AS stage FROM events)"""
+
+
+@register("cascade_rows", _CASCADE_CTES + """
+SELECT 'shops' AS tbl, id, CAST(NULL AS VARCHAR) AS ref, ends_with(id, '1') AS gone FROM shops
+UNION ALL SELECT 'products', CAST(id AS VARCHAR), shop_id, ends_with(shop_id, '1') FROM products
+UNION ALL SELECT 'customers', CAST(id AS VARCHAR), shop_id, ends_with(shop_id, '1') FROM cust
+UNION ALL SELECT 'sales_pipelines', id, shop_id, ends_with(shop_id, '1') FROM st
+UNION ALL SELECT 'documents', CAST(d.doc_id AS VARCHAR), CAST(d.doc_id AS VARCHAR),
+  d.doc_id % 10 = 3 OR coalesce(ends_with(p.shop_id, '1'), false) FROM documents d LEFT JOIN products p ON p.id = d.doc_id
+UNION ALL SELECT 'sessions', CAST(s.id AS VARCHAR),
+  CASE WHEN coalesce(ends_with(st.shop_id, '1'), false) THEN NULL ELSE s.stage END, s.id % 4 = 0
+  FROM sess s LEFT JOIN st ON st.id = s.stage
+UNION ALL SELECT 'messages', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), user_id % 4 = 0 FROM events""")
+def cascade_rows(spark, d):
+    """#61 by the declared keys: every row of every table, whether it goes, and its reference afterwards."""
+    tables = _contract_tables(spark, d)
+    done, out = CD.cascade(tables, _doomed(tables)), None
+    for name, rows in done.items():
+        ref = next((F.col(k.column) for k in CD.FOREIGN_KEYS if k.child == name), F.lit(None))
+        part = rows.select(F.lit(name).alias("tbl"), F.col("id").cast("string").alias("id"), ref.cast("string").alias("ref"),
+                           F.col("_gone").alias("gone"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("fk_orphans_plain_delete", _CASCADE_CTES + """
+SELECT 'products.shop_id' AS fk, shop_id AS child_key, count(*) AS n FROM products WHERE ends_with(shop_id, '1') GROUP BY ALL
+UNION ALL SELECT 'customers.shop_id', shop_id, count(*) FROM cust
+  WHERE ends_with(shop_id, '1') OR shop_id NOT IN (SELECT id FROM shops) GROUP BY ALL
+UNION ALL SELECT 'sales_pipelines.shop_id', shop_id, count(*) FROM st WHERE ends_with(shop_id, '1') GROUP BY ALL
+UNION ALL SELECT 'documents.product_id', CAST(doc_id AS VARCHAR), count(*) FROM documents
+  WHERE doc_id % 10 <> 3 AND doc_id NOT IN (SELECT id FROM products) GROUP BY ALL
+UNION ALL SELECT 'sessions.current_stage_id', stage, count(*) FROM sess
+  WHERE id % 4 <> 0 AND stage IS NOT NULL AND stage NOT IN (SELECT id FROM st) GROUP BY ALL
+UNION ALL SELECT 'messages.session_id', CAST(user_id AS VARCHAR), count(*) FROM events WHERE user_id % 4 = 0 GROUP BY ALL""")
+def fk_orphans_plain_delete(spark, d):
+    """#4: the references that break if the doomed rows go alone, without following the keys."""
+    tables = _contract_tables(spark, d)
+    alone = CD.kept(CD.cascade(tables, _doomed(tables), keys=[]))
+    return CD.orphans(alone)
+
+
 # ------------------------------------------------------------------ #62 upsert handoff reason
 def _session_updates(spark, d):
     """Every event is a session update: reason (null when id % 3 = 0), stage, props as metadata."""
