@@ -35,8 +35,3 @@ def uuid5_dns(c) -> Column:
     h = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant,
                  F.substring(digest, 18, 15))
     return _dashed(h)
-
-
-def uuid_or_uuid5(c) -> Column:
-    """The canonical UUID when the text is one, else its deterministic version-5 UUID."""
-    return F.coalesce(canonical_uuid(c), uuid5_dns(c))

@@ -30,8 +30,3 @@ def shallow_merge(left, right) -> Column:
     lm, rm = json_map(left), json_map(right)
     kept = F.map_filter(lm, lambda k, v: ~F.array_contains(F.map_keys(rm), k))
     return F.to_json(F.map_concat(kept, rm))
-
-
-def extract_object(raw) -> Column:
-    """#49: the JSON object text the reference would parse from model output (or null)."""
-    return json_candidate(col_(raw))

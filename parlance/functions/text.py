@@ -51,11 +51,6 @@ def nonempty_or_null(c) -> Column:
     return F.nullif(col_(c), F.lit(""))
 
 
-def first_nonempty(*cols) -> Column:
-    """#44: first non-null, non-empty value."""
-    return F.coalesce(*[nonempty_or_null(c) for c in cols])
-
-
 def numbered_lines(arr, empty_text: str = "(no trace)") -> Column:
     """#45: ``1. a\\n2. b``; an empty list gives ``empty_text``."""
     a = col_(arr)
@@ -64,8 +59,8 @@ def numbered_lines(arr, empty_text: str = "(no trace)") -> Column:
 
 
 def bulleted_lines(arr, bullet: str = "- ") -> Column:
-    """#45: one ``- item`` line per element."""
-    return F.array_join(F.transform(col_(arr), lambda x: F.concat(F.lit(bullet), x)), "\n")
+    """#45: one ``- item`` line per element; null is no element."""
+    return F.coalesce(F.array_join(F.transform(col_(arr), lambda x: F.concat(F.lit(bullet), x)), "\n"), F.lit(""))
 
 
 def thousands(c) -> Column:
@@ -74,14 +69,20 @@ def thousands(c) -> Column:
 
 
 def percent2(c) -> Column:
-    """#46: Python ``format(x, '.2%')``."""
-    return F.format_string("%.2f%%", col_(c).cast("double") * 100)
+    """#46: Python ``format(x, '.2%')``: the exact value of ``x * 100`` rounded half-even."""
+    number = F.format_number(col_(c).cast("double") * 100, 2)
+    return F.concat(F.replace(number, F.lit(","), F.lit("")), F.lit("%"))
+
+
+# Lengths of previews and what marks a cut (messages, summaries, prompts).
+PREVIEWS = {100: "...", 200: "...", 2000: ""}
 
 
 def preview(c, n: int = 100) -> Column:
-    """#17: first ``n`` characters, ``...`` appended when the text was cut."""
+    """#17: the first ``n`` characters; a cut is marked by ``...``, but for prompts (2000)."""
     s = F.coalesce(col_(c), F.lit(""))
-    return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("..."))).otherwise(s)
+    cut = F.concat(F.substring(s, 1, n), F.lit(PREVIEWS.get(n, "...")))
+    return F.when(F.length(s) > n, cut).otherwise(s)
 
 
 def epoch_to_timestamp(c) -> Column:

@@ -61,18 +61,18 @@ def archive_append(archive_rows_df: DataFrame, path: str, batch_id: int | None =
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def replace_partitions(existing: DataFrame, new_rows: DataFrame, part_col: str = "shop_id") -> DataFrame:
-    """#7: every partition present in ``new_rows`` is replaced by it; others are kept."""
-    touched = new_rows.select(part_col).distinct()
+def replace_partitions(existing: DataFrame, new_rows: DataFrame, part_col: str = "shop_id",
+                       replaced: DataFrame | None = None) -> DataFrame:
+    """#7: every partition present in ``new_rows`` is replaced by it; others are kept.
+
+    ``replaced`` (a frame with ``part_col``) names partitions that are replaced too: one without new
+    rows is cleared."""
+    touched = new_rows.select(part_col)
+    if replaced is not None:
+        touched = touched.unionByName(replaced.select(part_col))
     return existing.join(touched, part_col, "left_anti").unionByName(new_rows)
 
 
-def write_replace_partitions(df: DataFrame, path: str, part_col: str = "shop_id") -> None:
-    """#7 sink: dynamic partition overwrite, rewriting only the partitions in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(part_col).parquet(path))
-
-
 def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key_cols, order_cols=()) -> DataFrame:
     """#8: add rows whose key is absent.  Of several rows with one key the least wins, by
     ``order_cols`` and then by all other columns; the choice is a partial aggregate."""

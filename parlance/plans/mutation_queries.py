@@ -51,6 +51,20 @@ def replace_partition(spark, d):
     return out.select("id", "shop_id", F.col("price").cast("double").alias("price"))
 
 
+@register("replace_partition_cleared", B.with_ctes("products") + """
+SELECT id, shop_id, CAST(CASE WHEN ends_with(shop_id, '4') THEN price * 2 ELSE price END AS DOUBLE) AS price
+FROM products WHERE NOT ends_with(shop_id, '2') AND (NOT ends_with(shop_id, '4') OR stock_quantity > 3)""")
+def replace_partition_cleared(spark, d):
+    """Shops whose name ends in 4 are listed anew, those in 2 have nothing any more."""
+    p = B.products(spark, d)
+    new = p.where(F.col("shop_id").endswith("4") & (F.col("stock_quantity") > 3)).withColumn(
+        "price", (F.col("price") * 2).cast("decimal(10,2)"))
+    asked = B.shops(spark, d).select(F.col("id").alias("shop_id")).where(
+        F.col("shop_id").endswith("4") | F.col("shop_id").endswith("2"))
+    out = X.replace_partitions(p, new, replaced=asked)
+    return out.select("id", "shop_id", F.col("price").cast("double").alias("price"))
+
+
 # ------------------------------------------------------------------ #8 insert if absent
 @register("insert_if_absent", """
 WITH existing AS (SELECT DISTINCT conv_id AS id, 'conversation' AS source FROM conversations),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions.text import preview
+from parlance.functions.text import (bulleted_lines, epoch_to_timestamp, iso_text, list_text, numbered_lines, percent2,
+                                     preview, thousands)
 from parlance.operators import decisions as D
 from parlance.operators import parsing as PZ
 from parlance.plans import parsing_queries as PQ
@@ -88,6 +89,64 @@ def message_preview(spark, d):
     return cv.select("conv_id", "turn", preview(F.col("text"), 100).alias("preview"))
 
 
+# ---------------------------------------------------------------- text forms (#17, #43, #45, #46, #48)
+@register("document_previews", """
+SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE coalesce(text, '') END AS message,
+       CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE coalesce(text, '') END AS summary,
+       substr(coalesce(text, ''), 1, 2000) AS prompt
+FROM documents""")
+def document_previews(spark, d):
+    """The three preview lengths, of texts that are longer than each."""
+    return read_table(spark, d, "documents", "doc_id", "text").select(
+        "doc_id", preview("text", 100).alias("message"), preview("text", 200).alias("summary"),
+        preview("text", 2000).alias("prompt"))
+
+
+@register("session_lines", """
+WITH t AS (
+  SELECT conv_id, list(substr(text, 1, 40) ORDER BY turn) FILTER (WHERE role = 'user') AS said,
+         list(substr(text, 1, 40) ORDER BY turn) FILTER (WHERE role = 'system') AS rules
+  FROM conversations GROUP BY conv_id),
+u AS (SELECT conv_id, coalesce(said, []) AS said, coalesce(rules, []) AS rules FROM t)
+SELECT conv_id, CASE WHEN len(rules) = 0 THEN 'None' ELSE array_to_string(rules, ', ') END AS rule_list,
+       CASE WHEN len(rules) = 0 THEN '(no trace)'
+            ELSE array_to_string(list_transform(rules, lambda x, i: CAST(i AS VARCHAR) || '. ' || x), chr(10)) END AS rule_lines,
+       array_to_string(list_transform(said, lambda x: '- ' || x), chr(10)) AS said_lines
+FROM u""")
+def session_lines(spark, d):
+    """Lists of a session's texts as prompts show them; most sessions have no system text."""
+    cv = read_table(spark, d, "conversations")
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct(
+        "turn", F.substring("text", 1, 40).alias("text"))))), lambda x: x["text"])
+    lists = cv.groupBy("conv_id").agg(of("user").alias("said"), of("system").alias("rules"))
+    return lists.select("conv_id", list_text("rules").alias("rule_list"), numbered_lines("rules").alias("rule_lines"),
+                        bulleted_lines("said").alias("said_lines"))
+
+
+@register("number_formats", """
+SELECT o_orderkey, format('{:,}', CAST(round_even(o_totalprice * 10 + 0.5, 0) AS BIGINT)) AS spend,
+       printf('%.2f%%', (o_orderkey % 20000 / 100000.0) * 100) AS share,
+       printf('%.2f%%', (o_orderkey % 64 / 64.0) * 100) AS eighth
+FROM orders""")
+def number_formats(spark, d):
+    """Spend and confidence as prompts show them; many values lie half-way between two."""
+    key = F.col("o_orderkey")
+    return read_table(spark, d, "orders", "o_orderkey", "o_totalprice").select(
+        "o_orderkey", thousands(F.round(F.col("o_totalprice") * 10 + 0.5, 6)).alias("spend"),
+        percent2(key % 20000 / F.lit(100000.0)).alias("share"), percent2(key % 64 / F.lit(64.0)).alias("eighth"))
+
+
+@register("event_times", """
+SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds,
+       strftime(make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') AS iso
+FROM events""")
+def event_times(spark, d):
+    """Epoch seconds as timestamps and back, and as ISO text."""
+    at = F.unix_timestamp("ts")
+    return read_table(spark, d, "events", "event_id", "ts").select(
+        "event_id", F.unix_seconds(epoch_to_timestamp(at)).alias("seconds"), iso_text(at).alias("iso"))
+
+
 # ---------------------------------------------------------------- navigation joins (#18-#20)
 @register("shop_products_documents", B.with_ctes("shops", "products") + """
 SELECT s.id AS shop_id, p.id AS product_id, d.doc_id

@@ -227,10 +227,3 @@ def run_available_now(df: DataFrame, name: str, checkpoint_root: str | None = No
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(out).drop("batch_id")
-
-
-def archive_sink(batch_df: DataFrame, batch_id: int, path: str) -> None:
-    """#74 sink for ``foreachBatch``: archived rows of a micro-batch, idempotent per batch id."""
-    rows = batch_df.where(F.col("disposition") == "archived")
-    (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))

@@ -41,3 +41,28 @@ def test_normalize_and_formats(spark):
                               text.numbered_lines(F.array(F.lit("a"), F.lit("b"))).alias("e")).collect()[0]
     assert r.a == format(1234567.5, ",.0f") and r.b == format(0.1234, ".2%")
     assert r.c == "x" * 100 + "..." and r.d == "None" and r.e == "1. a\n2. b"
+
+
+def test_formats_round_as_python_does(spark):
+    values = [0.00125, 0.00135, 0.125, 0.5, 1.0, 12.3456, -0.00125, -0.5, 0.0, 0.015625, 0.046875, 1234.56789, 1e-9, 2.5, 3.5,
+              1234567.5, 1234568.5, -2.5, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", text.percent2("x").alias("p"), text.thousands("x").alias("t")).collect():
+        assert r.p == format(r.x, ".2%") and r.t == format(r.x, ",.0f"), r
+
+
+def test_previews(spark):
+    sizes = [0, 1, 99, 100, 101, 199, 200, 201, 1999, 2000, 2001]
+    df = spark.createDataFrame([(n, "é" * n) for n in sizes] + [(0, None)], "n int, s string")
+    for r in df.select("n", *[text.preview("s", k).alias(f"p{k}") for k in (100, 200, 2000)]).collect():
+        whole = "é" * r.n
+        assert r.p100 == whole[:100] + ("..." if r.n > 100 else "")
+        assert r.p200 == whole[:200] + ("..." if r.n > 200 else "")
+        assert r.p2000 == whole[:2000]
+
+
+def test_lists_and_lines(spark):
+    df = spark.createDataFrame([(0, ["a", "b"]), (1, []), (2, None), (3, ["", "x, y"])], "i int, l array<string>")
+    got = {r.i: tuple(r)[1:] for r in df.select("i", text.list_text("l"), text.numbered_lines("l"), text.bulleted_lines("l")).collect()}
+    assert got == {0: ("a, b", "1. a\n2. b", "- a\n- b"), 1: ("None", "(no trace)", ""), 2: ("None", "(no trace)", ""),
+                   3: (", x, y", "1. \n2. x, y", "- \n- x, y")}
