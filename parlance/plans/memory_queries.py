@@ -161,6 +161,55 @@ def summary_input(spark, d):
                     F.array_join(F.transform("messages", lambda m: m["msg_id"].cast("string")), ",").alias("input_ids"))
 
 
+#: Triggers after every so many archived messages, and the messages each reads: short, so that sessions of the
+#: driver data have chains of several summaries.
+CHAIN_EVERY, CHAIN_INPUT = 10, 10
+
+
+def topic_messages(spark, d):
+    """The long message log with a few topic words in each message."""
+    topic = lambda n: F.concat(F.lit("topic"), (F.col("msg_id") % n).cast("string"))
+    return B.messages_long(spark, d).withColumn("content", F.concat_ws(" ", "content", topic(11), topic(7), topic(5)))
+
+
+@register("chained_summaries", _SMALL_LONG.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ev AS (SELECT session_id, msg_id, ts,
+              CAST(count(*) OVER (PARTITION BY session_id ORDER BY ts, msg_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * {_STEP_SMALL} AS BIGINT) AS archived_total
+       FROM disp WHERE is_eviction),
+trig AS (SELECT session_id, archived_total, row_number() OVER (PARTITION BY session_id ORDER BY archived_total) AS place FROM ev
+         WHERE floor(archived_total / {CHAIN_EVERY}) > floor((archived_total - {_STEP_SMALL}) / {CHAIN_EVERY})),
+arch AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, msg_id) AS arank,
+                [content, 'topic' || CAST(msg_id % 11 AS VARCHAR), 'topic' || CAST(msg_id % 7 AS VARCHAR),
+                 'topic' || CAST(msg_id % 5 AS VARCHAR)] AS words
+         FROM disp WHERE disposition = 'archived'),
+wt AS (SELECT session_id, place, term, count(*) AS n FROM (
+         SELECT t.session_id, t.place, unnest(a.words) AS term FROM trig t JOIN arch a ON a.session_id = t.session_id
+            AND a.arank > t.archived_total - {CHAIN_INPUT} AND a.arank <= t.archived_total) GROUP BY ALL),
+lists AS (SELECT session_id, place, map_from_entries(list((term, n))) AS said FROM wt GROUP BY ALL),
+chain AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS place, CAST(map([], []) AS MAP(VARCHAR, BIGINT)) AS terms
+  FROM (SELECT DISTINCT session_id FROM trig)
+  UNION ALL
+  SELECT c.session_id, l.place, map_from_entries(list_transform(list_slice(list_sort(list_transform(
+           list_distinct(list_concat(map_keys(c.terms), map_keys(l.said))),
+           lambda w: (-(coalesce(c.terms[w], 0) // 2 + 2 * coalesce(l.said[w], 0)), w))), 1, 5),
+           lambda x: (x[2], -x[1])))
+  FROM chain c JOIN lists l ON l.session_id = c.session_id AND l.place = c.place + 1)
+SELECT c.session_id, t.archived_total, CAST(c.place AS INTEGER) AS place,
+       array_to_string(list_transform(map_entries(c.terms), lambda x: x.key || ':' || CAST(x.value AS VARCHAR)), ',') AS terms
+FROM chain c JOIN trig t ON t.session_id = c.session_id AND t.place = c.place""")
+def chained_summaries(spark, d):
+    """#38 and #60g with the previous summary: chains of summaries of every session."""
+    from parlance.operators import summaries as SU
+
+    disp = M.message_disposition(topic_messages(spark, d), AS_OF, limit=SMALL_LIMIT, ttl=LONG_TTL)
+    trig = M.summary_trigger_points(disp, limit=SMALL_LIMIT, every=CHAIN_EVERY)
+    out = SU.chained_summaries(M.summary_input(disp, trig, n=CHAIN_INPUT))
+    return out.select("session_id", "archived_total", "place", F.array_join(F.transform(
+        "terms", lambda t: F.concat(t["term"], F.lit(":"), t["score"].cast("string"))), ",").alias("terms"))
+
+
 @register("messages_per_session", _SMALL_LONG + """
 SELECT session_id, count(*) FILTER (WHERE disposition = 'archived') AS archived_count FROM disp GROUP BY session_id""")
 def messages_per_session(spark, d):
