@@ -173,6 +173,30 @@ def stage_classification(messages: DataFrame, allowed_stages: list[str], success
             .withColumn("confidence", F.coalesce(conf, F.lit(FALLBACK_CONFIDENCE))))
 
 
+def shop_stage_classification(messages: DataFrame, stages: DataFrame) -> DataFrame:
+    """#60c by each shop's own pipeline: the best-scoring of the shop's stages (ties and no hit: the earlier one), the
+    nodes that may follow, and the winner's share of the hits.
+
+    ``messages``: ``shop_id, content``; ``stages``: ``shop_id, step_order, stage_name``.  A stage without rule terms
+    scores 0.  A pipeline is one row per shop, written, so that messages meet a table of known size; a shop
+    without stages gives nulls."""
+    steps = F.array_sort(F.collect_list(F.struct("step_order", "stage_name")))
+    pipelines = stored(stages.groupBy("shop_id").agg(F.transform(steps, lambda x: x["stage_name"]).alias("_stages")), "pipelines")
+    j = messages.join(pipelines, "shop_id", "left").withColumn("_toks", tokens(F.col("content")))
+    hits_of = F.create_map(*[x for label, n in label_scores(F.col("_toks"), STAGE_RULES).items() for x in (F.lit(label), n)])
+    j = j.withColumn("_hits", hits_of)
+    scored = F.transform("_stages", lambda name, i: F.struct(
+        F.coalesce(F.element_at(F.col("_hits"), name), F.lit(0)).alias("n"), (-i).alias("place")))
+    j = j.withColumn("_scored", scored).withColumn("_best", F.array_max("_scored"))
+    at = F.when(F.col("_best.n") > 0, -F.col("_best.place")).otherwise(0)
+    total = F.aggregate("_scored", F.lit(0), lambda s, x: s + x["n"])
+    return (j.withColumn("current_sales_node", F.get("_stages", at))
+            .withColumn("allowed_next_nodes", F.when(F.col("_stages").isNotNull(), F.slice("_stages", at + 1, 2)))
+            .withColumn("confidence", F.when(F.col("_best.n") > 0, F.round(F.col("_best.n") / total, 6))
+                        .when(F.col("_stages").isNotNull(), F.lit(FALLBACK_CONFIDENCE)))
+            .drop("_stages", "_toks", "_hits", "_scored", "_best"))
+
+
 def combo_ranking(questions: DataFrame, candidates: DataFrame, text_col: str = "text",
                   extra_cols: tuple = ()) -> DataFrame:
     """#60d: best in-stock combo: explicit name hit, then word hits, then stock, then catalog order.

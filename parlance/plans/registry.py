@@ -32,7 +32,7 @@ def register(key: str, oracle: str | None = None):
 def _load_all() -> None:
     # Importing the plan modules fills the registry.
     from parlance.plans import (  # noqa: F401
-        catalog_queries, contract_queries, memory_queries, mutation_queries, parsing_queries,
+        branch_queries, catalog_queries, contract_queries, memory_queries, mutation_queries, parsing_queries,
         profile_queries, retrieval_queries, scoring_queries, streaming_queries, turn_queries, turn_record_queries,
     )
 
