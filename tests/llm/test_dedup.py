@@ -48,22 +48,24 @@ def test_directory_splits_overfull_buckets_only(spark):
         spark.range(60).select(F.lit(5).cast("long").alias("hash")))
     table = D.directory(keys, capacity=50).collect()
     held = defaultdict(int)
+    last = D.deepest(4060, 50)
     where = {r.leaf: (r.depth, r.bucket) for r in table}
     sizes = defaultdict(int)
-    for r in keys.select(D._leaf("hash").alias("leaf")).collect():
+    for r in keys.select(D._leaf("hash", last).alias("leaf")).collect():
         held[where[r.leaf]] += 1
         sizes[r.leaf] += 1
     for (depth, bucket), n in held.items():
-        assert n <= 50 or depth == D.DEPTH
+        assert n <= 50 or depth == last
         if depth > D.START_DEPTH:  # with one bit less it would have been overfull
-            width = D.DEPTH - depth + 1
+            width = last - depth + 1
             assert sum(m for leaf, m in sizes.items() if leaf >> width == bucket >> width) > 50
     assert any(n > 50 for n in held.values())  # one hash with many rows can't be split
 
 
 def test_collisions_are_chained_and_told_apart(spark):
     texts = spark.createDataFrame([(1, 9, "a"), (2, 9, "b"), (3, 9, "a"), (4, 9, "cc")], "doc_id long, hash long, text string")
-    out = D.index(texts).collect()
+    entries, leaves, last = D.index(texts)
+    out = entries.collect()
     assert sorted(r.chain for r in out) == [1, 2, 3]
     assert {(r.keep_id, r.group_size) for r in out} == {(3, 2), (2, 1), (4, 1)}
 
@@ -82,3 +84,36 @@ def test_empty_table_and_plan(spark):
     assert D.exact_groups(docs).count() == 0 and D.drop_copies(docs).count() == 0
     plan = D.exact_groups(documents(spark, SF_SMALL, "doc_id", "text"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def keys_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, hash long, text string").select(
+        "doc_id", "hash", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"))
+
+
+def test_rows_find_their_entry_through_the_directory_and_the_chain(spark):
+    """Three texts of one hash; and without a bucket in the directory, or with another one, a row finds nothing."""
+    rows = [(1, 9, "a"), (2, 9, "b"), (3, 9, "a"), (4, 9, "cc"), (5, -7 << 50, "d"), (6, 3 << 60, "e")]
+    texts = spark.createDataFrame(rows, "doc_id long, hash long, text string")
+    entries, leaves, last = D.index(texts, capacity=1)
+    keys = keys_of(spark, rows)
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in D.looked_up(keys, entries, leaves, last).collect()}
+    assert found == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1), 5: (5, 1), 6: (6, 1)}
+    gone = leaves.filter(F.col("leaf") != F.shiftrightunsigned(F.lit(9).cast("long"), 64 - last))
+    assert {r.doc_id for r in D.looked_up(keys, entries, gone, last).collect()} == {5, 6}
+    moved = leaves.withColumn("bucket", F.col("bucket") + 1)
+    assert D.looked_up(keys, entries, moved, last).count() == 0
+
+
+def test_the_directory_doubles_with_the_table():
+    assert [D.deepest(n, 10_000) for n in (0, 10_000, 170_000, 10**9, 10**12)] == [8, 8, 9, 21, 31]
+    assert D.deepest(10**30, 1) == 62
+
+
+def test_columns_that_have_no_order_and_clashing_names(spark):
+    rows = [(1, "a", {"k": 1}, "p"), (1, "a", {"k": 2}, "q"), (2, "b", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha map<string,int>, _turn string")
+    out = D.drop_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r._sha, r._turn) for r in out.collect()) == [(1, "a", {"k": 1}, "p"), (2, "b", None, None)]
+    assert D.drop_copies(docs.select("doc_id", "text")).count() == 2
