@@ -2,7 +2,9 @@
 
 Per document: counts over its whole text.  Per (language, source): a mergeable KLL
 quantile sketch of each ratio.  The threshold of a ratio is its median plus a multiple of
-the spread below the median, so up to half of a group may be junk without moving it.
+its spread, read from both sides of the sketch: from the median down to the first decile, and up to the last
+one, but at most ``CAP`` times the former, so that junk in the upper part of a group can't
+widen its own bound by more.
 Sketches of groups with fewer than ``min_rows`` documents are too thin; the merged sketch
 of the language, then of everything, takes their place.  The thresholds are joined to the
 documents, which they filter beside the base rules.
@@ -26,14 +28,16 @@ SYMBOLS = "#*$%&|<>"
 #: Ratios under adaptive thresholds: (numerator, denominator, smallest spread).
 #: A group whose ratio hardly varies still tolerates ``REACH`` times the smallest spread.
 RATIOS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 0.01),
-    "mark_ratio": ("n_marks", "word_chars", 0.015),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.06),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.03),
-    "upper_ratio": ("n_upper", "word_chars", 0.03),
+    "symbol_ratio": ("n_symbols", "word_chars", 0.0075),
+    "mark_ratio": ("n_marks", "word_chars", 0.003),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.045),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.0225),
+    "upper_ratio": ("n_upper", "word_chars", 0.003),
 }
+#: How far the upper side's spread may exceed the lower side's.
+CAP = 3.0
 #: Size parameter of the sketches (rank error near 0.4 %), and documents that a group needs.
-SKETCH_K, MIN_ROWS, REACH = 800, 200, 6.0
+SKETCH_K, MIN_ROWS, REACH = 800, 200, 8.0
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,8 +109,9 @@ def thresholds(rows: DataFrame, min_rows: int = MIN_ROWS, reach: float = REACH)
                   .when(F.col("lang_n") >= min_rows, F.col(f"lang_{r}"))
                   .otherwise(F.lit(every[r])))
         middle = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
-        low = F.kll_sketch_get_quantile_double(sketch, F.lit(0.1))
-        return (middle + reach * F.greatest(middle - low, F.lit(RATIOS[r][2]))).alias(f"max_{r}")
+        low = middle - F.kll_sketch_get_quantile_double(sketch, F.lit(0.1))
+        high = F.least(F.kll_sketch_get_quantile_double(sketch, F.lit(0.9)) - middle, CAP * low)
+        return (middle + reach * F.greatest(low, high, F.lit(RATIOS[r][2]))).alias(f"max_{r}")
 
     return stored(joined.select("lang_key", "source_key", *(bound(r) for r in RATIOS)), "quality-thresholds")
 
@@ -138,8 +143,9 @@ def quality_filter(docs: DataFrame, min_rows: int = MIN_ROWS, reach: float = REA
     A verdict belongs to an id with its text, language and source; rows that repeat all
     four have the same verdict and stay or go together.
     """
-    same = lambda: F.xxhash64(
-        F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"}), F.col("text"))
-    kept = verdicts(docs, min_rows, reach, carry=(("same", same()),)).filter("kept").select("same").distinct()
-    return docs.withColumn("_same", same()).join(kept.select(F.col("same").alias("_same")), "_same", "left_semi").select(
-        *docs.columns)
+    same = F.xxhash64(F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"}), F.col("text"))
+    name = "_same"
+    while name in docs.columns:
+        name += "_"
+    kept = verdicts(docs, min_rows, reach, carry=((name, same),)).filter("kept").select(name).distinct()
+    return docs.withColumn(name, same).join(kept, name, "left_semi").select(*docs.columns)

@@ -99,3 +99,23 @@ def test_no_python_in_the_plan(spark):
     docs = documents(spark, SF_CHECK, "doc_id", "text", "lang", "source")
     plan = Q.verdicts(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_bounds_differ_between_groups_of_the_driver(spark):
+    """The groups' own spreads decide the bounds of what varies; the smallest spread only those of ratios
+    that are 0 nearly everywhere."""
+    docs = documents(spark, "/root/testdata/sf0.1", "doc_id", "text", "lang", "source")
+    given = docs.select("doc_id", *Q._stratum("lang", "source"), F.col("text").alias("_text"))
+    rows = Q.features(given, "_text").drop("_text")
+    bounds = Q.thresholds(rows, min_rows=50).collect()
+    for ratio in ("mark_ratio", "upper_ratio"):
+        held = {round(r[f"max_{ratio}"], 3) for r in bounds}
+        assert len(held) > 10 and max(held) > 1.3 * min(held)
+
+
+def test_user_columns_of_any_name_stay(spark):
+    rows = [(i, "word " * 3 + " ".join(f"w{j}" for j in range(20)), "en", "s", f"mine {i}", {"k": i}) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _same string, same map<string,int>")
+    kept = Q.quality_filter(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._same, r.same["k"]) for r in kept.collect()) == [(i, f"mine {i}", i) for i in range(30)]
