@@ -302,10 +302,10 @@ def score(docs: DataFrame, path: str, passes: int = PASSES, id_col: str = "doc_i
     held = stored(blocks(docs, id_col, text_col), "lm-blocks")
     entries = held.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("number", "e")).select(
         "block", "number", F.col("e.words").alias("word"), F.col("e.train").alias("c"))
-    # one shuffle by word: every entry gets its word's total, the first one stands for the word
-    same = Window.partitionBy("word")
+    # one shuffle and one sort by word: every entry gets its word's total, the first one stands for the word
+    same, place = Window.partitionBy("word"), F.struct("block", "number")
     totals = stored(entries.select("block", "number", "word", F.sum("c").over(same).alias("c"),
-                                   (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "lm-words")
+                                   (F.min(place).over(same) == place).alias("first")), "lm-words")
     ends = held.select(F.expr("size(filter(folds, x -> not x))").alias("n")).agg(F.sum("n")).first()[0] or 0
     known = totals.filter("first and c > 0")
     seen = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"),
