@@ -18,7 +18,8 @@ from parlance.operators import memory as M
 from parlance.operators import profile as P
 from parlance.operators import scoring as S
 from parlance.plans import scoring_queries as SQ
-from parlance.plans.memory_queries import _SMALL_LONG, _TRIG_SQL, LONG_TTL, SMALL_LIMIT, _ctx_sql, _seg_sql
+from parlance.plans.memory_queries import (_SMALL_LONG, _TRIG_SQL, AS_OF, LONG_TTL, SMALL_LIMIT, _ctx_sql, _disp_sql,
+                                           _seg_sql)
 from parlance.plans.profile_queries import _history, _label_sql, _priority_sql
 from parlance.plans.sqlfn import iso_sql, uuid5_sql
 from parlance.plans.turn_queries import _ROUTED_SQL, _final_sql, final_from
@@ -26,6 +27,10 @@ from parlance.sources import bindings as B
 from parlance.sources.tables import read_table
 
 
+#: An idle time that many sessions of the driver data pass, so that buffers and contexts expire.
+CONTEXT_TTL = 86400
+
+
 def _sb():
     from parlance.streaming import session_buffer as SB
     return SB
@@ -56,6 +61,22 @@ def stream_session_buffer(spark, d):
         "session_id", "msg_id", "seg_no", "pos", "disposition", "eviction_turn")
 
 
+def _expiry_sql():
+    """Dispositions as of the log's last time: what the stream has emitted when its watermark is there."""
+    disp = _disp_sql("messages_long", SMALL_LIMIT, CONTEXT_TTL).replace(str(AS_OF), "(SELECT max(ts) FROM messages_long)")
+    return B.with_ctes("messages_long") + "," + disp + """
+SELECT session_id, msg_id, seg_no, pos, disposition, eviction_turn FROM disp WHERE disposition <> 'in_buffer'"""
+
+
+@register("stream_buffer_expiry", _expiry_sql())
+def stream_buffer_expiry(spark, d):
+    """Evictions and expiries with an idle limit of a day: most sessions expire several times."""
+    SB = _sb()
+    s = SB.stream_session_buffer(SB.events_as_messages(SB.message_stream(spark, d)), limit=SMALL_LIMIT, ttl=CONTEXT_TTL)
+    return SB.run_available_now(s, _name("stream_buffer_expiry", spark, d)).where(F.col("disposition") != "summary_trigger").select(
+        "session_id", "msg_id", "seg_no", "pos", "disposition", "eviction_turn")
+
+
 @register("stream_archive_and_summary", _SMALL_LONG + _TRIG_SQL + "\nSELECT session_id, msg_id, ts, archived_total FROM trig")
 def stream_archive_and_summary(spark, d):
     """Summary triggers emitted from the persistent archived counter."""
@@ -87,10 +108,6 @@ def stream_turn_decisions(spark, d):
 
 
 # ------------------------------------------------------------------ #73 with expiry
-#: An idle time that many sessions of the driver data pass, so that contexts expire.
-CONTEXT_TTL = 86400
-
-
 def _context_sql():
     fields = ",\n       ".join(f"arg_max([value], (ts, msg_id)) FILTER (WHERE field = '{f}')[1] AS {f}" for f in M.CONTEXT_FIELDS)
     return B.with_ctes("context_writes") + "," + _seg_sql("context_writes", CONTEXT_TTL) + f""",
