@@ -163,46 +163,27 @@ def message_disposition(messages: DataFrame, as_of: int, limit: int = BUFFER_LIM
             .drop("_last_seg"))
 
 
+#: Positions of a segment that are framed together.
+FRAME_ROWS = 512
+
+
 def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
                   chunk_seconds: int = CHUNK_SECONDS, out_col: str = "short_memory") -> DataFrame:
     """For every message, ``item_cols`` of the up-to-``n`` messages ending at it inside its TTL segment.
 
-    Hot-session safe: rows are framed per ``(session, day-chunk)``.  Each chunk gets a
-    halo - the last ``n - 1`` messages before it - built from per-chunk tails
-    (WindowGroupLimit) with a bounded window over one row per chunk.  A row's frame is
-    halo + its chunk's rows up to it, cut to the last ``n``, then to its own segment:
-    the suffix after the frame's last idle gap >= ``ttl`` (so the halo needs no
-    segmentation).  Every array holds at most ``n`` (halo: ``(n - 1)^2`` while built)
-    entries.  Output rows also carry ``seg_no``.
+    Hot-session safe: a segment is cut by row count into chunks of ``FRAME_ROWS`` positions (positions come from
+    the two-level segmentation), and a row among the last ``n - 1`` of a chunk is also sent to the next one.  So
+    each chunk holds every frame that ends in it, a window over the chunk is the whole work, and no
+    key has more rows than a chunk and its halo.  Output rows also carry ``seg_no``.
     """
-    item = list(item_cols)
-    entry = F.struct(F.col("ts").alias("_ts"), F.col("msg_id").alias("_id"), *[F.col(c) for c in item])
-    seg = ttl_segments(messages, ttl, chunk_seconds).withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
-    if n > 1:
-        raw = messages.withColumn("_c", F.floor(F.col("ts") / chunk_seconds))
-        wt = Window.partitionBy("session_id", "_c").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
-        tails = (raw.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= n - 1)
-                 .groupBy("session_id", "_c").agg(F.array_sort(F.collect_list(entry)).alias("_tail")))
-        wc = Window.partitionBy("session_id").orderBy("_c").rowsBetween(-(n - 1), -1)
-        before = F.flatten(F.collect_list("_tail").over(wc))
-        halo = (tails.withColumn("_b", before)
-                .select("session_id", "_c", F.slice("_b", F.greatest(F.size("_b") - (n - 1) + 1, F.lit(1)), n - 1)
-                        .alias("_halo")))
-        seg = seg.join(halo, ["session_id", "_c"])
-    else:
-        seg = seg.withColumn("_halo", F.filter(F.array(entry), lambda e: F.lit(False)))  # typed empty
-    wl = Window.partitionBy("session_id", "_c").orderBy("ts", "msg_id").rowsBetween(-(n - 1), 0)
-    seg = seg.withColumn("_own", F.collect_list(entry).over(wl))
-    frame = F.concat("_halo", "_own")
-    seg = seg.withColumn("_f", F.slice(frame, F.greatest(F.size(frame) - n + 1, F.lit(1)), n))
-    # gaps[i] = (ts[i+1] - ts[i] >= ttl); the segment starts after the last such gap
-    ts = F.transform("_f", lambda e: e["_ts"])
-    gaps = F.zip_with(F.slice(ts, 2, n), F.slice(ts, 1, n - 1), lambda a, b: (a - b) >= ttl)
-    from_end = F.array_position(F.reverse(gaps), True)
-    start = F.when(from_end == 0, F.lit(1)).otherwise(F.size(gaps) - from_end + 2)
-    same = F.slice("_f", start.cast("int"), n)
-    return (seg.withColumn(out_col, F.transform(same, lambda e: F.struct(*[e[c].alias(c) for c in item])))
-            .drop("_c", "_halo", "_own", "_f"))
+    size = max(FRAME_ROWS, n)
+    at = F.floor((F.col("pos") - 1) / size)
+    shared = ((F.col("pos") - 1) % size >= size - (n - 1)) & ((at + 1) * size < F.col("seg_size"))
+    seg = (_segment_frame(messages, ttl, chunk_seconds).drop("seg_last_ts", "_last_seg")
+           .withColumn("_own", at).withColumn("_c", F.explode(F.when(shared, F.array(at, at + 1)).otherwise(F.array(at)))))
+    frame = Window.partitionBy("session_id", "seg_no", "_c").orderBy("pos").rowsBetween(-(n - 1), 0)
+    return (seg.withColumn(out_col, F.collect_list(F.struct(*item_cols)).over(frame)).where(F.col("_c") == F.col("_own"))
+            .drop("_c", "_own", "pos", "seg_size"))
 
 
 def rolling_short_memory(messages: DataFrame, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,

@@ -131,3 +131,28 @@ def test_rolling_memory_across_chunks_matches_model(spark, chunk):
             want[m] = seg[-20:]
             last = t
     assert got == want
+
+
+def test_frames_cross_chunks_of_any_size(spark, monkeypatch):
+    """One session holds most rows; frames are cut into chunks smaller and larger than a segment."""
+    import random
+
+    rng = random.Random(6)
+    rows, ts = [], 0
+    for i in range(400):
+        ts += rng.choice([0, 1, 30, 30, 4000])
+        rows.append((1 if i % 5 else 2, i, ts, "user", f"m{i}", i))
+    log = spark.createDataFrame(rows, "session_id long, msg_id long, ts long, role string, content string, tokens long").repartition(4)
+    want = {}
+    for session in (1, 2):
+        segment, last = [], None
+        for _, i, t, *_ in sorted((r for r in rows if r[0] == session), key=lambda r: (r[2], r[1])):
+            if last is not None and t - last >= 3600:
+                segment = []
+            segment, last = segment + [i], t
+            want[i] = segment[-4:]
+    for size in (1, 4, 5, 512):
+        monkeypatch.setattr(M, "FRAME_ROWS", size)
+        got = {r.msg_id: [m.msg_id for m in r.short_memory] for r in M.rolling_short_memory(log, n=4, ttl=3600).collect()}
+        assert got == want
+    assert {r.msg_id: len(r.short_memory) for r in M.rolling_short_memory(log, n=1, ttl=3600).collect()} == {i: 1 for i in want}
