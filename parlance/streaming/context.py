@@ -59,10 +59,9 @@ def context_segments(updates: DataFrame, ttl: int = TTL_SECONDS, chunk_seconds:
         *[F.max_by(F.struct("value"), F.when(F.col("field") == f, order))["value"].alias(f) for f in fields],
         F.sum("_number").alias("total_tokens"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
         F.count(F.lit(1)).alias("version"), F.sum("_bad").alias("bad_numbers"), F.max("_last_seg").alias("_last"))
-    now = updates.agg(F.max("ts").alias("_now"))
-    # one row: the log's last time
-    return typed_context(out.join(F.broadcast(now)).withColumn(
-        "closed", (F.col("seg_no") < F.col("_last")) | (F.col("updated_at") + ttl <= F.col("_now"))).drop("_last", "_now"))
+    now = F.lit(updates.agg(F.max("ts")).first()[0]).cast("long")  # one number: the log's last time
+    return typed_context(out.withColumn(
+        "closed", (F.col("seg_no") < F.col("_last")) | (F.col("updated_at") + ttl <= now)).drop("_last"))
 
 
 class ExpiringContext(StatefulProcessor):
