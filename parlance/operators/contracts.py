@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parlance.functions.ids import uuid5_dns
 
 # Closed role domain of a message.
 ROLES = ["user", "assistant", "system", "tool"]
@@ -63,3 +66,25 @@ def apply_defaults(df: DataFrame, defaults: dict) -> DataFrame:
         v = defaults[c]
         return F.coalesce(F.col(c), v if isinstance(v, Column) else F.lit(v)).alias(c)
     return df.select(*[fill(c) if c in defaults else F.col(c) for c in df.columns])
+
+
+def schema_rules(schema: T.StructType) -> list[tuple[str, Column]]:
+    """#2: the rules that a table's declared schema states: its required columns hold a value."""
+    return [not_null(f.name) for f in schema.fields if not f.nullable]
+
+
+def insert_defaults(now: Column, key: Column) -> dict[str, dict[str, Column]]:
+    """#5: what a table's columns get when a new row leaves them out.
+
+    ``now`` is the time of the insert; an id is derived from ``key`` (a text that names the row), so that
+    an insert that runs again gives the same row the same id."""
+    made, times = uuid5_dns(key), {"created_at": now, "updated_at": now}
+    return {"shops": {"id": made}, "products": {"id": made, "stock_quantity": F.lit(0)}, "customers": {"id": made, **times},
+            "documents": {"id": made, "status": F.lit("active")}, "sessions": {"id": made, **times},
+            "messages": {"id": made, "created_at": now}}
+
+
+def apply_insert_defaults(df: DataFrame, table: str, now: Column, key: Column) -> DataFrame:
+    """#5 for rows of a domain table: every default of the table that the frame has a column for."""
+    defaults = insert_defaults(now, key)[table]
+    return apply_defaults(df, {c: v for c, v in defaults.items() if c in df.columns})

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from parlance.operators import contracts as K
 from parlance.plans.registry import register
+from parlance.plans.sqlfn import uuid5_sql
 from parlance.sources import bindings as B
-from parlance.sources.tables import read_table
+from parlance.sources.tables import DOMAIN_SCHEMAS, read_table
 
 MAX_CONTENT = 1000   # message content length limit checked by the contract
 MAX_SKU = 12         # sku length limit checked by the contract
@@ -43,6 +44,52 @@ def contract_violations_products(spark, d):
     return K.contract_violations(p, ["id"], rules)
 
 
+def _raw_messages(spark, d):
+    """Events as message rows as a client sends them, with required values missing here and there."""
+    ev = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+    n = F.col("event_id")
+    unless = lambda k, c: F.when(n % k != 0, c)
+    return ev.select(
+        "event_id", unless(7, F.concat(F.lit("m-"), n.cast("string"))).alias("id"),
+        unless(29, F.col("user_id").cast("string")).alias("session_id"), unless(13, F.lit("user")).alias("role"),
+        unless(11, F.col("event_type")).alias("content"), unless(5, F.unix_timestamp("ts")).alias("created_at"))
+
+
+@register("contract_violations_schema", """
+SELECT event_id, rule FROM (SELECT event_id, unnest(list_filter([
+    CASE WHEN event_id % 7 = 0 THEN 'id: not null' END, CASE WHEN event_id % 29 = 0 THEN 'session_id: not null' END,
+    CASE WHEN event_id % 13 = 0 THEN 'role: not null' END, CASE WHEN event_id % 11 = 0 THEN 'content: not null' END,
+    CASE WHEN event_id % 5 = 0 THEN 'created_at: not null' END], lambda x: x IS NOT NULL)) AS rule FROM events)""")
+def contract_violations_schema(spark, d):
+    """#2 by the declared schema of the message table."""
+    return K.contract_violations(_raw_messages(spark, d), ["event_id"], K.schema_rules(DOMAIN_SCHEMAS["messages"]))
+
+
+@register("insert_defaults", f"""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN {uuid5_sql("'message/' || CAST(event_id AS VARCHAR)")}
+                      ELSE 'm-' || CAST(event_id AS VARCHAR) END AS id,
+       CASE WHEN event_id % 13 <> 0 THEN 'user' END AS role,
+       CASE WHEN event_id % 5 = 0 THEN {B.EVENTS_AS_OF_EPOCH} ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS created_at
+FROM events""")
+def insert_defaults(spark, d):
+    """#5: ids and times of new message rows that leave them out; a missing role has no default."""
+    out = K.apply_insert_defaults(_raw_messages(spark, d), "messages", F.lit(B.EVENTS_AS_OF_EPOCH).cast("long"),
+                                  F.concat(F.lit("message/"), F.col("event_id").cast("string")))
+    return out.select("event_id", "id", "role", "created_at")
+
+
+@register("insert_defaults_products", f"""
+SELECT p_partkey AS part_id, CASE WHEN p_partkey % 4 = 0 THEN {uuid5_sql("'product/' || CAST(p_partkey AS VARCHAR)")}
+                                  ELSE CAST(p_partkey AS VARCHAR) END AS id,
+       CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS stock_quantity
+FROM part""")
+def insert_defaults_products(spark, d):
+    p = read_table(spark, d, "part", "p_partkey", "p_size").select(
+        F.col("p_partkey").alias("part_id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey").cast("string")).alias("id"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("stock_quantity"))
+    return K.apply_insert_defaults(p, "products", F.lit(0), F.concat(F.lit("product/"), F.col("part_id").cast("string")))
+
+
 @register("unique_violations", B.with_ctes("products") + """
 SELECT sku, count(*) AS n FROM products WHERE sku IS NOT NULL GROUP BY sku HAVING count(*) > 1""")
 def unique_violations(spark, d):

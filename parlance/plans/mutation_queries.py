@@ -381,3 +381,12 @@ SELECT vec_id AS id FROM embeddings WHERE NOT coalesce(CAST(label AS VARCHAR) =
 def vector_delete_by_shop(spark, d):
     return X.vector_delete(B.vectors(spark, d), shop_id="5").select("id")
 
+
+
+@register("vector_delete_by_doc", """
+SELECT vec_id AS id, CASE WHEN vec_id % 9 <> 0 THEN CAST(vec_id % 40 AS VARCHAR) END AS doc_id FROM embeddings
+WHERE NOT coalesce(CASE WHEN vec_id % 9 <> 0 THEN CAST(vec_id % 40 AS VARCHAR) END = '17', false)""")
+def vector_delete_by_doc(spark, d):
+    """All vectors of a document go; those without a document stay."""
+    v = B.vectors(spark, d).select("id", F.when(F.col("id") % 9 != 0, (F.col("id") % 40).cast("string")).alias("doc_id"))
+    return X.vector_delete(v, doc_id="17")
