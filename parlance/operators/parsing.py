@@ -257,3 +257,23 @@ def parse_model_output(df: DataFrame, spec: Spec | str, raw_col: str = "raw") ->
     over = [F.col(src).alias(dst) for dst, src in spec.overwrite.items() if dst not in df.columns]
     err = F.coalesce(*errors) if errors else F.lit(None).cast("string")
     return d.select(*[c for c in df.columns], *over, *outs, "is_fallback", err.alias("error"))
+
+
+# The closed domains that prompts state for fields of a model's answer.
+DOMAINS = {
+    "intent": {"intent_code": ["purchase_consultation", "product_inquiry", "complaint", "support_request",
+                               "information_request", "booking", "cancellation", "feedback", "unknown"]},
+    "handoff": {"risk_level": ["low", "medium", "high"]},
+    "sales": {"next_expected_input": ["preference_clarification", "price_inquiry", "product_question", "objection",
+                                      "agreement", "rejection"]},
+}
+
+
+def domain_warnings(parsed: DataFrame, spec_name: str) -> DataFrame:
+    """Parsed records with ``warnings``: ``field: value`` for every value outside its domain.
+
+    A record with a warning stays valid, as the domains are advice to the model and no part of the
+    record's type; a null is no value."""
+    found = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), F.concat(F.lit(f"{c}: "), F.col(c)))
+             for c, values in DOMAINS[spec_name].items()]
+    return parsed.withColumn("warnings", F.array_compact(F.array(*found)))

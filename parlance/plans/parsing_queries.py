@@ -261,3 +261,22 @@ def _make(name: str):
 
 for _name in PZ.SPECS:
     _make(_name)
+
+
+# ------------------------------------------------------------- values outside their domains
+def _warning_sql(name: str) -> str:
+    parts = ", ".join(f"CASE WHEN {c} NOT IN ({', '.join(repr(v) for v in values)}) THEN '{c}: ' || {c} END"
+                      for c, values in PZ.DOMAINS[name].items())
+    return (f"SELECT event_id, '{name}' AS spec, unnest(list_filter([{parts}], lambda x: x IS NOT NULL)) AS warning "
+            f"FROM ({parse_sql(PZ.SPECS[name])})")
+
+
+@register("domain_warnings", "\nUNION ALL\n".join(_warning_sql(n) for n in PZ.DOMAINS))
+def domain_warnings(spark, d):
+    """Values of parsed answers that no prompt offers; the answers themselves stay."""
+    out = None
+    for name in PZ.DOMAINS:
+        parsed = PZ.domain_warnings(PZ.parse_model_output(raw_outputs(spark, d, PZ.SPECS[name]), name), name)
+        part = parsed.select("event_id", F.lit(name).alias("spec"), F.explode("warnings").alias("warning"))
+        out = part if out is None else out.unionByName(part)
+    return out
