@@ -101,3 +101,11 @@ def test_duplicate_keys_non_finite_numbers_and_strict_lists(spark):
     df = spark.createDataFrame([(i, '{"explicit_requirements": %s}' % x) for i, x in enumerate(lists)], "i int, raw string")
     out = {r.i: r.error for r in PZ.parse_model_output(df, "requirement").collect()}
     assert out == {0: None, 1: None, **{i: "explicit_requirements: type" for i in range(2, 7)}}
+
+
+def test_domain_warnings_leave_records_as_they_are(spark):
+    rows = [(1, "booking", None), (2, "shopping", None), (3, None, None), (4, "unknown", "bad json")]
+    df = spark.createDataFrame(rows, "event_id long, intent_code string, error string")
+    out = PZ.domain_warnings(df, "intent")
+    assert {r.event_id: r.warnings for r in out.collect()} == {1: [], 2: ["intent_code: shopping"], 3: [], 4: []}
+    assert out.drop("warnings").collect() == df.collect()
