@@ -6,8 +6,8 @@ Viterbi over the words, with a penalty for switching the language, labels spans;
 language is the one that labels most of its words.
 
 Learned from labelled documents whose crc32(id as text) mod 4 is not 2: per language the
-``PER_LANG`` documents whose hashed id is least (a bounded sample for the classifier), for
-at most ``LANGS`` languages.  Predictions read the text only.
+``PER_LANG`` documents whose hashed id is least (a bounded sample for the classifier); more than
+``LANGS`` languages raise an error.  Predictions read the text only.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; if nothing
 can be learned, every text is; a null id counts as '' for the fold; repeated rows give
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from parlance.llm.common import arrow_map, slices, stored
 
 FOLDS, HELD_OUT = 4, 2
-#: Labelled documents per language, and languages, that the classifier learns from at most.
-PER_LANG, LANGS = 1500, 256
+#: Labelled documents per language that the classifier learns from at most, languages that it learns, and bits of
+#: the ranges in which hashed ids are counted.
+PER_LANG, LANGS, RANGE_BITS = 1500, 256, 16
 #: Hashed features, the nats that a change of language costs, and the weight of a feature.
 BITS, SWITCH, WEIGHT = 15, 8.0, 0.5
 #: Share of a language's words that a script needs to make the language its candidate.
@@ -93,15 +94,24 @@ def _fold(doc: Column) -> Column:
 def sample(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> DataFrame:
     """``lang, text`` of the bounded training sample.
 
-    Ids are ranked without their texts; the texts are then taken by one bound per language
-    (at most ``langs`` rows).
+    The texts are taken by one bound per language, found without them: hashed ids are counted by language
+    and range, which gives the range that holds a language's last document of the sample, and only
+    ids up to that range are ranked.  So a language of any size costs one task little more than its sample.
+    More than ``langs`` languages are refused, as the model grows with their number.
     """
     labelled = docs.filter((_fold(F.col("doc")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64("doc")
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    slim = labelled.select("lang", key.alias("key"), F.shiftright(key, 64 - RANGE_BITS).alias("part"))
+    held = slim.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
+    last = stored(held.withColumn("before", before).filter(F.col("before") < per_lang).groupBy("lang").agg(
+        F.max("part").alias("last")), "langid-ranges")
+    if last.count() > langs:
+        raise ValueError(f"labelled documents have more than {langs} languages")
+    near = slim.join(F.broadcast(last), "lang").filter(F.col("part") <= F.col("last"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    ranked = labelled.select("lang", key.alias("key")).withColumn("turn", turn).filter(F.col("turn") <= per_lang)
-    bounds = ranked.groupBy("lang").agg(F.max("key").alias("most")).join(known.select("lang"), "lang")
+    ranked = near.withColumn("turn", turn).filter(F.col("turn") <= per_lang)
+    bounds = ranked.groupBy("lang").agg(F.max("key").alias("most"))
     return labelled.join(F.broadcast(stored(bounds, "langid-sample")), "lang").filter(key <= F.col("most")).select("lang", "text")
 
 

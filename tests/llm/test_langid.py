@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import langid as L
 from parlance.llm.common import documents
@@ -100,3 +101,26 @@ def test_features_of_a_word_do_not_depend_on_its_neighbours():
             assert sizes[i] == n[0] == len(own)
             assert (all_of[at[k]:at[k] + n[0]] == own).all()
             at[k] += n[0]
+
+
+def test_the_sample_is_the_least_hashed_ids_of_each_language(spark, monkeypatch):
+    """One language holds most rows; ranges of few and of many bits give the same sample."""
+    rows = [(i, "big" if i % 10 else f"l{i % 3}", f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows + [(None, "big", "no id"), (5000, None, "x"), (5001, "big", None)],
+                                 "doc long, lang string, text string").repartition(6)
+    keyed = [(r.lang, r.key, r.text) for r in docs.select(
+        "lang", "text", F.xxhash64("doc").alias("key"), L._fold(F.col("doc")).alias("fold")).where(
+        f"fold <> {L.HELD_OUT} and lang is not null and text is not null").collect()]
+    want = sorted((lang, t) for lang in {x[0] for x in keyed}
+                  for _, _, t in sorted((x for x in keyed if x[0] == lang), key=lambda x: x[1])[:50])
+    for bits in (2, 8, 16):
+        monkeypatch.setattr(L, "RANGE_BITS", bits)
+        assert sorted(map(tuple, L.sample(docs, per_lang=50).collect())) == want
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(i, f"l{i}", "a text") for i in range(40)], "doc long, lang string, text string")
+    with pytest.raises(ValueError, match="more than 5 languages"):
+        L.sample(docs, langs=5)
+    assert L.sample(docs, langs=40).select("lang").distinct().count() == sum(
+        1 for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2)
