@@ -277,6 +277,9 @@ def domain_warnings(spark, d):
     out = None
     for name in PZ.DOMAINS:
         parsed = PZ.domain_warnings(PZ.parse_model_output(raw_outputs(spark, d, PZ.SPECS[name]), name), name)
-        part = parsed.select("event_id", F.lit(name).alias("spec"), F.explode("warnings").alias("warning"))
+        # an outer generator, as an inner one's filter on the list's size is pushed down to the events and
+        # there repeats the whole parse for every use of it
+        part = parsed.select("event_id", F.lit(name).alias("spec"), F.explode_outer("warnings").alias("warning")).where(
+            F.col("warning").isNotNull())
         out = part if out is None else out.unionByName(part)
     return out
