@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,7 +34,7 @@ from parlance.session import ensure_checkpoint_dir
 from parlance.sources.tables import DRIVER_SCHEMAS, table_path
 
 # The processor class is shipped to Python workers by value, so executors need only
-# pyspark and pandas, not this package on their path.
+# pyspark, not this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,6 +46,23 @@ BUFFER_SCHEMA = "msg_id long, ts long, pos int"
 META_SCHEMA = "last_ts long, seg_no int, seg_count int, archived_total long"
 OUTPUT_SCHEMA = ("session_id long, msg_id long, ts long, seg_no int, pos int, disposition string, "
                  "eviction_turn int, archived_total long")
+OUTPUT_ROW = Row("session_id", "msg_id", "ts", "seg_no", "pos", "disposition", "eviction_turn", "archived_total")
+
+
+def in_order(rows: Iterable[Row], *columns: str) -> list[tuple]:
+    """One session's rows of a micro-batch, as tuples of ``columns`` in ``(ts, msg_id)`` order (nulls last)."""
+    def place(r):
+        return r.ts is None, r.ts or 0, r.msg_id is None, r.msg_id or 0
+
+    return [tuple(r[c] for c in columns) for r in sorted(rows, key=place)]
+
+
+def move_timer(handle: StatefulProcessorHandle, before_ts: int | None, last_ts: int, ttl: int) -> None:
+    """The session's one timer goes to ``last_ts + ttl``; it stood at ``before_ts + ttl``, if there was one."""
+    if before_ts != last_ts:
+        if before_ts is not None:
+            handle.deleteTimer((before_ts + ttl) * 1000)
+        handle.registerTimer((last_ts + ttl) * 1000)
 
 
 class SessionBufferProcessor(StatefulProcessor):
@@ -58,22 +76,13 @@ class SessionBufferProcessor(StatefulProcessor):
         self.buf = handle.getListState("buf", BUFFER_SCHEMA)
         self.meta = handle.getValueState("meta", META_SCHEMA)
 
-    def _out(self, key, rows):
-        return pd.DataFrame(rows, columns=["session_id", "msg_id", "ts", "seg_no", "pos", "disposition",
-                                           "eviction_turn", "archived_total"]).astype(
-            {"session_id": "int64", "msg_id": "int64", "ts": "int64", "seg_no": "int32", "pos": "int32",
-             "eviction_turn": "Int32", "archived_total": "Int64"})
-
     def handleInputRows(self, key, rows, timerValues):
-        sid = int(key[0])
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        if self.meta.exists():
-            last_ts, seg_no, seg_count, total = self.meta.get()
-        else:
-            last_ts, seg_no, seg_count, total = None, 0, 0, 0
-        buf = [tuple(r) for r in self.buf.get()] if self.buf.exists() else []
-        out = []
-        for msg_id, ts in zip(batch["msg_id"].tolist(), batch["ts"].tolist()):
+        sid = key[0]
+        last_ts, seg_no, seg_count, total = self.meta.get() or (None, 0, 0, 0)
+        before_ts = last_ts
+        buf = [] if last_ts is None else list(self.buf.get())
+        held, out = len(buf), []
+        for msg_id, ts in in_order(rows, "msg_id", "ts"):
             if last_ts is None or ts - last_ts >= self.ttl:
                 out += [(sid, m, t, seg_no, p, "expired", None, None) for m, t, p in buf]
                 buf, seg_no, seg_count = [], seg_no + 1, 0
@@ -86,25 +95,22 @@ class SessionBufferProcessor(StatefulProcessor):
                 if total // self.every > before // self.every:
                     out.append((sid, msg_id, ts, seg_no, seg_count, "summary_trigger", seg_count, total))
             last_ts = ts
-        self.buf.clear()
         if buf:
-            self.buf.put([(int(m), int(t), int(p)) for m, t, p in buf])
-        self.meta.update((int(last_ts), int(seg_no), int(seg_count), int(total)))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((int(last_ts) + self.ttl) * 1000)
-        if out:
-            yield self._out(sid, out)
+            self.buf.put(buf)
+        elif held:
+            self.buf.clear()
+        self.meta.update((last_ts, seg_no, seg_count, total))
+        move_timer(self.handle, before_ts, last_ts, self.ttl)
+        return (OUTPUT_ROW(*r) for r in out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        sid = int(key[0])
-        if not self.meta.exists():
-            return
-        last_ts, seg_no, seg_count, total = self.meta.get()
-        buf = [tuple(r) for r in self.buf.get()] if self.buf.exists() else []
+        sid = key[0]
+        meta = self.meta.get()
+        if meta is None:
+            return iter(())
+        buf = list(self.buf.get())
         self.buf.clear()
-        if buf:
-            yield self._out(sid, [(sid, m, t, seg_no, p, "expired", None, None) for m, t, p in buf])
+        return iter([OUTPUT_ROW(sid, m, t, meta[1], p, "expired", None, None) for m, t, p in buf])
 
     def close(self) -> None:
         pass
@@ -188,7 +194,7 @@ def stream_session_buffer(messages: DataFrame, limit: int = BUFFER_LIMIT, ttl: i
     """#72 / #74: evicted, expired and summary-trigger rows of every session, online."""
     return (messages.withWatermark("event_time", watermark)
             .groupBy("session_id")
-            .transformWithStateInPandas(SessionBufferProcessor(limit, ttl, summary_every), OUTPUT_SCHEMA,
+            .transformWithState(SessionBufferProcessor(limit, ttl, summary_every), OUTPUT_SCHEMA,
                                         "append", "EventTime"))
 
 
