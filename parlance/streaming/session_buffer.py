@@ -22,7 +22,6 @@ import os
 import sys
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -118,6 +117,8 @@ class SessionBufferProcessor(StatefulProcessor):
 
 CONTEXT_OUTPUT = ("session_id long, current_goal string, extracted_entities string, last_tool_used string, "
                   "user_mood string, total_tokens long, created_at long, updated_at long, version long")
+CONTEXT_ROW = Row("session_id", "current_goal", "extracted_entities", "last_tool_used", "user_mood", "total_tokens",
+                  "created_at", "updated_at", "version")
 
 
 class SessionContextProcessor(StatefulProcessor):
@@ -135,22 +136,25 @@ class SessionContextProcessor(StatefulProcessor):
         self.totals = handle.getValueState("totals", "total long, first_ts long, last_ts long, version long")
 
     def handleInputRows(self, key, rows, timerValues):
-        sid = int(key[0])
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        total, first, last, version = self.totals.get() if self.totals.exists() else (0, None, None, 0)
-        for f, v, ts, mid, inc in zip(batch["field"], batch["value"], batch["ts"], batch["msg_id"],
-                                      batch["increment"]):
-            cur = self.fields.getValue((f,)) if self.fields.containsKey((f,)) else None
-            if cur is None or (int(ts), int(mid)) > (cur[1], cur[2]):
-                self.fields.updateValue((f,), (v, int(ts), int(mid)))
-            total += int(inc) if inc is not None and not pd.isna(inc) else 0
-            first = int(ts) if first is None else min(first, int(ts))
-            last = int(ts) if last is None else max(last, int(ts))
+        # the session's state is read once, changed here, and written once
+        totals = self.totals.get()
+        total, first, last, version = totals or (0, None, None, 0)
+        held = {k[0]: v for k, v in self.fields.iterator()} if totals else {}
+        written = set()
+        for f, v, ts, mid, inc in in_order(rows, "field", "value", "ts", "msg_id", "increment"):
+            cur = held.get(f)
+            if cur is None or (ts, mid) > (cur[1], cur[2]):
+                held[f] = (v, ts, mid)
+                written.add(f)
+            total += inc or 0
+            first = ts if first is None else min(first, ts)
+            last = ts if last is None else max(last, ts)
             version += 1
-        self.totals.update((int(total), int(first), int(last), int(version)))
-        vals = {f: (self.fields.getValue((f,))[0] if self.fields.containsKey((f,)) else None) for f in self.FIELDS}
-        yield pd.DataFrame([{"session_id": sid, **vals, "total_tokens": total, "created_at": first,
-                             "updated_at": last, "version": version}])
+        for f in written:
+            self.fields.updateValue((f,), held[f])
+        self.totals.update((total, first, last, version))
+        values = [held[f][0] if f in held else None for f in self.FIELDS]
+        return iter([CONTEXT_ROW(key[0], *values, total, first, last, version)])
 
     def close(self) -> None:
         pass
@@ -159,7 +163,7 @@ class SessionContextProcessor(StatefulProcessor):
 def stream_context(updates: DataFrame, watermark: str = "0 seconds") -> DataFrame:
     """#73: online context state per session (``updates`` as in ``context_state`` plus ``event_time``)."""
     return (updates.withWatermark("event_time", watermark).groupBy("session_id")
-            .transformWithStateInPandas(SessionContextProcessor(), CONTEXT_OUTPUT, "append", "None"))
+            .transformWithState(SessionContextProcessor(), CONTEXT_OUTPUT, "append", "None"))
 
 
 def source_files(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
