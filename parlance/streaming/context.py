@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import sys
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from parlance.operators.memory import CHUNK_SECONDS, CONTEXT_FIELDS, TTL_SECONDS, _segment_frame
+from parlance.streaming.session_buffer import in_order, move_timer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,6 +28,8 @@ ENTITIES = "extracted_entities"
 OUTPUT = ("session_id long, seg_no int, current_goal string, extracted_entities string, last_tool_used string, "
           "user_mood string, total_tokens long, created_at long, updated_at long, version long, bad_numbers long, "
           "closed boolean")
+CONTEXT_ROW = Row("session_id", "seg_no", *CONTEXT_FIELDS, "total_tokens", "created_at", "updated_at", "version", "bad_numbers",
+                  "closed")
 
 
 def typed_number(text: Column) -> tuple[Column, Column]:
@@ -71,8 +73,6 @@ class ExpiringContext(StatefulProcessor):
     expires (``closed`` true): by a later update's gap, or by the timer at ``updated_at + ttl``."""
 
     FIELDS = tuple(CONTEXT_FIELDS)
-    COLUMNS = ["session_id", "seg_no", *CONTEXT_FIELDS, "total_tokens", "created_at", "updated_at", "version", "bad_numbers",
-               "closed"]
 
     def __init__(self, ttl: int = TTL_SECONDS):
         self.ttl = ttl
@@ -84,43 +84,50 @@ class ExpiringContext(StatefulProcessor):
             "live", "total long, first_ts long, last_ts long, version long, bad long")
         self.number = handle.getValueState("number", "seg_no int")
 
-    def _row(self, sid, closed):
-        total, first, last, version, bad = self.live.get()
-        values = [self.fields.getValue((f,))[0] if self.fields.containsKey((f,)) else None for f in self.FIELDS]
-        return [sid, int(self.number.get()[0]), *values, total, first, last, version, bad, closed]
+    def _load(self):
+        """The session's number of contexts, its live counters (None: no context lives) and its fields."""
+        number = self.number.get()
+        live = self.live.get() if number else None
+        return number[0] if number else 0, live, {k[0]: v[0] for k, v in self.fields.iterator()} if live else {}
 
-    def _close(self, sid):
-        row = self._row(sid, True)
-        self.fields.clear()
-        self.live.clear()
-        return row
-
-    def _frame(self, rows):
-        return pd.DataFrame(rows, columns=self.COLUMNS).astype({"seg_no": "int32"})
+    def _row(self, sid, seg_no, live, fields, closed):
+        return CONTEXT_ROW(sid, seg_no, *(fields.get(f) for f in self.FIELDS), *live, closed)
 
     def handleInputRows(self, key, rows, timerValues):
-        sid, out = int(key[0]), []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        for ts, name, value, number, bad in zip(*(batch[c].tolist() for c in ("ts", "field", "value", "number", "bad"))):
-            ts = int(ts)
-            if self.live.exists() and ts - self.live.get()[2] >= self.ttl:
-                out.append(self._close(sid))
-            if not self.live.exists():
-                self.number.update(((int(self.number.get()[0]) if self.number.exists() else 0) + 1,))
-                self.live.update((0, ts, ts, 0, 0))
-            total, first, last, version, wrong = self.live.get()
+        # the session's state is read once, changed here, and written once
+        sid, out = key[0], []
+        seg_no, live, fields = self._load()
+        before_seg, before_ts, kept = seg_no, live[2] if live else None, dict(fields)
+        for ts, name, value, number, bad in in_order(rows, "ts", "field", "value", "number", "bad"):
+            if live and ts - live[2] >= self.ttl:
+                out.append(self._row(sid, seg_no, live, fields, True))
+                live, fields = None, {}
+            if not live:
+                seg_no, live = seg_no + 1, (0, ts, ts, 0, 0)
+            total, first, last, version, wrong = live
             if name in self.FIELDS:
+                fields[name] = value
+            live = (total + number, first, ts, version + 1, wrong + bad)
+        if seg_no != before_seg:
+            self.number.update((seg_no,))
+            if kept:
+                self.fields.clear()
+                kept = {}
+        for name, value in fields.items():
+            if name not in kept or kept[name] != value:
                 self.fields.updateValue((name,), (value,))
-            self.live.update((int(total + number), int(first), ts, int(version + 1), int(wrong + bad)))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((int(self.live.get()[2]) + self.ttl) * 1000)
-        out.append(self._row(sid, False))
-        yield self._frame(out)
+        self.live.update(live)
+        move_timer(self.handle, before_ts, live[2], self.ttl)
+        out.append(self._row(sid, seg_no, live, fields, False))
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.live.exists():
-            yield self._frame([self._close(int(key[0]))])
+        seg_no, live, fields = self._load()
+        if not live:
+            return iter(())
+        self.fields.clear()
+        self.live.clear()
+        return iter([self._row(key[0], seg_no, live, fields, True)])
 
     def close(self) -> None:
         pass
@@ -133,7 +140,7 @@ def stream_context_expiry(updates: DataFrame, ttl: int = TTL_SECONDS, watermark:
     number, bad = typed_number(F.col("increment"))
     typed = updates.select("session_id", "msg_id", "ts", "field", "value", number.alias("number"), bad.alias("bad"), "event_time")
     return (typed.withWatermark("event_time", watermark).groupBy("session_id")
-            .transformWithStateInPandas(ExpiringContext(ttl), OUTPUT, "append", "EventTime"))
+            .transformWithState(ExpiringContext(ttl), OUTPUT, "append", "EventTime"))
 
 
 def latest_contexts(emitted: DataFrame) -> DataFrame:
