@@ -31,7 +31,8 @@ def canonical_uuid(c) -> Column:
 def uuid5_dns(c) -> Column:
     s = F.col(c) if isinstance(c, str) else c
     digest = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_DNS_HEX)), F.encode(s, "UTF-8")))
-    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    h = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant,
-                 F.substring(digest, 18, 15))
-    return _dashed(h)
+    # the variant's two bits 10 replace the digit's upper two; each piece is cut from the digest itself, as
+    # an expression that is used five times may be computed five times
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
+                       F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))

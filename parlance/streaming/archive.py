@@ -11,9 +11,8 @@ from __future__ import annotations
 import os
 import sys
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,13 +20,14 @@ from parlance.functions.ids import uuid5_dns
 from parlance.operators import mutations
 from parlance.operators.memory import BUFFER_LIMIT, SUMMARY_EVERY, TTL_SECONDS
 from parlance.session import ensure_checkpoint_dir
-from parlance.streaming.session_buffer import ROCKSDB_PROVIDER
+from parlance.streaming.session_buffer import ROCKSDB_PROVIDER, in_order, move_timer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MESSAGE = ["msg_id", "ts", "role", "content", "tokens", "tool_calls"]
 _STATE = "msg_id long, ts long, role string, content string, tokens long, tool_calls string"
 _OUTPUT = f"session_id long, {_STATE}, kind string, archived_total long"
+_ROW = Row("session_id", *MESSAGE, "kind", "archived_total")
 
 
 class ArchivingBuffer(StatefulProcessor):
@@ -42,33 +42,30 @@ class ArchivingBuffer(StatefulProcessor):
         self.counts = handle.getValueState("counts", "last_ts long, total long")
 
     def handleInputRows(self, key, rows, timerValues):
-        sid, out = int(key[0]), []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        last, total = self.counts.get() if self.counts.exists() else (None, 0)
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        for message in batch[MESSAGE].astype(object).where(batch[MESSAGE].notna(), None).itertuples(index=False, name=None):
-            ts = int(message[1])
+        sid, out = key[0], []
+        last, total = self.counts.get() or (None, 0)
+        before_ts = last
+        held = [] if last is None else list(self.held.get())
+        had = len(held)
+        for message in in_order(rows, *MESSAGE):
+            ts = message[1]
             if last is not None and ts - last >= self.ttl:
                 held = []
-            held.append((int(message[0]), ts, message[2], message[3], None if message[4] is None else int(message[4]),
-                         message[5]))
+            held.append(message)
             if len(held) > self.limit:
                 gone, held = held[:len(held) - self.keep], held[len(held) - self.keep:]
                 before, total = total, total + len(gone)
                 out += [(sid, *m, "archived", None) for m in gone]
                 if total // self.every > before // self.every:
-                    out.append((sid, int(message[0]), ts, None, None, None, None, "trigger", total))
+                    out.append((sid, message[0], ts, None, None, None, None, "trigger", total))
             last = ts
-        self.held.clear()
         if held:
             self.held.put(held)
-        self.counts.update((int(last), int(total)))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((int(last) + self.ttl) * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", *MESSAGE, "kind", "archived_total"]).astype(
-                {"tokens": "Int64", "archived_total": "Int64"})
+        elif had:
+            self.held.clear()
+        self.counts.update((last, total))
+        move_timer(self.handle, before_ts, last, self.ttl)
+        return (_ROW(*r) for r in out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.held.clear()
@@ -82,7 +79,7 @@ def archiving_stream(messages: DataFrame, limit: int = BUFFER_LIMIT, ttl: int =
                      summary_every: int = SUMMARY_EVERY, watermark: str = "0 seconds") -> DataFrame:
     """Evicted messages and triggers of a stream ``session_id, event_time`` and the message's columns."""
     return (messages.select("session_id", *MESSAGE, "event_time").withWatermark("event_time", watermark).groupBy("session_id")
-            .transformWithStateInPandas(ArchivingBuffer(limit, ttl, summary_every), _OUTPUT, "append", "EventTime"))
+            .transformWithState(ArchivingBuffer(limit, ttl, summary_every), _OUTPUT, "append", "EventTime"))
 
 
 def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
