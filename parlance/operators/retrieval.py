@@ -67,7 +67,12 @@ _MARK, _MARKS = "\u0000", 4096
 def _counted(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None) -> DataFrame:
     """Term counts as above, stored, with one marked row per document that carries its length."""
     mark = F.concat(F.lit(_MARK), F.pmod(F.xxhash64(F.col(id_col)), F.lit(_MARKS)).cast("string"))
-    cut = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_toks"), mark.alias("_mark"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), mark.alias("_mark"))
+    if only_terms is None:
+        # every word is kept: whole texts are dealt by document, as they are less than their words with the
+        # document's number in each row; the counts then need no further shuffle
+        texts = texts.repartition("doc_id")
+    cut = texts.select("doc_id", tokens(F.col("_text")).alias("_toks"), "_mark")
     words = cut.select("doc_id", F.size("_toks").alias("dl"), F.explode(F.array_append("_toks", F.col("_mark"))).alias("term"))
     if only_terms is not None:
         wanted = only_terms.select("term").distinct().withColumn("_wanted", F.lit(True))
@@ -75,6 +80,24 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame
     return stored(words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
 
 
+#: Terms whose document frequencies go to every task; all others meet their rows in a shuffle.
+SENT_TERMS = 500_000
+
+
+def with_frequencies(tf: DataFrame, df: DataFrame, sent: int = SENT_TERMS) -> DataFrame:
+    """``tf`` with each term's ``df`` (``term, df``; both stored, ``df`` the number of the term's rows in ``tf``).
+
+    Few terms make up most rows.  The terms with more than a ``sent``-th of all rows are at most ``sent``, however
+    large the table: their frequencies are broadcast, and only the rows of rarer terms are shuffled."""
+    counts = df.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("rows")).first()
+    if counts["terms"] <= sent:
+        return tf.join(F.broadcast(df), "term")
+    often = F.broadcast(df.where(F.col("df") > counts["rows"] // sent))
+    met = tf.join(often, "term", "left")
+    rare = tf.join(often.select("term"), "term", "left_anti").join(df.where(F.col("df") <= counts["rows"] // sent), "term")
+    return met.where(F.col("df").isNotNull()).unionByName(rare.select(*met.columns))
+
+
 def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  k1: float = BM25_K1, b: float = BM25_B, only_terms: DataFrame | None = None) -> DataFrame:
     """#70: BM25 posting rows ``(doc_id, term, weight)``.
@@ -90,9 +113,8 @@ def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n, total = stats["n"] or 0, stats["total"] or 0
     avgdl = float(total) / n if total else 1.0
     tf = counted.where(~marked)
-    # two stored sides under the join, so that AQE can split a hot term
     df = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
-    j = tf.join(df, "term")
+    j = with_frequencies(tf, df)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
     return j.select("doc_id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))

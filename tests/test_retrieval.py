@@ -158,3 +158,15 @@ def test_registered_ivf_query_finds_nine_of_ten_neighbours(spark, sf_dir):
     got = {(r.query_id, r.id) for r in RQ.dense_top_k_ivf(spark, sf_dir).collect()}
     assert {q for q, _ in got} == {q for q, _ in exact}
     assert len(got & exact) / len(exact) >= 0.9
+
+
+def test_document_frequencies_meet_their_rows_in_two_ways(spark):
+    rows = [(d, 5, t, 1) for t, n in (("a", 50), ("b", 20), ("c", 3), ("d", 1), ("é", 1)) for d in range(n)]
+    tf = spark.createDataFrame(rows, "doc_id long, dl int, term string, tf long")
+    df = tf.groupBy("term").count().withColumnRenamed("count", "df")
+    whole = sorted(map(tuple, tf.join(df, "term").select("doc_id", "term", "df").collect()))
+    for sent in (1, 2, 3, 5):
+        got = R.with_frequencies(tf, df, sent).select("doc_id", "term", "df")
+        assert sorted(map(tuple, got.collect())) == whole
+    plan = R.with_frequencies(tf, df, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "Union" in plan
