@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators import catalog, matching
-from parlance.operators.retrieval import tokens
+from parlance.operators.retrieval import tokens, with_frequencies
 from parlance.session import stored
 
 # Fixed values (our rule tables; the prompts name the labels but give no terms).
@@ -283,12 +283,12 @@ def conversation_topics(messages: DataFrame, top_terms: int = 5, top_sentences:
     ``row_number`` (WindowGroupLimit).  Sentences score the sum of their tokens'
     TF-IDF; the best ``top_sentences`` per session are kept the same way.
     """
-    toks = messages.select("session_id", "msg_id", F.explode(tokens(F.col("content"))).alias("term"))
-    tf = toks.groupBy("session_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = messages.select("session_id", F.explode(tokens(F.col("content"))).alias("term"))
+    tf = stored(toks.groupBy("session_id", "term").agg(F.count(F.lit(1)).alias("tf")), "session-terms")
     n = messages.select("session_id").distinct().count()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    tfidf = tf.join(dfreq, "term").withColumn(
-        "tfidf", F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 9))
+    dfreq = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "session-frequencies")
+    tfidf = stored(with_frequencies(tf, dfreq).select("session_id", "term", F.round(
+        F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 9).alias("tfidf")), "session-weights")
     w = Window.partitionBy("session_id").orderBy(F.col("tfidf").desc(), F.col("term"))
     tags = (tfidf.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_terms)
             .groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_t"))
@@ -298,11 +298,12 @@ def conversation_topics(messages: DataFrame, top_terms: int = 5, top_sentences:
                             .alias("spos", "sentence"))
     sents = sents.withColumn("sentence", F.regexp_replace("sentence", r"^\s+|\s+$", "")).where(
         F.length("sentence") > 0)
-    st = sents.select("session_id", "msg_id", "ts", "spos", "sentence",
-                      F.explode(tokens(F.col("sentence"))).alias("term"))
-    st = st.join(tfidf.select("session_id", "term", "tfidf"), ["session_id", "term"])
-    sscore = st.groupBy("session_id", "msg_id", "ts", "spos", "sentence").agg(
-        F.round(F.sum("tfidf"), 6).alias("score"))
+    # a sentence's words carry its number, not its text
+    sents = stored(sents.withColumn("_sentence", F.monotonically_increasing_id()), "sentences")
+    words = sents.select("session_id", "_sentence", F.explode(tokens(F.col("sentence"))).alias("term"))
+    scored = (words.join(tfidf, ["session_id", "term"]).groupBy("_sentence").agg(F.sum("tfidf").alias("score")))
+    sscore = sents.join(scored, "_sentence").groupBy("session_id", "msg_id", "ts", "spos", "sentence").agg(
+        F.round(F.sum("score"), 6).alias("score"))
     ws = Window.partitionBy("session_id").orderBy(F.col("score").desc(), "ts", "msg_id", "spos")
     best = (sscore.withColumn("_r", F.row_number().over(ws)).where(F.col("_r") <= top_sentences)
             .groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts", "msg_id", "spos", "sentence")))

@@ -51,3 +51,15 @@ def test_the_stream_of_counts_may_be_cut_anywhere():
     for size in (1, 2, 7):
         cut = [whole.slice(at, size) for at in range(0, len(rows), size)]
         assert pa.Table.from_batches(SU._fold(5)(iter(cut))).to_pylist() == want
+
+
+def test_words_of_a_sentence_do_not_carry_its_text(spark):
+    from parlance.operators import scoring as S
+
+    said = spark.createDataFrame([(1, 1, 10, "Red lamp. Blue chair!"), (1, 2, 20, "Red chair."), (2, 1, 5, "Green lamp."),
+                                  (2, 1, 5, "Green lamp."), (3, 1, 5, None)], "session_id long, msg_id long, ts long, content string")
+    out = S.conversation_topics(said, 2, 1)
+    got = {r.session_id: (r.tags, r.summary) for r in out.collect()}
+    assert got == {1: (["chair", "red"], "Red chair."), 2: (["green", "lamp"], "Green lamp.")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(", sentence#" in line and ", term#" in line for line in plan.splitlines())
