@@ -11,16 +11,15 @@ then summed from the differences in double and rounded to 1e-9, so that equal ve
 The index (``fit``, ``build``, ``add``, ``search``): vectors are filed in the cell of their nearest centroid,
 and what is left over is cut into ``parts`` pieces, each replaced by the number of its nearest codeword.  It lies in a
 folder: the model, and rows of at most ``BLOCK`` codes of one cell.  Rows can be added under the same model.  A query
-reads the codes of its ``nprobe`` nearest cells, sums their distances from a table of its own (a row
-per piece), and only the ``rerank`` nearest by code are compared as whole vectors.  The model is trained on a documented sample:
-the ``SAMPLE`` vectors with the least hashed ids.
+compares itself with the vectors that the codes of its ``nprobe`` nearest cells stand for, by blocks, and only
+the ``rerank`` nearest by code are compared as whole vectors.  A search has as many tasks as its pairs of query and code
+need.  The model is trained on a documented sample: the ``SAMPLE`` vectors with the least hashed ids.
 
 Null vectors, and those of another length than the first query (or the model), are left out.
 """
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +37,8 @@ from parlance.session import arrow_map, ensure_checkpoint_dir
 CHUNK_NUMBERS, CHUNK_QUERIES = 1 << 22, 1 << 14
 #: Pairs whose distances a task holds at once.
 PAIRS = 1 << 22
+#: Codes that are compared with a part of the queries at once, and pairs of query and code of a task.
+SLAB, TASK_PAIRS = 1 << 14, 1 << 28
 #: The matrix product is off by less than this, relative to the squared lengths.
 SLACK = 1e-9
 #: Groups of tasks whose results are merged first.
@@ -284,33 +285,69 @@ def load(spark: SparkSession, path: str) -> Model:
     return Model.of_row(spark.read.schema(_MODEL).parquet(f"{path}/model").first())
 
 
+def _whole(model: Model, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for."""
+    return model.centers[cells] + model.words[np.arange(len(model.words)), codes].reshape(len(codes), -1)
+
+
+def _first(cells: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least ids of each code: others of the same distance can't be among the k nearest."""
+    whole = np.concatenate([np.ascontiguousarray(cells, np.int64).view(np.uint8).reshape(len(cells), 8), codes], 1)
+    equal = np.unique(np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, equal))
+    ascending = equal[order]
+    return order[np.arange(len(order)) - np.searchsorted(ascending, ascending) < k]
+
+
+def _slabs(batches, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cells, ids and codes of stored blocks, about ``SLAB`` rows at a time."""
+    cells, ids, codes, held = [], [], [], 0
+    for batch in batches:
+        for cell, own, code in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            ids.append(own.values.to_numpy())
+            cells.append(np.full(len(ids[-1]), cell))
+            codes.append(np.frombuffer(code, np.uint8).reshape(-1, parts))
+            held += len(ids[-1])
+            if held >= SLAB:
+                yield np.concatenate(cells), np.concatenate(ids), np.concatenate(codes)
+                cells, ids, codes, held = [], [], [], 0
+    if held:
+        yield np.concatenate(cells), np.concatenate(ids), np.concatenate(codes)
+
+
 def _probe(model: Model, queries: pa.Table, nprobe: int, rerank: int):
     dim = model.centers.shape[1]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         q, _ = _matrix(queries.column("query_vector"), dim)
-        far = ((model.centers ** 2).sum(1)[None] - 2 * q @ model.centers.T)
-        probed = np.argsort(far, axis=1, kind="stable")[:, :nprobe]
-        asked: dict[int, np.ndarray] = {c: np.flatnonzero((probed == c).any(1)) for c in np.unique(probed).tolist()}
-        pieces = np.arange(len(model.words))
-        best = _Nearest(len(q), rerank)
-        tables = functools.lru_cache(maxsize=1)(lambda cell: model.tables(q[asked[cell]], cell))
-        for batch in batches:
-            for cell, ids, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if cell not in asked:
-                    continue
-                own = np.frombuffer(codes, np.uint8).reshape(-1, len(pieces))
-                ids = ids.values.to_numpy()
-                step = max(1, PAIRS // len(own))
-                for at in range(0, len(asked[cell]), step):
-                    number = asked[cell][at:at + step]
-                    near = np.stack([table[pieces, own].sum(1) for table in tables(cell)[at:at + step]])
-                    n, i = _near(near, best.floor[number], rerank)
-                    if len(n):
-                        best.add(number[n], near[n, i], ids[i])
-        if len(best.ids):
-            yield pa.record_batch([pc.take(queries.column("query_id"), pa.array(best.number)).combine_chunks(),
-                                   pa.array(best.ids), pa.array(best.distance)], names=["query_id", "id", "near"])
+        length = (q * q).sum(1)
+        step = max(1, PAIRS // SLAB)
+        slices = [slice(at, at + step) for at in range(0, len(q), step)]
+        best, probed = [], []
+        for own in slices:
+            far = (model.centers ** 2).sum(1)[None] - 2 * q[own] @ model.centers.T
+            asked = np.zeros(far.shape, bool)
+            np.put_along_axis(asked, np.argsort(far, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+            probed.append(asked)
+            best.append(_Nearest(len(far), rerank))
+        for cells, ids, codes in _slabs(batches, len(model.words)):
+            keep = _first(cells, codes, ids, rerank)
+            cells, ids = cells[keep], ids[keep]
+            x = _whole(model, cells, codes[keep])
+            own = (x * x).sum(1)
+            for at, asked, near in zip(slices, probed, best):
+                far = length[at, None] + own[None, :] - 2 * (q[at] @ x.T)
+                far[~asked[:, cells]] = np.inf
+                n, i = _near(far, near.floor, rerank, SLACK * (1 + length[at, None] + own.max()))
+                if len(n):
+                    # sums of differences, so that equal codes tie
+                    exact = np.concatenate([((q[at][n[j:j + SLAB]] - x[i[j:j + SLAB]]) ** 2).sum(1)
+                                            for j in range(0, len(n), SLAB)])
+                    near.add(n, exact, ids[i])
+        for at, near in zip(slices, best):
+            if len(near.ids):
+                yield pa.record_batch([pc.take(queries.column("query_id"), pa.array(at.start + near.number)).combine_chunks(),
+                                       pa.array(near.ids), pa.array(near.distance)], names=["query_id", "id", "near"])
     return run
 
 
@@ -320,8 +357,11 @@ def candidates(path: str, queries: DataFrame, nprobe: int, rerank: int) -> DataF
     model, found = load(spark, path), None
     schema = T.StructType([queries.schema["query_id"], T.StructField("id", T.LongType()), T.StructField("near", T.DoubleType())])
     blocks = spark.read.schema("cell int, ids array<long>, codes binary").parquet(f"{path}/blocks")
+    rows = blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).first()["n"]
     for chunk in _chunks(queries, ["query_id", "query_vector"]):
-        near = arrow_map(blocks, _probe(model, chunk, nprobe, rerank), schema)
+        # pairs of query and code grow with the square of the table: so do the tasks, not the pairs of one
+        dealt = blocks.repartition(-(-max(1, rows) * chunk.num_rows // TASK_PAIRS))
+        near = arrow_map(dealt, _probe(model, chunk, nprobe, rerank), schema)
         found = near if found is None else found.unionByName(near)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.operators import dense as D
 from parlance.operators import retrieval as R
@@ -143,6 +144,27 @@ def test_code_distances_are_those_of_the_codewords(spark):
     assert ((x - near) ** 2).sum() < 0.2 * ((x - x.mean(0)) ** 2).sum()
 
 
+def test_tasks_of_an_index_search_grow_with_its_pairs(spark, tmp_path, monkeypatch):
+    _, _, v, _ = random_frames(spark, n=300)
+    v = v.union(v.limit(1).withColumn("id", F.explode(F.sequence(F.lit(1000), F.lit(1199)))).select(*v.columns)).cache()
+    queries = v.select(F.col("id").alias("query_id"), F.col("dense_vector").alias("query_vector"))
+    path = D.build(v, D.fit(v, nlist=5, parts=4), str(tmp_path / "index"))
+    whole = sorted(map(tuple, D.candidates(path, queries, 3, 20).collect()))
+    # the nearest by code: distances from the codewords, of equal ones the lower id
+    model, rows = D.load(spark, path), v.orderBy("id").collect()
+    x, ids = np.array([r.dense_vector for r in rows]), np.array([r.id for r in rows])
+    cells = model.cells(x)
+    near = model.centers[cells] + model.words[np.arange(4), model.codes(x, cells)].reshape(len(x), -1)
+    far = ((x[:, None] - near[None]) ** 2).sum(-1)
+    probed = np.argsort(((x[:, None] - model.centers[None]) ** 2).sum(-1), axis=1, kind="stable")[:, :3]
+    far[~(cells[None, :, None] == probed[:, None]).any(-1)] = np.inf
+    assert whole == sorted((int(q), int(i)) for q, f in zip(ids, far) for i in ids[np.lexsort((ids, f))[:20]])
+    monkeypatch.setattr(D, "TASK_PAIRS", 25_000)
+    dealt = D.candidates(path, queries, 3, 20)
+    assert "RoundRobinPartitioning(10)" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole
+
+
 def test_registered_index_compares_at_most_a_fifth_as_whole_vectors(spark):
     n = B.vectors(spark, SF_CHECK).count()
     assert RQ.IVF_RERANK <= n / 5
