@@ -21,6 +21,16 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col_(c), _EDGE_SPACE, "")
 
 
+def has_text(c) -> Column:
+    """Whether something is left of ``c`` when it is stripped."""
+    return col_(c).rlike(r"(?U)\S")
+
+
+def stripped_starts_with(c, char: str) -> Column:
+    """Whether ``c`` starts with a character when it is stripped."""
+    return col_(c).rlike(rf"(?U)\A\s*\Q{char}\E")
+
+
 def normalize(c) -> Column:
     """#41: null -> '', strip, lower."""
     return F.lower(py_strip(F.coalesce(col_(c), F.lit(""))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import contains_any, normalize, normalize_name, py_strip
+from parlance.functions.text import contains_any, has_text, normalize, normalize_name
 from parlance.operators.matching import name_hits
 from parlance.session import stored
 
@@ -72,8 +72,8 @@ def combo_candidates(products: DataFrame, shops: DataFrame | None = None) -> Dat
 
 
 def _haystack(questions: DataFrame, text_col: str, extra_cols: tuple) -> DataFrame:
-    """``questions`` with the normalised text and requirement texts as ``_hay``."""
-    pieces = F.array(normalize(F.col(text_col)))
+    """``questions`` with the normalised text as ``_said``, and with the requirement texts as ``_hay``."""
+    questions, pieces = questions.withColumn("_said", normalize(F.col(text_col))), F.array("_said")
     for c in extra_cols:
         pieces = F.concat(pieces, F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), normalize))
     return questions.withColumn("_hay", F.array_join(pieces, " "))
@@ -93,12 +93,12 @@ def match_combos(questions: DataFrame, candidates: DataFrame, text_col: str = "t
     """
     groups = list(keyword_groups.values())
     q = _haystack(questions, text_col, extra_cols)
-    hays = stored(q.where(F.length(py_strip(F.col("_hay"))) > 0).select("shop_id", "_hay").distinct(), "asked-texts")
+    # what distinct texts find is written: the questions then meet tables of known size,
+    # and are not shuffled where those are small
+    hays = stored(q.where(has_text("_hay")).select("shop_id", "_hay").distinct(), "asked-texts")
     names = _names(candidates)
     first = F.struct("rank", "combo_id")
     firsts = names.groupBy("shop_id", "token").agg(F.min(first).alias("first"))
-    # what distinct texts and shops find is written: the questions then meet tables of known size,
-    # and are not shuffled where those are small
     by_name = stored(name_hits(hays, names).join(firsts, ["shop_id", "token"]).groupBy("shop_id", "_hay").agg(
         F.min("first").alias("name_match")), "name-matches")
     spelled = candidates.withColumn("spelled", F.concat_ws(" ", normalize(F.col("combo_id")),
@@ -106,13 +106,14 @@ def match_combos(questions: DataFrame, candidates: DataFrame, text_col: str = "t
     by_group = stored(spelled.groupBy("shop_id").agg(
         *[F.min(F.when(contains_any(F.col("spelled"), kws), first)).alias(f"kw_{i}") for i, kws in enumerate(groups)]),
         "group-matches")
-    j = q.join(by_name, ["shop_id", "_hay"], "left").join(by_group, "shop_id", "left")
-    has_text = F.length(py_strip(F.col("_hay"))) > 0
     kw_hits = [F.when(contains_any(F.col("_hay"), kws), F.col(f"kw_{i}")) for i, kws in enumerate(groups)]
     kw_hit = F.least(*kw_hits) if len(kw_hits) > 1 else kw_hits[0]
-    return (j.withColumn("keyword_match", F.when(has_text & F.col("name_match").isNull(), kw_hit))
-            .withColumn("price_intent", price_intent(F.col(text_col)))
-            .drop("_hay", *[f"kw_{i}" for i in range(len(groups))]))
+    found = (hays.join(by_name, ["shop_id", "_hay"], "left").join(by_group, "shop_id", "left")
+             .withColumn("keyword_match", F.when(F.col("name_match").isNull(), kw_hit))
+             .where(F.col("name_match").isNotNull() | F.col("keyword_match").isNotNull())
+             .select("shop_id", "_hay", "name_match", "keyword_match"))
+    return (q.join(stored(found, "text-matches"), ["shop_id", "_hay"], "left")
+            .withColumn("price_intent", contains_any("_said", PRICE_KEYWORDS)).drop("_hay", "_said"))
 
 
 def price_intent(text: Column) -> Column:

@@ -17,7 +17,7 @@ never-evicted messages expire, except in a session's last segment while
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUFFER_LIMIT = 50        # messages in the buffer before eviction
@@ -168,9 +168,11 @@ FRAME_ROWS = 512
 
 
 def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: int = TTL_SECONDS,
-                  chunk_seconds: int = CHUNK_SECONDS, out_col: str = "short_memory") -> DataFrame:
+                  chunk_seconds: int = CHUNK_SECONDS, out_col: str = "short_memory", gather: Column | None = None) -> DataFrame:
     """For every message, ``item_cols`` of the up-to-``n`` messages ending at it inside its TTL segment.
 
+    ``gather``: an aggregate over these messages that takes the place of their list.
+
     Hot-session safe: a segment is cut by row count into chunks of ``FRAME_ROWS`` positions (positions come from
     the two-level segmentation), and a row among the last ``n - 1`` of a chunk is also sent to the next one.  So
     each chunk holds every frame that ends in it, a window over the chunk is the whole work, and no
@@ -182,7 +184,8 @@ def rolling_frame(messages: DataFrame, item_cols, n: int = SHORT_MEMORY, ttl: in
     seg = (_segment_frame(messages, ttl, chunk_seconds).drop("seg_last_ts", "_last_seg")
            .withColumn("_own", at).withColumn("_c", F.explode(F.when(shared, F.array(at, at + 1)).otherwise(F.array(at)))))
     frame = Window.partitionBy("session_id", "seg_no", "_c").orderBy("pos").rowsBetween(-(n - 1), 0)
-    return (seg.withColumn(out_col, F.collect_list(F.struct(*item_cols)).over(frame)).where(F.col("_c") == F.col("_own"))
+    gather = F.collect_list(F.struct(*item_cols)) if gather is None else gather
+    return (seg.withColumn(out_col, gather.over(frame)).where(F.col("_c") == F.col("_own"))
             .drop("_c", "_own", "pos", "seg_size"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.functions.text import py_strip
+from parlance.functions.text import stripped_starts_with
 
 REQUIRED = "__required__"
 RAW = "__raw__"
@@ -167,9 +167,8 @@ _LAX_FALSE = ["false", "f", "no", "n", "off", "0"]
 
 def json_candidate(raw: Column) -> Column:
     """#49: the text the reference hands to its JSON parser, or null when there is none."""
-    stripped = py_strip(F.coalesce(raw, F.lit("")))
     span = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0)
-    return F.when(stripped.startswith("{"), raw).otherwise(F.nullif(span, F.lit("")))
+    return F.when(stripped_starts_with(raw, "{"), raw).otherwise(F.nullif(span, F.lit("")))
 
 
 def _lit(v, kind):
@@ -182,8 +181,8 @@ def _lit(v, kind):
     return F.lit(v).cast(_SPARK_TYPES[kind])
 
 
-def _kind(sub: Column) -> Column:
-    s = F.schema_of_variant(sub)
+def _kind(s: Column) -> Column:
+    """The JSON kind of a variant with this schema."""
     return (F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
             .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number"))
 
@@ -202,13 +201,14 @@ def parse_model_output(df: DataFrame, spec: Spec | str, raw_col: str = "raw") ->
     d = df.withColumn("_cand", cand).withColumn(
         "_v", F.coalesce(F.try_parse_json(F.col("_cand")), F.try_parse_json(finite)))
     ok = (F.col("_cand").isNotNull() & (n_values == 1)
-          & F.col("_v").isNotNull() & py_strip(F.col("_cand")).startswith("{"))
+          & F.col("_v").isNotNull() & stripped_starts_with("_cand", "{"))
     d = d.withColumn("is_fallback", ~F.coalesce(ok, F.lit(False)))
     errors = []
     outs = []
-    # each field's sub-variant and JSON kind are computed once, in their own projection
+    # each field's sub-variant, its schema and JSON kind are computed once, in their own projections
     d = d.select("*", *[F.expr(f"variant_get(_v, '$.{f.path}')").alias(f"_s{i}") for i, f in enumerate(spec.fields)])
-    d = d.select("*", *[_kind(F.col(f"_s{i}")).alias(f"_k{i}") for i, f in enumerate(spec.fields)])
+    d = d.select("*", *[F.schema_of_variant(F.col(f"_s{i}")).alias(f"_t{i}") for i, f in enumerate(spec.fields)])
+    d = d.select("*", *[_kind(F.col(f"_t{i}")).alias(f"_k{i}") for i, f in enumerate(spec.fields)])
     for i, f in enumerate(spec.fields):
         sub, kind = F.col(f"_s{i}"), F.col(f"_k{i}")
         present = sub.isNotNull()
@@ -233,7 +233,7 @@ def parse_model_output(df: DataFrame, spec: Spec | str, raw_col: str = "raw") ->
         elif f.kind == "list":
             val = F.when(kind == "array", F.try_variant_get(sub, "$", "array<string>"))
             # every element must be a string: numbers, nulls and nested values are refused
-            strings = F.schema_of_variant(sub).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(val, lambda x: x.isNull())
+            strings = F.col(f"_t{i}").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(val, lambda x: x.isNull())
             bad_type = ~F.coalesce(strings, F.lit(False)) & (kind != "null")
         elif f.kind == "obj":
             val = F.when(kind == "object", F.to_json(sub))

@@ -137,28 +137,33 @@ def requirement_terms(messages: DataFrame, history: int = 20, ttl: int | None =
 
     History is the previous ``history - 1`` messages of the short memory (the same
     hot-session-safe bounded frame as #36), so a long session never gathers more
-    than that per row.
+    than that per row.  A message's terms are the bits of one number, so that a frame is
+    an ``OR`` of numbers; no token list and no text goes through the windows.
     """
     from parlance.operators.memory import TTL_SECONDS, rolling_frame
 
-    vocab = F.array(*[F.lit(t) for t in REQUIREMENT_TERMS])
-    toks = tokens(F.col("content"))
-    d = messages.withColumn("_toks", toks)
-    d = d.withColumn("_hit", F.array_distinct(F.filter("_toks", lambda t: F.array_contains(vocab, t))))
-    d = rolling_frame(d, ["_hit"], history, ttl or TTL_SECONDS, out_col="_frame")
-    prev = F.slice("_frame", 1, F.greatest(F.size("_frame") - 1, F.lit(0)))
-    d = d.withColumn("_hist", F.array_distinct(F.flatten(F.transform(prev, lambda e: e["_hit"])))).drop(
-        "_frame", "seg_no")
-    explicit = F.array_sort(F.col("_hit"))
-    from_hist = F.array_except(F.col("_hist"), F.col("_hit"))
-    seen = F.array_union(F.col("_hit"), F.col("_hist"))
-    implied = F.array_compact(F.array(*[
-        F.when(F.arrays_overlap(seen, F.array(*[F.lit(t) for t in trig])), F.lit(name))
-        for name, trig in IMPLIED_RULES.items()]))
-    implicit = F.array_sort(F.array_distinct(F.concat(from_hist, implied)))
-    service, _ = arg_max_label(label_scores(F.col("_toks"), SERVICE_RULES), "information")
+    bit = {t: F.lit(1 << i).cast("long") for i, t in enumerate(REQUIREMENT_TERMS)}
+    kept = lambda terms: F.filter("_toks", lambda t: t.isin(*terms))
+    has = lambda bits, terms: bits.bitwiseAND(sum(1 << REQUIREMENT_TERMS.index(t) for t in terms)) != 0
+    d = messages.withColumn("_toks", tokens(F.col("content")))
+    # what several expressions read is computed once, in its own projection
+    d = d.select("*", kept(REQUIREMENT_TERMS).alias("_hit"), kept(sum(SERVICE_RULES.values(), [])).alias("_served"))
+    d = d.select("*", *[n.alias(f"_n{i}") for i, n in enumerate(label_scores(F.col("_served"), SERVICE_RULES).values())])
+    service, _ = arg_max_label({label: F.col(f"_n{i}") for i, label in enumerate(SERVICE_RULES)}, "information")
+    said = sum((F.when(F.array_contains("_hit", t), b).otherwise(F.lit(0).cast("long")) for t, b in bit.items()),
+               F.lit(0).cast("long"))
+    d = d.withColumn("service_type", service).withColumn("_said", said).drop(
+        "_toks", "_hit", "_served", *[f"_n{i}" for i in range(len(SERVICE_RULES))])
+    d = rolling_frame(d, ["_said"], history, ttl or TTL_SECONDS, out_col="_seen", gather=F.bit_or("_said")).drop("seg_no")
+    own, seen = F.col("_said"), F.col("_seen")
+    explicit = F.array_compact(F.array(*[F.when(has(own, [t]), F.lit(t)) for t in sorted(REQUIREMENT_TERMS)]))
+    earlier = seen.bitwiseAND(F.bitwise_not(own))
+    implied = {t: has(earlier, [t]) for t in REQUIREMENT_TERMS}
+    for name, trig in IMPLIED_RULES.items():
+        implied[name] = implied.get(name, F.lit(False)) | has(seen, [t for t in trig if t in bit])
+    implicit = F.array_compact(F.array(*[F.when(implied[t], F.lit(t)) for t in sorted(implied)]))
     return (d.withColumn("explicit_requirements", explicit).withColumn("implicit_requirements", implicit)
-            .withColumn("service_type", service).drop("_toks", "_hit", "_hist"))
+            .select(*messages.columns, "explicit_requirements", "implicit_requirements", "service_type"))
 
 
 def stage_classification(messages: DataFrame, allowed_stages: list[str], successor: dict) -> DataFrame:

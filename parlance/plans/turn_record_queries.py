@@ -79,16 +79,19 @@ def turn_record_frame(spark, d):
     asked = S.requirement_terms(said.select("session_id", "msg_id", "ts", "content"), ttl=LONG_TTL).select(
         "msg_id", "explicit_requirements", "implicit_requirements", "service_type")
     empty = F.col("shop_id") == EMPTY_SHOP
-    turns = said.join(asked, "msg_id").withColumn("empty", empty)
+    # written, as the matching reads the turns twice: for their distinct texts and for themselves
+    turns = stored(said.join(asked, "msg_id").withColumn("empty", empty), "asked-turns")
     shops = B.shops(spark, d).select("id").union(spark.range(1).select(F.lit(EMPTY_SHOP)))
     combos = stored(combo_trace(C.combo_candidates(B.products(spark, d), shops), turns).select(
         "event_id", "shop_id", "content", "selected_combo", "explicit_requirements", "implicit_requirements", "service_type",
         "price_intent", "final_combo", "final_price", "combo_lines"), "turn-combos")
     base = TQ.turn_results_frame(spark, d)
-    trace = F.split("phase_trace", r" \| ")
-    at = F.array_position(trace, UPSELL).cast("int")
-    whole = F.when(at > 0, F.concat(F.slice(trace, 1, at), F.col("combo_lines"), F.slice(trace, at + 1, F.size(trace)))).otherwise(trace)
-    return base.join(combos, "event_id").withColumn("phase_trace", F.array_join(whole, " | "))
+    # the lines of the combo go behind that of the upsell step
+    end = F.instr("phase_trace", F.lit(UPSELL)) + len(UPSELL)
+    whole = F.when(F.contains(F.col("phase_trace"), F.lit(UPSELL)), F.concat(
+        F.substring("phase_trace", F.lit(1), end - 1), F.lit(" | "), F.array_join("combo_lines", " | "),
+        F.substring("phase_trace", end, F.length("phase_trace")))).otherwise(F.col("phase_trace"))
+    return base.join(combos, "event_id").withColumn("phase_trace", whole)
 
 
 def _record_sql():

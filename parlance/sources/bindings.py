@@ -90,8 +90,8 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
 
 def analyses_from(ev: DataFrame, keep=()) -> DataFrame:
     """The analyses binding over any events frame (batch or stream); ``keep`` columns pass through."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    v, t = F.col("value"), F.col("event_type")
+    ev = ev.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    k, v, t = F.col("_k"), F.col("value"), F.col("event_type")
     emo = {
         "frustration": F.when(t == "error", F.least(F.lit(1.0), v / 50)).otherwise(F.least(F.lit(1.0), v / 400)),
         "anger": F.when(t == "error", F.least(F.lit(1.0), v / 80)).otherwise(F.lit(0.0)),

@@ -1,9 +1,11 @@
 """The complete turn record: every branch of the combo choice occurs, and its trace says so."""
 
+import re
 from collections import Counter
 
 import pytest
 
+from parlance.operators import scoring as S
 from parlance.plans import turn_record_queries as TR
 
 from conftest import SF_CHECK
@@ -64,3 +66,29 @@ def test_traces_tell_the_choice(record):
 def test_requirements_are_part_of_the_match(record):
     assert sum(bool(r.explicit_requirements) for r in record) > 100
     assert sum(bool(r.implicit_requirements) for r in record) > 100
+
+
+def test_requirement_frames_are_numbers_and_not_lists(spark):
+    said = ["size and color", "PRICE? cheap", "hello", None, "quality, quality!", "help error buy"] + ["hi"] * 3
+    rows = [(s, 100 * s + i, 60 * i, said[(i + s) % len(said)]) for s in range(3) for i in range(9)]
+    df = spark.createDataFrame(rows, "session_id long, msg_id long, ts long, content string")
+    out = S.requirement_terms(df, history=4, ttl=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or(_said" in plan
+    words = lambda x: [w for w in re.split(r"[^\w]+", (x or "").lower()) if w]
+    for r in out.collect():
+        own = {w for w in words(r.content) if w in S.REQUIREMENT_TERMS}
+        near = [w for s, m, _, c in rows if s == r.session_id and r.msg_id - 4 < m < r.msg_id for w in words(c)]
+        earlier = {w for w in near if w in S.REQUIREMENT_TERMS}
+        implied = {n for n, trig in S.IMPLIED_RULES.items() if (own | earlier) & set(trig)}
+        assert r.explicit_requirements == sorted(own)
+        assert r.implicit_requirements == sorted((earlier - own) | implied)
+        hits = {k: sum(w in terms for w in words(r.content)) for k, terms in S.SERVICE_RULES.items()}
+        assert r.service_type == (max(hits, key=hits.get) if any(hits.values()) else "information")
+
+
+def test_turns_are_matched_from_a_written_frame(spark, monkeypatch):
+    written, stored = [], TR.stored
+    monkeypatch.setattr(TR, "stored", lambda df, label: written.append(label) or stored(df, label))
+    TR.turn_record_frame(spark, SF_CHECK)
+    assert "asked-turns" in written
