@@ -71,7 +71,7 @@ def combo_candidates(products: DataFrame, shops: DataFrame | None = None) -> Dat
     return combos.unionByName(empty.select("shop_id", F.inline(demo)).withColumn("is_demo", F.lit(True)))
 
 
-def _haystack(questions: DataFrame, text_col: str, extra_cols: tuple) -> DataFrame:
+def with_texts(questions: DataFrame, text_col: str, extra_cols: tuple) -> DataFrame:
     """``questions`` with the normalised text as ``_said``, and with the requirement texts as ``_hay``."""
     questions, pieces = questions.withColumn("_said", normalize(F.col(text_col))), F.array("_said")
     for c in extra_cols:
@@ -89,10 +89,11 @@ def match_combos(questions: DataFrame, candidates: DataFrame, text_col: str = "t
     """#22 / #23 / #51: name match, keyword-group match and price intent per question.
 
     ``questions`` has ``shop_id`` and a text column; ``extra_cols`` are further
-    requirement texts (explicit / implicit lists) appended to the haystack.
+    requirement texts (explicit / implicit lists) appended to the haystack.  Questions that are
+    written may carry ``with_texts`` already.
     """
     groups = list(keyword_groups.values())
-    q = _haystack(questions, text_col, extra_cols)
+    q = questions if "_hay" in questions.columns else with_texts(questions, text_col, extra_cols)
     # what distinct texts find is written: the questions then meet tables of known size,
     # and are not shuffled where those are small
     hays = stored(q.where(has_text("_hay")).select("shop_id", "_hay").distinct(), "asked-texts")

@@ -24,6 +24,9 @@ from parlance.sources.tables import read_table
 #: A shop that has no product, asked in by every 23rd turn.
 EMPTY_SHOP = "Brand#99"
 
+#: The requirement lists that count as said in a turn.
+REQUIREMENTS = ("explicit_requirements", "implicit_requirements")
+
 # The lines of the trace that tell how the combo was found.
 LOAD, EMPTY = "Phase 2.4a: Load products from DB catalog", "Phase 2.4a: DB empty -> fallback to demo combos"
 FALLBACK, SELECTED = "Phase 2.4b: Fallback combo selection (heuristic)", "Phase 2.4b: Selected "
@@ -58,8 +61,7 @@ def turn_messages(spark, d):
 def combo_trace(candidates, turns):
     """#21-#24 of turns with requirement lists: ``final_combo``, its price, and the lines of the trace."""
     looked = C.selected_combo_lookup(turns, candidates)
-    matched = C.fallback_combo(C.match_combos(looked, candidates, "content", ("explicit_requirements", "implicit_requirements"),
-                                              CQ.GROUPS))
+    matched = C.fallback_combo(C.match_combos(looked, candidates, "content", REQUIREMENTS, CQ.GROUPS))
     found = F.col("sel_rank").isNotNull()
     rank = F.when(found, F.col("sel_rank")).when(F.col("price_intent"), F.coalesce(
         F.col("name_match.rank"), F.col("keyword_match.rank")))
@@ -80,7 +82,8 @@ def turn_record_frame(spark, d):
         "msg_id", "explicit_requirements", "implicit_requirements", "service_type")
     empty = F.col("shop_id") == EMPTY_SHOP
     # written, as the matching reads the turns twice: for their distinct texts and for themselves
-    turns = stored(said.join(asked, "msg_id").withColumn("empty", empty), "asked-turns")
+    turns = said.join(asked, "msg_id").withColumn("empty", empty)
+    turns = stored(C.with_texts(turns, "content", REQUIREMENTS), "asked-turns")
     shops = B.shops(spark, d).select("id").union(spark.range(1).select(F.lit(EMPTY_SHOP)))
     combos = stored(combo_trace(C.combo_candidates(B.products(spark, d), shops), turns).select(
         "event_id", "shop_id", "content", "selected_combo", "explicit_requirements", "implicit_requirements", "service_type",
